@@ -28,7 +28,7 @@ from partmill.llm.common import mapped, ship, table, text_bytes, written
 BANDS = 3
 SHARD = 8192  # fingerprints in a chunk of a shard
 SAMPLE = 1 << 16  # fingerprints that the trees are fitted on, at most
-LEAST = 24  # fingerprints that are compared without another split
+LEAST = 1024  # fingerprints that are compared without another split
 
 
 def band_masks(bands: int = BANDS) -> list[np.uint64]:
@@ -134,18 +134,25 @@ def forest(fps: np.ndarray, mask: np.uint64, r: int, radius: int) -> Forest:
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     todo = [np.arange(len(fps))]
 
-    def link(a: np.ndarray, b: np.ndarray) -> None:
-        step = max(1, (1 << 18) // max(len(b), 1))
-        for k in range(0, len(a), step):
-            x, y = np.nonzero(distance(fps[a[k : k + step], None], fps[None, b], full) <= radius)
-            for i, j in zip(a[k + x].tolist(), b[y].tolist()):
-                if i != j:
-                    found.join(i, j)
+    def link(own: np.ndarray) -> None:
+        near = distance(fps[own, None], fps[None, own], full) <= radius
+        near[np.diag_indices(len(own))] = False
+        some = np.nonzero(near.any(0))[0]
+        near, own = near[np.ix_(some, some)], own[some]
+        to = np.arange(len(own))
+        while len(own):  # smallest reachable position
+            least = np.minimum(to, np.where(near, to, len(own)).min(1))
+            least = np.minimum(least, least[least])
+            if (least == to).all():
+                break
+            to = least
+        for x, y in zip(own.tolist(), own[to].tolist()):
+            found.join(x, y)
 
     while todo:
         own = todo.pop()
         if len(own) <= LEAST:
-            link(own, own)
+            link(own)
             continue
         v = own[rng.integers(0, len(own))]
         whole = distance(fps[own], fps[v], full)
@@ -153,16 +160,17 @@ def forest(fps: np.ndarray, mask: np.uint64, r: int, radius: int) -> Forest:
         for x in ball.tolist():  # one class through v: its pairs need no check
             found.join(int(v), x)
         if len(ball) > 1 and len(rest):  # a link from the ball leads at most to twice the radius
-            link(ball, rest[whole[whole > radius] <= 2 * radius])
-        if len(rest) <= LEAST:
-            link(rest, rest)
-            continue
+            edge = rest[whole[whole > radius] <= 2 * radius]
+            for k in range(0, len(edge), 256):
+                hit = (distance(fps[edge[k : k + 256], None], fps[None, ball], full) <= radius).any(1)
+                for x in edge[k : k + 256][hit].tolist():
+                    found.join(int(v), x)
         d = distance(fps[rest], fps[v], mask)
         m = int(np.median(d))
         m -= int((d <= m).sum() * 2 > 1.3 * len(d))
         near, far = rest[d <= m + r], rest[d > m]
         if len(far) == 0 or len(near) == len(rest):
-            todo.append(rest) if len(rest) < len(own) else link(rest, rest)
+            todo.append(rest)
         else:
             todo += [near, far]
     return found
