@@ -78,16 +78,20 @@ def text_bytes(col: str = "text"):
 
 
 class WordCache(dict):
-    """word -> value of `make(word)`, emptied when it holds `most` words."""
+    """word -> value of `make(word)`, for the words of the last `most` to 2 * `most` misses and those met since."""
 
-    def __init__(self, make: Callable, most: int = 400_000):
+    def __init__(self, make: Callable, most: int = 250_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, word):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[word] = self.make(word)
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+        self[word] = value
         return value
 
 
