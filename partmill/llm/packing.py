@@ -291,8 +291,9 @@ def packed(docs: DataFrame, tokenizer: str, folder: str, vocabulary: int, end: i
     """
     spark = ship(docs.sparkSession)
     spark.dataSource.register(PackedIds)
+    docs = docs if order else docs.select("doc_id", "text")
     by = order or [F.col("doc_id").asc_nulls_first()]
-    ranged = docs.select("doc_id", "text").repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged = docs.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
     encoded(ranged, tokenizer, end).write.format("packed_ids").option("bits", str(width(vocabulary))).mode("append").save(folder)
     return spark.read.format("packed_ids").load(folder)
 

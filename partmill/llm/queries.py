@@ -3,15 +3,35 @@
 from __future__ import annotations
 
 from partmill.llm.decontaminate import op1_decontaminate
+from partmill.llm.factorisation import op7_factorisation
+from partmill.llm.fertility import op2_fertility
+from partmill.llm.licenses import op4_licenses
 from partmill.llm.mixing import OP10_SQL, op10_mixing
 from partmill.llm.packing import op6_packing
+from partmill.llm.private import op9_private
 from partmill.llm.simhash import op5_simhash
+from partmill.llm.templates import op3_templates
+from partmill.llm.token_counts import op8_token_counts
+
+
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_fertility": op2_fertility,
+    "op3_templates": op3_templates,
+    "op4_licenses": op4_licenses,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
+    "op7_factorisation": op7_factorisation,
+    "op8_token_counts": op8_token_counts,
+    "op9_private": op9_private,
     "op10_mixing": op10_mixing,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {"op10_mixing": OP10_SQL}
