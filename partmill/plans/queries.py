@@ -1,0 +1,382 @@
+"""Registered queries of the catalogue operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from partmill.functions import scalars as X
+from partmill.operators import edits, export, geometry, images, jobs, model_info, orders, parts, quality
+from partmill.plans import tables as T
+from partmill.sources import readers
+
+ROW = ["doc_id", "row_seq"]
+
+
+def flat(df: DataFrame, *more: str) -> DataFrame:
+    """Rows with the two quantities as columns."""
+    return df.select(*ROW, *more, export.quantity("BGP1").alias("q1"), export.quantity("BGP2").alias("q2"))
+
+
+def flagship(spark, d):
+    """Per-model part counts and repeated references over suffixed, flagged rows."""
+    own = parts.with_remark_flag(parts.suffix_repeated_refs(parts.with_first_of_figure(T.parts(spark, d))))
+    own = own.withColumn("m", F.explode("qty").alias("m")) if False else own.select("*", F.explode("qty").alias("model", "q"))
+    valid = X.is_valid_quantity("q")
+    return own.filter(valid).groupBy("doc_id", "model").agg(F.count("*").alias("parts"), F.count_if(F.col("ref_no").rlike("[A-Z]$")).alias("suffixed"), F.count_if(F.col("remark_flag") == "X").alias("flagged"), F.count_if("is_parent").alias("parents"))
+
+
+def scalar_texts(spark, d):
+    r = T.cat_rows(spark, d)
+    return r.select(*ROW, X.clean_part_number("part_no").alias("x1"), X.normalize_part_number("part_no").alias("x2"), X.clean_description("description").alias("x3"), X.clean_remarks("remarks").alias("x4"))
+
+
+def scalar_codes(spark, d):
+    r = T.cat_rows(spark, d)
+    return r.select(*ROW, X.letter_suffix((F.col("row_seq") % 800).cast("int")).alias("x5"), X.catalogue_code(F.lit("BGP1"), "fig_name", "fig_no").alias("x6"), X.image_record(F.lit("BGP1"), "fig_name").alias("x7"), X.recode(X.catalogue_code(F.lit("OLD"), "fig_name"), F.lit("B$1")).alias("x10"), X.safe_base_name(F.concat("fig_name", F.lit(".PDF"))).alias("x27"))
+
+
+def model_names(spark, d):
+    r = T.cat_rows(spark, d).withColumn("name", F.concat(F.lit('YAMAHA BGP1 "'), "description", F.lit('" Series '), "fig_name"))
+    return r.select(*ROW, X.detect_brand("name").alias("x9"), X.extract_raw_model_name("name", F.lit("BGP1")).alias("x11"), X.format_parent_model_name("name", F.lit("bgp2"), "fig_name", "YAMAHA", F.lit("BGP1")).alias("x12"), X.build_model_name_record(F.lit("BGP1"), "remarks", "fig_name").alias("x8"))
+
+
+def money(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    raw = F.concat(F.lit("₹ "), F.format_number("p_retailprice", 2))
+    return p.select("p_partkey", X.parse_money(raw).alias("price"), X.parse_percent(F.concat((F.col("p_size") % 30).cast("string"), F.lit(" %"))).alias("rate"), X.parse_money("p_name").alias("bad"))
+
+
+def fit(spark, d):
+    i = T.doc_images(spark, d)
+    out = i.select("image_id", *[X.fit_dimensions("width", "height", 1000, 1200, m).alias(m) for m in ("aspect", "exact")], X.fit_dimensions("width", "height", 50, 0, "percentage").alias("percentage"), X.fit_dimensions("width", "height", 300, 0, "edge").alias("edge"))
+    return out.select("image_id", "aspect.width", "aspect.height", "aspect.left", "aspect.top", F.col("percentage.width").alias("pw"), F.col("percentage.height").alias("ph"), F.col("edge.width").alias("ew"), F.col("edge.height").alias("eh"))
+
+
+def first_of_figure(spark, d):
+    return parts.with_first_of_figure(T.parts(spark, d)).select(*ROW, "is_parent")
+
+
+def suffix_refs(spark, d):
+    return parts.suffix_repeated_refs(parts.with_first_of_figure(T.parts(spark, d))).select(*ROW, "ref_no")
+
+
+def figure_offset(spark, d):
+    return parts.with_runs(T.parts(spark, d)).select(*ROW, "first_in_run", "run_offset")
+
+
+def remark_flags(spark, d):
+    return parts.with_remark_flag(T.parts(spark, d)).select(*ROW, "remark_flag")
+
+
+def blanked(spark, d):
+    return parts.blank_children(T.parts(spark, d)).select(*ROW, "page", "fig_no", "fig_name")
+
+
+def for_model(spark, d):
+    return export.for_model(T.parts(spark, d), "BGP1").select(*ROW, export.quantity("BGP1").alias("q1"))
+
+
+def for_any_model(spark, d):
+    return flat(export.for_any_model(T.parts(spark, d)))
+
+
+def part_counts(spark, d):
+    return export.model_part_counts(T.parts(spark, d))
+
+
+def dashboard(spark, d):
+    return quality.search_dashboard(T.parts(spark, d), "steel", "", "BGP1").select(*ROW)
+
+
+def table_search(spark, d):
+    return quality.search_table(T.parts(spark, d), "brass").select(*ROW)
+
+
+def validated(spark, d):
+    own = quality.validate_rows(T.parts(spark, d))
+    return own.select(*ROW, "duplicate_ref", "no_part_no", "short_part_no", "no_description", "no_quantity", "has_issue", F.array_join("issues", ",").alias("issues"))
+
+
+def issue_rows(spark, d):
+    return quality.with_issue(quality.validate_rows(T.parts(spark, d)), "DUPLICATE_REF").select(*ROW)
+
+
+def summary(spark, d):
+    return quality.quality_summary(quality.validate_rows(T.parts(spark, d)))
+
+
+def sorted_rows(spark, d):
+    own = T.parts(spark, d)
+    w = Window.partitionBy("doc_id").orderBy(*quality.sort_keys(own, "fig_no", True))
+    return own.select(*ROW, F.row_number().over(w).alias("rank"))
+
+
+def second_page(spark, d):
+    return quality.page_of(quality.sort_parts(T.parts(spark, d), "part_no"), 2, 50).select(*ROW, "part_no")
+
+
+def heads(spark, d):
+    return quality.head_per_group(T.parts(spark, d), ["doc_id", "page"], ["row_seq"], 2).select(*ROW)
+
+
+def row_edits(spark, d):
+    p = T.parts(spark, d)
+    key = p.select(*ROW, "fig_no")
+    cells = key.filter("row_seq % 11 = 0").select(*ROW, F.lit("part_no").alias("field"), F.lit("1AB-2C.345").alias("value"))
+    out = edits.apply_row_edits(p, key.filter("row_seq % 7 = 0"), key.select("doc_id").distinct(), cells)
+    return flat(out, "part_no", "fig_no", "page")
+
+
+def figure_edits(spark, d):
+    p = T.parts(spark, d)
+    keys = p.select("doc_id", "fig_no", "fig_name").distinct().filter("cast(fig_no as int) % 7 = 0").withColumn("value", F.concat(F.lit("NAME "), "fig_no"))
+    return edits.apply_model_names(parts.with_first_of_figure(p), keys, "ALL").select(*ROW, "model_name")
+
+
+def flag_edits(spark, d):
+    p = T.parts(spark, d)
+    keys = p.select("doc_id", "fig_no", "fig_name").distinct().filter("cast(fig_no as int) % 5 = 0").select("*", F.explode(F.array(F.lit(0), F.lit(2))).alias("slot")).withColumn("value", F.concat(F.lit("E"), F.col("slot").cast("string")))
+    return edits.apply_remark_flags(p, keys, "", {1: "ONE", 3: "THREE"}).select(*ROW, "remark_flag")
+
+
+def figure_rows(spark, d):
+    return edits.figure_parts(T.parts(spark, d), "3", "1-urgent").select(*ROW)
+
+
+def completed(spark, d):
+    ids = T.job_events(spark, d).filter("status = 'completed' and job_id % 3 = 0").select("job_id")
+    return jobs_rows(T.parts(spark, d), ids)
+
+
+def jobs_rows(p, ids):
+    return export.completed_documents(p, ids).select(*ROW)
+
+
+def models_in_order(spark, d):
+    own = parts.ordered_models(T.parts(spark, d))
+    return own.select("doc_id", F.array_join("models", ",").alias("models"), (F.size("models")).alias("n"))
+
+
+def figure_list(spark, d):
+    pages = T.parts(spark, d).select("doc_id", "page", "fig_no", "fig_name").distinct()
+    return geometry.figures(pages)
+
+
+def kpis(spark, d):
+    p = T.parts(spark, d)
+    manifest = p.select("doc_id").distinct().unionByName(spark.read.parquet(f"{d}/nation.parquet").select((F.col("n_nationkey") + 1000).cast("int").alias("doc_id")))
+    words = p.filter("doc_id % 10 <> 3").select("doc_id", "description")
+    return jobs.document_summary(manifest, words, p)
+
+
+def sheet(spark, d):
+    return export.sheet_projection(parts.with_remark_flag(T.parts(spark, d)), ["BGP1", "BGP2"])
+
+
+def sheets(spark, d):
+    own = export.model_sheets(T.parts(spark, d).withColumn("pic", X.image_record(F.lit("OLD"), "fig_name")))
+    return own.select(*ROW, "sheet", "quantity", "pic")
+
+
+def consolidated(spark, d):
+    own = parts.consolidate(parts.with_first_of_figure(T.parts(spark, d)))
+    return own.select(*ROW, "ref_no", "model_code")
+
+
+def custom_sections(spark, d):
+    own = parts.append_custom_sections(T.parts(spark, d))
+    return own.select(*ROW, "fig_name", "is_custom_section", "catalogue_code", export.quantity("BGP1").alias("q1"))
+
+
+def backfilled(spark, d):
+    p = T.parts(spark, d).withColumn("qty", F.map_filter("qty", lambda k, v: ~((k == "BGP2") & (v == "0"))))
+    return flat(parts.backfill_models(p, ["BGP1", "BGP2"]))
+
+
+def reconciled(spark, d):
+    p = T.parts(spark, d).withColumn("qty", F.create_map(F.lit("BG"), export.quantity("BGP1"), F.lit("1PGB"), F.lit("0"), F.lit("XYZ"), export.quantity("BGP2")))
+    own = parts.reconcile_model_codes(p, p.select("doc_id").distinct().withColumn("code", F.lit("BGP1")))
+    return own.select(*ROW, export.quantity("BGP1").alias("q1"), export.quantity("XYZ").alias("q3"), F.size("qty").alias("n"))
+
+
+def documents_models(spark, d):
+    return parts.distinct_models(T.parts(spark, d))
+
+
+def union_of_documents(spark, d):
+    p = T.parts(spark, d)
+    out = readers.fold_models  # rows of heterogeneous sources have different columns
+    del out
+    one, two = p.filter("doc_id < 32").drop("remarks"), p.filter("doc_id >= 32")
+    return export.union_documents(one, two).select(*ROW, X.text("remarks").alias("remarks"))
+
+
+def bundle(spark, d):
+    return export.bundle_manifest(T.parts(spark, d), T.doc_images(spark, d))
+
+
+def processing(spark, d):
+    return export.processing_summary(T.parts(spark, d), T.doc_images(spark, d))
+
+
+def image_search(spark, d):
+    own = images.filter_images(T.doc_images(spark, d), None, "img1", "parts")
+    return own.select("image_id")
+
+
+def admitted_images(spark, d):
+    return images.admit_images(T.doc_images(spark, d), T.page_figures(spark, d), True).select("image_id", "fig_no")
+
+
+def unmasked(spark, d):
+    i = T.doc_images(spark, d)
+    return images.exclude_masks(i, i.filter("image_id % 6 = 0").select("doc_id", "page", "filename")).select("image_id")
+
+
+def image_figures(spark, d):
+    return images.figures_or_all(T.doc_images(spark, d).filter("doc_id <> 3 or page % 2 = 1"), T.page_figures(spark, d)).select("image_id", "fig_no")
+
+
+def placements(spark, d):
+    i = T.doc_images(spark, d)
+    w = Window.partitionBy("doc_id", "page").orderBy("image_id")
+    box = i.withColumn("ordinal", F.row_number().over(w)).select("doc_id", "page", F.when(F.col("image_id") % 3 == 0, F.col("filename")).alias("name"), F.when(F.col("image_id") % 3 == 1, F.col("width")).otherwise(-1).alias("width"), "height", "ordinal", *[F.lit(0.0).alias(c) for c in ("x0", "top", "bottom")], F.col("image_id").cast("double").alias("x1"))
+    return images.match_placement(i, box).select("image_id", F.col("box.x1").cast("long").alias("box_of"), "rule")
+
+
+def chosen_images(spark, d):
+    i = T.doc_images(spark, d)
+    picks = i.filter("image_id % 13 = 0 and doc_id <> 2").select("doc_id", F.when(F.col("image_id") % 2 == 0, F.col("image_id").cast("string")).otherwise(F.col("filename")).alias("pick"))
+    return images.selected_images(i, picks).select("image_id")
+
+
+def images_of_models(spark, d):
+    m = T.parts(spark, d).select("doc_id", F.explode(F.map_keys("qty")).alias("model"))
+    return images.images_by_model(T.doc_images(spark, d), m).select("image_id", "model", "filename")
+
+
+def unique_images(spark, d):
+    return images.dedupe_images(T.doc_images(spark, d)).select("image_id", "sha256")
+
+
+def named_images(spark, d):
+    return images.unique_names(T.doc_images(spark, d), ["doc_id"], "filename", ["image_id"]).select("image_id", "filename")
+
+
+def figure_image_names(spark, d):
+    i = images.with_figure(T.doc_images(spark, d), T.page_figures(spark, d)).withColumn("model", F.lit("BGP1")).withColumn("is_bike", X.is_bike_file("filename"))
+    i = i.withColumn("color_name", F.when(F.col("image_id") % 2 == 0, "MAT BLACK").otherwise("")).withColumn("color_code", F.when(F.col("image_id") % 4 == 0, "0582").otherwise(""))
+    return images.image_names(i).select("image_id", "filename")
+
+
+def images_counted(spark, d):
+    return images.image_counts(T.doc_images(spark, d))
+
+
+def pages_of_images(spark, d):
+    return images.image_pages(T.doc_images(spark, d))
+
+
+def pixel_colors(spark, d):
+    return images.pixel_stats(T.pixels(spark, d))
+
+
+def carts(spark, d):
+    return orders.cart_lines(T.cart_events(spark, d))
+
+
+def cart_sums(spark, d):
+    return orders.cart_totals(orders.cart_lines(T.cart_events(spark, d)))
+
+
+def quotation(spark, d):
+    own = orders.quotation_lines(orders.cart_lines(T.cart_events(spark, d)))
+    return own.withColumnsRenamed({"Ref No": "ref_no", "Part No": "part_no", "Description": "description", "Figure": "figure", "Qty": "qty", "Unit MRP": "unit_mrp", "GST %": "gst", "Total Amount": "total"})
+
+
+def changes(spark, d):
+    return jobs.progress_changes(T.job_events(spark, d)).select("job_id", "event_id", "status", "page")
+
+
+def latest(spark, d):
+    return jobs.latest_status(T.job_events(spark, d)).select("job_id", "status", "page", "events")
+
+
+def expired(spark, d):
+    e = T.job_events(spark, d)
+    own = e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now"))))  # one row
+    return jobs.expired_jobs(own.drop("now"), F.lit(e.agg(F.max("ts")).first()[0]), 86400 * 20, ("processing",)).select("job_id", "outcome")
+
+
+def batch(spark, d):
+    e = jobs.latest_status(T.job_events(spark, d))
+    return jobs.batch_totals(e.select("status", F.col("events").alias("rows"), F.col("page").alias("images")))
+
+
+def extracted(spark, d):
+    w = T.cat_words(spark, d)
+    return flat(geometry.extract_parts(w, T.page_sizes(w)), "page", "fig_no", "fig_name", "ref_no", "part_no", "description", "remarks")
+
+
+def page_lines(spark, d):
+    own = geometry.line_text(geometry.with_lines(T.cat_words(spark, d)))
+    return own.filter("line_no = 0").select("doc_id", "page", "text")
+
+
+def page_columns(spark, d):
+    w = T.cat_words(spark, d)
+    lines = geometry.exclude_index_pages(geometry.line_text(geometry.with_lines(w)))
+    at = geometry.fill_figures(geometry.page_headings(lines, w))
+    cols = geometry.model_columns(geometry.model_header_words(w, geometry.page_headers(lines, at, T.page_sizes(w))))
+    return cols.select("doc_id", "page", F.array_join("cols.name", ",").alias("models"))
+
+
+def ocr_words(spark, d):
+    """Words of the catalogue as OCR lines, some broken, read back."""
+    w = T.cat_words(spark, d)
+    line = F.concat_ws("\t", *[F.lit("5")] * 6, F.col("x0").cast("int").cast("string"), F.col("top").cast("int").cast("string"), F.lit("20"), F.lit("7"), F.when(F.col("x0") > 600, "15.0").when(F.col("x0") > 500, "bad").otherwise("95.5"), F.concat(F.lit(" "), "text"))
+    line = F.when(F.col("x0") == 150, F.lit("5\t5")).otherwise(line)
+    f = w.select(F.concat_ws("-", "doc_id", "page").alias("file"), F.split(line, "\t", -1).alias("f"))
+    return readers.parse_ocr(f, 2.0)
+
+
+def json_rows(spark, d):
+    r = T.cat_rows(spark, d)
+    js = F.to_json(F.struct("doc_id", "row_seq", "page", "fig_no", "fig_name", "ref_no", "part_no", "description", "remarks", F.col("qty1").alias("BGP1"), F.col("qty2").alias("BGP2")))
+    own = readers.fold_models(r.select(F.from_json(js, "map<string,string>").alias("m")))
+    return flat(own, "page", "part_no")
+
+
+def manifest(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    files = docs.select("doc_id", F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 4 == 0, ".txt").otherwise(".Pdf")).alias("path"), F.when(F.col("doc_id") % 5 == 0, 0).otherwise(F.col("n_chars")).alias("length"))
+    return readers.admitted(files, 5000).select("doc_id", "status")
+
+
+def file_codes(spark, d):
+    r = T.cat_rows(spark, d)
+    return r.select(*ROW, X.code_from_filename(F.concat(F.lit("parts book "), F.lower("remarks"), F.lit(" x"), F.col("page").cast("string"), F.lit("y bgp1.pdf"))).alias("code"), X.is_bike_file("description").alias("bike"))
+
+
+def cover_models(spark, d):
+    """Model names and codes from cover texts of each document."""
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    code = F.concat(F.chr(65 + F.col("c_custkey") % 26), F.lit("X"), (F.col("c_custkey") % 10).cast("string"), F.chr(65 + F.col("c_custkey") % 7))
+    text = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("PARTS CATALOGUE LCX1 25D ("), code, F.lit(") INDIA"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("MODEL CODE: "), code, F.lit(" [EC-06]"))).otherwise(F.concat(F.lit("Matte Black (ABCD)\n"), F.lit("edition")))
+    pages = c.select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("page"), text.alias("text"))
+    files = c.select(F.col("c_custkey").alias("doc_id"), F.lit("a/b.pdf").alias("path"))
+    return model_info.model_info(pages, files)
+
+
+QUERIES = {
+    "flagship_part_counts": flagship, "x1_x4_texts": scalar_texts, "x5_x6_x7_x10_x27_codes": scalar_codes, "x8_x9_x11_x12_model_names": model_names, "x28_money": money, "x29_fit": fit, "x20_x30_file_codes": file_codes, "x19_w15_cover_models": cover_models,
+    "w6_first_of_figure": first_of_figure, "w7_suffix_refs": suffix_refs, "w8_figure_offset": figure_offset, "w9_j15_remark_flags": remark_flags, "w10_blank_children": blanked,
+    "f9_f10_f11_for_model": for_model, "f12_any_model": for_any_model, "a1_part_counts": part_counts, "f13_dashboard_search": dashboard, "f14_table_search": table_search, "a5_a6_validation": validated, "f15_issue_rows": issue_rows, "a7_quality_summary": summary,
+    "o1_sort_rank": sorted_rows, "o2_page": second_page, "o3_heads": heads, "f20_row_edits": row_edits, "j8_model_name_edits": figure_edits, "j9_flag_edits": flag_edits, "j11_figure_rows": figure_rows, "j14_completed": completed,
+    "a3_a4_models_in_order": models_in_order, "a2_figures": figure_list, "a16_a18_summary": kpis, "s6_sheet": sheet, "s7_model_sheets": sheets, "u3_s8_consolidated": consolidated, "u1_custom_sections": custom_sections, "u2_backfill": backfilled, "u4_reconcile": reconciled, "u5_distinct_models": documents_models, "s5_union": union_of_documents,
+    "s10_bundle": bundle, "s11_processing_summary": processing, "f16_image_search": image_search, "f17_f19_admitted_images": admitted_images, "f18_unmasked": unmasked, "j3_image_figures": image_figures, "j4_placements": placements, "j10_chosen_images": chosen_images, "j13_images_of_models": images_of_models,
+    "w11_unique_images": unique_images, "w12_names": named_images, "x25_x26_image_names": figure_image_names, "a19_image_counts": images_counted, "a20_image_pages": pages_of_images, "a12_pixel_colors": pixel_colors,
+    "a13_cart_lines": carts, "a14_cart_totals": cart_sums, "s9_quotation": quotation, "t1_progress_changes": changes, "t2_latest_status": latest, "t3_expired": expired, "a15_batch_totals": batch,
+    "s1_geometry_extraction": extracted, "w1_a8_x13_lines": page_lines, "a9_a10_columns": page_columns, "s2_ocr_words": ocr_words, "s3_manifest": manifest, "s4_json_rows": json_rows,
+}
