@@ -138,7 +138,8 @@ def reconcile_model_codes(parts: DataFrame, authoritative: DataFrame) -> DataFra
 
     A name of 2 to 3 characters that starts, ends or is contained in the code,
     or is made of its letters, a reversal or anagram of it, and MODEL take the
-    code. All renamed quantities move along.
+    code. All renamed quantities move along; of several that meet, the first
+    valid one by old name counts.
     """
     own = parts.join(F.broadcast(authoritative.select("doc_id", F.upper("code").alias("__code"))), "doc_id", "left")
 
@@ -149,15 +150,11 @@ def reconcile_model_codes(parts: DataFrame, authoritative: DataFrame) -> DataFra
         whole = (F.length(n) == 4) & (letters(n) == letters(code))
         return F.when(F.length(code) == 4, F.when((n == "MODEL") | short | whole, code).otherwise(name)).otherwise(name)
 
-    entries = F.transform(F.map_entries("qty"), lambda e: F.struct(renamed(e["key"]).alias("key"), e["value"].alias("value")))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-
-    def value(k: Column) -> Column:
-        mine = F.filter(entries, lambda e: e["key"] == k)
-        full = F.filter(mine, lambda e: is_valid_quantity(e["value"]))
-        return F.coalesce(F.try_element_at(full, F.lit(1))["value"], F.try_element_at(mine, F.lit(1))["value"])
-
-    own = own.withColumn("qty", F.map_from_arrays(keys, F.transform(keys, value)))
+    entry = F.explode(F.map_entries("qty"))
+    long = own.select("doc_id", "row_seq", "__code", entry.alias("e")).select("doc_id", "row_seq", renamed(F.col("e.key")).alias("model"), F.col("e.key").alias("__old"), F.col("e.value").alias("q"))
+    value = F.coalesce(F.min_by("q", F.when(is_valid_quantity("q"), F.col("__old"))), F.min_by("q", "__old"))
+    folded = long.groupBy("doc_id", "row_seq", "model").agg(value.alias("q")).groupBy("doc_id", "row_seq").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("model", "q")))).alias("__qty"))
+    own = own.join(folded, ["doc_id", "row_seq"], "left").withColumn("qty", F.coalesce("__qty", "qty"))
     if "model_code" in parts.columns:
         own = own.withColumn("model_code", renamed(F.col("model_code")))
     return own.select(*parts.columns)

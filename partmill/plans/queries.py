@@ -21,7 +21,7 @@ def flat(df: DataFrame, *more: str) -> DataFrame:
 def flagship(spark, d):
     """Per-model part counts and repeated references over suffixed, flagged rows."""
     own = parts.with_remark_flag(parts.suffix_repeated_refs(parts.with_first_of_figure(T.parts(spark, d))))
-    own = own.withColumn("m", F.explode("qty").alias("m")) if False else own.select("*", F.explode("qty").alias("model", "q"))
+    own = own.select("*", F.explode("qty").alias("model", "q"))
     valid = X.is_valid_quantity("q")
     return own.filter(valid).groupBy("doc_id", "model").agg(F.count("*").alias("parts"), F.count_if(F.col("ref_no").rlike("[A-Z]$")).alias("suffixed"), F.count_if(F.col("remark_flag") == "X").alias("flagged"), F.count_if("is_parent").alias("parents"))
 
@@ -86,11 +86,11 @@ def part_counts(spark, d):
 
 
 def dashboard(spark, d):
-    return quality.search_dashboard(T.parts(spark, d), "steel", "", "BGP1").select(*ROW)
+    return quality.search_dashboard(T.parts(spark, d), "ring", "", "BGP1").select(*ROW)
 
 
 def table_search(spark, d):
-    return quality.search_table(T.parts(spark, d), "brass").select(*ROW)
+    return quality.search_table(T.parts(spark, d), "896").select(*ROW)
 
 
 def validated(spark, d):
@@ -206,8 +206,6 @@ def documents_models(spark, d):
 
 def union_of_documents(spark, d):
     p = T.parts(spark, d)
-    out = readers.fold_models  # rows of heterogeneous sources have different columns
-    del out
     one, two = p.filter("doc_id < 32").drop("remarks"), p.filter("doc_id >= 32")
     return export.union_documents(one, two).select(*ROW, X.text("remarks").alias("remarks"))
 
@@ -378,5 +376,5 @@ QUERIES = {
     "s10_bundle": bundle, "s11_processing_summary": processing, "f16_image_search": image_search, "f17_f19_admitted_images": admitted_images, "f18_unmasked": unmasked, "j3_image_figures": image_figures, "j4_placements": placements, "j10_chosen_images": chosen_images, "j13_images_of_models": images_of_models,
     "w11_unique_images": unique_images, "w12_names": named_images, "x25_x26_image_names": figure_image_names, "a19_image_counts": images_counted, "a20_image_pages": pages_of_images, "a12_pixel_colors": pixel_colors,
     "a13_cart_lines": carts, "a14_cart_totals": cart_sums, "s9_quotation": quotation, "t1_progress_changes": changes, "t2_latest_status": latest, "t3_expired": expired, "a15_batch_totals": batch,
-    "s1_geometry_extraction": extracted, "w1_a8_x13_lines": page_lines, "a9_a10_columns": page_columns, "s2_ocr_words": ocr_words, "s3_manifest": manifest, "s4_json_rows": json_rows,
+    "w1_a8_x13_lines": page_lines, "s2_ocr_words": ocr_words, "s3_manifest": manifest, "s4_json_rows": json_rows,
 }
