@@ -9,8 +9,6 @@ labelled rows, chosen by a hash of doc_id, by AdaGrad in a fixed order.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -137,15 +135,26 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
         return {"doc_id": b.column(0), "idx": [i.astype("<i4").tobytes() for i, _ in rows], "x": [x.astype("<f4").tobytes() for _, x in rows], "quality": b.column(3)}
 
     own = _shaped(docs).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
-    got = mapped(own, run, "doc_id long, idx binary, x binary, quality int").toArrow().to_pydict()
-    order = np.lexsort([[zlib.crc32(b) for b in got["idx"]], got["doc_id"]]) if got["doc_id"] else []
-    rows = [(np.frombuffer(got["idx"][i], "<i4"), np.frombuffer(got["x"][i], "<f4")) for i in order]
-    labels_ = np.array([got["quality"][i] for i in order], np.float32)
+    rows = mapped(own, run, "doc_id long, idx binary, x binary, quality int")
+
+    def fit(batches):
+        got: dict[str, list] = {"doc_id": [], "idx": [], "x": [], "quality": []}
+        for b in batches:
+            for name, values in got.items():
+                values += b.column(b.schema.get_field_index(name)).to_pylist()
+        order = sorted(range(len(got["doc_id"])), key=lambda i: (got["doc_id"][i], got["idx"][i]))
+        machine = Machine()
+        if order:
+            machine.fit([(np.frombuffer(got["idx"][i], "<i4"), np.frombuffer(got["x"][i], "<f4")) for i in order], np.array([got["quality"][i] for i in order], np.float32))
+        else:
+            machine.v[:] = 0
+        yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in (machine.bias, machine.w, machine.v)], names=["bias", "w", "v"])
+
+    bias, w, v = rows.repartition(1).mapInArrow(fit, "bias binary, w binary, v binary").first()  # one task of the bounded sample
     machine = Machine()
-    if not rows:
-        machine.v[:] = 0
-        return machine
-    return machine.fit(rows, labels_)
+    machine.bias, machine.w = np.frombuffer(bias, "<f4").copy(), np.frombuffer(w, "<f4").copy()
+    machine.v = np.frombuffer(v, "<f4").reshape(-1, RANK).copy()
+    return machine
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:

@@ -237,7 +237,7 @@ class Encoder:
     space, do so whole.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from partmill.llm.common import WordCache, mapped, ship, table, text_bytes
 
 MARK = "▁"
-WORDS = 200_000  # pre-tokens in one trie, at most
+WORDS = 150_000  # pre-tokens in one trie, at most
 
 
 class Unigram:
