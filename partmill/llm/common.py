@@ -17,8 +17,14 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from its checkout; a cluster without it needs spark.submit.pyFiles."""
+    """Let Python workers import this package from its checkout, and send them texts in small batches.
+
+    A cluster without the checkout needs spark.submit.pyFiles. A batch size that
+    the session sets is kept.
+    """
     env = spark.sparkContext.environment
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":  # texts are long rows
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     have = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, have)])
@@ -65,7 +71,7 @@ def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) ->
     return df.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about `most` bytes or one row, whichever is more."""
     n = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
     for k in range(0, batch.num_rows, n):

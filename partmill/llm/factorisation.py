@@ -22,7 +22,7 @@ BINS = 16
 STATS = 12
 DIMS = WORDS + STATS * BINS
 RANK = 6
-SAMPLE = 12_000  # labelled rows fitted on, at most
+SAMPLE = 8_000  # labelled rows fitted on, at most
 EPOCHS = 6
 BATCH = 64
 

@@ -181,7 +181,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     masks, r = band_masks(), radius // BANDS
     n = fps.count()
     sample = fps.orderBy(F.xxhash64("fp")).limit(SAMPLE)
-    got = np.array([x[0] for x in sample.collect()], np.int64).view(np.uint64)
+    got = sample.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
     trees = [fit_tree(got, m, max(1, min(len(got) // 16, 4 * n // SHARD))) for m in masks]
     given = fps.sparkSession.sparkContext.broadcast(trees)
 
@@ -199,7 +199,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         .select("band", "leaf", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "fp")
     )
 
-    def compare(key, group: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         own = np.sort(group["fp"].to_numpy())
         up = forest(own.view(np.uint64), masks[int(key[0])], r, radius)
         to = np.array([up.root(x) for x in range(len(own))], np.int64)
