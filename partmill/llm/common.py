@@ -86,7 +86,7 @@ def text_bytes(col: str = "text"):
 class WordCache(dict):
     """word -> value of `make(word)`, for the words of the last `most` to 2 * `most` misses and those met since."""
 
-    def __init__(self, make: Callable, most: int = 100_000):
+    def __init__(self, make: Callable, most: int = 60_000):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 

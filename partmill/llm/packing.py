@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from partmill.llm.common import WordCache, mapped, shared_dir, ship, table, text_bytes
+from partmill.llm.common import WordCache, shared_dir, ship, table, text_bytes
 
 BLOCK = 1 << 16
 END = 2
@@ -119,10 +119,20 @@ class FilePart(InputPartition):
 
 
 class PackedWriter(DataSourceArrowWriter):
-    """Rows (doc_id long, ids binary: little-endian uint32), in the order of the partitions."""
+    """Rows (doc_id long, data binary) in the order of the partitions.
+
+    data are ids as little-endian uint32, or, with the option tokenizer, UTF-8
+    texts, which the writing task encodes itself and ends with the id `end`.
+    """
 
     def __init__(self, options):
         self.path, self.bits = options["path"], int(options["bits"])
+        self.tokenizer, self.end = options.get("tokenizer"), int(options.get("end", END))
+
+    def ids(self, data: bytes) -> np.ndarray:
+        if not self.tokenizer:
+            return np.frombuffer(data, "<u4")
+        return np.append(np.frombuffer(encoder(self.tokenizer)(data.decode()), "<u4"), np.uint32(self.end))
 
     def write(self, batches):
         from pyspark import TaskContext
@@ -135,7 +145,7 @@ class PackedWriter(DataSourceArrowWriter):
         with fs.open_output_stream(f"{base}/{name}") as out:
             for b in batches:
                 for doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    ids = np.frombuffer(data, "<u4")
+                    ids = self.ids(data)
                     total += len(ids)
                     doc_ids.append(doc or 0)
                     nulls.append(doc is None)
@@ -203,7 +213,7 @@ class PackedReader(DataSourceReader):
 
 
 class PackedIds(DataSource):
-    """Format `packed_ids`; options: path, and bits when writing."""
+    """Format `packed_ids`; options: path, and when writing bits, tokenizer and end."""
 
     @classmethod
     def name(cls):
@@ -272,17 +282,6 @@ def encoder(path: str) -> Encoder:
     return _WORKER[path]
 
 
-def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """doc_id, ids (binary, little-endian uint32, `end` last) for each row; a null text has the end id only."""
-    last = np.array([end], "<u4").tobytes()
-
-    def run(b: pa.RecordBatch) -> dict:
-        enc = encoder(path)
-        return {"doc_id": b.column(0), "ids": [enc(t.decode()) + last for t in b.column(1).to_pylist()]}
-
-    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()), run, "doc_id long, ids binary")
-
-
 def packed(docs: DataFrame, tokenizer: str, folder: str, vocabulary: int, end: int = END, order: list | None = None) -> DataFrame:
     """Encode `docs`, write them to `folder` in ascending order and read them back: doc_id, start, n_tokens, ids_crc32.
 
@@ -294,7 +293,9 @@ def packed(docs: DataFrame, tokenizer: str, folder: str, vocabulary: int, end: i
     docs = docs if order else docs.select("doc_id", "text")
     by = order or [F.col("doc_id").asc_nulls_first()]
     ranged = docs.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
-    encoded(ranged, tokenizer, end).write.format("packed_ids").option("bits", str(width(vocabulary))).mode("append").save(folder)
+    rows = ranged.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data"))
+    options = {"bits": str(width(vocabulary)), "tokenizer": tokenizer, "end": str(end)}
+    rows.write.format("packed_ids").options(**options).mode("append").save(folder)  # one Python worker a task
     return spark.read.format("packed_ids").load(folder)
 
 
