@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 
 from partmill.functions.scalars import SECTIONS, catalogue_code, is_valid_quantity, letter_suffix, strip
 
-ROWS = Window.partitionBy("doc_id").orderBy("row_seq")
+
+
+def rows_of():
+    return Window.partitionBy("doc_id").orderBy("row_seq")
+
+
 SECTION_ROWS = {"PART KITS & SETS": 10, "REGULAR SERVICE PARTS": 15}
 
 
@@ -44,12 +49,12 @@ def with_runs(parts: DataFrame) -> DataFrame:
     """
     custom = custom_flag(parts)
     own = parts.withColumn("fig_key", fig_key(parts)).withColumn("__custom", custom)
-    before = ROWS.rowsBetween(Window.unboundedPreceding, -1)
+    before = rows_of().rowsBetween(Window.unboundedPreceding, -1)
     parent = F.coalesce("is_parent", F.lit(False)) if "is_parent" in parts.columns else F.lit(False)
     last = F.last(F.when(~F.col("__custom") | parent, F.col("fig_key")), ignorenulls=True).over(before)
     own = own.withColumn("__last", last)
     start = F.when(F.col("__custom"), parent).otherwise(F.col("__last").isNull() | (F.col("__last") != F.col("fig_key")))
-    own = own.withColumn("first_in_run", start).withColumn("run", F.sum(F.col("first_in_run").cast("int")).over(ROWS))
+    own = own.withColumn("first_in_run", start).withColumn("run", F.sum(F.col("first_in_run").cast("int")).over(rows_of()))
     offset = F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("row_seq")) - 1
     return own.withColumn("run_offset", offset).drop("__last", "__custom")
 
@@ -60,7 +65,7 @@ def suffix_repeated_refs(parts: DataFrame) -> DataFrame:
     block = own
     if "is_parent" in parts.columns:
         starts = F.col("first_in_run") | F.coalesce("is_parent", F.lit(False))
-        block = own.withColumn("__block", F.sum(starts.cast("int")).over(ROWS))
+        block = own.withColumn("__block", F.sum(starts.cast("int")).over(rows_of()))
     else:
         block = own.withColumn("__block", F.col("run"))
     ref = strip("ref_no")
