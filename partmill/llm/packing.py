@@ -1,13 +1,13 @@
-"""Token ids in fixed-width bit-packed files, as a Spark data source.
+"""Token ids in fixed-width bit-packed files.
 
 A file holds ids of `bits` bits each (the least that hold the vocabulary), least
 significant bit first. Ids are packed in blocks of BLOCK ids, every block
 starting on a byte, so the block of id k starts at byte (k // BLOCK) * BLOCK *
 bits / 8 and unpacks alone. A file ends in its index, as little-endian longs:
-the documents' ids, their nulls, their ends in ids, and a footer of counts. The
-manifest, written when all tasks have ended, lists the files of the successful
-attempts in order of doc_id with the ids before each. So lost or repeated tasks
-leave files that no reader sees.
+the documents' ids, their ends in ids, their nulls, and a footer of counts. Each
+task writes one file and returns one row about it. The manifest, written when all
+tasks have ended, lists these rows in order with the ids before each file. So
+lost or repeated tasks leave files that no reader sees.
 """
 
 from __future__ import annotations
@@ -16,14 +16,15 @@ import json
 import unicodedata
 import uuid
 import zlib
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from partmill.llm.common import WordCache, shared_dir, ship, table, text_bytes
 
@@ -104,129 +105,77 @@ class PackedFile:
             start = end
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    part: int
-    name: str
-    docs: int
-    ids: int
-
-
-@dataclass
-class FilePart(InputPartition):
-    name: str
-    before: int
-
-
-class PackedWriter(DataSourceArrowWriter):
-    """Rows (doc_id long, data binary) in the order of the partitions.
-
-    data are ids as little-endian uint32, or, with the option tokenizer, UTF-8
-    texts, which the writing task encodes itself and ends with the id `end`.
-    """
-
-    def __init__(self, options):
-        self.path, self.bits = options["path"], int(options["bits"])
-        self.tokenizer, self.end = options.get("tokenizer"), int(options.get("end", END))
-
-    def ids(self, data: bytes) -> np.ndarray:
-        if not self.tokenizer:
-            return np.frombuffer(data, "<u4")
-        return np.append(np.frombuffer(encoder(self.tokenizer)(data.decode()), "<u4"), np.uint32(self.end))
-
-    def write(self, batches):
-        from pyspark import TaskContext
-
+def write_file(rows: Iterator[tuple], folder: str, part: int, bits: int) -> tuple[str, int, int] | None:
+    """Name, documents and ids of a new file of rows (doc_id, ids); none without rows."""
+    first = next(rows, None)
+    if first is None:
+        return None
+    fs, base = store(folder)
+    fs.create_dir(base, recursive=True)
+    name = f"part-{part:06d}-{uuid.uuid4().hex}.ids"
+    doc_ids, nulls, ends, pending, held, total = [], [], [], [], 0, 0
+    with fs.open_output_stream(f"{base}/{name}") as out:
+        for doc, ids in chain([first], rows):
+            total += len(ids)
+            doc_ids.append(doc or 0)
+            nulls.append(doc is None)
+            ends.append(total)
+            pending.append(ids)
+            held += len(ids)
+            if held >= 16 * BLOCK:
+                flat = np.concatenate(pending)
+                whole = held // BLOCK * BLOCK
+                out.write(pack(flat[:whole], bits))
+                pending, held = [flat[whole:]], held - whole
+        if held:
+            out.write(pack(np.concatenate(pending), bits))
+        out.write(np.array(doc_ids, "<i8").tobytes() + np.array(ends, "<i8").tobytes() + np.array(nulls, np.uint8).tobytes())
+        out.write(np.array([MAGIC, bits, len(ends), total, 0], "<i8").tobytes())
+    return name, len(ends), total
+
+
+def write_packed(rows: DataFrame, folder: str, bits: int, encode: Callable[[bytes], np.ndarray]) -> None:
+    """Files and a manifest of `rows` (doc_id long, data binary) in the order of their partitions; `encode` makes data ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        name = f"part-{part:06d}-{uuid.uuid4().hex}.ids"
-        fs, base = store(self.path)
-        fs.create_dir(base, recursive=True)
-        doc_ids, nulls, ends, pending, held, total, size = [], [], [], [], 0, 0, 0
-        with fs.open_output_stream(f"{base}/{name}") as out:
-            for b in batches:
-                for doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    ids = self.ids(data)
-                    total += len(ids)
-                    doc_ids.append(doc or 0)
-                    nulls.append(doc is None)
-                    ends.append(total)
-                    pending.append(ids)
-                    held += len(ids)
-                    if held >= 16 * BLOCK:
-                        flat = np.concatenate(pending)
-                        whole = held // BLOCK * BLOCK
-                        size += out.write(pack(flat[:whole], self.bits)) or 0
-                        pending, held = [flat[whole:]], held - whole
-            if held:
-                out.write(pack(np.concatenate(pending), self.bits))
-            out.write(np.array(doc_ids, "<i8").tobytes() + np.array(ends, "<i8").tobytes() + np.array(nulls, np.uint8).tobytes())
-            out.write(np.array([MAGIC, self.bits, len(ends), total, 0], "<i8").tobytes())
-        return Written(part, name, len(ends), total)
-
-    def commit(self, messages):
-        fs, base = store(self.path)
-        fs.create_dir(base, recursive=True)
-        files, before = [], 0
-        for m in sorted((m for m in messages if m is not None), key=lambda m: m.part):
-            if m.docs:
-                files.append({"name": m.name, "before": before, "docs": m.docs, "ids": m.ids})
-                before += m.ids
-        with fs.open_output_stream(f"{base}/manifest.json") as out:
-            out.write(json.dumps({"bits": self.bits, "block": BLOCK, "files": files}).encode())
-
-    def abort(self, messages):
-        fs, base = store(self.path)
-        for m in messages:
-            if m is not None:
-                fs.delete_file(f"{base}/{m.name}")
-
-
-class PackedReader(DataSourceReader):
-    def __init__(self, options):
-        self.path = options["path"]
-
-    def partitions(self):
-        fs, base = store(self.path)
-        with fs.open_input_file(f"{base}/manifest.json") as f:
-            files = json.loads(f.read())["files"]
-        return [FilePart(x["name"], x["before"]) for x in files] or [FilePart("", 0)]
-
-    def read(self, part):
-        if not part.name:
-            return
-        fs, base = store(self.path)
-        rows = ([], [], [], [])
-        at = part.before
-
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-        for doc, ids in PackedFile(fs, f"{base}/{part.name}").documents():
-            for column, x in zip(rows, (doc, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))):
-                column.append(x)
-            at += len(ids)
-            if len(rows[0]) == 8192:
-                yield batch()
-                rows = ([], [], [], [])
-        if rows[0]:
-            yield batch()
-
-
-class PackedIds(DataSource):
-    """Format `packed_ids`; options: path, and when writing bits, tokenizer and end."""
-
-    @classmethod
-    def name(cls):
-        return "packed_ids"
-
-    def schema(self):
-        return "doc_id long, start long, n_tokens long, ids_crc32 long"
-
-    def reader(self, schema):
-        return PackedReader(self.options)
-
-    def writer(self, schema, overwrite):
-        return PackedWriter(self.options)
+        own = ((doc, encode(data)) for b in batches for doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        if got := write_file(own, folder, part, bits):
+            yield pa.RecordBatch.from_pylist([dict(zip(("part", "name", "docs", "ids"), (part, *got)))])
+
+    files, before = [], 0
+    for _, name, docs, ids in sorted(rows.mapInArrow(run, "part long, name string, docs long, ids long").collect()):  # a row per file
+        files.append({"name": name, "before": before, "docs": docs, "ids": ids})
+        before += ids
+    fs, base = store(folder)
+    fs.create_dir(base, recursive=True)
+    with fs.open_output_stream(f"{base}/manifest.json") as out:
+        out.write(json.dumps({"bits": bits, "block": BLOCK, "files": files}).encode())
+
+
+def read_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document of the files that the manifest in `folder` lists, a task per file."""
+    fs, base = store(folder)
+    with fs.open_input_file(f"{base}/manifest.json") as f:
+        files = json.loads(f.read())["files"]
+    out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = store(folder)
+        for b in batches:
+            for name, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                rows = []
+                for doc, ids in PackedFile(fs, f"{base}/{name}").documents():
+                    rows.append((doc, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    at += len(ids)
+                    if len(rows) == 8192:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=out)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=out)
+
+    names = spark.createDataFrame([(k, x["name"], x["before"]) for k, x in enumerate(files)], "k int, name string, before long")
+    return names.repartitionById(max(1, len(files)), "k").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 # ---- encoding ----------------------------------------------------------------
@@ -289,14 +238,16 @@ def packed(docs: DataFrame, tokenizer: str, folder: str, vocabulary: int, end: i
     `order`. Repeated rows are written as often as they come.
     """
     spark = ship(docs.sparkSession)
-    spark.dataSource.register(PackedIds)
     docs = docs if order else docs.select("doc_id", "text")
     by = order or [F.col("doc_id").asc_nulls_first()]
     ranged = docs.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
     rows = ranged.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data"))
-    options = {"bits": str(width(vocabulary)), "tokenizer": tokenizer, "end": str(end)}
-    rows.write.format("packed_ids").options(**options).mode("append").save(folder)  # one Python worker a task
-    return spark.read.format("packed_ids").load(folder)
+
+    def encode(data: bytes) -> np.ndarray:
+        return np.append(np.frombuffer(encoder(tokenizer)(data.decode()), "<u4"), np.uint32(end))
+
+    write_packed(rows, folder, width(vocabulary), encode)  # one Python worker a task
+    return read_packed(spark, folder)
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
