@@ -13,6 +13,7 @@ lost or repeated tasks leave files that no reader sees.
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 import uuid
 import zlib
@@ -185,6 +186,11 @@ BYTE_LEVEL = {b: chr(b) for b in _BYTES} | {b: chr(256 + k) for k, b in enumerat
 _WORKER: dict[str, Encoder] = {}
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian uint32; a piece has few, for which struct is quicker than numpy."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """A word-end BPE tokenizer on the pieces of a text between white space, each encoded once and kept.
 
@@ -206,16 +212,16 @@ class Encoder:
         self.marks = {m: self._plain(m) for m in (".", ",", "!", ".,", "!!", "...", "")}
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return as_bytes(self.whole.encode(text, add_special_tokens=False).ids)
 
     def _letters(self, word: str) -> bytes:
         mapped_ = word if word.isascii() else "".join(BYTE_LEVEL[b] for b in word.encode())
-        return np.array([t.id for t in self.model.tokenize(mapped_)], "<u4").tobytes()
+        return as_bytes([t.id for t in self.model.tokenize(mapped_)])
 
     def _piece(self, piece: str) -> bytes:
         body = piece.rstrip(".,!")
         tail = self.marks.get(piece[len(body) :])
-        if tail is not None and body.isalpha() and max(body) < "İ" and unicodedata.is_normalized("NFC", body):
+        if tail is not None and body.isalpha() and (body.isascii() or (max(body) < "İ" and unicodedata.is_normalized("NFC", body))):
             return self.cores[body.lower()] + tail
         return self._plain(piece)
 
