@@ -105,6 +105,11 @@ ORACLE_SQL = {
     "t2_latest_status": f"{JOBS} SELECT job_id, arg_max(status, (ts, event_id)) AS status, arg_max(page, (ts, event_id)) AS page, count(*) AS events FROM job_events GROUP BY 1",
     "t3_expired": f"{JOBS} SELECT job_id, CASE WHEN arg_max(status, (ts, event_id)) = 'processing' THEN 'error' ELSE 'expired' END AS outcome FROM job_events GROUP BY 1 HAVING floor(epoch((SELECT max(ts) FROM job_events))) - floor(epoch(min(ts))) > 1728000",
     "a15_batch_totals": f"{JOBS}, l AS (SELECT job_id, arg_max(status, (ts, event_id)) AS status, arg_max(page, (ts, event_id)) AS page, count(*) AS n FROM job_events GROUP BY 1) SELECT count_if(status = 'completed')::BIGINT AS completed, sum(n)::BIGINT AS \"rows\", sum(page)::BIGINT AS images FROM l",
+    "w1_a8_x13_lines": f"WITH {CAT} SELECT DISTINCT doc_id, page, 'FIG. ' || fig_no || ' ' || fig_name AS text FROM cat_rows",
+    "a9_a10_page_columns": f"WITH {CAT} SELECT DISTINCT doc_id, page, 'BGP1,BGP2' AS models FROM cat_rows",
+    "w3_j1_j2_x16_x17_extracted": f"WITH {CAT} SELECT doc_id, row_seq, page, fig_no, fig_name, ref_no, {X2} AS part_no, {X3} AS description, {X4} AS remarks, qty1 AS q1, qty2 AS q2 FROM cat_rows",
+    "j10_chosen_images": f"{IMAGES}, k AS (SELECT doc_id, CASE WHEN image_id % 2 = 0 THEN image_id::VARCHAR ELSE filename END AS pick FROM doc_images WHERE image_id % 13 = 0 AND doc_id <> 2), h AS (SELECT DISTINCT d.image_id, d.doc_id FROM doc_images d JOIN k ON k.doc_id = d.doc_id AND (k.pick = d.image_id::VARCHAR OR k.pick = d.filename)) SELECT image_id FROM doc_images WHERE image_id IN (SELECT image_id FROM h) OR doc_id NOT IN (SELECT doc_id FROM h)",
     "s4_json_rows": f"WITH {CAT} SELECT doc_id, row_seq, page, part_no, qty1 AS q1, qty2 AS q2 FROM cat_rows",
     "s3_manifest": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'bad_format' WHEN doc_id % 5 = 0 THEN 'empty' WHEN n_chars > 5000 THEN 'too_large' ELSE 'accepted' END AS status FROM documents",
 }
+ORACLE_SQL |= {"t1_streamed_changes": ORACLE_SQL["t1_progress_changes"], "t2_streamed_latest": ORACLE_SQL["t2_latest_status"]}

@@ -9,6 +9,8 @@ from partmill.functions import scalars as X
 from partmill.operators import edits, export, geometry, images, jobs, model_info, orders, parts, quality
 from partmill.plans import tables as T
 from partmill.sources import readers
+from partmill.sources.scratch import cut, scratch_path
+from partmill.streaming import jobs as stream
 
 ROW = ["doc_id", "row_seq"]
 
@@ -313,21 +315,36 @@ def batch(spark, d):
 
 
 def extracted(spark, d):
-    w = T.cat_words(spark, d)
+    w = cut(T.cat_words(spark, d))
     return flat(geometry.extract_parts(w, T.page_sizes(w)), "page", "fig_no", "fig_name", "ref_no", "part_no", "description", "remarks")
 
 
 def page_lines(spark, d):
-    own = geometry.line_text(geometry.with_lines(T.cat_words(spark, d)))
+    own = geometry.line_text(geometry.with_lines(cut(T.cat_words(spark, d))))
     return own.filter("line_no = 0").select("doc_id", "page", "text")
 
 
 def page_columns(spark, d):
-    w = T.cat_words(spark, d)
-    lines = geometry.exclude_index_pages(geometry.line_text(geometry.with_lines(w)))
-    at = geometry.fill_figures(geometry.page_headings(lines, w))
-    cols = geometry.model_columns(geometry.model_header_words(w, geometry.page_headers(lines, at, T.page_sizes(w))))
-    return cols.select("doc_id", "page", F.array_join("cols.name", ",").alias("models"))
+    w = cut(T.cat_words(spark, d))
+    _, _, columns = geometry.page_tables(w, T.page_sizes(w))
+    return columns.select("doc_id", "page", F.array_join("cols.name", ",").alias("models"))
+
+
+def streamed(spark, d, fn, mode: str) -> DataFrame:
+    """What `fn` makes of the job events as a stream: all batches of an append, the last one of a complete output."""
+    path = scratch_path(spark)
+    put = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/{f'batch={n}' if mode == 'append' else 'all'}")
+    out = fn(T.job_event_stream(spark, d))
+    out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", scratch_path(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/*")
+
+
+def changes_streamed(spark, d):
+    return streamed(spark, d, stream.progress_changes_stream, "append").select("job_id", "event_id", "status", "page")
+
+
+def latest_streamed(spark, d):
+    return streamed(spark, d, stream.latest_status_stream, "complete").select("job_id", "status", "page", "events")
 
 
 def ocr_words(spark, d):
@@ -376,5 +393,6 @@ QUERIES = {
     "s10_bundle": bundle, "s11_processing_summary": processing, "f16_image_search": image_search, "f17_f19_admitted_images": admitted_images, "f18_unmasked": unmasked, "j3_image_figures": image_figures, "j4_placements": placements, "j10_chosen_images": chosen_images, "j13_images_of_models": images_of_models,
     "w11_unique_images": unique_images, "w12_names": named_images, "x25_x26_image_names": figure_image_names, "a19_image_counts": images_counted, "a20_image_pages": pages_of_images, "a12_pixel_colors": pixel_colors,
     "a13_cart_lines": carts, "a14_cart_totals": cart_sums, "s9_quotation": quotation, "t1_progress_changes": changes, "t2_latest_status": latest, "t3_expired": expired, "a15_batch_totals": batch,
-    "w1_a8_x13_lines": page_lines, "s2_ocr_words": ocr_words, "s3_manifest": manifest, "s4_json_rows": json_rows,
+    "t1_streamed_changes": changes_streamed, "t2_streamed_latest": latest_streamed,
+    "w1_a8_x13_lines": page_lines, "a9_a10_page_columns": page_columns, "w3_j1_j2_x16_x17_extracted": extracted, "s2_ocr_words": ocr_words, "s3_manifest": manifest, "s4_json_rows": json_rows,
 }

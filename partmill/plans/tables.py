@@ -96,6 +96,11 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, JOB_EVENTS, **_read(spark, sf_dir, "events"))
 
 
+def job_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return _sql(spark, JOB_EVENTS, events=spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
+
+
 def cart_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, CART_EVENTS, **_read(spark, sf_dir, "lineitem", "part"))
 
