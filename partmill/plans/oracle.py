@@ -48,6 +48,14 @@ CART = f"""WITH e AS ({T.CART_EVENTS}), a AS (SELECT *, sum(delta) OVER w AS s F
  lines AS (SELECT b.cart_id, b.part_no, arg_min(description, seq) AS description, any_value(qty) AS qty, arg_min(CASE WHEN mrp > 0 THEN mrp ELSE 120.0 END, seq)::DOUBLE AS price, arg_min(CASE WHEN gst_rate > 0 THEN gst_rate ELSE 28 END, seq)::DOUBLE AS gst
   FROM b JOIN c ON b.cart_id = c.cart_id AND b.part_no = c.part_no AND seq > z WHERE qty > 0 GROUP BY 1, 2)"""
 
+PIXELS = f"""WITH a AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM ({T.PIXELS})),
+ b AS (SELECT *, hi / 255::DOUBLE AS v, CASE WHEN hi = 0 THEN 0 ELSE (hi - lo) / hi::DOUBLE END AS s, (hi - lo)::DOUBLE AS d, lo < 242 AS subject FROM a),
+ c AS (SELECT *, floor(s * 255) >= 18 AS colored, subject AND s >= 0.18::DOUBLE AND v >= 0.15::DOUBLE AS vivid, 60 * CASE WHEN d = 0 THEN 0 WHEN r = hi THEN (g - b) / d + CASE WHEN g < b THEN 6 ELSE 0 END WHEN g = hi THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END AS h FROM b),
+ s AS (SELECT image_id, count(*) AS n, count(DISTINCT (r, g, b)) AS n_colors, round((stddev_pop(r) + stddev_pop(g) + stddev_pop(b)) / 3, 6) AS spread, round(avg(h) FILTER (vivid), 6) AS mean_hue, count_if(colored) / count(*) AS colored,
+  count_if(subject) AS ns, count_if(subject AND colored) AS nsc, count_if(subject AND v <= 0.45::DOUBLE) AS nd, count_if(vivid) AS nv FROM c GROUP BY 1)
+SELECT image_id, n, n_colors, spread, mean_hue, colored >= 0.025 AS is_colored, CASE WHEN ns > 0 THEN nsc / ns < 0.05 AND nd / ns >= 0.35 ELSE false END AS is_black,
+ CASE WHEN ns = 0 OR nv / ns < 0.02 THEN '' WHEN mean_hue < 15 OR mean_hue >= 345 THEN 'RED' WHEN mean_hue < 45 THEN 'ORANGE' WHEN mean_hue < 70 THEN 'YELLOW' WHEN mean_hue < 165 THEN 'GREEN' WHEN mean_hue < 200 THEN 'CYAN' WHEN mean_hue < 260 THEN 'BLUE' ELSE 'PURPLE' END AS hue FROM s"""
+
 ORACLE_SQL = {
     "flagship_part_counts": f"{RUNS}, f AS (SELECT *, {SUFFIXED} AS ref2, CASE WHEN starts AND has = 1 THEN 'X' ELSE '' END AS flag FROM o), m AS (SELECT *, 'BGP1' AS model, qty1 AS q FROM f UNION ALL SELECT *, 'BGP2', qty2 FROM f) SELECT doc_id, model, count(*) AS parts, count_if(regexp_matches(ref2, '[A-Z]$'))::BIGINT AS suffixed, count_if(flag = 'X')::BIGINT AS flagged, count_if(is_parent)::BIGINT AS parents FROM m WHERE {valid('q')} GROUP BY 1, 2",
     "x1_x4_texts": f"WITH {CAT} SELECT doc_id, row_seq, {X1} AS x1, {X2} AS x2, {X3} AS x3, {X4} AS x4 FROM cat_rows",
@@ -109,6 +117,12 @@ ORACLE_SQL = {
     "a9_a10_page_columns": f"WITH {CAT} SELECT DISTINCT doc_id, page, 'BGP1,BGP2' AS models FROM cat_rows",
     "w3_j1_j2_x16_x17_extracted": f"WITH {CAT} SELECT doc_id, row_seq, page, fig_no, fig_name, ref_no, {X2} AS part_no, {X3} AS description, {X4} AS remarks, qty1 AS q1, qty2 AS q2 FROM cat_rows",
     "j10_chosen_images": f"{IMAGES}, k AS (SELECT doc_id, CASE WHEN image_id % 2 = 0 THEN image_id::VARCHAR ELSE filename END AS pick FROM doc_images WHERE image_id % 13 = 0 AND doc_id <> 2), h AS (SELECT DISTINCT d.image_id, d.doc_id FROM doc_images d JOIN k ON k.doc_id = d.doc_id AND (k.pick = d.image_id::VARCHAR OR k.pick = d.filename)) SELECT image_id FROM doc_images WHERE image_id IN (SELECT image_id FROM h) OR doc_id NOT IN (SELECT doc_id FROM h)",
+    "s2_ocr_words": f"WITH {CAT}, w AS (WITH {T.CAT_WORDS}) SELECT doc_id || '-' || page AS file, trim(text) AS text, trunc(x0) / 2 AS x0, trunc(top) / 2 AS top, (trunc(x0) + 20) / 2 AS x1, (trunc(top) + 7) / 2 AS bottom FROM w WHERE x0 <= 500 AND x0 <> 150",
+    "x20_x30_file_codes": rf"WITH {CAT} SELECT doc_id, row_seq, CASE WHEN page BETWEEN 10 AND 99 THEN 'X' || page || 'Y' ELSE 'BGP1' END AS code, regexp_matches(description, '(?i)\bbike\b|_bike') AS bike FROM cat_rows",
+    "a12_pixel_colors": PIXELS,
+    "x22_color_info": "SELECT p_partkey, p_partkey % 2 = 0 AS is_bike_color, CASE WHEN p_partkey % 2 = 1 THEN '' WHEN p_partkey % 3 = 0 THEN 'MAT BLACK' ELSE 'RACING BLUE' END AS color_name, CASE WHEN p_partkey % 2 = 0 THEN 'C' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') ELSE '' END AS color_code FROM part",
+    "j6_matched_colors": f"{IMAGES}, c AS (SELECT n_nationkey % 8 AS doc_id, n_nationkey AS k, CASE n_nationkey % 3 WHEN 0 THEN 'MAT BLACK' WHEN 1 THEN 'RACING BLUE' ELSE 'VIVID RED' END AS name FROM nation) SELECT image_id, arg_min(name, k) AS color_name, lpad(min(k)::VARCHAR, 4, '0') AS color_code FROM doc_images d LEFT JOIN c ON d.doc_id = c.doc_id AND name LIKE '%' || CASE WHEN image_id % 3 = 0 THEN 'BLACK' WHEN image_id % 2 = 0 THEN 'RED' ELSE 'BLUE' END || '%' GROUP BY 1",
+    "j5_text_below": f"WITH {CAT}, w AS (WITH {T.CAT_WORDS}), doc_images AS ({T.DOC_IMAGES}), l AS (SELECT image_id, round_even(top / 4, 0) AS y, string_agg(text, ' ' ORDER BY w.x0, text) AS line FROM doc_images JOIN w USING (doc_id, page) WHERE top BETWEEN 102 AND 260 AND w.x1 >= 150 AND w.x0 <= 470 GROUP BY 1, 2) SELECT image_id, string_agg(line, '|' ORDER BY y, line) AS lines FROM l GROUP BY 1",
     "s4_json_rows": f"WITH {CAT} SELECT doc_id, row_seq, page, part_no, qty1 AS q1, qty2 AS q2 FROM cat_rows",
     "s3_manifest": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'bad_format' WHEN doc_id % 5 = 0 THEN 'empty' WHEN n_chars > 5000 THEN 'too_large' ELSE 'accepted' END AS status FROM documents",
 }

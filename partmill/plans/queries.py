@@ -282,6 +282,28 @@ def pixel_colors(spark, d):
     return images.pixel_stats(T.pixels(spark, d))
 
 
+def colors_of_parts(spark, d):
+    """Colours from the lines below an image, made of each part's number."""
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("COLOR: "), F.when(k % 3 == 0, "MAT BLACK").otherwise("RACING BLUE"))
+    code = F.concat(F.lit("(C"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(")"))
+    lines = F.when(k % 2 == 0, F.array(name, code)).otherwise(F.array(F.lit("BOLT FLANGE"), (k % 100).cast("string")))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", images.color_info(lines).alias("c")).select("p_partkey", "c.*")
+
+
+def matched_colors(spark, d):
+    i = T.doc_images(spark, d).withColumn("is_black", F.col("image_id") % 3 == 0).withColumn("hue", F.when(F.col("image_id") % 2 == 0, "Red").otherwise("Blue"))
+    k = F.col("n_nationkey")
+    name = F.when(k % 3 == 0, "MAT BLACK").when(k % 3 == 1, "RACING BLUE").otherwise("VIVID RED")
+    c = spark.read.parquet(f"{d}/nation.parquet").select((k % 8).cast("int").alias("doc_id"), k.alias("entry_order"), name.alias("color_name"), F.lpad(k.cast("string"), 4, "0").alias("color_code"))
+    return images.match_color(i, c).select("image_id", "color_name", "color_code")
+
+
+def words_below(spark, d):
+    i = T.doc_images(spark, d).select("image_id", "doc_id", "page", F.lit(200.0).alias("x0"), F.lit(420.0).alias("x1"), F.lit(110.0).alias("bottom"))
+    return images.text_below(i, T.cat_words(spark, d)).select("image_id", F.array_join("lines", "|").alias("lines"))
+
+
 def carts(spark, d):
     return orders.cart_lines(T.cart_events(spark, d))
 
@@ -391,7 +413,7 @@ QUERIES = {
     "o1_sort_rank": sorted_rows, "o2_page": second_page, "o3_heads": heads, "f20_row_edits": row_edits, "j8_model_name_edits": figure_edits, "j9_flag_edits": flag_edits, "j11_figure_rows": figure_rows, "j14_completed": completed,
     "a3_a4_models_in_order": models_in_order, "a2_figures": figure_list, "a16_a18_summary": kpis, "s6_sheet": sheet, "s7_model_sheets": sheets, "u3_s8_consolidated": consolidated, "u1_custom_sections": custom_sections, "u2_backfill": backfilled, "u4_reconcile": reconciled, "u5_distinct_models": documents_models, "s5_union": union_of_documents,
     "s10_bundle": bundle, "s11_processing_summary": processing, "f16_image_search": image_search, "f17_f19_admitted_images": admitted_images, "f18_unmasked": unmasked, "j3_image_figures": image_figures, "j4_placements": placements, "j10_chosen_images": chosen_images, "j13_images_of_models": images_of_models,
-    "w11_unique_images": unique_images, "w12_names": named_images, "x25_x26_image_names": figure_image_names, "a19_image_counts": images_counted, "a20_image_pages": pages_of_images, "a12_pixel_colors": pixel_colors,
+    "w11_unique_images": unique_images, "w12_names": named_images, "x25_x26_image_names": figure_image_names, "a19_image_counts": images_counted, "a20_image_pages": pages_of_images, "a12_pixel_colors": pixel_colors, "x22_color_info": colors_of_parts, "j6_matched_colors": matched_colors, "j5_text_below": words_below,
     "a13_cart_lines": carts, "a14_cart_totals": cart_sums, "s9_quotation": quotation, "t1_progress_changes": changes, "t2_latest_status": latest, "t3_expired": expired, "a15_batch_totals": batch,
     "t1_streamed_changes": changes_streamed, "t2_streamed_latest": latest_streamed,
     "w1_a8_x13_lines": page_lines, "a9_a10_page_columns": page_columns, "w3_j1_j2_x16_x17_extracted": extracted, "s2_ocr_words": ocr_words, "s3_manifest": manifest, "s4_json_rows": json_rows,
