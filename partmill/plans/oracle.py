@@ -123,6 +123,14 @@ ORACLE_SQL = {
     "x22_color_info": "SELECT p_partkey, p_partkey % 2 = 0 AS is_bike_color, CASE WHEN p_partkey % 2 = 1 THEN '' WHEN p_partkey % 3 = 0 THEN 'MAT BLACK' ELSE 'RACING BLUE' END AS color_name, CASE WHEN p_partkey % 2 = 0 THEN 'C' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') ELSE '' END AS color_code FROM part",
     "j6_matched_colors": f"{IMAGES}, c AS (SELECT n_nationkey % 8 AS doc_id, n_nationkey AS k, CASE n_nationkey % 3 WHEN 0 THEN 'MAT BLACK' WHEN 1 THEN 'RACING BLUE' ELSE 'VIVID RED' END AS name FROM nation) SELECT image_id, arg_min(name, k) AS color_name, lpad(min(k)::VARCHAR, 4, '0') AS color_code FROM doc_images d LEFT JOIN c ON d.doc_id = c.doc_id AND name LIKE '%' || CASE WHEN image_id % 3 = 0 THEN 'BLACK' WHEN image_id % 2 = 0 THEN 'RED' ELSE 'BLUE' END || '%' GROUP BY 1",
     "j5_text_below": f"WITH {CAT}, w AS (WITH {T.CAT_WORDS}), doc_images AS ({T.DOC_IMAGES}), l AS (SELECT image_id, round_even(top / 4, 0) AS y, string_agg(text, ' ' ORDER BY w.x0, text) AS line FROM doc_images JOIN w USING (doc_id, page) WHERE top BETWEEN 102 AND 260 AND w.x1 >= 150 AND w.x0 <= 470 GROUP BY 1, 2) SELECT image_id, string_agg(line, '|' ORDER BY y, line) AS lines FROM l GROUP BY 1",
+    "x23_x24_color_table": "SELECT c_custkey AS doc_id, 1::INT AS entry_order, 'AB' || c_custkey % 10 AS abbrev, 'RACING BLUE' AS color_name, lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS color_code FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 9 BETWEEN 1 AND 6",
+    "j7_w13_w14_x18_format_b": f"""WITH {CAT}, n AS (SELECT DISTINCT doc_id, page, CASE WHEN page % 5 = 0 THEN NULL ELSE fig_name END AS name FROM cat_rows),
+ a AS (SELECT *, last_value(name IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page) AS now FROM n),
+ b AS (SELECT *, row_number() OVER w = 1 OR (now IS NOT NULL AND now IS DISTINCT FROM lag(now) OVER w) AS new FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY page)),
+ f AS (SELECT doc_id, page, now, (sum(new::INT) OVER (PARTITION BY doc_id ORDER BY page))::INT::VARCHAR AS figure FROM b),
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY row_seq) AS band, CASE WHEN row_seq % 4 <> 0 THEN ref_no END AS own FROM cat_rows)
+SELECT doc_id, page, figure AS fig_no, coalesce(now, 'FIG ' || figure) AS fig_name, band::INT AS band, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id, figure ORDER BY page, band), '') AS ref_no, {X2} AS part_no, {X3} AS description, qty1 AS qty, {X4} AS remarks FROM r JOIN f USING (doc_id, page)""",
+    "t4_ingested": f"WITH {CAT} SELECT doc_id, row_seq, page, fig_no, ref_no, {X2} AS part_no, qty1 AS q1, qty2 AS q2 FROM cat_rows",
     "s4_json_rows": f"WITH {CAT} SELECT doc_id, row_seq, page, part_no, qty1 AS q1, qty2 AS q2 FROM cat_rows",
     "s3_manifest": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'bad_format' WHEN doc_id % 5 = 0 THEN 'empty' WHEN n_chars > 5000 THEN 'too_large' ELSE 'accepted' END AS status FROM documents",
 }

@@ -369,6 +369,27 @@ def latest_streamed(spark, d):
     return streamed(spark, d, stream.latest_status_stream, "complete").select("job_id", "status", "page", "events")
 
 
+def format_b(spark, d):
+    w = cut(T.cat_words_b(spark, d))
+    names = T.cat_rows(spark, d).select("doc_id", "page", F.when(F.col("page") % 5 == 0, "").otherwise(F.col("fig_name")).alias("name")).distinct()
+    banded = geometry.assign_bands(w, T.rulings(w)).join(geometry.format_b_figures(names), ["doc_id", "page"])
+    return geometry.format_b_rows(banded)
+
+
+def color_table(spark, d):
+    return images.color_entries(T.color_pages(spark, d))
+
+
+def ingested(spark, d):
+    """The catalogue's words as files of whole documents, taken in by the stream."""
+    words, out = scratch_path(spark), scratch_path(spark)
+    w = T.cat_words(spark, d)
+    w.repartition(8, "doc_id").write.parquet(words)
+    extract = lambda batch: flat(geometry.extract_parts(batch, T.page_sizes(batch)), "page", "fig_no", "ref_no", "part_no")
+    stream.ingest_stream(spark, words, out, w.schema, extract, scratch_path(spark)).awaitTermination()
+    return spark.read.parquet(f"{out}/*")
+
+
 def ocr_words(spark, d):
     """Words of the catalogue as OCR lines, some broken, read back."""
     w = T.cat_words(spark, d)
@@ -416,5 +437,6 @@ QUERIES = {
     "w11_unique_images": unique_images, "w12_names": named_images, "x25_x26_image_names": figure_image_names, "a19_image_counts": images_counted, "a20_image_pages": pages_of_images, "a12_pixel_colors": pixel_colors, "x22_color_info": colors_of_parts, "j6_matched_colors": matched_colors, "j5_text_below": words_below,
     "a13_cart_lines": carts, "a14_cart_totals": cart_sums, "s9_quotation": quotation, "t1_progress_changes": changes, "t2_latest_status": latest, "t3_expired": expired, "a15_batch_totals": batch,
     "t1_streamed_changes": changes_streamed, "t2_streamed_latest": latest_streamed,
+    "j7_w13_w14_x18_format_b": format_b, "x23_x24_color_table": color_table, "t4_ingested": ingested,
     "w1_a8_x13_lines": page_lines, "a9_a10_page_columns": page_columns, "w3_j1_j2_x16_x17_extracted": extracted, "s2_ocr_words": ocr_words, "s3_manifest": manifest, "s4_json_rows": json_rows,
 }

@@ -39,6 +39,17 @@ h AS (SELECT p.doc_id, p.page, 'head' AS kind, v.top, v.x0, CASE v.text WHEN '$N
  (50.0,520.0,'1'),(58.0,520.0,'P'),(66.0,520.0,'G'),(74.0,520.0,'B'),(50.0,560.0,'2'),(58.0,560.0,'P'),(66.0,560.0,'G'),(74.0,560.0,'B'),(565.0,420.0,'7')) AS v(top,x0,text))
 SELECT doc_id, page, kind, cast(top AS DOUBLE) AS top, cast(top AS DOUBLE) + 7 AS bottom, cast(x0 AS DOUBLE) AS x0, cast(x0 AS DOUBLE) + 6*length(text) AS x1, text FROM (SELECT * FROM d UNION ALL SELECT * FROM h) u WHERE text <> ''"""
 
+# Format B: a ruled band of 20 points for each row; every fourth ref is left out.
+CAT_WORDS_B = """r AS (SELECT c.*, 90.0 + 20 * row_number() OVER (PARTITION BY doc_id, page ORDER BY row_seq) AS top FROM cat_rows c),
+u AS (SELECT doc_id, page, top, 600.0 AS x0, ref_no AS text FROM r WHERE row_seq % 4 <> 0
+ UNION ALL SELECT doc_id, page, top, 640.0, description FROM r
+ UNION ALL SELECT doc_id, page, top, 910.0, part_no FROM r
+ UNION ALL SELECT doc_id, page, top, 1015.0, qty1 FROM r
+ UNION ALL SELECT doc_id, page, top, 1060.0, remarks FROM r)
+SELECT doc_id, page, cast(top AS DOUBLE) AS top, cast(x0 AS DOUBLE) AS x0, cast(x0 AS DOUBLE) + 6 * length(text) AS x1, text FROM u WHERE text <> ''"""
+
+COLOR_PAGES = """SELECT c_custkey AS doc_id, cast(c_custkey % 9 AS INT) AS page, concat(CASE WHEN c_custkey % 2 = 0 THEN 'APPLICABLE COLOR' ELSE 'TABLE' END, chr(10), 'AB', cast(c_custkey % 10 AS STRING), ' (*) RACING BLUE ', lpad(cast(c_custkey % 10000 AS STRING), 4, '0'), chr(10), 'XY1 BOLT FLANGE 1234') AS text FROM customer"""
+
 DOC_IMAGES = """SELECT doc_id AS image_id, cast(doc_id % 8 AS INT) AS doc_id, cast(floor(doc_id / 8.0) AS INT) % 40 + 1 AS page, concat(CASE WHEN doc_id % 9 = 0 THEN 'YAM_OLD_bike' WHEN doc_id % 5 = 0 THEN 'YAM_OLD_img' ELSE 'img' END, cast(doc_id % 50 AS STRING)) AS filename,
  cast(40 + (doc_id * 37) % 900 AS INT) AS width, cast(40 + (doc_id * 53) % 700 AS INT) AS height, lang, text AS payload, n_chars AS size_bytes FROM documents"""
 
@@ -80,6 +91,19 @@ def cat_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, "WITH " + CAT_WORDS, cat_rows=cat_rows(spark, sf_dir))
 
 
+def cat_words_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, "WITH " + CAT_WORDS_B, cat_rows=cat_rows(spark, sf_dir))
+
+
+def rulings(words: DataFrame) -> DataFrame:
+    """Horizontal lines ten points above and below each row of format B."""
+    return words.select("doc_id", "page", F.explode(F.array(F.col("top") - 10, F.col("top") + 10)).alias("top")).distinct()
+
+
+def color_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, COLOR_PAGES, **_read(spark, sf_dir, "customer"))
+
+
 def page_sizes(words: DataFrame) -> DataFrame:
     return words.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(842.0).alias("page_w"), F.lit(595.0).alias("page_h"))
 
