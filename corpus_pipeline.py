@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partmill.llm import decontaminate, factorisation, mixing, packing, simhash
+from partmill.llm import decontaminate, factorisation, mixing, packing, shingles
 from partmill.llm.common import shared_dir, table, written
 
 LEAST_QUALITY = 0.5
@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each near-duplicate group; rows without doc_id stay."""
-    found = simhash.near_duplicates(docs.filter("doc_id is not null"))
+    """One document, that of the smallest doc_id, of each group of near-duplicates (five-word shingles, similarity 0.8 or more); rows without doc_id stay."""
+    found = shingles.near_duplicates(docs.filter("doc_id is not null"))
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     return kept
