@@ -4,7 +4,7 @@ A source of size n (code points of its texts) with target weight w is repeated
 at the mean rate w * budget / n. Each document draws u in (0, 1) from a hash of
 its doc_id and the seed, and its number of copies is the inverse at u of the
 Poisson distribution with that mean, so a rerun or a lost executor draws the
-same. Copies are exploded and sorted by a hash, which shuffles them globally.
+same. A mean over MOST_RATE, whose exp(-mean) no double holds, is drawn in parts. Copies are exploded and sorted by a hash, which shuffles them globally.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from partmill.llm.common import ship, table
 
 ALPHA = 0.5
 SEED = 1
+MOST_RATE = 708.0  # exp(-rate) is a full double up to here
 SOURCES = 200_000  # rates of up to so many sources are broadcast; more are joined by a shuffle
 
 
@@ -28,7 +29,7 @@ def poisson_inverse(u: Column, rate: Column) -> Column:
     """Smallest k whose cumulative Poisson probability reaches u.
 
     The terms run to rate + 12 * sqrt(rate) + 30, beyond which no probability of
-    52 bits lies. Rates over 700 are split in halves of equal u by the caller.
+    52 bits lies. Up to MOST_RATE only: `copies` splits what is over.
     """
     most = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
     first = F.exp(-rate)
@@ -42,6 +43,13 @@ def poisson_inverse(u: Column, rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), most), state, step)["k"]).otherwise(0)
 
 
+def copies(key: Column, rate: Column) -> Column:
+    """Poisson draw of `rate` by the hash of `key`; a rate over MOST_RATE is the sum of draws of equal parts, each with a hash of its own."""
+    n = F.ceil(rate / 500).cast("int")
+    part = lambda total, k: (total + poisson_inverse(uniform(F.concat(key, F.lit(":part:"), k.cast("string"))), rate / n)).cast("int")
+    return F.when(rate > MOST_RATE, F.aggregate(F.sequence(F.lit(1), n), F.lit(0), part)).otherwise(poisson_inverse(uniform(key), rate))
+
+
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, budget: float | None = None) -> DataFrame:
     """__source, __rate. Without weights a source weighs its size to the power alpha; budget: code points wanted, as many as there are by default. Sources without a weight, or without text, get rate 0."""
     size = docs.groupBy(F.coalesce("source", F.lit("")).alias("__source")).agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).cast("double").alias("__size"))
@@ -68,8 +76,8 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     few = rates.limit(SOURCES + 1).count() <= SOURCES
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))
     own = docs.withColumn("__source", F.coalesce("source", F.lit("")))
-    own = own.join(F.broadcast(rates) if few else rates, "__source").withColumn("__u", uniform(key))
-    times = poisson_inverse(F.col("__u"), F.col("__rate"))
+    own = own.join(F.broadcast(rates) if few else rates, "__source").withColumn("__key", key)
+    times = copies(F.col("__key"), F.col("__rate"))
     own = own.withColumn("__times", times).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     order = F.conv(F.substring(F.md5(F.concat(key, F.lit(":"), F.col("__copy").cast("string"))), 1, 15), 16, 10).cast("long")
     out = own.withColumn("__order", order).select(*[docs[c] for c in docs.columns], "__copy", "__order")
