@@ -115,15 +115,6 @@ def test_containment_matches_brute_force(spark, odd_docs, no_docs):
 # ---- fertility ----------------------------------------------------------------
 
 
-@given(st.lists(st.sampled_from(["a", "b", "c"]), max_size=60))
-@settings(max_examples=200, deadline=None)
-def test_repeated_words(words):
-    words = [w.encode() for w in words]
-    seen = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
-    inside = {j for k in range(len(words) - 7) if seen[tuple(words[k : k + 8])] > 1 for j in range(k, k + 8)}
-    assert fertility.repeated_words(words) == len(inside)
-
-
 def test_quality_rules_odd_rows(odd_docs, no_docs):
     paths = P.path("piece_bpe_32k.model"), P.path("byte_bpe_multi_50k.tiktoken")
     rows = {r.doc_id: r for r in fertility.quality_rules(odd_docs, *paths).collect()}
