@@ -4,7 +4,9 @@ A source of size n (code points of its texts) with target weight w is repeated
 at the mean rate w * budget / n. Each document draws u in (0, 1) from a hash of
 its doc_id and the seed, and its number of copies is the inverse at u of the
 Poisson distribution with that mean, so a rerun or a lost executor draws the
-same. A mean over MOST_RATE, whose exp(-mean) no double holds, is drawn in parts. Copies are exploded and sorted by a hash, which shuffles them globally.
+same. Every source has a table of its distribution; a document counts the entries
+that u passes. Copies are exploded and dealt out by a hash, which shuffles them
+globally.
 """
 
 from __future__ import annotations
@@ -12,12 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partmill.llm.common import ship, table
+from partmill.llm.common import ship, table, written
 
 ALPHA = 0.5
 SEED = 1
-MOST_RATE = 708.0  # exp(-rate) is a full double up to here
-SOURCES = 200_000  # rates of up to so many sources are broadcast; more are joined by a shuffle
+ENTRIES = 1_000_000  # tables of up to so many entries in all are broadcast; more are joined by a shuffle
 
 
 def uniform(key: Column) -> Column:
@@ -25,29 +26,35 @@ def uniform(key: Column) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def poisson_inverse(u: Column, rate: Column) -> Column:
-    """Smallest k whose cumulative Poisson probability reaches u.
+def bounds(rate: Column) -> tuple[Column, Column]:
+    """Least and largest k of a table; no probability of 52 bits lies beyond."""
+    spread = 12 * F.sqrt(rate) + 30
+    return F.greatest(F.lit(0), F.floor(rate - spread).cast("int")), F.ceil(rate + spread).cast("int")
 
-    The terms run to rate + 12 * sqrt(rate) + 30, beyond which no probability of
-    52 bits lies. Up to MOST_RATE only: `copies` splits what is over.
+
+def poisson_table(rate: Column) -> Column:
+    """first (the least k) and sums, the running sums of the weights rate ** k / k! over that of `first`.
+
+    Weights are multiples of the first one, so neither exp(-rate) nor any of them
+    leaves the range of a double: the largest is e ** 210 or so, at rates near 210.
     """
-    most = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    first = F.exp(-rate)
-    state = F.struct(F.lit(0).alias("k"), first.alias("p"), first.alias("c"))
+    low, high = bounds(rate)
 
-    def step(s: Column, i: Column) -> Column:
-        p = s["p"] * rate / i
-        more = s["c"] < u
-        return F.struct(F.when(more, i).otherwise(s["k"]).cast("int").alias("k"), F.when(more, p).otherwise(s["p"]).alias("p"), F.when(more, s["c"] + p).otherwise(s["c"]).alias("c"))
+    def step(s: Column, k: Column) -> Column:
+        w = s["w"] * rate / k
+        total = F.try_element_at(s["sums"], F.lit(-1)) + w
+        return F.struct(F.concat(s["sums"], F.array(total)).alias("sums"), w.alias("w"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), most), state, step)["k"]).otherwise(0)
+    start = F.struct(F.array(F.lit(1.0)).alias("sums"), F.lit(1.0).alias("w"))
+    sums = F.aggregate(F.sequence(low + 1, high), start, step)["sums"]
+    return F.struct(low.alias("first"), sums.alias("sums"))
 
 
-def copies(key: Column, rate: Column) -> Column:
-    """Poisson draw of `rate` by the hash of `key`; a rate over MOST_RATE is the sum of draws of equal parts, each with a hash of its own."""
-    n = F.ceil(rate / 500).cast("int")
-    part = lambda total, k: (total + poisson_inverse(uniform(F.concat(key, F.lit(":part:"), k.cast("string"))), rate / n)).cast("int")
-    return F.when(rate > MOST_RATE, F.aggregate(F.sequence(F.lit(1), n), F.lit(0), part)).otherwise(poisson_inverse(uniform(key), rate))
+def draw(u: Column, table: Column) -> Column:
+    """Smallest k whose cumulative probability reaches u; 0 without a table."""
+    whole = F.try_element_at(table["sums"], F.lit(-1))
+    below = F.transform(F.array(u * whole), lambda x: F.size(F.filter(table["sums"], lambda c: c < x)))[0]  # u is computed once
+    return F.when(table.isNull(), 0).otherwise(table["first"] + below)
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, budget: float | None = None) -> DataFrame:
@@ -64,24 +71,25 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha
     return size.crossJoin(F.broadcast(whole)).select("__source", rate.alias("__rate"))  # one row of totals
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, budget: float | None = None, seed: int = SEED, sort: bool = True) -> DataFrame:
-    """All columns of `docs`, with __copy (1..) and __order, each row as often as its draw says, in the order of __order.
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, budget: float | None = None, seed: int = SEED) -> DataFrame:
+    """All columns of `docs`, with __copy (1..) and __order, each row as often as its draw says, dealt out by __order and in its order within a partition.
 
     A null source is the source ''. A null doc_id draws like the text 'null';
     repeated rows share one draw and so come equally often. Null and empty
-    texts have size 0. An empty table gives an empty result.
+    texts have size 0. An empty table gives an empty result. Columns of `docs`
+    named __copy or __order are replaced.
     """
-    spark = ship(docs.sparkSession)
-    rates = source_rates(docs, weights, alpha, budget)
-    few = rates.limit(SOURCES + 1).count() <= SOURCES
+    ship(docs.sparkSession)
+    docs = docs.drop("__copy", "__order")
+    rates = written(source_rates(docs, weights, alpha, budget).withColumn("__table", F.when(F.col("__rate") > 0, poisson_table(F.col("__rate")))))  # a row for each source
+    few = (rates.agg(F.sum(F.size("__table.sums") + 1)).first()[0] or 0) <= ENTRIES
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))
     own = docs.withColumn("__source", F.coalesce("source", F.lit("")))
-    own = own.join(F.broadcast(rates) if few else rates, "__source").withColumn("__key", key)
-    times = copies(F.col("__key"), F.col("__rate"))
-    own = own.withColumn("__times", times).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    own = own.join(F.broadcast(rates) if few else rates, "__source")
+    own = own.withColumn("__times", draw(uniform(key), F.col("__table"))).filter("__times > 0")
+    own = own.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy"))
     order = F.conv(F.substring(F.md5(F.concat(key, F.lit(":"), F.col("__copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    out = own.withColumn("__order", order).select(*[docs[c] for c in docs.columns], "__copy", "__order")
-    return out.sort("__order") if sort else out
+    return own.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
@@ -91,10 +99,11 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 OP10_SQL = f"""
 WITH RECURSIVE size AS (SELECT coalesce(source, '') AS s, coalesce(sum(length(text)), 0)::DOUBLE AS n FROM documents GROUP BY 1),
 rates AS (SELECT s, CASE WHEN n > 0 THEN pow(n, {ALPHA}) / (SELECT sum(pow(n, {ALPHA}) ORDER BY s) FROM size) * (SELECT sum(n) FROM size) / n ELSE 0 END AS rate FROM size),
-cdf AS (SELECT s, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates WHERE rate > 0
-  UNION ALL SELECT s, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 30)),
-drawn AS (SELECT d.*, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{SEED}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents d),
-counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT min(k) FROM cdf c WHERE c.s = coalesce(d.source, '') AND c.c >= d.u) AS times FROM drawn d)
+terms AS (SELECT s, rate, greatest(0, floor(rate - (12 * sqrt(rate) + 30)))::INT AS k, ceil(rate + (12 * sqrt(rate) + 30))::INT AS most, 1::DOUBLE AS w, 1::DOUBLE AS c FROM rates WHERE rate > 0
+  UNION ALL SELECT s, rate, k + 1, most, w * rate / (k + 1), c + w * rate / (k + 1) FROM terms WHERE k < most),
+whole AS (SELECT s, max(c) AS total FROM terms GROUP BY 1),
+drawn AS (SELECT d.*, total, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{SEED}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents d LEFT JOIN whole ON s = coalesce(source, '')),
+counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT min(k) FROM terms c WHERE c.s = coalesce(d.source, '') AND c.c >= d.u * d.total) AS times FROM drawn d)
 SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{SEED}:' || copy::VARCHAR), 1, 15))::BIGINT AS shuffle_key
 FROM (SELECT *, unnest(range(1, times + 1)) AS copy FROM counted WHERE times > 0)
 """

@@ -8,6 +8,7 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from partmill.llm import decontaminate, factorisation, fertility, licenses, mixing, packing, private, simhash, templates, token_counts
 from partmill.llm.common import shared_dir
@@ -88,7 +89,7 @@ def test_near_duplicates_odd_rows(odd_docs, no_docs):
 # ---- decontamination ----------------------------------------------------------
 
 
-def test_containment_matches_brute_force(spark, odd_docs, no_docs):
+def test_containment_matches_brute_force(spark, odd_docs, no_docs, monkeypatch):
     rng = np.random.default_rng(0)
     words = [f"w{k}" for k in range(300)]
     items = [(k, " ".join(rng.choice(words, int(rng.integers(3, 60))))) for k in range(40)] + [(99, None)]
@@ -103,12 +104,16 @@ def test_containment_matches_brute_force(spark, odd_docs, no_docs):
     df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contained_items(df, it).collect()}
     sets = {i: decontaminate.shingles((t or "").encode()) for i, t in items}
-    want = {(d, i) for d, t in docs for i, s in sets.items() if s and len(decontaminate.shingles(t.encode()) & s) >= 0.8 * len(s) - 1e-9}
+    want = {(d, i) for d, t in docs for i, s in sets.items() if s and len(decontaminate.grams(decontaminate.cores(t.encode()), len(next(iter(s)))) & s) >= 0.8 * len(s) - 1e-9}
     assert got == want and want
     left = {r.doc_id for r in decontaminate.decontaminated(df, it).collect()}
     assert left == {d for d, _ in docs} - {d for d, _ in want}
     assert decontaminate.decontaminated(odd_docs, it).count() == odd_docs.count()
-    assert decontaminate.contained_items(no_docs, it).count() == 0
+    assert decontaminate.contained_items(no_docs, it).count() == 0 and decontaminate.decontaminated(no_docs, it).count() == 0
+    assert decontaminate.decontaminated(odd_docs, it.filter("item_id < 0")).count() == odd_docs.count()
+    for limit in ("ROWS", "CHUNK"):  # joins by a shuffle, candidates in parts
+        monkeypatch.setattr(decontaminate, limit, 3)
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contained_items(df, it).collect()} == want
     assert decontaminate.contained_items(odd_docs, it.filter("item_id < 0")).count() == 0
 
 
@@ -283,6 +288,6 @@ def test_mixing_draws_poisson(spark, odd_docs, no_docs):
     n = {r.source: r["count"] for r in got.groupBy("source").count().collect()}
     assert abs(n["a"] - 3000) < 250 and abs(n["b"] - 3000) < 250
     assert sorted(got.collect()) == sorted(mixing.mixed(docs, {"a": 0.5, "b": 0.5}).collect())
-    keys = [r["__order"] for r in got.collect()]
-    assert keys == sorted(keys)
+    parts = got.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.collect_list("__order").alias("keys")).collect()
+    assert all(r["keys"] == sorted(r["keys"]) for r in parts)
     assert set(mixing.mixed(odd_docs).columns) == {*odd_docs.columns, "__copy", "__order"} and mixing.mixed(no_docs).count() == 0
