@@ -55,6 +55,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROWS = 200_000  # rows of a table of keys and numbers that is broadcast, at most
+
+
+def few(df: DataFrame) -> DataFrame:
+    """`df`, broadcast if it has at most ROWS rows; a larger one is joined by a shuffle, where skewed keys are split."""
+    return F.broadcast(df) if df.limit(ROWS + 1).count() <= ROWS else df
+
+
 def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """`fn` on each Arrow batch of `df`; it returns the output columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema

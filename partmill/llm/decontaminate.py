@@ -29,14 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partmill.llm.common import mapped, ship, table, text_bytes, window_hashes, written
+from partmill.llm.common import few, mapped, ship, table, text_bytes, window_hashes, written
 
 N = 5
 LEAST = 0.8
 BITS = 26  # the filter has 2 ** BITS bits, 8 MB, whatever the number of items
 PROBES = 3
 CHUNK = 1000  # candidates of one text that are verified at once
-ROWS = 200_000  # rows of a table of keys or sketches that is broadcast, at most; more are joined by a shuffle
 _OTHER = re.compile(r"[^\w \t\n\r\v\f]|_")
 
 
@@ -136,11 +135,6 @@ def passing(docs: DataFrame, own: DataFrame) -> DataFrame:
     return written(mapped(docs, run, "key string, size long, n int, h long").distinct())
 
 
-def few(df: DataFrame) -> DataFrame:
-    """`df`, broadcast if it has at most ROWS rows."""
-    return F.broadcast(df) if df.limit(ROWS + 1).count() <= ROWS else df
-
-
 def found_items(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """key, item, n_shared, n_item: the item texts that each distinct document text contains. docs: of keyed()."""
     own = sketches(items, least)

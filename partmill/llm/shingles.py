@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partmill.llm.common import MIX, mapped, scrambled, ship, text_bytes, window_hashes, word_hashes, written
-from partmill.llm.simhash import components, fingerprint, links
+from partmill.llm.common import MIX, few, mapped, scrambled, ship, text_bytes, window_hashes, word_hashes, written
+from partmill.llm.simhash import class_ids, components, fingerprint, links
 
 BANDS, ROWS = 20, 4
 CHUNK = 1024  # texts in a chunk of a bucket
@@ -126,7 +126,4 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
 
     found = dealt.groupBy("band", "key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
     roots = written(components(found))
-    named = sets.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", "first", F.coalesce("root", "set").alias("root"))
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = written(named.join(ids, "root").select("set", "component_id"))
-    return prints.join(of, "set").select("doc_id", "component_id")
+    return prints.join(few(class_ids(sets, roots, "set")), "set").select("doc_id", "component_id")

@@ -6,9 +6,11 @@ space of its own, in which that small radius makes triangle bounds sharp. Every
 band gets a vantage-point tree whose leaves are the shards: a node sends a
 fingerprint to its near child if its distance to the vantage point is at most
 mu + r, and to its far child if it is over mu, so a pair that straddles the
-boundary still meets in the near one. The tree is fitted on a bounded sample;
-every fingerprint is sharded. A shard with more than `SHARD` fingerprints is
-cut into chunks that meet pairwise, so no task holds an unbounded group.
+boundary still meets in the near one. The top of the tree is fitted on a bounded
+sample; every fingerprint is sharded. A leaf of more than `SHARD` fingerprints is
+split on, by a vantage point of its own and the histogram of the distances from
+it, until none is left that a distance can split. Fingerprints equal in a whole
+band are cut into chunks that meet pairwise, so no task holds an unbounded group.
 Inside a shard the same recursion goes on in memory and ends in exact checks on
 all 64 bits. Shards return forests, not pairs: enough to keep every link's
 endpoints connected.
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partmill.llm.common import mapped, ship, table, text_bytes, written
+from partmill.llm.common import few, mapped, ship, table, text_bytes, written
 
 BANDS = 3
 SHARD = 8192  # fingerprints in a chunk of a shard
@@ -176,6 +178,39 @@ def forest(fps: np.ndarray, mask: np.uint64, r: int, radius: int) -> Forest:
     return found
 
 
+def split_leaves(sharded: DataFrame, r: int) -> DataFrame:
+    """fp, band, leaf with every leaf of over SHARD fingerprints split, a level of the tree a round.
+
+    A leaf's vantage point is its fingerprint of the smallest hash; mu is the
+    distance that makes the squares of both children least. Children are named by a
+    hash of the leaf and the side. The rounds end when no distance leaves both
+    children smaller than the leaf.
+    """
+    masks = F.element_at(F.array(*[F.lit(int(m.astype(np.int64))) for m in band_masks()]), F.col("band") + 1)
+    for depth in range(64):
+        sizes = sharded.groupBy("band", "leaf").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp", F.lit(depth))).alias("vp"))
+        big = written(sizes.filter(F.col("n") > SHARD))
+        if big.isEmpty():
+            break
+        d = F.bit_count(F.col("fp").bitwiseXOR(F.col("vp")).bitwiseAND(masks)).cast("int")
+        own = sharded.join(few(big), ["band", "leaf"]).withColumn("d", d)
+        spread = F.map_from_entries(F.collect_list(F.struct("d", "k")))  # 65 distances at most
+        own_sizes = own.groupBy("band", "leaf", "n", "d").agg(F.count("*").alias("k")).groupBy("band", "leaf", "n").agg(spread.alias("k"))
+        total = lambda keep: F.aggregate(F.map_values(F.map_filter("k", keep)), F.lit(0).cast("long"), lambda a, x: a + x)
+        options = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda m: F.struct(m.alias("mu"), total(lambda d, _: d <= m + r).alias("near"), total(lambda d, _: d > m).alias("far")))
+        options = F.transform(options, lambda o: F.struct((o["near"] * o["near"].cast("double") + o["far"] * o["far"].cast("double")).alias("cost"), o["mu"].alias("mu"), o["near"].alias("near"), o["far"].alias("far")))
+        fit = F.array_min(F.filter(options, lambda o: (o["near"] < F.col("n")) & (o["far"] < F.col("n")) & (o["far"] > 0)))
+        cuts = written(own_sizes.select("band", "leaf", fit["mu"].alias("mu")))
+        if cuts.filter("mu is not null").isEmpty():
+            break
+        named = lambda side: F.xxhash64("leaf", F.lit(side))
+        near, far = F.when(F.col("d") <= F.col("mu") + r, named(0)), F.when(F.col("d") > F.col("mu"), named(1))
+        split = own.join(few(cuts), ["band", "leaf"]).select("fp", "band", F.explode(F.when(F.col("mu").isNull(), F.array("leaf")).otherwise(F.array_compact(F.array(near, far)))).alias("leaf"))
+        rest = sharded.join(few(big.select("band", "leaf")), ["band", "leaf"], "left_anti").select("fp", "band", "leaf")
+        sharded = written(rest.unionByName(split))
+    return sharded
+
+
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Links a, b (fingerprints, a > b as longs' order within a shard) that span every class of `fps` (distinct fp)."""
     masks, r = band_masks(), radius // BANDS
@@ -190,11 +225,11 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         parts = [route(own, t, m, r) for t, m in zip(given.value, masks)]
         return {"fp": np.concatenate([own[i] for i, _ in parts]).view(np.int64), "band": np.concatenate([np.full(len(i), k, np.int32) for k, (i, _) in enumerate(parts)]), "leaf": np.concatenate([j for _, j in parts])}
 
-    sharded = written(mapped(fps.select("fp"), shard, "fp long, band int, leaf int"))
+    sharded = split_leaves(written(mapped(fps.select("fp"), shard, "fp long, band int, leaf long")), r)
     sizes = sharded.groupBy("band", "leaf").count().withColumn("chunks", F.ceil(F.col("count") / SHARD).cast("int"))
     chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     dealt = (
-        sharded.join(sizes, ["band", "leaf"]).withColumn("chunk", chunk)
+        sharded.join(few(sizes), ["band", "leaf"]).withColumn("chunk", chunk)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("band", "leaf", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "fp")
     )
@@ -219,10 +254,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))  # a table of its own, so that a star's centre can be split in the join
+        large = written(both.join(few(least), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(few(least), "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = written(small.filter("a <> b").distinct())
         now = edges.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -230,6 +265,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def class_ids(members: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """node, component_id: the smallest `first` of the class of each of members(node, first); roots(node, root) names those that aren't their own root."""
+    named = written(members.join(few(roots.withColumnRenamed("node", node)), node, "left").select(node, "first", F.coalesce("root", node).alias("root")))
+    ids = written(named.groupBy("root").agg(F.min("first").alias("component_id")))
+    return written(named.join(few(ids), "root").select(node, "component_id"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp, component_id for every row of `docs`.
 
@@ -241,10 +283,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, radius: int = 4) -> DataFrame:
     prints = written(fingerprints(docs, n))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = written(components(links(classes.select("fp"), radius)))
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = written(named.join(ids, "root").select("fp", "component_id"))
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(few(class_ids(classes, roots, "fp")), "fp").select("doc_id", "fp", "component_id")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

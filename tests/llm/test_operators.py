@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from partmill.llm import decontaminate, factorisation, fertility, licenses, mixing, packing, private, simhash, templates, token_counts
+from partmill.llm import common, decontaminate, factorisation, fertility, licenses, mixing, packing, private, simhash, templates, token_counts
 from partmill.llm.common import shared_dir
 
 WORD = P.path("word_bpe_49k.json")
@@ -46,8 +46,12 @@ def near_fingerprints(n=600, seed=1):
     return np.array(sorted(out), np.uint64)
 
 
-def test_shards_link_exactly(spark, monkeypatch):
+@pytest.mark.parametrize("sample, rows", [(1 << 16, 200_000), (64, 3)])
+def test_shards_link_exactly(spark, monkeypatch, sample, rows):
+    """Also where the fitted tree has few leaves, so that oversized ones are split on, and where no table is small."""
     monkeypatch.setattr(simhash, "SHARD", 100)
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
+    monkeypatch.setattr(common, "ROWS", rows)
     fps = near_fingerprints()
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     roots = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
@@ -60,6 +64,30 @@ def test_shards_link_exactly(spark, monkeypatch):
     assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in got.values()}
 
 
+def test_oversized_leaves_are_split(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 50)
+    fps = near_fingerprints(seed=5)
+    rows = [(int(x), 0, 7) for x in fps.view(np.int64)]
+    got = simhash.split_leaves(spark.createDataFrame(rows, "fp long, band int, leaf long"), 1).toPandas()
+    assert got.groupby("leaf").size().max() <= 50 and set(got.fp) == {r[0] for r in rows}
+    mask = simhash.band_masks()[0]
+    at: dict = {}
+    for fp, leaf in zip(got.fp.to_numpy().view(np.uint64).tolist(), got.leaf):
+        at.setdefault(fp, set()).add(leaf)
+    for a in range(0, len(fps), 7):
+        for b in np.nonzero(np.bitwise_count((fps ^ fps[a]) & mask) <= 1)[0]:
+            assert at[int(fps[a])] & at[int(fps[b])]
+
+
+def test_leaf_that_no_distance_splits(spark, monkeypatch):
+    """Fingerprints that are equal in a band stay one leaf, which is compared in chunks."""
+    monkeypatch.setattr(simhash, "SHARD", 20)
+    fps = [int(x) << 30 for x in range(90)]
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    roots = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
+    assert {roots.get(x, x) for x in fps} == {0}
+
+
 def test_routes_keep_close_pairs_together():
     fps = near_fingerprints(seed=2)
     for mask in simhash.band_masks():
@@ -111,8 +139,8 @@ def test_containment_matches_brute_force(spark, odd_docs, no_docs, monkeypatch):
     assert decontaminate.decontaminated(odd_docs, it).count() == odd_docs.count()
     assert decontaminate.contained_items(no_docs, it).count() == 0 and decontaminate.decontaminated(no_docs, it).count() == 0
     assert decontaminate.decontaminated(odd_docs, it.filter("item_id < 0")).count() == odd_docs.count()
-    for limit in ("ROWS", "CHUNK"):  # joins by a shuffle, candidates in parts
-        monkeypatch.setattr(decontaminate, limit, 3)
+    for module, limit in ((common, "ROWS"), (decontaminate, "CHUNK")):  # joins by a shuffle, candidates in parts
+        monkeypatch.setattr(module, limit, 3)
         assert {(r.doc_id, r.item_id) for r in decontaminate.contained_items(df, it).collect()} == want
     assert decontaminate.contained_items(odd_docs, it.filter("item_id < 0")).count() == 0
 
