@@ -65,7 +65,7 @@ def distance(a, b, mask) -> np.ndarray:
     return np.bitwise_count((a ^ b) & mask).astype(np.int16)
 
 
-def fit_tree(fps: np.ndarray, mask: np.uint64, leaves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_tree(fps: np.ndarray, mask: np.uint64, leaves: int, r: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vantage points, mu and near children (far is the next) of a tree in arrays; a leaf has near child -1."""
     vp, mu, near = [], [], []
     rng = np.random.default_rng(7)
@@ -80,7 +80,7 @@ def fit_tree(fps: np.ndarray, mask: np.uint64, leaves: int) -> tuple[np.ndarray,
         for v in own[rng.integers(0, len(own), 4)]:
             d = distance(own, v, mask)
             for m in {int(np.median(d)) - 1, int(np.median(d))}:
-                a, b = int((d <= m + 1).sum()), int((d > m).sum())
+                a, b = int((d <= m + r).sum()), int((d > m).sum())
                 if 0 < b < len(own) and (best is None or a * a + b * b < best[0]) and a < len(own):
                     best = (a * a + b * b, v, m, d)
         if best is None:
@@ -90,7 +90,7 @@ def fit_tree(fps: np.ndarray, mask: np.uint64, leaves: int) -> tuple[np.ndarray,
         vp += [np.uint64(0)] * 2
         mu += [0, 0]
         near += [-1, -1]
-        todo += [(near[at], own[d <= mu[at]]), (near[at] + 1, own[d > mu[at]])]
+        todo += [(near[at], own[d <= mu[at] + r]), (near[at] + 1, own[d > mu[at]])]
     return np.array(vp, np.uint64), np.array(mu, np.int16), np.array(near, np.int32)
 
 
@@ -217,7 +217,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     n = fps.count()
     sample = fps.orderBy(F.xxhash64("fp")).limit(SAMPLE)
     got = sample.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
-    trees = [fit_tree(got, m, max(1, min(len(got) // 16, 4 * n // SHARD))) for m in masks]
+    trees = [fit_tree(got, m, max(1, min(len(got) // 16, 2 * n // SHARD)), r) for m in masks]  # leaves of half a SHARD, or 16 of the sample
     given = fps.sparkSession.sparkContext.broadcast(trees)
 
     def shard(b: pa.RecordBatch) -> dict:
