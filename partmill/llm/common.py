@@ -109,12 +109,11 @@ class WordCache(dict):
         return value
 
 
-HASHES = WordCache(xxhash.xxh64_intdigest)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def scrambled(h: np.ndarray) -> np.ndarray:

@@ -1,13 +1,21 @@
 """Main text of web pages by site template removal.
 
-Each page is read into a tree. The subtrees around the main content are hashed;
-Spark counts, for every host, the distinct contents that each subtree stands
-around (copies of one page count once). A subtree around at least `PAGES`
-contents and `SHARE` of the host's is part of the site's template and goes.
-What no count can show, as on hosts of few pages, goes by its element, role or
-class: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and comments. Running text of the article itself is never taken for a
-template, however often it recurs; lists of links within it may be.
+Each page is read into a tree, whose subtrees are hashed twice: by shape (elements,
+classes and ids on the way from the root and below, texts apart, repeats folded)
+and exactly. Spark counts for every host on how many contents each hash occurs;
+pages that share their smallest five-word shingle, as copies and near copies do,
+are one content. It also averages the share of the page's words that a shape holds.
+
+From the root down, the child that holds half of the words or more leads to the
+content. On that way all other children of recurring shape are template, but the
+largest: menus, adverts and footers recur in shape however their texts vary. Within
+the content only blocks at its edges are template that recur word for word, in at
+most `SHORT` words, on half of the host's contents. `PAGES` contents are needed for
+either.
+
+What no count can show, as on hosts of few pages, goes after that by its element,
+role or class: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles and comments.
 """
 
 from __future__ import annotations
@@ -15,16 +23,18 @@ from __future__ import annotations
 import html
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partmill.llm.common import mapped, ship, table, text_bytes, written
+from partmill.llm.common import few, mapped, ship, table, text_bytes, window_hashes, word_hashes, written
 
 PAGES = 5
-SHARE = 0.2
-HASHES = 1_000_000  # template hashes that are broadcast, at most; more are joined by a shuffle
+SHARE = 0.5
+SHORT = 30
+HASHES = 1_000_000  # hashes of recurring shapes and blocks that are broadcast, at most; more are joined by a shuffle
 
 # Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,10 +55,11 @@ ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "hash")
+    __slots__ = ("tag", "attrs", "children", "hash", "shape", "words")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children, self.hash = tag, attrs, [], 0
+        self.tag, self.attrs, self.children = tag, attrs, []
+        self.hash = self.shape = self.words = 0
 
     def attributes(self) -> dict[str, str]:
         return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(self.attrs)} if self.attrs.strip(" /") else {}
@@ -133,7 +144,7 @@ def walk(node: Node):
 
 
 def main_nodes(root: Node) -> list[Node]:
-    """The page's articles, else its main element, else the largest named content, else its body."""
+    """The page's articles, else its main element, else its named contents, else its body."""
 
     def top(wanted) -> list[Node]:
         found, todo = [], [root]
@@ -154,66 +165,86 @@ def main_nodes(root: Node) -> list[Node]:
         if found := top(wanted):
             return found
     if found := top(lambda n: n.tag in ("div", "section", "td") and bool(n.attrs) and bool(tokens_of(n)[0] & BODIES)):
-        return [max(found, key=lambda n: len(rendered(n, frozenset(), True)))]
+        return found
     return top(lambda n: n.tag == "body") or [root]
 
 
-def hashed(node: Node) -> None:
-    """Sets the hash of every subtree, from its element, class, texts and children."""
-    order = [node, *walk(node)]
-    for n in reversed(order):
-        parts = [n.tag, n.attrs.strip() if n.tag != "a" else ""]
-        for c in n.children:
-            parts.append(str(c.hash) if isinstance(c, Node) else " ".join(c.split()))
-        n.hash = xxhash.xxh64_intdigest("\x00".join(p for p in parts if p)) >> 1
+SILENT = frozenset("script style noscript template head title textarea iframe object canvas svg math audio video noembed noframes select option datalist".split())  # hold no text of the page
+_DIGITS = re.compile(r"[0-9]+")
+
+
+def named(node: Node) -> str:
+    """Element, classes and id, without numbers."""
+    if not node.attrs:
+        return node.tag
+    attrs = node.attributes()
+    return _DIGITS.sub("", f"{node.tag}.{attrs.get('class', '')}#{attrs.get('id', '')}".lower())
 
 
-def linked(node: Node) -> bool:
-    """Whether half of the text or more is links."""
-    whole = link = 0
-    todo = [(node, False)]
+def hashed(root: Node) -> None:
+    """Sets hash (exact), shape and words of every subtree."""
+    order, todo = [], [(root, 0)]
     while todo:
-        n, inside = todo.pop()
-        inside = inside or n.tag == "a"
+        n, path = todo.pop()
+        name = named(n)
+        n.shape = xxhash.xxh64_intdigest(name, path)  # of the way so far
+        order.append((n, n.shape))
+        todo += [(c, n.shape) for c in n.children if isinstance(c, Node)]
+    for n, path in reversed(order):
+        parts, below = [n.tag, n.attrs.strip() if n.tag != "a" else ""], set()
         for c in n.children:
             if isinstance(c, Node):
-                todo.append((c, inside))
+                parts.append(str(c.hash))
+                n.words += c.words
+                if c.tag in BLOCK:
+                    below.add(c.shape)
             else:
-                k = len(c.strip())
-                whole, link = whole + k, link + k * inside
-    return whole > 0 and 2 * link >= whole
-
+                words = c.split()
+                parts.append(" ".join(words))
+                n.words += len(words) * (n.tag not in SILENT)
+        if n.tag in SILENT:
+            n.words = 0
+        n.hash = xxhash.xxh64_intdigest("\x00".join(p for p in parts if p)) >> 1
+        n.shape = xxhash.xxh64_intdigest(",".join(map(str, sorted(below))), path) >> 1
 
-PARTS = frozenset("div section ul ol dl table aside nav header footer form center fieldset".split())
 
+def blocks(node: Node) -> list[Node]:
+    return [c for c in node.children if isinstance(c, Node) and c.tag in BLOCK and c.tag not in SILENT]
 
-def candidates(root: Node) -> tuple[list[Node], list[Node]]:
-    """The main nodes, and the subtrees that may be template: all parts outside them, and parts of links within.
 
-    A page without article or main element has its whole body as main node;
-    its parts may then all be template.
-    """
-    main = main_nodes(root)
-    whole = all(n.tag in ("body", "#root", "html") for n in main)
-    inside, above = set(), set()
-    for n in main:
-        inside.update(map(id, walk(n)))
-    todo = [(root, ())]
+def edges(node: Node) -> list[Node]:
+    """Short blocks below that come first or last in their parent, headings apart."""
+    out, todo = [], [node]
     while todo:
-        n, path = todo.pop()
-        if any(n is m for m in main):
-            above.update(map(id, (*path, n)))
-        elif id(n) not in inside:
-            todo += [(c, (*path, n)) for c in n.children if isinstance(c, Node)]
-    out = []
-    for n in walk(root):
-        if n.tag in PARTS and id(n) not in above and (id(n) not in inside or whole or linked(n)):
-            out.append(n)
-    return main, out
-
-
-def rendered(node: Node, template: frozenset | set, inside: bool) -> str:
-    """The blocks below, one in a line, without boilerplate and template subtrees."""
+        own = [c for c in blocks(todo.pop()) if c.words and c.tag not in HEADINGS]
+        out += [c for c in (own[:1] + own[1:][-1:]) if c.words <= SHORT]
+        todo += own
+    return out
+
+
+def holds_article(node: Node) -> bool:
+    return node.tag in ("article", "main") or any(c.tag in ("article", "main") for c in walk(node))
+
+
+def template_nodes(root: Node, shapes: dict[int, float], exact: frozenset | set, share: float = SHARE) -> list[Node]:
+    """Subtrees of a hashed page that are its site's template. shapes: the mean share of the page's words of each shape that recurs."""
+    out: list[Node] = []
+    top = root
+    while True:
+        own = [c for c in top.children if isinstance(c, Node) and c.tag not in SILENT]
+        of = {id(c): shapes.get(c.shape, c.words / max(1, root.words)) for c in own}  # a shape that doesn't recur: its share of this page
+        down = [c for c in own if of[id(c)] >= share and blocks(c)]
+        if len(down) != 1:  # the content
+            break
+        most = max(of.values())
+        out += [c for c in own if c.shape in shapes and c is not down[0] and of[id(c)] < min(share, most) and not holds_article(c)]
+        top = down[0]
+    gone = set(map(id, out))
+    return out + [n for n in edges(top) if n.hash in exact and id(n) not in gone]
+
+
+def rendered(node: Node, inside: bool, lists: bool = True) -> str:
+    """The blocks below, one in a line, without what the lists name."""
     lines: list[str] = []
     line: list[str] = []
 
@@ -233,13 +264,13 @@ def rendered(node: Node, template: frozenset | set, inside: bool) -> str:
             line.append(" ")
         else:
             block = n.tag in BLOCK
-            gone = n is not node and (n.hash in template or boilerplate(n, inside))
+            gone = n is not node and (boilerplate(n, inside) if lists else n.tag in SILENT)
             if block:
                 flush()
             if gone:
                 continue
             own = n.children
-            if n is not node and inside and n.attrs and n.tag not in HEADINGS and tokens_of(n)[0] & HEADED or n.tag == "header":
+            if lists and (n is not node and inside and n.attrs and n.tag not in HEADINGS and tokens_of(n)[0] & HEADED or n.tag == "header"):
                 own = [c for c in walk(n) if c.tag in HEADINGS]  # an article's own header: its headings stay
             if block:
                 todo.append(None)
@@ -248,67 +279,82 @@ def rendered(node: Node, template: frozenset | set, inside: bool) -> str:
     return "\n".join(lines)
 
 
-def main_text(page: str, template: frozenset | set = frozenset()) -> str:
+def main_text(page: str, shapes: dict[int, float] | None = None, exact: frozenset | set = frozenset(), lists: bool = True) -> tuple[str, int]:
+    """The text of a page, and how many template subtrees it lost; without `lists` by the counts alone."""
     root = tree(page)
-    if template:
-        main, parts = candidates(root)
+    lost = 0
+    if shapes or exact:
         hashed(root)
-        template = {n.hash for n in parts} & set(template)
-    else:
-        main = main_nodes(root)
-    return "\n".join(t for n in main if (t := rendered(n, template, n.tag in ("article", "main") or bool(n.attrs))))
+        gone = set(map(id, template_nodes(root, shapes or {}, exact)))
+        lost = len(gone)
+        for n in [root, *walk(root)] if gone else ():
+            n.children = [c for c in n.children if id(c) not in gone]
+    if not lists:
+        return rendered(root, False, False), lost
+    return "\n".join(t for n in main_nodes(root) if (t := rendered(n, n.tag in ("article", "main") or bool(n.attrs)))), lost
 
 
 def host(url: str = "url"):
     return F.lower(F.coalesce(F.try_parse_url(F.col(url), F.lit("HOST")), F.lit("")))
 
 
+def content_of(root: Node) -> int:
+    """The smallest hash of a five-word shingle of the page's text, alike for copies and most near copies."""
+    words = rendered(root, False, False).lower().encode().split()
+    h = window_hashes(word_hashes(words), min(5, max(1, len(words))))
+    return int(h.min() >> np.uint64(1)) if len(h) else 0
+
+
 def subtrees(pages: DataFrame) -> DataFrame:
-    """host, hash, content: each candidate subtree of each page and the hash of the text that it stands around."""
+    """host, content, kind (shape, exact, page), hash, share: of each page, its shapes with their mean share of the words, its short blocks at edges, and itself."""
 
     def run(b: pa.RecordBatch) -> dict:
-        hosts, hashes, contents = [], [], []
+        rows: list[tuple] = []
         for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             root = tree(page.decode())
-            main, parts = candidates(root)
             hashed(root)
-            text = "\n".join(rendered(n, frozenset(), True) for n in main)
-            content = xxhash.xxh64_intdigest(text) >> 1
-            own = sorted({n.hash for n in parts}) or [0]
-            hosts += [h] * len(own)
-            hashes += own
-            contents += [content] * len(own)
-        return {"host": hosts, "hash": hashes, "content": contents}
+            content, whole = content_of(root), max(1, root.words)
+            shapes: dict[int, list[float]] = {}
+            for n in walk(root):
+                if n.tag not in SILENT and (n.tag in BLOCK or n.words):
+                    shapes.setdefault(n.shape, []).append(n.words / whole)
+            rows += [(h, content, "shape", k, sum(x) / len(x)) for k, x in shapes.items()]
+            rows += [(h, content, "exact", k, 0.0) for k in {n.hash for n in edges(root)}]
+            rows.append((h, content, "page", 0, 0.0))
+        return dict(zip(("host", "content", "kind", "hash", "share"), zip(*rows) if rows else [[]] * 5))
 
-    return mapped(pages.select(host().alias("host"), text_bytes("html")), run, "host string, hash long, content long")
+    return mapped(pages.select(host().alias("host"), text_bytes("html")), run, "host string, content long, kind string, hash long, share double")
 
 
 def site_templates(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
-    """host, template: hashes of a host's template subtrees. Each has `share` of its contents, so a host has at most the mean number of subtrees of a page over `share`."""
-    seen = written(subtrees(pages).distinct())
-    whole = seen.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    own = seen.filter("hash <> 0").groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    kept = own.join(whole, "host").filter(F.col("n") >= share * F.col("of"))
-    return kept.groupBy("host").agg(F.collect_set("hash").alias("template"))
+    """host, kind, hash, n (contents), share: shapes on `least` contents or more, and blocks on as many and on `share` of the host's."""
+    once = subtrees(pages).groupBy("host", "kind", "hash", "content").agg(F.max("share").alias("share"))
+    seen = written(once.groupBy("host", "kind", "hash").agg(F.count("*").alias("n"), F.round(F.avg("share"), 6).alias("share")).filter((F.col("n") >= least) | (F.col("kind") == "page")))
+    whole = seen.filter("kind = 'page'").select("host", F.col("n").alias("of"))
+    return seen.filter("kind <> 'page'").join(few(whole), "host").filter((F.col("kind") == "shape") | (F.col("n") >= share * F.col("of"))).drop("of")
 
 
-def extracted(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
-    """page_id, url, text, n_chars for every row of `pages`.
+def extracted(pages: DataFrame, least: int = PAGES, share: float = SHARE, lists: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars, n_templates (subtrees deleted by the counts) for every row of `pages`.
 
     A null html is an empty page, a null or broken url the host ''. Other
-    columns are not read; repeated rows repeat and count once as content.
+    columns are not read; repeated rows repeat and count once as content. Pages of
+    any length are read whole. An empty table gives an empty result.
     """
     ship(pages.sparkSession)
     found = written(site_templates(pages, least, share))
-    few = (found.agg(F.sum(F.size("template"))).first()[0] or 0) <= HASHES
-    own = pages.select("page_id", "url", "html").withColumn("host", host())
-    own = own.join(F.broadcast(found) if few else found, "host", "left").select("page_id", "url", text_bytes("html"), "template")
+    both = F.collect_list(F.when(F.col("kind") == "shape", F.struct("hash", "share"))).alias("shapes"), F.collect_set(F.when(F.col("kind") == "exact", F.col("hash"))).alias("exact")
+    of = found.groupBy("host").agg(*both)
+    own = pages.select("page_id", "url", "html").withColumn("__host", host())
+    own = own.join(F.broadcast(of) if found.limit(HASHES + 1).count() <= HASHES else of, own["__host"] == of["host"], "left").select("page_id", "url", text_bytes("html"), "shapes", "exact")
 
     def run(b: pa.RecordBatch) -> dict:
-        out = [main_text(p.decode(), frozenset(t or ())) for p, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-        return {"page_id": b.column(0), "url": b.column(1), "text": out, "n_chars": [len(t) for t in out]}
+        out = []
+        for page, shapes, exact in zip(*(b.column(k).to_pylist() for k in (2, 3, 4))):
+            out.append(main_text(page.decode(), {x["hash"]: x["share"] for x in shapes or ()}, frozenset(exact or ()), lists))
+        return {"page_id": b.column(0), "url": b.column(1), "text": [t for t, _ in out], "n_chars": [len(t) for t, _ in out], "n_templates": [n for _, n in out]}
 
-    return mapped(own, run, "page_id long, url string, text string, n_chars long")
+    return mapped(own, run, "page_id long, url string, text string, n_chars long, n_templates long")
 
 
 def op3_templates(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from partmill.llm import common, decontaminate, factorisation, fertility, licenses, mixing, packing, private, simhash, templates, token_counts
+from partmill.llm import common, decontaminate, factorisation, fertility, licenses, mixing, packing, private, simhash, token_counts
 from partmill.llm.common import shared_dir
 
 WORD = P.path("word_bpe_49k.json")
@@ -156,33 +156,6 @@ def test_quality_rules_odd_rows(odd_docs, no_docs):
     assert fertility.quality_rules(no_docs, *paths).count() == 0
 
 
-# ---- templates ----------------------------------------------------------------
-
-
-PAGE = '<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=x>Menu</a></nav><div class="cookie">We use cookies</div><article><h1>Head &amp; tail</h1><p>One <b>bold\n  word<br>next<p>Two &eacute;<script>var a="</p>";</script><div class="newsletter"><form>Mail</form></div></article><section class="comments"><article>Nice!</article></section><aside>More</aside><footer>&copy;</footer></body></html>'
-
-
-def test_main_text():
-    assert templates.main_text(PAGE) == "Head & tail\nOne bold word next\nTwo é"
-    assert templates.main_text("") == "" and templates.main_text("plain &lt;text") == "plain <text"
-
-
-def test_site_template_goes(spark):
-    def page(k):
-        return f"<body><div><p>Site strip of links</p></div><div><p>Story number {k} tells of {k * 7} things</p></div></body>"
-
-    rows = [(k, "http://a.example/x", page(k)) for k in range(12)] + [(50, None, None), (51, "::broken", page(3)), (50, None, None)]
-    got = {r.page_id: r.text for r in templates.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[4] == "Story number 4 tells of 28 things"
-    assert got[50] == "" and got[51].startswith("Site strip")
-
-
-def test_recurring_article_text_stays(spark):
-    rows = [(k, "http://a.example/x", f"<body><nav>Menu</nav><article><p>Same passage everywhere.</p><p>Own {k}</p></article></body>") for k in range(12)]
-    got = templates.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert all(r.text == f"Same passage everywhere.\nOwn {r.page_id}" for r in got)
-
-
 # ---- licences -----------------------------------------------------------------
 
 
