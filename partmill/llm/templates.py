@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,11 +56,10 @@ ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "hash", "shape", "words")
+    __slots__ = ("tag", "attrs", "children", "shape", "words")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children = tag, attrs, []
-        self.hash = self.shape = self.words = 0
+        self.tag, self.attrs, self.children, self.shape, self.words = tag, attrs, [], 0, 0
 
     def attributes(self) -> dict[str, str]:
         return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(self.attrs)} if self.attrs.strip(" /") else {}
@@ -173,43 +173,57 @@ SILENT = frozenset("script style noscript template head title textarea iframe ob
 _DIGITS = re.compile(r"[0-9]+")
 
 
-def named(node: Node) -> str:
+@lru_cache(100_000)
+def named(tag: str, attrs: str) -> str:
     """Element, classes and id, without numbers."""
-    if not node.attrs:
-        return node.tag
-    attrs = node.attributes()
-    return _DIGITS.sub("", f"{node.tag}.{attrs.get('class', '')}#{attrs.get('id', '')}".lower())
+    if not attrs:
+        return tag
+    given = Node(tag, attrs).attributes()
+    return _DIGITS.sub("", f"{tag}.{given.get('class', '')}#{given.get('id', '')}".lower())
 
 
 def hashed(root: Node) -> None:
-    """Sets hash (exact), shape and words of every subtree."""
-    order, todo = [], [(root, 0)]
+    """Sets words of every element, and shape of every block."""
+    order: list[tuple[Node, str]] = []
+    todo = [(root, "")]
     while todo:
         n, path = todo.pop()
-        name = named(n)
-        n.shape = xxhash.xxh64_intdigest(name, path)  # of the way so far
-        order.append((n, n.shape))
-        todo += [(c, n.shape) for c in n.children if isinstance(c, Node)]
+        path = f"{path}/{named(n.tag, n.attrs)}"
+        order.append((n, path))
+        n.words = 0
+        if n.tag not in SILENT:
+            for c in n.children:
+                if isinstance(c, str):
+                    n.words += len(c.split())
+                elif c.children:
+                    todo.append((c, path))
     for n, path in reversed(order):
-        parts, below = [n.tag, n.attrs.strip() if n.tag != "a" else ""], set()
+        below = set()
         for c in n.children:
-            if isinstance(c, Node):
-                parts.append(str(c.hash))
+            if isinstance(c, Node) and c.children:
                 n.words += c.words
                 if c.tag in BLOCK:
                     below.add(c.shape)
-            else:
-                words = c.split()
-                parts.append(" ".join(words))
-                n.words += len(words) * (n.tag not in SILENT)
-        if n.tag in SILENT:
-            n.words = 0
-        n.hash = xxhash.xxh64_intdigest("\x00".join(p for p in parts if p)) >> 1
-        n.shape = xxhash.xxh64_intdigest(",".join(map(str, sorted(below))), path) >> 1
+        if n.tag in BLOCK:
+            n.shape = xxhash.xxh64_intdigest(",".join(map(str, sorted(below))) + path) >> 1
+
+
+def exact(node: Node) -> int:
+    """Hash of elements, attributes and texts, but for where links lead."""
+    parts: list[str] = []
+    todo: list = [node]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            parts += n.split()
+        else:
+            parts.append(f"<{n.tag} {n.attrs.strip() if n.tag != 'a' else ''}")
+            todo += ["</", *reversed(n.children)]
+    return xxhash.xxh64_intdigest(" ".join(parts)) >> 1
 
 
 def blocks(node: Node) -> list[Node]:
-    return [c for c in node.children if isinstance(c, Node) and c.tag in BLOCK and c.tag not in SILENT]
+    return [c for c in node.children if isinstance(c, Node) and c.tag in BLOCK]
 
 
 def edges(node: Node) -> list[Node]:
@@ -226,12 +240,12 @@ def holds_article(node: Node) -> bool:
     return node.tag in ("article", "main") or any(c.tag in ("article", "main") for c in walk(node))
 
 
-def template_nodes(root: Node, shapes: dict[int, float], exact: frozenset | set, share: float = SHARE) -> list[Node]:
+def template_nodes(root: Node, shapes: dict[int, float], recurring: frozenset | set, share: float = SHARE) -> list[Node]:
     """Subtrees of a hashed page that are its site's template. shapes: the mean share of the page's words of each shape that recurs."""
     out: list[Node] = []
     top = root
     while True:
-        own = [c for c in top.children if isinstance(c, Node) and c.tag not in SILENT]
+        own = blocks(top)
         of = {id(c): shapes.get(c.shape, c.words / max(1, root.words)) for c in own}  # a shape that doesn't recur: its share of this page
         down = [c for c in own if of[id(c)] >= share and blocks(c)]
         if len(down) != 1:  # the content
@@ -240,7 +254,7 @@ def template_nodes(root: Node, shapes: dict[int, float], exact: frozenset | set,
         out += [c for c in own if c.shape in shapes and c is not down[0] and of[id(c)] < min(share, most) and not holds_article(c)]
         top = down[0]
     gone = set(map(id, out))
-    return out + [n for n in edges(top) if n.hash in exact and id(n) not in gone]
+    return out + [n for n in edges(top) if id(n) not in gone and exact(n) in recurring] if recurring else out
 
 
 def rendered(node: Node, inside: bool, lists: bool = True) -> str:
@@ -259,7 +273,7 @@ def rendered(node: Node, inside: bool, lists: bool = True) -> str:
         if n is None:
             flush()
         elif isinstance(n, str):
-            line.append(html.unescape(n))
+            line.append(html.unescape(n) if "&" in n else n)
         elif n.tag == "br":
             line.append(" ")
         else:
@@ -279,13 +293,13 @@ def rendered(node: Node, inside: bool, lists: bool = True) -> str:
     return "\n".join(lines)
 
 
-def main_text(page: str, shapes: dict[int, float] | None = None, exact: frozenset | set = frozenset(), lists: bool = True) -> tuple[str, int]:
+def main_text(page: str, shapes: dict[int, float] | None = None, recurring: frozenset | set = frozenset(), lists: bool = True) -> tuple[str, int]:
     """The text of a page, and how many template subtrees it lost; without `lists` by the counts alone."""
     root = tree(page)
     lost = 0
-    if shapes or exact:
+    if shapes or recurring:
         hashed(root)
-        gone = set(map(id, template_nodes(root, shapes or {}, exact)))
+        gone = set(map(id, template_nodes(root, shapes or {}, recurring)))
         lost = len(gone)
         for n in [root, *walk(root)] if gone else ():
             n.children = [c for c in n.children if id(c) not in gone]
@@ -300,7 +314,15 @@ def host(url: str = "url"):
 
 def content_of(root: Node) -> int:
     """The smallest hash of a five-word shingle of the page's text, alike for copies and most near copies."""
-    words = rendered(root, False, False).lower().encode().split()
+    texts: list[str] = []
+    todo: list = [root]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            texts.append(n)
+        elif n.tag not in SILENT:
+            todo += reversed(n.children)
+    words = " ".join(texts).lower().encode().split()
     h = window_hashes(word_hashes(words), min(5, max(1, len(words))))
     return int(h.min() >> np.uint64(1)) if len(h) else 0
 
@@ -316,10 +338,10 @@ def subtrees(pages: DataFrame) -> DataFrame:
             content, whole = content_of(root), max(1, root.words)
             shapes: dict[int, list[float]] = {}
             for n in walk(root):
-                if n.tag not in SILENT and (n.tag in BLOCK or n.words):
+                if n.shape:
                     shapes.setdefault(n.shape, []).append(n.words / whole)
             rows += [(h, content, "shape", k, sum(x) / len(x)) for k, x in shapes.items()]
-            rows += [(h, content, "exact", k, 0.0) for k in {n.hash for n in edges(root)}]
+            rows += [(h, content, "exact", k, 0.0) for k in set(map(exact, edges(root)))]
             rows.append((h, content, "page", 0, 0.0))
         return dict(zip(("host", "content", "kind", "hash", "share"), zip(*rows) if rows else [[]] * 5))
 
