@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partmill.llm import decontaminate, factorisation, mixing, packing, shingles
-from partmill.llm.common import shared_dir, table, written
+from partmill.llm.common import few, shared_dir, table, written
 
 LEAST_QUALITY = 0.5
 
@@ -19,11 +19,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates (five-word shingles, similarity 0.8 or more); rows without doc_id stay."""
-    found = shingles.near_duplicates(docs.filter("doc_id is not null"))
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept
+    """One document, that of the smallest doc_id, of each group of near-duplicates (five-word shingles, similarity 0.8 or more).
+
+    Rows without doc_id stay, as do all rows of the doc_id that stays.
+    """
+    named = docs.filter("doc_id is not null")
+    gone = written(shingles.near_duplicates(named).filter("doc_id <> component_id").select("doc_id").distinct())
+    kept = named.join(few(gone), "doc_id", "left_anti").select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +41,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in an order that keeps copies apart, read back: doc_id, start, n_tokens, ids_crc32."""
-    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    own = docs.select("doc_id", "text").withColumn("__copy", copy)
-    order = [F.xxhash64("doc_id", "__copy"), F.col("doc_id"), F.col("__copy")]
+    own = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__row"))  # of the written table: a task that runs again numbers alike
+    order = [F.xxhash64("doc_id", "__row"), F.col("__row")]
     return packing.packed(own, public_tokenizers.path("word_bpe_49k.json"), shared_dir(spark), 49_408, order=order)
 
 
