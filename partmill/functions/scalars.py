@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Dashes U+2010 to U+2015, quantities that mean none, names of the custom sections.
+# Dashes U+2010 to U+2015, quantities that mean none, names of the custom sections, words in file names that are no codes.
 DASHES = "\\x{2010}-\\x{2015}"
 NO_QUANTITY = ["", "-", "none", "null", "0", "*"]
 SECTIONS = ["PART KITS & SETS", "REGULAR SERVICE PARTS"]
+NO_FILE_CODE = ["PART", "PAGE", "BOOK", "EDIT", "FILE", "LIST", "TEMP"]
 
 
 def _c(x) -> Column:
@@ -57,14 +58,15 @@ def clean_remarks(c) -> Column:
 
 
 def letter_suffix(i) -> Column:
-    """A to Z, AA to ZZ, AAA to ZZZ for 0, 1, 2, ..."""
+    """A to Z, AA to ZZ, AAA and so on for 0, 1, 2, ...: the number in base 26 without a zero."""
     i = _c(i)
-
-    def at(n: Column) -> Column:
-        return F.chr(65 + n % 26)
-
-    one, two, three = at(i), at(F.floor(i / 26) - 1), at(F.floor((i - 26) / 676) - 1)
-    return F.when(i < 26, one).when(i < 702, F.concat(two, one)).otherwise(F.concat(three, at(F.floor((i - 26) / 26) % 26), one))
+    digits, below, size = [], 0, 1
+    for k in range(6):  # six letters number 321 million rows
+        rest = F.floor((i - below) / size)
+        digits.append(F.when(i >= below, F.chr((65 + F.pmod(rest, F.lit(26))).cast("int"))).otherwise(""))
+        size *= 26
+        below += size
+    return F.concat(*reversed(digits))
 
 
 def _upper_or(c, default: str) -> Column:
@@ -72,14 +74,18 @@ def _upper_or(c, default: str) -> Column:
     return F.when(own == "", default).otherwise(own)
 
 
+def padded(number) -> Column:
+    """Digits with a zero before a single one; other texts as they are."""
+    number = strip(number)
+    return F.when(number.rlike("^[0-9]$"), F.concat(F.lit("0"), number)).otherwise(number)
+
+
 def catalogue_code(model, fig_name, fig_no="") -> Column:
     """YAM_{MODEL}_{NAME}; a figure without a name gives FIG nn or PARTS."""
-    fig_no = F.lit(fig_no) if fig_no == "" else fig_no
+    fig_no = F.lit(fig_no) if isinstance(fig_no, str) and fig_no == "" else _c(fig_no)
     code = F.upper(F.regexp_replace(F.regexp_replace(text(model), "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""))
     name = F.upper(squeeze(F.regexp_replace(text(fig_name), "[^A-Za-z0-9&]+", " ")))
-    number = strip(fig_no)
-    number = F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)
-    spare = F.when(strip(fig_no) == "", "PARTS").otherwise(F.concat(F.lit("FIG "), number))
+    spare = F.when(strip(fig_no) == "", "PARTS").otherwise(F.concat(F.lit("FIG "), padded(fig_no)))
     return F.concat(F.lit("YAM_"), F.when(code == "", "MODEL").otherwise(code), F.lit("_"), F.when(name == "", spare).otherwise(name))
 
 
@@ -139,11 +145,10 @@ def safe_base_name(c, default: str = "document") -> Column:
     return F.when(own == "", default).otherwise(own)
 
 
-def code_from_filename(c) -> Column:
-    """The first four-character code of a file name that isn't a stop word, else ''."""
-    stop = F.array(*[F.lit(w) for w in ("PARTS", "CATALOGUE", "CATALOG", "PART", "LIST", "BOOK", "PAGE", "FILE", "SCAN")])
-    found = F.filter(F.regexp_extract_all(F.upper(text(c)), F.lit(r"\b([A-Z0-9]{4})\b"), F.lit(1)), lambda w: ~F.array_contains(stop, w) & ~w.rlike("^[0-9]+$"))
-    return F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(""))
+def code_from_filename(c, stop: list[str] = NO_FILE_CODE) -> Column:
+    """The first token of four letters or digits of a file name, '' if there is none or it is one of `stop`; later tokens aren't tried."""
+    found = F.regexp_extract(F.upper(text(c)), r"(?U)\b([A-Z0-9]{4})\b", 1)
+    return F.when(found.isin(stop), "").otherwise(found)
 
 
 def is_bike_file(c) -> Column:

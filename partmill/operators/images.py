@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partmill.functions.scalars import is_bike_file, recode, squeeze, strip, text
+from partmill.functions.scalars import is_bike_file, padded, recode, squeeze, strip, text
 
 # Colour words, words of parts, words that no colour code is.
 COLORS = "BLACK BLUE GREY GRAY CYAN RED WHITE SILVER YELLOW GREEN ORANGE GOLD BRONZE COPPER PURPLE VIOLET BROWN TITANIUM GRAPHITE CHARCOAL MAROON MAT MATT METALLIC COCKTAIL DARK LIGHT DEEP RACING PURPLISH VIVID PASTEL SOLID ICE FLUO PEARL CHROME SATIN MIDNIGHT STEALTH MONSTER CANDY GLOSS GLOSSY SHINY BRIGHT".split()
@@ -56,16 +56,23 @@ def exclude_masks(images: DataFrame, masks: DataFrame) -> DataFrame:
     return images.join(masks.select("doc_id", "page", "filename").distinct(), ["doc_id", "page", "filename"], "left_anti")
 
 
+EXTENSION = r"(?i)\.(?:png|jpe?g|jp2|webp|bmp|tiff?)$"
+
+
 def match_placement(images: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Each image with the box of its name on the page, else of its size, else of its ordinal."""
+    """Each image with the box of its name on the page, else of its size, else of its ordinal. Names are compared without extensions of images.
+
+    images: doc_id, page, image_id, filename, width, height; an image_id is unique in its document.
+    """
     keys = ["doc_id", "page"]
+    bare = lambda c: F.regexp_replace(text(c), EXTENSION, "")
     ordinal = F.row_number().over(Window.partitionBy(*keys).orderBy("image_id"))
-    own = images.withColumn("__n", ordinal)
-    box = boxes.select(*keys, F.col("name").alias("__name"), F.col("width").alias("__w"), F.col("height").alias("__h"), F.col("ordinal").alias("__o"), F.struct("x0", "top", "x1", "bottom").alias("__box"))
-    joined = own.join(box, keys, "left")
-    rank = F.when(F.col("__name") == F.col("filename"), 1).when((F.col("__w") == F.col("width")) & (F.col("__h") == F.col("height")), 2).when(F.col("__o") == F.col("__n"), 3)
-    best = joined.filter(rank.isNotNull()).groupBy("image_id").agg(F.min_by(F.struct(F.col("__box").alias("box"), rank.alias("rule")), F.struct(rank, F.col("__o"))).alias("m"))
-    return own.drop("__n").join(best.select("image_id", "m.box", "m.rule"), "image_id", "left")
+    own = images.withColumn("__n", ordinal).withColumn("__bare", bare("filename"))
+    box = boxes.select(*keys, bare("name").alias("__name"), F.col("width").alias("__w"), F.col("height").alias("__h"), F.col("ordinal").alias("__o"), F.struct("x0", "top", "x1", "bottom").alias("__box"))
+    joined = own.join(box, keys)
+    rank = F.when((F.col("__name") != "") & (F.col("__name") == F.col("__bare")), 1).when((F.col("__w") == F.col("width")) & (F.col("__h") == F.col("height")), 2).when(F.col("__o") == F.col("__n"), 3)
+    best = joined.filter(rank.isNotNull()).groupBy("doc_id", "image_id").agg(F.min_by(F.struct(F.col("__box").alias("box"), rank.alias("rule")), F.struct(rank, F.col("__o"))).alias("m"))
+    return images.join(best.select("doc_id", "image_id", "m.box", "m.rule"), ["doc_id", "image_id"], "left")
 
 
 def text_below(images: DataFrame, words: DataFrame, margin: float = 150, tol: float = 50) -> DataFrame:
@@ -179,31 +186,65 @@ def color_entries(pages: DataFrame) -> DataFrame:
     return got.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "pos")).alias("entry_order"), "abbrev", "color_name", "color_code")
 
 
-def image_names(images: DataFrame, model: str = "model") -> DataFrame:
-    """File names: figures YAM_{model}_{figure}, bikes YAM_{model}_BIKE[_code][_name], others PAGE_p_IMG_i; repeats numbered.
+def bike_decision(images: DataFrame, colors: DataFrame, with_bikes: bool = True) -> DataFrame:
+    """is_bike, color_name and color_code of each image.
+
+    images: doc_id, image_id, page, width, height, fig_no, chart (the page is a
+    colour chart), binary, info (color_info of the lines below), is_colored,
+    is_black and hue (pixel_stats). Images on figure pages and binary ones are no
+    bikes. A colour in the text below decides; else, on pages 1 to 3 and colour
+    charts, images of 120 x 80 or more that are coloured or black, with the
+    document's first entry whose name holds BLACK or the hue; a black one without
+    an entry is MAT BLACK. colors: doc_id, entry_order, color_name, color_code.
+    """
+    sound = F.col("fig_no").isNull() & ~F.coalesce("binary", F.lit(False)) & F.lit(with_bikes)
+    said = sound & F.coalesce(F.col("info.is_bike_color"), F.lit(False))
+    early = (F.col("page") <= 3) | F.coalesce("chart", F.lit(False))
+    black, colored = F.coalesce("is_black", F.lit(False)), F.coalesce("is_colored", F.lit(False))
+    seen = sound & ~said & early & (F.col("width") >= 120) & (F.col("height") >= 80) & (black | colored)
+    own = images.withColumn("__said", said).withColumn("__seen", seen)
+    own = own.withColumn("__word", F.when(seen, F.when(black, "BLACK").otherwise(F.nullif(text("hue"), F.lit("")))))
+    entry = colors.select("doc_id", "entry_order", F.col("color_name").alias("__n"), F.col("color_code").alias("__c"))
+    hits = own.filter("__word is not null").select("doc_id", "image_id", "__word").join(entry, "doc_id").filter(F.upper("__n").contains(F.col("__word")))
+    first = hits.groupBy("doc_id", "image_id").agg(F.min_by(F.struct("__n", "__c"), "entry_order").alias("__hit"))
+    own = own.join(first, ["doc_id", "image_id"], "left")
+    name = F.when(F.col("__said"), text("info.color_name")).when(F.col("__hit").isNotNull(), F.col("__hit.__n")).when(F.col("__seen") & black, "MAT BLACK").otherwise("")
+    code = F.when(F.col("__said"), text("info.color_code")).when(F.col("__hit").isNotNull(), text("__hit.__c")).otherwise("")
+    return own.withColumn("color_name", name).withColumn("color_code", code).withColumn("is_bike", F.col("__said") | F.col("__seen")).select(*[c for c in images.columns if c not in ("color_name", "color_code", "is_bike")], "is_bike", "color_name", "color_code")
+
 
-    images: doc_id, image_id, page, model, fig_no, fig_name, is_bike, color_name, color_code.
+def image_names(images: DataFrame, model: str = "model") -> DataFrame:
+    """filename, and fig_no and fig_name of bikes; names of a document that meet are numbered in page order.
+
+    Figures YAM_{model}_{figure}, where characters that no file name holds are
+    spaces and a figure without a name is FIG_nn; bikes
+    YAM_{model}_BIKE[_code][_name], the code left out where the name holds it;
+    others YAM_{model}_PAGE_p_IMG_i. Bikes without colour are numbered among all
+    bikes. images: doc_id, image_id, page, model, fig_no, fig_name, is_bike,
+    color_name, color_code.
     """
-    unsafe = lambda c: F.upper(squeeze(F.regexp_replace(text(c), r'[^A-Za-z0-9& ]', " ")))
+    safe = lambda c: squeeze(F.regexp_replace(text(c), r'[/:*?"<>|\r\n\t]', " "))
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.upper(text(c)), "[^A-Z0-9]+", "_"), "^_+|_+$", "")
     lead = F.concat(F.lit("YAM_"), F.col(model), F.lit("_"))
-    figure = unsafe("fig_name")
-    figure = F.when(figure != "", figure).otherwise(F.concat(F.lit("FIG_"), F.lpad(F.col("fig_no"), 2, "0")))
-    code = F.when(text("color_name").contains(text("color_code")), "").otherwise(text("color_code"))
-    bike = F.concat(lead, F.lit("BIKE"), *[F.when(x == "", "").otherwise(F.concat(F.lit("_"), x)) for x in (code, text("color_name"))])
-    nth = F.sum(F.col("is_bike").cast("int")).over(Window.partitionBy("doc_id").orderBy("page", "image_id"))
-    plain = F.col("is_bike") & (code == "") & (text("color_name") == "")
-    index = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("image_id"))
-    own = images.withColumn("__nth", nth).withColumn("__i", index).withColumn("__plain", plain)
-    name = (
-        F.when(F.col("__plain"), F.concat(bike, F.when(F.col("__nth") == 1, "").otherwise(F.concat(F.lit("_"), F.col("__nth").cast("string")))))
-        .when(F.col("is_bike"), bike)
-        .when(F.col("fig_no").isNotNull(), F.concat(lead, figure))
-        .otherwise(F.concat(F.lit("PAGE_"), F.col("page").cast("string"), F.lit("_IMG_"), F.col("__i").cast("string")))
-    )
-    own = own.withColumn("filename", name)
-    k = F.row_number().over(Window.partitionBy("doc_id", "is_bike", F.coalesce("fig_no", F.lit("")), "filename").orderBy("page", "image_id"))
-    own = own.withColumn("__k", k)
-    return own.withColumn("filename", F.when((F.col("__k") == 1) | F.col("__plain"), F.col("filename")).otherwise(F.concat("filename", F.lit("_"), F.col("__k").cast("string")))).drop("__nth", "__i", "__plain", "__k")
+    number = padded("fig_no")
+    spare = F.when(number != "", F.concat(F.lit("FIG_"), number)).otherwise(F.concat(F.lit("PAGE_"), F.col("page").cast("string")))
+    figure = F.when(safe("fig_name") != "", safe("fig_name")).otherwise(spare)
+    name, code = plain("color_name"), plain("color_code")
+    parts = [F.when(x == "", "").otherwise(F.concat(F.lit("_"), x)) for x in (F.when(name.contains(code), "").otherwise(code), name)]
+    in_order = Window.partitionBy("doc_id").orderBy("page", "image_id")
+    own = images.withColumn("__nth", F.sum(F.col("is_bike").cast("int")).over(in_order))
+    own = own.withColumn("__i", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("image_id")))
+    nth = F.when((name == "") & (code == "") & (F.col("__nth") > 1), F.concat(F.lit("_"), F.col("__nth").cast("string"))).otherwise("")
+    other = F.concat(F.lit("PAGE_"), F.col("page").cast("string"), F.lit("_IMG_"), F.col("__i").cast("string"))
+    kind = F.when(F.col("is_bike"), "bike").when(F.col("fig_no").isNotNull(), F.concat(F.lit("figure "), strip("fig_no"))).otherwise("other")
+    own = own.withColumn("filename", F.concat(lead, F.when(F.col("is_bike"), F.concat(F.lit("BIKE"), *parts, nth)).when(F.col("fig_no").isNotNull(), figure).otherwise(other)))
+    same = Window.partitionBy("doc_id", "__kind", "filename").orderBy("page", "image_id")
+    own = own.withColumn("__kind", kind).withColumn("__k", F.row_number().over(same))
+    own = own.withColumn("filename", F.when(F.col("__k") == 1, F.col("filename")).otherwise(F.concat("filename", F.lit("_"), F.col("__k").cast("string"))))
+    color, of = text("color_name"), text("color_code")
+    both = F.when((color != "") & (of != ""), F.concat(color, F.lit(" ("), of, F.lit(")"))).when(color != "", color).when(of != "", F.concat(F.lit("BIKE "), of)).otherwise("BIKE PHOTO")
+    own = own.withColumn("fig_no", F.when(F.col("is_bike"), "BIKE").otherwise(F.col("fig_no"))).withColumn("fig_name", F.when(F.col("is_bike"), both).otherwise(F.col("fig_name")))
+    return own.drop("__nth", "__i", "__kind", "__k")
 
 
 def image_counts(images: DataFrame) -> DataFrame:
@@ -214,25 +255,49 @@ def image_pages(images: DataFrame) -> DataFrame:
     return images.select("doc_id", "page").distinct()
 
 
-def pixel_stats(pixels: DataFrame) -> DataFrame:
-    """Colour statistics of each image from pixels(image_id, r, g, b): coloured share, black vehicle, dominant hue, photographic measures."""
+# The upper ends of the hues in degrees; RED goes on from 345.
+HUES = [(15, "RED"), (45, "ORANGE"), (75, "YELLOW"), (165, "GREEN"), (205, "CYAN"), (265, "BLUE"), (345, "PURPLE")]
+
+
+def hue_name(h: Column) -> Column:
+    out = F.when(h < HUES[0][0], HUES[0][1])
+    for end, name in HUES[1:]:
+        out = out.when(h < end, name)
+    return out.otherwise("RED")
+
+
+def pixel_stats(pixels: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Colour statistics of each image from pixels(image_id, r, g, b): coloured, black vehicle, dominant hue, photographic.
+
+    Coloured: saturation 18 of 255 on 2.5 % of all pixels. Black vehicle: of the
+    pixels that aren't all 242 or more, under 5 % have saturation .18 and value
+    .15, and 35 % a value up to .45. Hue: the mean over such coloured pixels of
+    those that aren't all 240 or more, if they are 2 %. Photographic: 70 colours or
+    more, mean deviation 18 or more, at most 88 % white, and not over 50 % black
+    with over 25 % white; sizes(image_id, width, height), where given, must be
+    120 x 80 or more with an aspect of 0.65 to 3.
+    """
     top, low = F.greatest("r", "g", "b"), F.least("r", "g", "b")
     span = (top - low).cast("double")
     own = pixels.withColumn("v", top / 255.0).withColumn("s", F.when(top == 0, 0.0).otherwise(span / top)).withColumn("d", span)
     hue = F.when(F.col("d") == 0, 0.0).when(F.col("r") == top, F.pmod((F.col("g") - F.col("b")) / F.col("d"), F.lit(6.0))).when(F.col("g") == top, (F.col("b") - F.col("r")) / F.col("d") + 2).otherwise((F.col("r") - F.col("g")) / F.col("d") + 4) * 60
-    own = own.withColumn("h", hue).withColumn("subject", low < 242).withColumn("vivid", (F.col("s") >= 0.18) & (F.col("v") >= 0.15))
-    mean = F.avg(F.when(F.col("subject") & F.col("vivid"), F.col("h")))
+    own = own.withColumn("h", hue).withColumn("s242", low < 242).withColumn("s240", low < 240).withColumn("vivid", (F.col("s") >= 0.18) & (F.col("v") >= 0.15))
+    mean = F.avg(F.when(F.col("s240") & F.col("vivid"), F.col("h")))
     got = own.groupBy("image_id").agg(
-        F.count("*").alias("n"), F.count_if(F.floor(F.col("s") * 255) >= 18).alias("n_colored"), F.count_if("subject").alias("n_subject"),
-        F.count_if(F.col("subject") & (F.floor(F.col("s") * 255) >= 18)).alias("n_subject_colored"), F.count_if(F.col("subject") & (F.col("v") <= 0.45)).alias("n_dark"),
-        F.count_if(F.col("subject") & F.col("vivid")).alias("n_vivid"), F.round(mean, 6).alias("mean_hue"), F.count_distinct(F.struct("r", "g", "b")).alias("n_colors"),
-        F.round((F.stddev_pop("r") + F.stddev_pop("g") + F.stddev_pop("b")) / 3, 6).alias("spread"),
+        F.count("*").alias("n"), F.count_if(F.floor(F.col("s") * 255) >= 18).alias("n_colored"), F.count_if("s242").alias("n_242"), F.count_if("s240").alias("n_240"),
+        F.count_if(F.col("s242") & F.col("vivid")).alias("n_vivid_242"), F.count_if(F.col("s242") & (F.col("v") <= 0.45)).alias("n_dark"),
+        F.count_if(F.col("s240") & F.col("vivid")).alias("n_vivid_240"), F.round(mean, 6).alias("mean_hue"), F.count_distinct(F.struct("r", "g", "b")).alias("n_colors"),
+        F.round((F.stddev_pop("r") + F.stddev_pop("g") + F.stddev_pop("b")) / 3, 6).alias("spread"), F.count_if(low >= 248).alias("n_white"), F.count_if(top <= 15).alias("n_black"),
     )
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    h = F.col("mean_hue")
-    name = F.when((h < 15) | (h >= 345), "RED").when(h < 45, "ORANGE").when(h < 70, "YELLOW").when(h < 165, "GREEN").when(h < 200, "CYAN").when(h < 260, "BLUE").otherwise("PURPLE")
+    white, black = share("n_white", "n"), share("n_black", "n")
+    photo = (F.col("n_colors") >= 70) & (F.col("spread") >= 18) & (white <= 0.88) & ~((black > 0.5) & (white > 0.25))
+    if sizes is not None:
+        got = got.join(sizes.select("image_id", "width", "height"), "image_id", "left")
+        aspect = F.col("width") / F.col("height")
+        photo = photo & F.coalesce((F.col("width") >= 120) & (F.col("height") >= 80) & (aspect >= 0.65) & (aspect <= 3.0), F.lit(False))
     return got.select(
         "image_id", "n", "n_colors", "spread", "mean_hue", (share("n_colored", "n") >= 0.025).alias("is_colored"),
-        ((share("n_subject_colored", "n_subject") < 0.05) & (share("n_dark", "n_subject") >= 0.35)).alias("is_black"),
-        F.when((F.col("n_subject") > 0) & (share("n_vivid", "n_subject") >= 0.02), name).otherwise("").alias("hue"),
+        ((F.col("n_242") > 0) & (share("n_vivid_242", "n_242") < 0.05) & (share("n_dark", "n_242") >= 0.35)).alias("is_black"),
+        F.when(share("n_vivid_240", "n_240") >= 0.02, hue_name(F.col("mean_hue"))).otherwise("").alias("hue"), photo.alias("is_photo"),
     )

@@ -2,7 +2,9 @@
 
 `parts` has at least doc_id, row_seq, page, fig_no, fig_name, ref_no, part_no,
 description, remarks and qty (map of model to quantity). Order is row_seq within
-doc_id. Windows over a document share one partitioning and one sort.
+doc_id. Windows over a document share one partitioning and one sort; the columns
+of `with_runs` are computed once where several operators follow each other on its
+result.
 """
 
 from __future__ import annotations
@@ -85,7 +87,7 @@ def with_remark_flag(parts: DataFrame) -> DataFrame:
     """remark_flag: X on the first row of each run of a figure that has remarks anywhere in the document; a value that is there stays."""
     given = strip("remark_flag") if "remark_flag" in parts.columns else F.lit("")
     own = parts.withColumn("__remarks", has_figure_remarks(parts)).withColumn("__given", given)
-    own = with_runs(own)
+    own = own if "run" in parts.columns else with_runs(own)
     flag = F.when(F.col("__given") != "", F.col("__given")).when(F.col("first_in_run") & F.col("__remarks"), "X").otherwise("")
     return own.withColumn("remark_flag", flag).select(*parts.columns, *([] if "remark_flag" in parts.columns else ["remark_flag"]))
 
@@ -95,7 +97,7 @@ PARENT_CELLS = ("page", "fig_no", "item_group", "fig_name", "catalogue_code", "m
 
 def blank_children(parts: DataFrame) -> DataFrame:
     """Cells that only the first row of a run shows, as text."""
-    own = with_runs(parts)
+    own = parts if "run" in parts.columns else with_runs(parts)
     for c in PARENT_CELLS:
         if c in parts.columns:
             own = own.withColumn(f"__{c}", F.when(F.col("first_in_run"), F.coalesce(F.col(c).cast("string"), F.lit(""))).otherwise(""))
@@ -146,7 +148,7 @@ def reconcile_model_codes(parts: DataFrame, authoritative: DataFrame) -> DataFra
     code. All renamed quantities move along; of several that meet, the first
     valid one by old name counts.
     """
-    own = parts.join(F.broadcast(authoritative.select("doc_id", F.upper("code").alias("__code"))), "doc_id", "left")
+    own = parts.join(authoritative.select("doc_id", F.upper("code").alias("__code")), "doc_id", "left")
 
     def renamed(name: Column) -> Column:
         code, n = F.col("__code"), F.upper(name)

@@ -49,12 +49,13 @@ CART = f"""WITH e AS ({T.CART_EVENTS}), a AS (SELECT *, sum(delta) OVER w AS s F
   FROM b JOIN c ON b.cart_id = c.cart_id AND b.part_no = c.part_no AND seq > z WHERE qty > 0 GROUP BY 1, 2)"""
 
 PIXELS = f"""WITH a AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM ({T.PIXELS})),
- b AS (SELECT *, hi / 255::DOUBLE AS v, CASE WHEN hi = 0 THEN 0 ELSE (hi - lo) / hi::DOUBLE END AS s, (hi - lo)::DOUBLE AS d, lo < 242 AS subject FROM a),
- c AS (SELECT *, floor(s * 255) >= 18 AS colored, subject AND s >= 0.18::DOUBLE AND v >= 0.15::DOUBLE AS vivid, 60 * CASE WHEN d = 0 THEN 0 WHEN r = hi THEN (g - b) / d + CASE WHEN g < b THEN 6 ELSE 0 END WHEN g = hi THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END AS h FROM b),
- s AS (SELECT image_id, count(*) AS n, count(DISTINCT (r, g, b)) AS n_colors, round((stddev_pop(r) + stddev_pop(g) + stddev_pop(b)) / 3, 6) AS spread, round(avg(h) FILTER (vivid), 6) AS mean_hue, count_if(colored) / count(*) AS colored,
-  count_if(subject) AS ns, count_if(subject AND colored) AS nsc, count_if(subject AND v <= 0.45::DOUBLE) AS nd, count_if(vivid) AS nv FROM c GROUP BY 1)
-SELECT image_id, n, n_colors, spread, mean_hue, colored >= 0.025 AS is_colored, CASE WHEN ns > 0 THEN nsc / ns < 0.05 AND nd / ns >= 0.35 ELSE false END AS is_black,
- CASE WHEN ns = 0 OR nv / ns < 0.02 THEN '' WHEN mean_hue < 15 OR mean_hue >= 345 THEN 'RED' WHEN mean_hue < 45 THEN 'ORANGE' WHEN mean_hue < 70 THEN 'YELLOW' WHEN mean_hue < 165 THEN 'GREEN' WHEN mean_hue < 200 THEN 'CYAN' WHEN mean_hue < 260 THEN 'BLUE' ELSE 'PURPLE' END AS hue FROM s"""
+ b AS (SELECT *, hi / 255::DOUBLE AS v, CASE WHEN hi = 0 THEN 0 ELSE (hi - lo) / hi::DOUBLE END AS s, (hi - lo)::DOUBLE AS d, lo < 242 AS s242, lo < 240 AS s240 FROM a),
+ c AS (SELECT *, floor(s * 255) >= 18 AS colored, s >= 0.18::DOUBLE AND v >= 0.15::DOUBLE AS vivid, 60 * CASE WHEN d = 0 THEN 0 WHEN r = hi THEN (g - b) / d + CASE WHEN g < b THEN 6 ELSE 0 END WHEN g = hi THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END AS h FROM b),
+ s AS (SELECT image_id, count(*) AS n, count(DISTINCT (r, g, b)) AS n_colors, round((stddev_pop(r) + stddev_pop(g) + stddev_pop(b)) / 3, 6) AS spread, round(avg(h) FILTER (s240 AND vivid), 6) AS mean_hue, count_if(colored) / count(*) AS colored,
+  count_if(s242) AS n242, count_if(s240) AS n240, count_if(s242 AND vivid) AS v242, count_if(s240 AND vivid) AS v240, count_if(s242 AND v <= 0.45::DOUBLE) AS nd, count_if(lo >= 248) / count(*) AS white, count_if(hi <= 15) / count(*) AS black FROM c GROUP BY 1)
+SELECT image_id, n, n_colors, spread, mean_hue, colored >= 0.025 AS is_colored, CASE WHEN n242 > 0 THEN v242 / n242 < 0.05 AND nd / n242 >= 0.35 ELSE false END AS is_black,
+ CASE WHEN n240 = 0 OR v240 / n240 < 0.02 THEN '' WHEN mean_hue < 15 OR mean_hue >= 345 THEN 'RED' WHEN mean_hue < 45 THEN 'ORANGE' WHEN mean_hue < 75 THEN 'YELLOW' WHEN mean_hue < 165 THEN 'GREEN' WHEN mean_hue < 205 THEN 'CYAN' WHEN mean_hue < 265 THEN 'BLUE' ELSE 'PURPLE' END AS hue,
+ n_colors >= 70 AND spread >= 18 AND white <= 0.88 AND NOT (black > 0.5 AND white > 0.25) AS is_photo FROM s"""
 
 ORACLE_SQL = {
     "flagship_part_counts": f"{RUNS}, f AS (SELECT *, {SUFFIXED} AS ref2, CASE WHEN starts AND has = 1 THEN 'X' ELSE '' END AS flag FROM o), m AS (SELECT *, 'BGP1' AS model, qty1 AS q FROM f UNION ALL SELECT *, 'BGP2', qty2 FROM f) SELECT doc_id, model, count(*) AS parts, count_if(regexp_matches(ref2, '[A-Z]$'))::BIGINT AS suffixed, count_if(flag = 'X')::BIGINT AS flagged, count_if(is_parent)::BIGINT AS parents FROM m WHERE {valid('q')} GROUP BY 1, 2",
@@ -83,7 +84,7 @@ ORACLE_SQL = {
     "j8_model_name_edits": f"{RUNS} SELECT doc_id, row_seq, CASE WHEN NOT (is_parent OR ref_no IN ('1', '01')) THEN '' WHEN fig_no::INT % 7 = 0 THEN 'NAME ' || fig_no ELSE 'ALL' END AS model_name FROM o",
     "j9_flag_edits": f"{RUNS} SELECT doc_id, row_seq, CASE WHEN has = 0 OR run_offset > 5 THEN '' WHEN fig_no::INT % 5 = 0 AND run_offset = 0 THEN 'E0' WHEN fig_no::INT % 5 = 0 AND run_offset = 2 THEN 'E2' WHEN run_offset = 0 THEN 'X' WHEN run_offset = 1 THEN 'ONE' WHEN run_offset = 3 THEN 'THREE' ELSE '' END AS remark_flag FROM o",
     "j11_figure_rows": f"{P} SELECT doc_id, row_seq FROM p WHERE fig_no = '3' OR upper(trim(fig_name)) = '1-URGENT'",
-    "j14_completed": f"WITH job_events AS ({T.JOB_EVENTS}), {CAT} SELECT doc_id, row_seq FROM cat_rows WHERE doc_id IN (SELECT job_id FROM job_events WHERE status = 'completed' AND job_id % 3 = 0)",
+    "j14_completed": f"WITH job_events AS ({T.JOB_EVENTS}), {CAT} SELECT doc_id, row_seq FROM cat_rows WHERE doc_id IN (SELECT job_id FROM job_events WHERE status = 'completed')",
     "a3_a4_models_in_order": f"{P} SELECT DISTINCT doc_id, 'BGP1,BGP2' AS models, 2::INT AS n FROM p",
     "a2_figures": f"{P} SELECT doc_id, fig_no, arg_min(fig_name, page) AS fig_name, min(page) AS first_page FROM p GROUP BY 1, 2",
     "a16_a18_summary": f"{P} SELECT doc_id, count(DISTINCT page) AS pages, count(DISTINCT fig_no) AS figures, count(*) AS \"rows\", 2::BIGINT AS models, CASE WHEN doc_id % 10 = 3 THEN 'no text layer' ELSE 'ok' END AS status FROM p GROUP BY 1 UNION ALL SELECT (n_nationkey + 1000)::INT, 0, 0, 0, 0, 'no text layer' FROM nation",
@@ -113,12 +114,12 @@ ORACLE_SQL = {
     "t2_latest_status": f"{JOBS} SELECT job_id, arg_max(status, (ts, event_id)) AS status, arg_max(page, (ts, event_id)) AS page, count(*) AS events FROM job_events GROUP BY 1",
     "t3_expired": f"{JOBS} SELECT job_id, CASE WHEN arg_max(status, (ts, event_id)) = 'processing' THEN 'error' ELSE 'expired' END AS outcome FROM job_events GROUP BY 1 HAVING floor(epoch((SELECT max(ts) FROM job_events))) - floor(epoch(min(ts))) > 1728000",
     "a15_batch_totals": f"{JOBS}, l AS (SELECT job_id, arg_max(status, (ts, event_id)) AS status, arg_max(page, (ts, event_id)) AS page, count(*) AS n FROM job_events GROUP BY 1) SELECT count_if(status = 'completed')::BIGINT AS completed, sum(n)::BIGINT AS \"rows\", sum(page)::BIGINT AS images FROM l",
-    "w1_a8_x13_lines": f"WITH {CAT} SELECT DISTINCT doc_id, page, 'FIG. ' || fig_no || ' ' || fig_name AS text FROM cat_rows",
+    "w1_a8_x13_lines": f"WITH {CAT}, w AS (WITH {T.CAT_WORDS}), g AS (SELECT *, (top - lag(top, 1, top) OVER (PARTITION BY doc_id, page ORDER BY top) > 2)::INT AS new FROM w), l AS (SELECT *, (sum(new) OVER (PARTITION BY doc_id, page ORDER BY top))::INT AS line_no FROM g) SELECT doc_id, page, line_no, string_agg(text, ' ' ORDER BY x0, text) AS text FROM l GROUP BY 1, 2, 3",
     "a9_a10_page_columns": f"WITH {CAT} SELECT DISTINCT doc_id, page, 'BGP1,BGP2' AS models FROM cat_rows",
     "w3_j1_j2_x16_x17_extracted": f"WITH {CAT} SELECT doc_id, row_seq, page, fig_no, fig_name, ref_no, {X2} AS part_no, {X3} AS description, {X4} AS remarks, qty1 AS q1, qty2 AS q2 FROM cat_rows",
     "j10_chosen_images": f"{IMAGES}, k AS (SELECT doc_id, CASE WHEN image_id % 2 = 0 THEN image_id::VARCHAR ELSE filename END AS pick FROM doc_images WHERE image_id % 13 = 0 AND doc_id <> 2), h AS (SELECT DISTINCT d.image_id, d.doc_id FROM doc_images d JOIN k ON k.doc_id = d.doc_id AND (k.pick = d.image_id::VARCHAR OR k.pick = d.filename)) SELECT image_id FROM doc_images WHERE image_id IN (SELECT image_id FROM h) OR doc_id NOT IN (SELECT doc_id FROM h)",
     "s2_ocr_words": f"WITH {CAT}, w AS (WITH {T.CAT_WORDS}) SELECT doc_id || '-' || page AS file, trim(text) AS text, trunc(x0) / 2 AS x0, trunc(top) / 2 AS top, (trunc(x0) + 20) / 2 AS x1, (trunc(top) + 7) / 2 AS bottom FROM w WHERE x0 <= 500 AND x0 <> 150",
-    "x20_x30_file_codes": rf"WITH {CAT} SELECT doc_id, row_seq, CASE WHEN page BETWEEN 10 AND 99 THEN 'X' || page || 'Y' ELSE 'BGP1' END AS code, regexp_matches(description, '(?i)\bbike\b|_bike') AS bike FROM cat_rows",
+    "x20_x30_file_codes": rf"WITH {CAT}, n AS (SELECT doc_id, row_seq, description, regexp_extract(upper(fig_name || ' ' || ['book', 'Edit', 'temp', 'catalogue', 'a_list'][row_seq % 5 + 1] || ' x' || page || 'y bgp1.pdf'), '\b([A-Z0-9]{{4}})\b', 1) AS c FROM cat_rows) SELECT doc_id, row_seq, CASE WHEN c IN ('PART', 'PAGE', 'BOOK', 'EDIT', 'FILE', 'LIST', 'TEMP') THEN '' ELSE c END AS code, regexp_matches(description, '(?i)\bbike\b|_bike') AS bike FROM n",
     "a12_pixel_colors": PIXELS,
     "x22_color_info": "SELECT p_partkey, p_partkey % 2 = 0 AS is_bike_color, CASE WHEN p_partkey % 2 = 1 THEN '' WHEN p_partkey % 3 = 0 THEN 'MAT BLACK' ELSE 'RACING BLUE' END AS color_name, CASE WHEN p_partkey % 2 = 0 THEN 'C' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') ELSE '' END AS color_code FROM part",
     "j6_matched_colors": f"{IMAGES}, c AS (SELECT n_nationkey % 8 AS doc_id, n_nationkey AS k, CASE n_nationkey % 3 WHEN 0 THEN 'MAT BLACK' WHEN 1 THEN 'RACING BLUE' ELSE 'VIVID RED' END AS name FROM nation) SELECT image_id, arg_min(name, k) AS color_name, lpad(min(k)::VARCHAR, 4, '0') AS color_code FROM doc_images d LEFT JOIN c ON d.doc_id = c.doc_id AND name LIKE '%' || CASE WHEN image_id % 3 = 0 THEN 'BLACK' WHEN image_id % 2 = 0 THEN 'RED' ELSE 'BLUE' END || '%' GROUP BY 1",
@@ -135,3 +136,33 @@ SELECT doc_id, page, figure AS fig_no, coalesce(now, 'FIG ' || figure) AS fig_na
     "s3_manifest": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'bad_format' WHEN doc_id % 5 = 0 THEN 'empty' WHEN n_chars > 5000 THEN 'too_large' ELSE 'accepted' END AS status FROM documents",
 }
 ORACLE_SQL |= {"t1_streamed_changes": ORACLE_SQL["t1_progress_changes"], "t2_streamed_latest": ORACLE_SQL["t2_latest_status"]}
+
+# Constants as the catalogue's rules state them, not taken from the operators.
+FACTS = f"""WITH doc_images AS ({T.DOC_IMAGES}), page_figures AS ({T.PAGE_FIGURES.replace('page / 2', 'page // 2')}),
+ c AS (SELECT n_nationkey % 8 AS doc_id, n_nationkey AS o, ['Mat Black', 'RACING BLUE', 'VIVID RED'][n_nationkey % 3 + 1] AS name, lpad(n_nationkey::VARCHAR, 4, '0') AS code FROM nation),
+ i AS (SELECT doc_id, image_id, page, fig_no, CASE WHEN fig_no IS NULL THEN NULL WHEN page % 4 = 0 THEN '' ELSE fig_name || ' / Left: 1' END AS fig_name, width, height, fig_no IS NULL AND image_id % 11 <> 0 AS sound, image_id % 7 = 0 AS black FROM doc_images LEFT JOIN page_figures USING (doc_id, page)),
+ s AS (SELECT *, sound AND image_id % 5 = 0 AS said, sound AND image_id % 5 <> 0 AND (page <= 3 OR page % 9 = 0) AND width >= 120 AND height >= 80 AND (black OR image_id % 4 <> 1) AS seen FROM i),
+ h AS (SELECT s.image_id, arg_min(name, o) AS name, arg_min(code, o) AS code FROM s JOIN c ON s.doc_id = c.doc_id AND seen AND contains(upper(name), CASE WHEN black THEN 'BLACK' WHEN s.image_id % 2 = 0 THEN 'RED' ELSE 'GREEN' END) GROUP BY 1),
+ b AS (SELECT s.*, said OR seen AS is_bike, CASE WHEN said THEN CASE WHEN s.image_id % 2 = 0 THEN 'Racing Blue 9' ELSE '' END WHEN h.name IS NOT NULL THEN h.name WHEN seen AND black THEN 'MAT BLACK' ELSE '' END AS color_name,
+  CASE WHEN said THEN ['BLUE', '05-82', ''][s.image_id % 3 + 1] WHEN h.name IS NOT NULL THEN h.code ELSE '' END AS color_code FROM s LEFT JOIN h USING (image_id))"""
+_PLAIN = "trim(regexp_replace(upper({}), '[^A-Z0-9]+', '_', 'g'), '_')"
+KEYWORDS = "['YAMAHA', 'PARTS', 'CATALOGUE', 'CATALOG', 'FIG', 'CYLINDER', 'DESCRIPTION', 'REMARKS', 'PART', 'REF', 'MODEL', 'HEAD', 'CRANKSHAFT', 'VALVE', 'COVER', 'ASSY']"
+ORACLE_SQL |= {
+    "x25_bikes": f"{FACTS} SELECT image_id, is_bike, color_name, color_code FROM b",
+    "x25_x26_image_names": f"""{FACTS}, p AS (SELECT *, {_PLAIN.format('color_name')} AS n, {_PLAIN.format('color_code')} AS k, sum(is_bike::INT) OVER (PARTITION BY doc_id ORDER BY page, image_id) AS nth, row_number() OVER (PARTITION BY doc_id, page ORDER BY image_id) AS i FROM b),
+ f AS (SELECT *, 'YAM_BGP1_' || CASE WHEN is_bike THEN 'BIKE' || CASE WHEN k <> '' AND NOT contains(n, k) THEN '_' || k ELSE '' END || CASE WHEN n <> '' THEN '_' || n ELSE '' END || CASE WHEN n = '' AND k = '' AND nth > 1 THEN '_' || nth::BIGINT ELSE '' END
+  WHEN fig_no IS NULL THEN 'PAGE_' || page || '_IMG_' || i WHEN fig_name = '' THEN 'FIG_' || CASE WHEN length(fig_no) = 1 THEN '0' || fig_no ELSE fig_no END ELSE trim(regexp_replace(regexp_replace(fig_name, '[/:*?"<>|]', ' ', 'g'), ' +', ' ', 'g')) END AS name FROM p),
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, is_bike, fig_no, name ORDER BY page, image_id) AS again FROM f)
+SELECT image_id, name || CASE WHEN again > 1 THEN '_' || again ELSE '' END AS filename, CASE WHEN is_bike THEN 'BIKE' ELSE fig_no END AS fig_no,
+ CASE WHEN NOT is_bike THEN fig_name WHEN color_name <> '' AND color_code <> '' THEN color_name || ' (' || color_code || ')' WHEN color_name <> '' THEN color_name WHEN color_code <> '' THEN 'BIKE ' || color_code ELSE 'BIKE PHOTO' END AS fig_name FROM r""",
+    "j4_placements": f"{IMAGES}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY image_id) AS o FROM doc_images), c AS (SELECT a.image_id, CASE WHEN b.image_id % 3 = 0 AND a.filename = b.filename THEN 1 WHEN b.image_id % 3 = 1 AND a.width = b.width AND a.height = b.height THEN 2 WHEN a.o = b.o THEN 3 END AS rule, b.o, b.image_id AS box_of FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.page = b.page) SELECT image_id, arg_min(box_of, (rule, o)) AS box_of, min(rule)::INT AS rule FROM c WHERE rule IS NOT NULL GROUP BY 1",
+    "x21_row_models": f"WITH {CAT}, m AS (SELECT doc_id, row_seq, CASE page % 4 WHEN 0 THEN CASE WHEN doc_id % 3 = 0 THEN 'MODEL' ELSE 'BGPK' END WHEN 1 THEN 'BG' ELSE 'BGP2' END AS m, CASE WHEN doc_id % 2 = 0 THEN 'DH71' WHEN doc_id % 5 = 0 THEN 'R15' ELSE '' END AS c FROM cat_rows) SELECT doc_id, row_seq, CASE WHEN length(m) < 4 AND length(c) = 4 THEN c WHEN m = 'MODEL' AND c <> '' THEN c ELSE m END AS model FROM m",
+    "a11_rotations": f"""WITH o AS (SELECT (o_custkey % 500) AS doc_id, (o_orderkey % 2)::INT AS page, (o_orderkey % 4 * 90)::INT AS angle, max(CASE o_orderkey % 6 WHEN 0 THEN 'Yamaha parts catalogue head valve' WHEN 1 THEN 'cylinder head cover assy ref description remarks model fig part crankshaft' ELSE 'some words' END) AS text, bool_and(o_orderkey % 10 = 0) AS heading FROM orders GROUP BY 1, 2, 3),
+ s AS (SELECT *, list_sum(list_transform({KEYWORDS}, lambda w: contains(upper(text), w)::INT)) + 15 * heading::INT + 10 * contains(upper(text), 'PARTS CATALOG')::INT AS score FROM o),
+ p AS (SELECT doc_id, page, max(score) FILTER (angle = 0) AS zero, max(score) AS best, arg_max(angle, (score, -angle)) AS angle FROM s GROUP BY 1, 2),
+ a AS (SELECT doc_id, page, CASE WHEN zero >= 15 THEN 0 WHEN best >= 10 THEN angle END AS angle FROM p)
+SELECT doc_id, coalesce(arg_min(angle, page) FILTER (angle IS NOT NULL), 0)::INT AS angle FROM a GROUP BY 1""",
+    "x14_spare_headings": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_partkey % 40 || ':' WHEN 2 THEN (p_partkey % 40)::VARCHAR WHEN 3 THEN '' END AS fig_no, CASE WHEN p_partkey % 5 IN (0, 2, 3) THEN upper(regexp_extract(p_name, '^([a-z]+)', 1)) END AS fig_name FROM part",
+    "x19_w15_cover_models": "SELECT c_custkey AS doc_id, CASE c_custkey % 3 WHEN 0 THEN 'LCX125D' WHEN 1 THEN 'EC-06' ELSE 'ABCD' END AS name, CASE WHEN c_custkey % 3 = 2 THEN 'ABCD' ELSE chr((65 + c_custkey % 26)::INT) || 'X' || c_custkey % 10 || chr((65 + c_custkey % 7)::INT) END AS code FROM customer",
+    "t3_streamed_expired": ORACLE_SQL["t3_expired"],
+}

@@ -22,7 +22,8 @@ def flat(df: DataFrame, *more: str) -> DataFrame:
 
 def flagship(spark, d):
     """Per-model part counts and repeated references over suffixed, flagged rows."""
-    own = parts.with_remark_flag(parts.suffix_repeated_refs(parts.with_first_of_figure(T.parts(spark, d))))
+    own = parts.with_runs(parts.with_first_of_figure(T.parts(spark, d)))
+    own = parts.with_remark_flag(parts.suffix_repeated_refs(own))
     own = own.select("*", F.explode("qty").alias("model", "q"))
     valid = X.is_valid_quantity("q")
     return own.filter(valid).groupBy("doc_id", "model").agg(F.count("*").alias("parts"), F.count_if(F.col("ref_no").rlike("[A-Z]$")).alias("suffixed"), F.count_if(F.col("remark_flag") == "X").alias("flagged"), F.count_if("is_parent").alias("parents"))
@@ -147,7 +148,7 @@ def figure_rows(spark, d):
 
 
 def completed(spark, d):
-    ids = T.job_events(spark, d).filter("status = 'completed' and job_id % 3 = 0").select("job_id")
+    ids = T.job_events(spark, d).filter("status = 'completed'").select("job_id")
     return jobs_rows(T.parts(spark, d), ids)
 
 
@@ -173,7 +174,7 @@ def kpis(spark, d):
 
 
 def sheet(spark, d):
-    return export.sheet_projection(parts.with_remark_flag(T.parts(spark, d)), ["BGP1", "BGP2"])
+    return export.sheet_projection(parts.with_remark_flag(parts.with_runs(T.parts(spark, d))), ["BGP1", "BGP2"])
 
 
 def sheets(spark, d):
@@ -240,8 +241,9 @@ def image_figures(spark, d):
 
 def placements(spark, d):
     i = T.doc_images(spark, d)
+    i = i.withColumn("filename", F.concat("filename", F.when(F.col("image_id") % 2 == 0, ".PNG").otherwise(".jpeg")))
     w = Window.partitionBy("doc_id", "page").orderBy("image_id")
-    box = i.withColumn("ordinal", F.row_number().over(w)).select("doc_id", "page", F.when(F.col("image_id") % 3 == 0, F.col("filename")).alias("name"), F.when(F.col("image_id") % 3 == 1, F.col("width")).otherwise(-1).alias("width"), "height", "ordinal", *[F.lit(0.0).alias(c) for c in ("x0", "top", "bottom")], F.col("image_id").cast("double").alias("x1"))
+    box = i.withColumn("ordinal", F.row_number().over(w)).select("doc_id", "page", F.when(F.col("image_id") % 3 == 0, F.regexp_replace("filename", "[.][a-zA-Z]+$", ".jp2")).alias("name"), F.when(F.col("image_id") % 3 == 1, F.col("width")).otherwise(-1).alias("width"), "height", "ordinal", *[F.lit(0.0).alias(c) for c in ("x0", "top", "bottom")], F.col("image_id").cast("double").alias("x1"))
     return images.match_placement(i, box).select("image_id", F.col("box.x1").cast("long").alias("box_of"), "rule")
 
 
@@ -264,10 +266,56 @@ def named_images(spark, d):
     return images.unique_names(T.doc_images(spark, d), ["doc_id"], "filename", ["image_id"]).select("image_id", "filename")
 
 
+def image_facts(spark, d):
+    """Images with figure, model and what would be seen in them."""
+    k = F.col("image_id")
+    i = images.with_figure(T.doc_images(spark, d), T.page_figures(spark, d).withColumn("fig_name", F.when(F.col("page") % 4 == 0, "").otherwise(F.concat("fig_name", F.lit(" / Left: 1"))))).withColumn("model", F.lit("BGP1"))
+    said = F.struct((k % 5 == 0).alias("is_bike_color"), F.when(k % 2 == 0, "Racing Blue 9").otherwise("").alias("color_name"), F.when(k % 3 == 0, "BLUE").when(k % 3 == 1, "05-82").otherwise("").alias("color_code"))
+    return i.select("*", (F.col("page") % 9 == 0).alias("chart"), (k % 11 == 0).alias("binary"), said.alias("info"), (k % 4 != 1).alias("is_colored"), (k % 7 == 0).alias("is_black"), F.when(k % 2 == 0, "RED").otherwise("GREEN").alias("hue"))
+
+
+def document_colors(spark, d):
+    k = F.col("n_nationkey")
+    name = F.when(k % 3 == 0, "Mat Black").when(k % 3 == 1, "RACING BLUE").otherwise("VIVID RED")
+    return spark.read.parquet(f"{d}/nation.parquet").select((k % 8).cast("int").alias("doc_id"), k.alias("entry_order"), name.alias("color_name"), F.lpad(k.cast("string"), 4, "0").alias("color_code"))
+
+
+def bikes(spark, d):
+    return images.bike_decision(image_facts(spark, d), document_colors(spark, d)).select("image_id", "is_bike", "color_name", "color_code")
+
+
 def figure_image_names(spark, d):
-    i = images.with_figure(T.doc_images(spark, d), T.page_figures(spark, d)).withColumn("model", F.lit("BGP1")).withColumn("is_bike", X.is_bike_file("filename"))
-    i = i.withColumn("color_name", F.when(F.col("image_id") % 2 == 0, "MAT BLACK").otherwise("")).withColumn("color_code", F.when(F.col("image_id") % 4 == 0, "0582").otherwise(""))
-    return images.image_names(i).select("image_id", "filename")
+    own = images.bike_decision(image_facts(spark, d), document_colors(spark, d))
+    return images.image_names(own).select("image_id", "filename", "fig_no", "fig_name")
+
+
+def model_of_rows(spark, d):
+    """Models of rows from columns of pages and documents, some short, some missing."""
+    r = T.cat_rows(spark, d)
+    page = F.when(F.col("page") % 4 == 0, F.array()).when(F.col("page") % 4 == 1, F.array(F.lit("BG"))).otherwise(F.array(F.lit("BGP2"), F.lit("XY"))).cast("array<string>")
+    document = F.when(F.col("doc_id") % 3 == 0, F.array()).otherwise(F.array(F.lit("BGPK"))).cast("array<string>")
+    code = F.when(F.col("doc_id") % 2 == 0, "DH71").otherwise(F.when(F.col("doc_id") % 5 == 0, "R15"))
+    return r.select(*ROW, model_info.effective_model(page, document, code).alias("model"))
+
+
+def rotations(spark, d):
+    """Angles of scans from texts of orders' clerks, keywords and headings by number."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    k = F.col("o_orderkey")
+    angle = (k % 4 * 90).cast("int")
+    words = F.when(k % 6 == 0, "Yamaha parts catalogue head valve").when(k % 6 == 1, "cylinder head cover assy ref description remarks model fig part crankshaft").otherwise("some words")
+    lines = F.array(F.lit("page"), F.when(k % 10 == 0, "Fig. 3 HEAD").otherwise("no heading"))
+    return model_info.best_rotation(o.select((F.col("o_custkey") % 500).alias("doc_id"), (k % 2).cast("int").alias("page_order"), angle.alias("angle"), words.alias("text"), lines.alias("lines")).dropDuplicates(["doc_id", "page_order", "angle", "text", "lines"]).groupBy("doc_id", "page_order", "angle").agg(F.max("text").alias("text"), F.max("lines").alias("lines")))
+
+
+def spare_headings(spark, d):
+    """Headings from the first words of pages, made of parts' names."""
+    k, name = F.col("p_partkey"), F.upper(F.regexp_extract("p_name", "^([a-z]+)", 1))
+    number = (k % 40).cast("string")
+    start = F.when(k % 5 == 0, F.concat(F.lit("x Table "), number, F.lit(": "), name, F.lit(" Ref no"))).when(k % 5 == 1, F.concat(F.lit("TABLE "), number, F.lit(" ROLLING "), name, F.lit(" SERVICE")))
+    start = start.when(k % 5 == 2, F.concat(F.lit("Function "), number, F.lit(": "), name, F.lit(" Page 3"))).when(k % 5 == 3, F.concat(F.lit("FUNCTION - "), name)).otherwise(F.concat(F.lit("Plain "), name))
+    own = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", geometry.fallback_heading(start).alias("h"))
+    return own.select("p_partkey", "h.fig_no", "h.fig_name")
 
 
 def images_counted(spark, d):
@@ -327,8 +375,7 @@ def latest(spark, d):
 
 def expired(spark, d):
     e = T.job_events(spark, d)
-    own = e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now"))))  # one row
-    return jobs.expired_jobs(own.drop("now"), F.lit(e.agg(F.max("ts")).first()[0]), 86400 * 20, ("processing",)).select("job_id", "outcome")
+    return jobs.expired_jobs(e, F.lit(e.agg(F.max("ts")).first()[0]), 86400 * 20, ("processing",)).select("job_id", "outcome")
 
 
 def batch(spark, d):
@@ -342,8 +389,8 @@ def extracted(spark, d):
 
 
 def page_lines(spark, d):
-    own = geometry.line_text(geometry.with_lines(cut(T.cat_words(spark, d))))
-    return own.filter("line_no = 0").select("doc_id", "page", "text")
+    """Every line of every page."""
+    return geometry.line_text(geometry.with_lines(cut(T.cat_words(spark, d)))).select("doc_id", "page", "line_no", "text")
 
 
 def page_columns(spark, d):
@@ -369,6 +416,11 @@ def latest_streamed(spark, d):
     return streamed(spark, d, stream.latest_status_stream, "complete").select("job_id", "status", "page", "events")
 
 
+def expired_streamed(spark, d):
+    """Jobs that the last event finds over 20 days old."""
+    return streamed(spark, d, lambda events: stream.expired_jobs_stream(events, 86400 * 20, ("processing",), "0 seconds"), "append").select("job_id", "outcome")
+
+
 def format_b(spark, d):
     w = cut(T.cat_words_b(spark, d))
     names = T.cat_rows(spark, d).select("doc_id", "page", F.when(F.col("page") % 5 == 0, "").otherwise(F.col("fig_name")).alias("name")).distinct()
@@ -414,7 +466,9 @@ def manifest(spark, d):
 
 def file_codes(spark, d):
     r = T.cat_rows(spark, d)
-    return r.select(*ROW, X.code_from_filename(F.concat(F.lit("parts book "), F.lower("remarks"), F.lit(" x"), F.col("page").cast("string"), F.lit("y bgp1.pdf"))).alias("code"), X.is_bike_file("description").alias("bike"))
+    word = F.element_at(F.array(*[F.lit(w) for w in ("book", "Edit", "temp", "catalogue", "a_list")]), (F.col("row_seq") % 5 + 1).cast("int"))
+    name = F.concat(F.lower("fig_name"), F.lit(" "), word, F.lit(" x"), F.col("page").cast("string"), F.lit("y bgp1.pdf"))
+    return r.select(*ROW, X.code_from_filename(name).alias("code"), X.is_bike_file("description").alias("bike"))
 
 
 def cover_models(spark, d):
@@ -434,9 +488,9 @@ QUERIES = {
     "o1_sort_rank": sorted_rows, "o2_page": second_page, "o3_heads": heads, "f20_row_edits": row_edits, "j8_model_name_edits": figure_edits, "j9_flag_edits": flag_edits, "j11_figure_rows": figure_rows, "j14_completed": completed,
     "a3_a4_models_in_order": models_in_order, "a2_figures": figure_list, "a16_a18_summary": kpis, "s6_sheet": sheet, "s7_model_sheets": sheets, "u3_s8_consolidated": consolidated, "u1_custom_sections": custom_sections, "u2_backfill": backfilled, "u4_reconcile": reconciled, "u5_distinct_models": documents_models, "s5_union": union_of_documents,
     "s10_bundle": bundle, "s11_processing_summary": processing, "f16_image_search": image_search, "f17_f19_admitted_images": admitted_images, "f18_unmasked": unmasked, "j3_image_figures": image_figures, "j4_placements": placements, "j10_chosen_images": chosen_images, "j13_images_of_models": images_of_models,
-    "w11_unique_images": unique_images, "w12_names": named_images, "x25_x26_image_names": figure_image_names, "a19_image_counts": images_counted, "a20_image_pages": pages_of_images, "a12_pixel_colors": pixel_colors, "x22_color_info": colors_of_parts, "j6_matched_colors": matched_colors, "j5_text_below": words_below,
+    "w11_unique_images": unique_images, "w12_names": named_images, "x25_x26_image_names": figure_image_names, "x25_bikes": bikes, "x21_row_models": model_of_rows, "a11_rotations": rotations, "x14_spare_headings": spare_headings, "a19_image_counts": images_counted, "a20_image_pages": pages_of_images, "a12_pixel_colors": pixel_colors, "x22_color_info": colors_of_parts, "j6_matched_colors": matched_colors, "j5_text_below": words_below,
     "a13_cart_lines": carts, "a14_cart_totals": cart_sums, "s9_quotation": quotation, "t1_progress_changes": changes, "t2_latest_status": latest, "t3_expired": expired, "a15_batch_totals": batch,
-    "t1_streamed_changes": changes_streamed, "t2_streamed_latest": latest_streamed,
+    "t1_streamed_changes": changes_streamed, "t2_streamed_latest": latest_streamed, "t3_streamed_expired": expired_streamed,
     "j7_w13_w14_x18_format_b": format_b, "x23_x24_color_table": color_table, "t4_ingested": ingested,
     "w1_a8_x13_lines": page_lines, "a9_a10_page_columns": page_columns, "w3_j1_j2_x16_x17_extracted": extracted, "s2_ocr_words": ocr_words, "s3_manifest": manifest, "s4_json_rows": json_rows,
 }

@@ -18,24 +18,28 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ocr_tsv(spark: SparkSession, path: str, scale: float = 1.0) -> DataFrame:
-    """Words of tab-separated OCR files, one file a page; the file's name is kept in `file`."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.split("value", "\t", -1).alias("f"))
-    return parse_ocr(lines, scale)
+    """Words of tab-separated OCR files, one file a page, by the names in their first line; the file's name is kept in `file`."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("__row"))
+    # The first line of a file that isn't blank: monotonic ids grow within a file's block.
+    first = lines.filter(F.trim("value") != "").groupBy("path").agg(F.min_by("value", F.struct("block", "__row")).alias("head"), F.min(F.struct("block", "__row")).alias("at"))
+    own = lines.join(first, "path").filter(F.struct("block", "__row") > F.col("at"))
+    return parse_ocr(own.select("file", F.split("value", "\t", -1).alias("f"), F.split("head", "\t", -1).alias("names")), scale)
 
 
 def parse_ocr(lines: DataFrame, scale: float = 1.0) -> DataFrame:
-    """lines(file, f): fields in the order of OCR_COLUMNS; lines of another number of fields, without text, box or confidence over 20 drop out."""
+    """lines(file, f[, names]): fields in the order of `names`, or of OCR_COLUMNS; lines of another number of fields, without text, box or confidence over 20 drop out."""
     s = scale if scale > 0 else 1.0
-    at = {n: k for k, n in enumerate(OCR_COLUMNS)}
-    own = lines.filter((F.size("f") == len(OCR_COLUMNS)) & (F.col("f")[0] != "level"))
-    num = lambda n: F.trim(F.col("f")[at[n]]).try_cast("double")
-    own = own.select("file", strip(F.col("f")[at["text"]]).alias("text"), F.coalesce(num("conf"), F.lit(-1.0)).alias("conf"), *[num(n).alias(n) for n in ("left", "top", "width", "height")])
+    names = F.col("names") if "names" in lines.columns else F.array(*[F.lit(n) for n in OCR_COLUMNS])
+    own = lines.filter((F.size("f") == F.size(names)) & (F.col("f")[0] != "level")).withColumn("__m", F.map_from_arrays(F.array_distinct(names), F.slice("f", 1, F.size(F.array_distinct(names)))))
+    field = lambda n: F.coalesce(F.try_element_at("__m", F.lit(n)), F.lit(""))
+    num = lambda n: F.trim(field(n)).try_cast("double")
+    own = own.select("file", strip(field("text")).alias("text"), F.coalesce(num("conf"), F.lit(-1.0)).alias("conf"), *[num(n).alias(n) for n in ("left", "top", "width", "height")])
     own = own.filter("text <> '' and conf > 20 and left is not null and top is not null and width is not null and height is not null")
     return own.select("file", "text", (F.col("left") / s).alias("x0"), (F.col("top") / s).alias("top"), ((F.col("left") + F.col("width")) / s).alias("x1"), ((F.col("top") + F.col("height")) / s).alias("bottom"))
 
 
 def document_manifest(spark: SparkSession, path: str, max_bytes: int = LARGEST) -> DataFrame:
-    """path, length, status of each file, without reading contents."""
+    """path, length, status of each file, without reading contents. Spark lists no empty files, so these have no row; `admitted` names them where a listing has them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     return admitted(files, max_bytes)
 

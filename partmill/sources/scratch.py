@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; below a temporary folder where the session names none, as in tests."""
+    """A new path below spark.checkpoint.dir; on one machine, where the session names none, below a temporary folder that goes with the process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_partmill_tables", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="partmill-")
-        spark._partmill_tables = base
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="partmill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = spark._partmill_tables = "file://" + folder
     return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 

@@ -18,7 +18,7 @@ def value(spark, column):
         (X.normalize_part_number, "1AB‐E23.45-", "1AB-E2345"), (X.normalize_part_number, "1ABE234500P01", "1ABE234500P0"),
         (X.clean_description, ".GASKET, CYLINDER-HEAD  1", "GASKET CYLINDER HEAD 1"), (X.clean_remarks, "UR FOR BLUE / AB", "FOR BLUE"), (X.clean_remarks, "(UR)", ""), (X.clean_remarks, "TURBO", "TURBO"),
         (X.extract_raw_model_name, 'YAHAMA BJPK "FASCINO 125CC DISK" Series CYLINDER', "FASCINO 125CC DISK"), (X.extract_raw_model_name, "R15 V4", "V4"), (X.extract_raw_model_name, "LCX125", ""),
-        (X.code_from_filename, "BGPK parts book.pdf", "BGPK"), (X.parse_money, "₹1,250.50", 1250.5), (X.parse_money, "n/a", None), (X.parse_percent, "18%", 18.0),
+        (X.parse_money, "₹1,250.50", 1250.5), (X.parse_money, "n/a", None), (X.parse_percent, "18%", 18.0),
     ],
 )
 def test_scalars(spark, fn, given, want):
@@ -86,3 +86,78 @@ def test_cart_restarts(spark):
     df = spark.createDataFrame(rows, "cart_id int, part_no int, seq long, delta int, description string, mrp double, gst_rate int")
     r = orders.cart_lines(df).first()
     assert (r.qty, r.description, r.price, r.gst) == (2, "d6", 60.0, 28.0)
+
+
+@pytest.mark.parametrize("hue, want", [(14, "RED"), (16, "ORANGE"), (44, "ORANGE"), (46, "YELLOW"), (74, "YELLOW"), (76, "GREEN"), (164, "GREEN"), (166, "CYAN"), (204, "CYAN"), (206, "BLUE"), (264, "BLUE"), (266, "PURPLE"), (344, "PURPLE"), (346, "RED")])
+def test_hues_at_their_limits(spark, hue, want):
+    import colorsys
+
+    r, g, b = (round(255 * x) for x in colorsys.hsv_to_rgb(hue / 360, 1, 1))
+    got = images.pixel_stats(spark.createDataFrame([(1, r, g, b)], "image_id long, r int, g int, b int")).first()
+    assert got.hue == want and got.is_colored and not got.is_black and not got.is_photo
+
+
+def test_pixel_limits(spark):
+    """A dark image of faint tint is black; subjects end at 242 for black and at 240 for hues; white and black shares."""
+    dark = [(1, 77, 69, 69)] * 4
+    pale = [(2, 241, 241, 241)] * 60 + [(2, 255, 0, 0)]
+    many = [(3, k % 200, (k * 7) % 200, (k * 3) % 200) for k in range(100)]
+    white = [(4, 250, 250, 250)] * 900 + [(4, k, 2 * k, 3 * k) for k in range(80)]
+    got = {r.image_id: r for r in images.pixel_stats(spark.createDataFrame(dark + pale + many + white, "image_id long, r int, g int, b int"), spark.createDataFrame([(3, 120, 80), (4, 400, 400)], "image_id long, width int, height int")).collect()}
+    assert got[1].is_black and not got[1].hue
+    assert got[2].hue == "RED" and not got[2].is_black
+    assert got[3].is_photo and not got[4].is_photo
+
+
+def test_image_names(spark):
+    rows = [(0, k, 5, "BGP1", no, name, bike, color, code) for k, (no, name, bike, color, code) in enumerate([
+        ("7", "", False, None, None), ("99", None, False, None, None), ("120", "", False, None, None), ("125", "", False, None, None), ("A", "", False, None, None), ("3", 'Head: "left" / A|b', False, None, None), ("3", 'Head: "left" / A|b', False, None, None),
+        (None, None, True, "", ""), (None, None, True, "Racing Blue", "05-82"), (None, None, True, None, None), (None, None, False, None, None), (None, None, True, "MAT BLACK 0582", "0582"),
+    ])]
+    df = spark.createDataFrame(rows, "doc_id int, image_id long, page int, model string, fig_no string, fig_name string, is_bike boolean, color_name string, color_code string")
+    got = [r.filename.removeprefix("YAM_BGP1_") for r in images.image_names(df).orderBy("image_id").collect()]
+    assert got == ["FIG_07", "FIG_99", "FIG_120", "FIG_125", "FIG_A", "Head left A b", "Head left A b_2", "BIKE", "BIKE_05_82_RACING_BLUE", "BIKE_3", "PAGE_5_IMG_11", "BIKE_MAT_BLACK_0582"]
+
+
+def test_file_codes_and_figure_codes(spark):
+    names = {"parts book BGPK.pdf": "", "BGPK book.pdf": "BGPK", "temp DH71.pdf": "", "scan DH71 list.pdf": "", "a1.pdf": "", "x DH71.pdf": "DH71"}
+    names["scan DH71 list.pdf"] = "SCAN"
+    assert {k: value(spark, X.code_from_filename(F.lit(k))) for k in names} == names
+    for no, want in (("7", "FIG 07"), ("99", "FIG 99"), ("120", "FIG 120"), ("A", "FIG A"), ("", "PARTS")):
+        assert value(spark, X.catalogue_code(F.lit("m"), F.lit(""), F.lit(no))) == f"YAM_M_{want}"
+
+
+def test_many_letters(spark):
+    got = {r.id: r.v for r in spark.range(18_270, 475_300, 1).filter("id in (18277, 18278, 475253, 475254)").select("id", X.letter_suffix("id").alias("v")).collect()}
+    assert got == {18277: "ZZZ", 18278: "AAAA", 475253: "ZZZZ", 475254: "AAAAA"}
+
+
+def test_ocr_by_header(spark, tmp_path):
+    """Columns by the names in a file's first line, whatever their order."""
+    from partmill.sources import readers
+
+    (tmp_path / "a.tsv").write_text("text\tconf\tleft\ttop\twidth\theight\nHEAD\t91\t10\t20\t30\t8\nlow\t12\t1\t1\t1\t1\nshort\t90\n")
+    (tmp_path / "b.tsv").write_text("\n" + "\t".join(readers.OCR_COLUMNS) + "\n" + "\t".join(["5"] * 6 + ["2", "4", "6", "8", "95.5", " BOLT "]) + "\n")
+    got = sorted(tuple(r) for r in readers.read_ocr_tsv(spark, str(tmp_path), 2.0).collect())
+    assert got == [("a.tsv", "HEAD", 5.0, 10.0, 20.0, 14.0), ("b.tsv", "BOLT", 1.0, 2.0, 4.0, 6.0)]
+
+
+def test_readers_and_sinks(spark, tmp_path):
+    from partmill.operators import export
+    from partmill.sources import readers
+
+    (tmp_path / "in").mkdir()
+    for name, size in (("a.PDF", 5), ("b.txt", 5), ("c.pdf", 0), ("d.pdf", 99)):
+        (tmp_path / "in" / name).write_bytes(b"x" * size)
+    assert sorted((r.path.rsplit("/", 1)[1], r.status) for r in readers.document_manifest(spark, str(tmp_path / "in"), 50).collect()) == [("a.PDF", "accepted"), ("b.txt", "bad_format"), ("d.pdf", "too_large")]
+    assert spark.createDataFrame([("c.pdf", 0)], "path string, length long").transform(readers.admitted).first().status == "empty"
+    (tmp_path / "rows.json").write_text('{"doc_id": 1, "row_seq": 2, "page": 3, "part_no": "X", "BGP1": "4", "BGP2": null}\n')
+    row = readers.read_part_rows_json(spark, str(tmp_path / "rows.json")).first()
+    assert (row.doc_id, row.row_seq, row.part_no, row.fig_no, row.qty) == (1, 2, "X", "", {"BGP1": "4", "BGP2": ""})
+    spark.createDataFrame([(1, 1, None, 0.0)], "doc_id int, page int, text string, x0 double").write.parquet(str(tmp_path / "words"))
+    assert readers.read_words(spark, str(tmp_path / "words")).first().text == ""
+    parts_ = spark.createDataFrame([(1, 1, "P1", {"A": "2", "B": "0"}), (2, 1, "P2", {"A": "1", "B": "3"})], "doc_id int, row_seq long, part_no string, qty map<string,string>")
+    export.write_model_sheets(parts_, str(tmp_path / "sheets"))
+    assert sorted((r.sheet, r.doc_id, r.quantity) for r in spark.read.parquet(str(tmp_path / "sheets")).collect()) == [("Parts_A", 1, "2"), ("Parts_A", 2, "1"), ("Parts_B", 2, "3")]
+    export.write_consolidated(parts_.drop("qty"), str(tmp_path / "all"))
+    assert sorted((r.sheet, r.part_no) for r in spark.read.parquet(str(tmp_path / "all")).collect()) == [("Doc_1", "P1"), ("Doc_2", "P2"), ("Master", "P1"), ("Master", "P2")]
