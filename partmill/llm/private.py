@@ -4,7 +4,9 @@ One Aho-Corasick pass finds at-signs, plus signs, digits, schemes and cue words.
 At each anchor a deterministic parser expands to both sides, stays clear of what
 its kind has already taken, and validates. So the base kinds come out as the
 leftmost non-overlapping matches of their patterns, each kind on its own; cues
-add IBANs, social security numbers, account numbers and logins in addresses.
+add IBANs, social security numbers, account numbers, logins in addresses, and
+secrets: what a cue such as token or api key assigns, 16 characters or more with a
+digit.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from partmill.llm.common import mapped, ship, table, text_bytes
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn", "account", "login")
+KINDS = (*BASE, "iban", "ssn", "account", "login", "secret")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = frozenset("0123456789")
@@ -32,8 +34,9 @@ IBAN = re.compile(r"[\s:#.]{0,4}((?:[A-Z]{2}[0-9]{2})(?: ?[A-Z0-9]){11,30})")
 SSN = re.compile(r"[^0-9\n]{0,12}(?<![0-9])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 ACCOUNT = re.compile(r"(?: *(?:number|no\.?|#))? *[:#=]? *([0-9]{8,17})(?![0-9])")
 USERINFO = re.compile(r"([^\s/@:?#]+):([^\s/@?#]+)@([A-Za-z0-9.-]+)(?::[0-9]+)?")
+SECRET = re.compile(r"""["']? ?(?:[:=]|is|=>)? ?["']?([A-Za-z0-9_./+=-]{16,})""")
 SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
-CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account"}
+CUES = {"token": "secret", "secret": "secret", "password": "secret", "api key": "secret", "api_key": "secret", "apikey": "secret", "bearer": "secret", "iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account"}
 
 
 def _automaton():
@@ -91,7 +94,7 @@ def spans_of(text: str) -> dict[str, list[tuple[int, int]]]:
                 out["phone"].append(m.span())
         elif what == "scheme":
             start = at
-            while start > login and at - start < 16 and text[start - 1] in SCHEME:
+            while start > login and text[start - 1] in SCHEME:
                 start -= 1
             if start < at and (m := USERINFO.match(text, at + 3)):
                 login = m.end()
@@ -104,6 +107,9 @@ def spans_of(text: str) -> dict[str, list[tuple[int, int]]]:
         elif what == "ssn":
             if (m := SSN.match(text, last + 1)) and m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
                 out["ssn"].append((m.start(1), m.end(3)))
+        elif what == "secret":
+            if (m := SECRET.match(text, last + 1)) and any(c in DIGITS for c in m[1]) and (not out["secret"] or out["secret"][-1][1] <= m.start(1)):
+                out["secret"].append(m.span(1))
         elif (m := ACCOUNT.match(text, last + 1)) and (not out["account"] or out["account"][-1] != m.span(1)):
             out["account"].append(m.span(1))
     for kind in ("iban", "ssn"):
@@ -122,11 +128,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
     are not read; repeated rows give repeated results.
     """
     ship(docs.sparkSession)
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, found array<struct<kind:string,start:int,end:int>>"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_iban long, n_ssn long, n_account long, n_login long, n_secret long, n_spans long, base_sha256 string, spans string, found array<struct<kind:string,start:int,end:int>>"
 
     def run(b: pa.RecordBatch) -> dict:
         got = [spans_of(t.decode()) for t in b.column(1).to_pylist()]
-        out = {"doc_id": b.column(0)} | {f"n_{k}": [len(s[k]) for s in got] for k in BASE}
+        out = {"doc_id": b.column(0)} | {f"n_{k}": [len(s[k]) for s in got] for k in KINDS}
+        out["n_spans"] = [sum(map(len, s.values())) for s in got]
         out["base_sha256"] = [hashlib.sha256(listed(s, BASE).encode()).hexdigest() for s in got]
         out["spans"] = [listed(s) for s in got]
         out["found"] = [[{"kind": k, "start": a, "end": e} for k in KINDS for a, e in s[k]] for s in got]

@@ -275,6 +275,17 @@ def test_base_spans_equal_patterns(text):
 def test_cues_and_odd_rows(odd_docs, no_docs):
     s = private.spans_of("IBAN: GB82 WEST 1234 5698 7654 32, SSN 123-45-6789, account no. 12345678 at https://me:pw@host.org/x")
     assert all(len(s[k]) == 1 for k in ("iban", "ssn", "account", "login"))
+    for text, want in (
+        ('x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y', ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff"]), ("API_KEY: AbCdEf0123456789x", ["AbCdEf0123456789x"]), ("a token of my gratitude and esteem1", []),
+        ("secret: abcdefghijklmnopqrstuvwx", []), ("token=" + "a1" * 8 + " token " + "b2" * 9, ["a1" * 8, "b2" * 9]), ("token secret = 0123456789abcdef", ["0123456789abcdef"]),
+    ):
+        assert [text[a:b] for a, b in private.spans_of(text)["secret"]] == want
+    text = "see averylongschemename+with.parts-of-it://me:pw@host.org/x"
+    assert [text[a:b] for a, b in private.spans_of(text)["login"]] == ["averylongschemename+with.parts-of-it://me:pw@host.org"]
+    for text, kind, want in (
+        ("ssn 000-12-3456", "ssn", []), ("SSN: 123-45-67890", "ssn", []), ("iban GB82 WEST 1234 5698 7654 33", "iban", []), ("Acct 12345678 account # 87654321", "account", ["12345678", "87654321"]), ("account 1234567", "account", []),
+    ):
+        assert [text[a:b] for a, b in private.spans_of(text)[kind]] == want
     rows = private.personal_data(odd_docs).collect()
     assert len(rows) == odd_docs.count() and {r.base_sha256 for r in rows} == {hashlib.sha256(b"").hexdigest()}
     assert private.personal_data(no_docs).count() == 0
