@@ -161,3 +161,98 @@ def test_readers_and_sinks(spark, tmp_path):
     assert sorted((r.sheet, r.doc_id, r.quantity) for r in spark.read.parquet(str(tmp_path / "sheets")).collect()) == [("Parts_A", 1, "2"), ("Parts_A", 2, "1"), ("Parts_B", 2, "3")]
     export.write_consolidated(parts_.drop("qty"), str(tmp_path / "all"))
     assert sorted((r.sheet, r.part_no) for r in spark.read.parquet(str(tmp_path / "all")).collect()) == [("Doc_1", "P1"), ("Doc_2", "P2"), ("Master", "P1"), ("Master", "P2")]
+
+
+WORDS = "doc_id int, page int, x0 double, x1 double, top double, bottom double, text string"
+HEADER = [(50, "REF."), (120, "PART"), (150, "NO."), (240, "DESCRIPTION"), (640, "REMARKS")]
+
+
+def words_of_pages(spark, pages: dict[int, list[tuple[float, float, str]]]):
+    rows = [(0, page, float(x), float(x) + 6 * len(t), float(y), float(y) + 7, t) for page, ws in pages.items() for x, y, t in ws]
+    return spark.createDataFrame(rows, WORDS)
+
+
+def line(y: float, *words: tuple[float, str]) -> list[tuple[float, float, str]]:
+    return [(x, y, t) for x, t in words]
+
+
+def stack(x: float, name: str) -> list[tuple[float, float, str]]:
+    return [(x, 50.0 + 8 * k, c) for k, c in enumerate(reversed(name))]
+
+
+def sizes(words):
+    return words.select("doc_id", "page").distinct().selectExpr("doc_id", "page", "842.0D page_w", "595.0D page_h")
+
+
+def test_pages_of_every_kind(spark):
+    """Index pages, pages before the first heading and pages without header give no rows; a page without columns takes the last ones; noise, stray digits, repeats of refs."""
+    head = lambda no, name: line(20, (50, "FIG."), (80, no), (110, name))
+    pages = {
+        1: line(20, (50, "FOREWORD")) + line(75, *HEADER) + line(120, (50, "1"), (120, "AAA-11111-00"), (240, "LOST")),
+        2: head("3", "HEAD") + line(75, *HEADER) + stack(520, "BGP1") + stack(560, "BGP2")
+        + line(120, (30, "|"), (50, "1"), (120, "AAA-11111-00"), (240, "BOLT"), (520, "2"), (560, "4"), (640, "FOR"), (680, "RED"))
+        + line(136, (120, "AAA-22222-00"), (240, "NUT"), (590, "7")) + line(565, (420, "12")),
+        3: line(20, (50, "NUMERICAL"), (120, "INDEX")) + line(75, *HEADER) + line(120, (50, "9"), (120, "ZZZ-99999-00")),
+        4: line(75, *HEADER) + line(120, (50, "2"), (120, "BBB-11111-00"), (240, "PIN"), (520, "6")),
+        5: head("4", "FRAME") + line(60, (50, "A"), (120, "drawing")),
+    }
+    w = words_of_pages(spark, pages)
+    got = [(r.page, r.fig_no, r.fig_name, r.ref_no, r.part_no, r.description, r.remarks, r.qty) for r in geometry.extract_parts(w, sizes(w)).orderBy("row_seq").collect()]
+    assert got == [
+        (2, "3", "HEAD", "1", "AAA-11111-00", "BOLT", "FOR RED", {"BGP1": "2", "BGP2": "4"}),
+        (2, "3", "HEAD", "1", "AAA-22222-00", "NUT", "", {"BGP1": "", "BGP2": "7"}),
+        (4, "3", "HEAD", "2", "BBB-11111-00", "PIN", "", {"BGP1": "6", "BGP2": ""}),
+    ]
+
+
+def test_columns_made_where_a_document_has_none(spark):
+    w = words_of_pages(spark, {1: line(20, (50, "FIGURE"), (95, "7"), (120, "WHEEL")) + line(75, *HEADER) + line(120, (50, "1"), (120, "AAA-11111-00"), (240, "BOLT"), (520, "3"))})
+    row = geometry.extract_parts(w, sizes(w)).first()
+    assert (row.fig_no, row.qty) == ("7", {"MODEL": "3"})
+
+
+@pytest.mark.parametrize("start, want", [("Table 4: WHEEL FRONT SERVICE", ("4:", "WHEEL FRONT")), ("TABLE 5 ROLLING CHASSIS Ref", None), ("x FUNCTION 6: BRAKE Page 2", ("6", "BRAKE")), ("FUNCTION - LAMPS", ("", "LAMPS")), ("none", None)])
+def test_spare_headings(spark, start, want):
+    got = value(spark, geometry.fallback_heading(F.lit(start)))
+    assert (tuple(got) if got else None) == want
+
+
+def test_custom_rows(spark):
+    """Custom rows: no issue, not counted, kept in every model, last in order, a run only where they are parents."""
+    from partmill.operators import export, quality
+
+    rows = [
+        (0, 1, 1, "2", "HEAD", "1", "P1", "BOLT", "", {"A": "2", "B": "0"}, False, True), (0, 2, 1, "2", "HEAD", "1", "P2", "NUT", "", {"A": "-", "B": "1"}, False, False),
+        (0, 3, None, "", "PART KITS & SETS", "", "", "", "", {"A": "", "B": ""}, True, True), (0, 4, None, "", "", "", "", "", "", {"A": "", "B": ""}, True, False),
+        (0, 5, 2, "2", "HEAD", "3", "P3", "PIN", "", {"A": "1", "B": "1"}, False, False),
+    ]
+    df = spark.createDataFrame(rows, "doc_id int, row_seq long, page int, fig_no string, fig_name string, ref_no string, part_no string, description string, remarks string, qty map<string,string>, is_custom_section boolean, is_parent boolean")
+    seq = lambda d: [r.row_seq for r in d.orderBy("row_seq").collect()]
+    assert seq(export.for_model(df, "A")) == [1, 3, 4, 5] and seq(export.for_any_model(df)) == [1, 2, 3, 4, 5]
+    assert {r.model: r.parts for r in export.model_part_counts(df).collect()} == {"A": 2, "B": 2}
+    assert seq(quality.validate_rows(df).filter("has_issue")) == [1, 2, 5]
+    assert [r.row_seq for r in quality.sort_parts(df, "ref_no", True).collect()][-2:] == [3, 4]
+    runs = {r.row_seq: (r.first_in_run, r.run_offset) for r in parts.with_runs(df).collect()}
+    assert runs[1] == (True, 0) and runs[3] == (True, 0) and runs[4] == (False, 1) and runs[5][0]
+    assert export.for_model(df, "A").filter("row_seq = 3").first().qty == {"A": ""}
+    assert seq(export.model_sheets(df).filter("model = 'B'")) == [2, 3, 4, 5]
+
+
+def test_streamed_state_ends(spark, tmp_path):
+    """A job's feed begins anew once its state has gone; expired jobs come out once."""
+    from partmill.streaming import jobs as stream
+
+    schema = "job_id long, event_id long, ts timestamp, status string, page int"
+    at = lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00"
+    batches = [[(1, 1, at(0), "processing", 1), (1, 2, at(1), "processing", 1), (1, 3, at(2), "completed", 2), (1, 4, at(3), "processing", 3)], [(2, 5, at(300), "processing", 1)], [(1, 6, at(301), "processing", 1), (2, 7, at(302), "error", 1)]]
+
+    def run(fn, name):
+        for k, rows in enumerate(batches):
+            spark.createDataFrame(rows, "job_id long, event_id long, ts string, status string, page int").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+            out = fn(spark.readStream.schema(schema).parquet(str(tmp_path / name / "in")))
+            out.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / name / "out")).option("checkpointLocation", str(tmp_path / name / "at")).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(str(tmp_path / name / "out"))
+
+    assert sorted(r.event_id for r in run(stream.progress_changes_stream, "a").collect()) == [1, 3, 5, 6, 7]
+    got = [(r.job_id, r.outcome) for r in run(lambda e: stream.expired_jobs_stream(e, 3600, ("processing",)), "b").collect()]
+    assert got == [(1, "error")]
