@@ -123,8 +123,9 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """A machine from at most `sample` rows of `labels` that aren't held out, and their documents.
 
     Null labels or ids are left out; of several labels of a document the
-    smallest counts, of several documents with one id each counts. Without
-    labelled rows every score is 0.5.
+    smallest counts, of several documents with one id the one of the smallest
+    features, so at most `sample` rows reach the fitting task. Without labelled
+    rows every score is 0.5.
     """
     ship(docs.sparkSession)
     known = labels.filter("doc_id is not null and quality is not null").filter(~held_out())
@@ -136,6 +137,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
     own = _shaped(docs).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
     rows = mapped(own, run, "doc_id long, idx binary, x binary, quality int")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("idx", "x", "quality")).alias("r")).select("doc_id", "r.*")
 
     def fit(batches):
         got: dict[str, list] = {"doc_id": [], "idx": [], "x": [], "quality": []}
@@ -169,7 +171,12 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def accepted(docs: DataFrame, machine: Machine, least: float = 0.5) -> DataFrame:
-    """`docs`, all columns, without the rows that score under `least`."""
+    """`docs`, all columns, without the rows that score under `least`.
+
+    A null text is scored as an empty one, a missing or null n_chars as none; rows
+    without doc_id are scored like others, repeated rows go or stay alike. An empty
+    table gives an empty result.
+    """
     given = ship(docs.sparkSession).sparkContext.broadcast(machine)
     at = docs.columns.index("text"), (docs.columns.index("n_chars") if "n_chars" in docs.columns else None)
 

@@ -4,12 +4,15 @@ The pre-tokens of a batch of texts, each the word-start mark and a word, are put
 in a trie, walked depth first in sorted order. The best unigram score up to a
 position depends only on the prefix, so it is computed once per trie node and
 shared by all words below it; at a word's end the number of tokens of its best
-segmentation is stored. Scores are those of the public vocabulary's pieces;
-characters without a piece cost one fallback token per UTF-8 byte.
+segmentation is stored. The public vocabulary's pieces are ranked, not weighted, so
+a piece of rank r has the log-probability of a Zipf-Mandelbrot law, -log(r + SHIFT);
+characters without a piece cost one fallback token per UTF-8 byte. The counts are
+those of this unigram model: near the vocabulary's own merges, not equal to them.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from functools import lru_cache
 
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from partmill.llm.common import WordCache, mapped, ship, table, text_bytes
 
 MARK = "▁"
+SHIFT = 2.7
 WORDS = 150_000  # pre-tokens in one trie, at most
 
 
@@ -74,7 +78,8 @@ def unigram(path: str) -> tuple[Unigram, WordCache]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     special = lambda k: model.is_byte(k) or model.is_control(k) or model.is_unknown(k) or model.is_unused(k)
-    scores = {model.id_to_piece(k): float(model.get_score(k)) for k in range(model.get_piece_size()) if not special(k)}
+    ranked = sorted((k for k in range(model.get_piece_size()) if not special(k)), key=lambda k: (-model.get_score(k), k))
+    scores = {model.id_to_piece(k): -math.log(r + SHIFT) for r, k in enumerate(ranked)}
     least = min(scores.values(), default=0.0)
     return Unigram(scores, least - 10), WordCache(None)
 

@@ -226,6 +226,13 @@ def test_classifier_learns_and_handles_odd_rows(spark, odd_docs, no_docs):
     assert got and np.mean([r.predicted == (r.doc_id % 3 > 0) for r in got]) > 0.98
     assert factorisation.scored(odd_docs, machine).count() == odd_docs.count()
     assert factorisation.scored(no_docs, machine).count() == 0
+    twice = factorisation.fitted(docs.unionByName(docs), labels.unionByName(labels))
+    assert (twice.w == machine.w).all() and (twice.v == machine.v).all()  # repeated documents and labels count once
+    scores = {r.doc_id: r.score for r in factorisation.scored(odd_docs, machine).collect()}
+    kept = factorisation.accepted(odd_docs, machine)
+    assert kept.columns == odd_docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in odd_docs.collect() if scores[r.doc_id] >= 0.5)
+    assert factorisation.accepted(odd_docs, machine, 0.0).count() == odd_docs.count() and factorisation.accepted(no_docs, machine).count() == 0
+    assert factorisation.accepted(odd_docs.drop("n_chars"), machine).columns == [c for c in odd_docs.columns if c != "n_chars"]
     empty = factorisation.fitted(docs, labels.filter("doc_id < 0"))
     assert {r.score for r in factorisation.scored(odd_docs, empty).collect()} == {0.5}
 
@@ -250,6 +257,19 @@ def test_trie_counts_equal_plain_search(words):
     assert model.counts(set(words)) == {w: plain(w) for w in words}
 
 
+def test_token_counts_near_the_library(spark):
+    """Of ranks made probabilities, the best sum need not be the merges' own result; the counts lie close."""
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, path).collect()}
+    want = {r.doc_id: sum(map(len, own.encode((r.text or "").split()))) for r in docs.collect()}
+    print("all", sum(got.values()) / sum(want.values()), "a document", max(abs(got[k] / max(1, want[k]) - 1) for k in want))
+    assert abs(sum(got.values()) / sum(want.values()) - 1) < 0.1
+
+
 def test_token_counts_odd_rows(odd_docs, no_docs):
     path = P.path("piece_bpe_32k.model")
     rows = {r.doc_id: r for r in token_counts.token_counts(odd_docs, path).collect()}
