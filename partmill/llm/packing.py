@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partmill.llm.common import WordCache, shared_dir, ship, table, text_bytes
+from partmill.llm.common import shared_dir, ship, table, text_bytes
 
 BLOCK = 1 << 16
 END = 2
@@ -202,33 +202,46 @@ class Encoder:
     space, do so whole.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.kept = WordCache(self._piece, most)
-        self.cores = WordCache(self._letters, most)
+        self.kept: dict[str, bytes] = {}
+        self.most = most
         self.marks = {m: self._plain(m) for m in (".", ",", "!", ".,", "!!", "...", "")}
 
     def _plain(self, text: str) -> bytes:
         return as_bytes(self.whole.encode(text, add_special_tokens=False).ids)
 
-    def _letters(self, word: str) -> bytes:
-        mapped_ = word if word.isascii() else "".join(BYTE_LEVEL[b] for b in word.encode())
-        return as_bytes([t.id for t in self.model.tokenize(mapped_)])
-
-    def _piece(self, piece: str) -> bytes:
-        body = piece.rstrip(".,!")
-        tail = self.marks.get(piece[len(body) :])
-        if tail is not None and body.isalpha() and (body.isascii() or (max(body) < "İ" and unicodedata.is_normalized("NFC", body))):
-            return self.cores[body.lower()] + tail
-        return self._plain(piece)
+    def _learn(self, pieces: set[str]) -> None:
+        """Keep the ids of new pieces, and those of their letters alone, which are pieces too."""
+        kept, tokenize = self.kept, self.model.tokenize
+        for piece in pieces:
+            body = piece.rstrip(".,!")
+            tail = self.marks.get(piece[len(body) :])
+            plain = body.isascii()
+            if tail is not None and body.isalpha() and (plain or (max(body) < "İ" and unicodedata.is_normalized("NFC", body))):
+                word = body.lower()
+                ids = kept.get(word)
+                if ids is None:
+                    letters = word if plain else "".join(BYTE_LEVEL[b] for b in word.encode())
+                    ids = kept[word] = as_bytes([t.id for t in tokenize(letters)])
+                kept[piece] = ids + tail
+            else:
+                kept[piece] = self._plain(piece)
 
     def __call__(self, text: str) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self._plain(text)
-        return b"".join(map(self.kept.__getitem__, text.split()))
+        pieces = text.split()
+        new = set(pieces).difference(self.kept)
+        if new:
+            if len(self.kept) > self.most:  # bounds the memory; a text's own pieces are kept until it is encoded
+                self.kept.clear()
+                new = set(pieces)
+            self._learn(new)
+        return b"".join(map(self.kept.__getitem__, pieces))
 
 
 def encoder(path: str) -> Encoder:
