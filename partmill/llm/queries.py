@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from partmill.llm.decontaminate import op1_decontaminate
+from partmill.llm.divergence import OP13_SQL, op13_divergence
 from partmill.llm.factorisation import op7_factorisation
 from partmill.llm.fertility import op2_fertility
 from partmill.llm.licenses import op4_licenses
@@ -31,7 +32,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_private": op9_private,
     "op10_mixing": op10_mixing,
+    "op13_divergence": op13_divergence,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL = {"op10_mixing": OP10_SQL}
+ORACLE_SQL = {"op10_mixing": OP10_SQL, "op13_divergence": OP13_SQL}
