@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from partmill.llm.chat import OP12_SQL, op12_chat
 from partmill.llm.decontaminate import op1_decontaminate
 from partmill.llm.divergence import OP13_SQL, op13_divergence
 from partmill.llm.factorisation import op7_factorisation
@@ -32,8 +33,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_private": op9_private,
     "op10_mixing": op10_mixing,
+    "op12_chat": op12_chat,
     "op13_divergence": op13_divergence,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL = {"op10_mixing": OP10_SQL, "op13_divergence": OP13_SQL}
+ORACLE_SQL = {"op10_mixing": OP10_SQL, "op12_chat": OP12_SQL, "op13_divergence": OP13_SQL}
