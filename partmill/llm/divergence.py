@@ -1,11 +1,11 @@
 """Source divergence audit: which terms set a source apart from its language, and how far sources lie from each other.
 
-Strings are materialised late. Each task counts the terms of its documents and
-writes them once, with a fixed-width digest beside the string. Counting shuffles
-digests alone. For digests that are kept, the smallest and the largest string are
-taken from the written table: where they differ, the digest is shared by several
-terms, and those few are counted again by string. Texts of terms are joined to
-kept outputs only.
+Strings are materialised late. Each task counts the terms of its documents by a
+fixed-width digest and writes the counts, and beside them one row with the string of
+each term it met. Counting shuffles digests alone. For digests that are kept, the
+smallest and the largest string are taken from the written rows: where they differ,
+the digest is shared by several terms, and a second pass over the documents
+counts those by string. Texts of terms are joined to kept outputs only.
 
 A pair of sources is summed without a row for each term and pair: terms that only
 one of the two has enter as a histogram of their probabilities, terms of both are
@@ -18,8 +18,6 @@ their number in the language. The divergence of p from q is floor((p - q)^2 / q)
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,44 +32,80 @@ UNIT = 1_000_000_000
 LEAST_DOCS = 3
 TOP = 200
 DIGEST_BITS = 64
-HELD = 400_000  # terms that a task counts before it sends them on
+HELD = 1_500_000  # counts that a task holds before it sends them on
 PAIRS = 2_000_000  # pairs of sources summed at once in a task
+BLOCK = 50_000  # rows of terms of which a task makes pairs at once, or one term's
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def terms(text: bytes) -> list[bytes]:
-    """Runs of letters and of code points over 127, A-Z in lower case."""
-    return text.translate(_LETTERS).split()
+def terms(text: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Runs of letters and of code points over 127, A-Z in lower case, in lists from some `most` bytes each."""
+    text, k = text.translate(_LETTERS), 0
+    while True:
+        end = text.find(b" ", k + most)
+        yield text[k : end if end >= 0 else len(text)].split()
+        if end < 0:
+            return
+        k = end
 
 
-def term_counts(docs: DataFrame, bits: int = DIGEST_BITS) -> DataFrame:
-    """lang, source, digest (the low `bits` of XXH64), term, n, docs: counts of one task's documents, so a term comes several times."""
+class Numbered(dict):
+    """Keys by order of appearance, from 0."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def term_counts(docs: DataFrame, bits: int = DIGEST_BITS, named: bool = False) -> DataFrame:
+    """lang, source, digest (the low `bits` of XXH64), term, n, docs: counts of one task's documents, so a term comes several times.
+
+    Counts have a term only if they are to be `named`; each term that a task met has
+    a row with its digest and no counts.
+    """
     out = pa.schema([("lang", pa.string()), ("source", pa.string()), ("digest", pa.int64()), ("term", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())])
-    mask = (1 << bits) - 1
-
-    def sent(held: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs_of) in held.items():
-            words = list(n)
-            digest = np.fromiter((xxhash.xxh64_intdigest(w) & mask for w in words), np.uint64, len(words)).view(np.int64)
-            for k in range(0, len(words), 50_000):
-                part = words[k : k + 50_000]
-                cols = [[lang] * len(part), [source] * len(part), digest[k : k + 50_000], part, [n[w] for w in part], [docs_of[w] for w in part]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, out)], schema=out)
+    mask, low = (1 << bits) - 1, np.int64((1 << 32) - 1)
+
+    def summed(parts: list[tuple]) -> tuple:
+        key, n, docs_of = map(np.concatenate, zip(*parts))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        return key[starts], np.add.reduceat(n[order], starts), np.add.reduceat(docs_of[order], starts)
+
+    def sent(ids: Numbered, groups: Numbered, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not ids:
+            return
+        words = pa.array(ids, pa.binary())
+        digest = np.fromiter((xxhash.xxh64_intdigest(w) & mask for w in ids), np.uint64, len(ids)).view(np.int64)
+        langs, sources = (pa.array(list(c), pa.string()) for c in zip(*groups))
+        key, n, docs_of = summed(held)
+        for k in range(0, len(key), 100_000):
+            group, word = key[k : k + 100_000] >> 32, key[k : k + 100_000] & low
+            terms_of = words.take(pa.array(word)) if named else pa.nulls(len(word), pa.binary())
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(group)), sources.take(pa.array(group)), pa.array(digest[word]), terms_of, pa.array(n[k : k + 100_000]), pa.array(docs_of[k : k + 100_000])], schema=out)
+        for k in range(0, len(words), 100_000):
+            part = words.slice(k, 100_000)
+            none = [pa.nulls(len(part), t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none[:2], pa.array(digest[k : k + 100_000]), part, *none[2:]], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[Counter, Counter]] = {}
+        ids, groups, held = Numbered(), Numbered(), []
         for batch in batches:
             for b in pieces(batch):
-                for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                    n, docs_of = held.setdefault((lang, source), (Counter(), Counter()))
-                    words = terms(text.as_py())
-                    n.update(words)
-                    docs_of.update(set(words))
-                if sum(len(n) for n, _ in held.values()) > HELD:
-                    yield from sent(held)
-                    held.clear()
-        yield from sent(held)
+                found = [np.concatenate([np.fromiter(map(ids.__getitem__, words), np.int64, len(words)) for words in terms(text.as_py())]) for text in b.column(2)]
+                doc = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                key, n = np.unique(np.concatenate(found) | doc << 32, return_counts=True)
+                group = np.fromiter(map(groups.__getitem__, zip(b.column(0).to_pylist(), b.column(1).to_pylist())), np.int64, b.num_rows)
+                if len(key):
+                    held.append(summed([(group[key >> 32] << 32 | key & low, n, np.ones(len(n), np.int64))]))
+                if sum(len(x[0]) for x in held) > HELD:
+                    held = [summed(held)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield from sent(ids, groups, held)
+                        ids, groups, held = Numbered(), Numbered(), []
+        yield from sent(ids, groups, held)
 
     own = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), text_bytes().alias("text"))
     return own.mapInArrow(run, "lang string, source string, digest long, term binary, n long, docs long")
@@ -86,11 +120,18 @@ def divergence(p: str, q: str, times: str = "1L") -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div {q} * {times}")
 
 
+def often(counts: DataFrame, term: list[str], least_docs: int) -> DataFrame:
+    """`counts` of the terms in `least_docs` documents of their language, with total (n in the language) and lead (one row of each term)."""
+    all_of = Window.partitionBy(*term)
+    own = counts.withColumn("total", F.sum("n").over(all_of)).withColumn("__docs", F.sum("docs").over(all_of)).withColumn("__first", F.min("source").over(all_of))
+    return own.filter(F.col("__docs") >= least_docs).withColumn("lead", F.col("source") == F.col("__first")).drop("docs", "__docs", "__first")
+
+
 class Audit:
     """The tables of an audit, each written once.
 
     kept: lang, source, digest, part ('' or the term itself where a digest is
-    shared), n, total (of the language) of the kept terms that a group has;
+    shared), n, total (of the language), lead of the kept terms that a group has;
     groups: lang, source, own (N), terms (kept terms that occur), v, whole (N of
     the language), p0 (probability of a term that doesn't occur);
     names: digest, term of kept digests that one term has.
@@ -98,20 +139,21 @@ class Audit:
 
     def __init__(self, docs: DataFrame, least_docs: int = LEAST_DOCS, bits: int = DIGEST_BITS):
         ship(docs.sparkSession)
-        self.counts = written(term_counts(docs, bits))
-        by_digest = written(self.counts.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-        often = by_digest.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).select("digest").distinct()
-        ends = self.counts.join(few(written(often)), "digest", "left_semi").groupBy("digest").agg(F.min("term").alias("least"), F.max("term").alias("most"))
+        met = written(term_counts(docs, bits))
+        by_digest = met.filter("n is not null").repartition("lang", "digest").groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        kept = written(often(by_digest, ["lang", "digest"], least_docs))
+        ends = met.filter("n is null").join(few(kept.select("digest").distinct()), "digest", "left_semi").groupBy("digest").agg(F.min("term").alias("least"), F.max("term").alias("most"))
         ends = written(ends)
-        shared = few(ends.filter("least <> most").select("digest"))
         self.names = ends.filter("least = most").select("digest", F.col("least").cast("string").alias("term"))
-        alone = by_digest.join(shared, "digest", "left_anti").select("lang", "source", "digest", F.lit("").alias("part"), "n", "docs")
-        split = self.counts.join(shared, "digest", "left_semi").groupBy("lang", "source", "digest", F.col("term").cast("string").alias("part")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-        each = alone.unionByName(split)
-        of_lang = each.groupBy("lang", "digest", "part").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total")).filter(F.col("docs") >= least_docs)
-        self.kept = written(each.drop("docs").join(of_lang.drop("docs"), ["lang", "digest", "part"]))
+        kept, shared = kept.withColumn("part", F.lit("")), written(ends.filter("least <> most").select("digest"))
+        if not shared.isEmpty():  # documents are read again, for their terms alone
+            counts = term_counts(docs, bits, named=True).filter("n is not null").join(few(shared), "digest", "left_semi")
+            split = counts.groupBy("lang", "source", "digest", F.col("term").cast("string").alias("part")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+            alone = kept.join(few(shared), "digest", "left_anti")
+            kept = written(alone.unionByName(often(split, ["lang", "digest", "part"], least_docs)))
+        self.kept = kept
         known = self.kept.groupBy("lang", "source").agg(F.sum("n").alias("own"), F.count("*").alias("terms"))
-        langs = self.kept.groupBy("lang", "digest", "part").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("whole"))
+        langs = self.kept.groupBy("lang").agg(F.sum(F.col("lead").cast("long")).alias("v"), F.sum("n").alias("whole"))
         groups = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
         groups = groups.join(known, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0)
         self.groups = written(groups.withColumn("p0", whole_part("0L", "own", "v")))
@@ -153,48 +195,55 @@ def shared_terms(own: DataFrame) -> DataFrame:
     def gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         return (p - q) ** 2 // q
 
-    def paired(rows: list[tuple]) -> Iterator[tuple]:
-        """Names, then numbers of source and item with their sums; rows of whole terms of one language: source, p, p0, first row of the term, end of its rows."""
-        names = sorted({r[0] for r in rows})
-        at = {s: k for k, s in enumerate(names)}
-        who, p, p0 = np.array([at[r[0]] for r in rows]), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        first, size = np.array([r[3] for r in rows]), np.array([r[4] - r[3] for r in rows])
-        k = 0
-        while k < len(rows):
-            end = k + max(1, int(np.searchsorted(np.cumsum(size[k:]), PAIRS, "right")))
+    def paired(who: np.ndarray, p: np.ndarray, p0: np.ndarray, starts: np.ndarray, width: int) -> Iterator[tuple]:
+        """(who * width + who, sum) of blocks; rows of whole terms, which begin at `starts`."""
+        sizes = np.diff(np.r_[starts, len(who)])
+        first, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
+        done, k = np.r_[0, np.cumsum(size)], 0
+        while k < len(who):
+            end = max(k + 1, int(np.searchsorted(done, done[k] + PAIRS, "right")) - 1)
             a = np.repeat(np.arange(k, end), size[k:end])
-            b = np.arange(len(a)) - np.repeat(np.cumsum(size[k:end]) - size[k:end], size[k:end]) + first[a]
-            keep = a != b
-            a, b = a[keep], b[keep]
+            b = np.arange(len(a)) - (done[k:end] - done[k]).repeat(size[k:end]) + first[a]
+            a, b = a[a != b], b[a != b]
             value = gap(p[a], p[b]) - gap(p[a], p0[b]) - gap(p0[a], p[b]) + gap(p0[a], p0[b])
-            key = who[a] * len(names) + who[b]
-            order = np.argsort(key, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(key[order]) > 0]) if len(order) else []
-            if len(starts):
-                sums, keys = np.add.reduceat(value[order], starts), key[order][starts]
-                yield names, keys // len(names), keys % len(names), sums
+            key, at = np.unique(who[a] * width + who[b], return_inverse=True)
+            sums = np.zeros(len(key), np.int64)
+            np.add.at(sums, at, value)
+            yield key, sums
             k = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lang, term, rows, begun = None, None, [], 0
+        schema, held = None, []
+
+        def sent(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Rows of whole terms."""
+            rows = rows.combine_chunks()
+            both = rows.group_by(["lang", "source"], use_threads=False).aggregate([])
+            at = {pair: n for n, pair in enumerate(zip(both["lang"].to_pylist(), both["source"].to_pylist()))}
+            who = np.fromiter(map(at.__getitem__, zip(rows["lang"].to_pylist(), rows["source"].to_pylist())), np.int64, rows.num_rows)
+            new = changes(rows)
+            names = list(at)
+            for key, sums in paired(who, rows["p"].to_numpy(), rows["p0"].to_numpy(), np.flatnonzero(new), len(names)):
+                a, b = key // len(names), key % len(names)
+                cols = [[names[x][0] for x in a], [names[x][1] for x in a], [names[x][1] for x in b], sums]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, out)], schema=out)
 
-        def sent() -> Iterator[pa.RecordBatch]:
-            closed = rows[:begun] + [(*r[:3], begun, len(rows)) for r in rows[begun:]]
-            for names, a, b, value in paired(closed):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array([names[x] for x in a], pa.string()), pa.array([names[x] for x in b], pa.string()), pa.array(value, pa.int64())], schema=out)
+        def changes(rows: pa.Table) -> np.ndarray:
+            """Whether a row begins a term."""
+            codes = [rows["digest"].to_numpy(), *(rows[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in ("lang", "part"))]
+            return np.r_[True, np.any([c[1:] != c[:-1] for c in codes], axis=0)]
 
         for batch in batches:
-            for of, source, digest, part, p, p0 in zip(*(c.to_pylist() for c in batch.columns)):
-                if (of, digest, part) != term:
-                    if of != lang or len(rows) > 100_000:
-                        if rows:
-                            yield from sent()
-                        lang, rows, begun = of, [], 0
-                    rows[begun:] = [(*r[:3], begun, len(rows)) for r in rows[begun:]]
-                    begun, term = len(rows), (of, digest, part)
-                rows.append((source, p, p0))
-        if rows:
-            yield from sent()
+            schema = schema or batch.schema
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BLOCK:
+                rows = pa.Table.from_batches(held, schema)
+                last = int(np.flatnonzero(changes(rows))[-1])  # the last term may go on
+                if last:
+                    yield from sent(rows.slice(0, last))
+                held = rows.slice(last).to_batches()
+        if held:
+            yield from sent(pa.Table.from_batches(held, schema))
 
     own = own.select("lang", "source", "digest", "part", "p", "p0").repartition("lang", "digest", "part").sortWithinPartitions("lang", "digest", "part")
     return own.mapInArrow(run, "lang string, source string, item string, value long")
