@@ -11,6 +11,7 @@ from partmill.llm.licenses import op4_licenses
 from partmill.llm.mixing import OP10_SQL, op10_mixing
 from partmill.llm.packing import op6_packing
 from partmill.llm.private import op9_private
+from partmill.llm.repair import op11_repair
 from partmill.llm.simhash import op5_simhash
 from partmill.llm.templates import op3_templates
 from partmill.llm.token_counts import op8_token_counts
@@ -33,6 +34,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_private": op9_private,
     "op10_mixing": op10_mixing,
+    "op11_repair": op11_repair,
     "op12_chat": op12_chat,
     "op13_divergence": op13_divergence,
     "pipeline": pipeline,
