@@ -1,17 +1,21 @@
 """Main text of web pages by site template removal.
 
-Each page is read into a tree, whose subtrees are hashed twice: by shape (elements,
-classes and ids on the way from the root and below, texts apart, repeats folded)
-and exactly. Spark counts for every host on how many contents each hash occurs;
-pages that share their smallest five-word shingle, as copies and near copies do,
-are one content. It also averages the share of the page's words that a shape holds.
-
-From the root down, the child that holds half of the words or more leads to the
-content. On that way all other children of recurring shape are template, but the
-largest: menus, adverts and footers recur in shape however their texts vary. Within
-the content only blocks at its edges are template that recur word for word, in at
-most `SHORT` words, on half of the host's contents. `PAGES` contents are needed for
-either.
+Each page is read into a tree, whose block subtrees are hashed twice: exactly, and by
+shape (elements, classes and ids on the way from the root and below, texts apart,
+repeats folded). Spark counts both for every host.
+
+First, exact subtrees are counted by pages. What recurs is left out of the page's
+content key, the smallest five-word shingle of the rest, so that pages are told apart
+by their articles, however much template they carry; copies and near copies of an
+article are one content. Then both hashes are counted by contents, and with a shape the
+mean share that it holds of the words that do not recur.
+
+From the root down, the child that holds half of those words or more leads to the
+content: menus and footers that recur word for word weigh nothing, however large. On
+that way all other children of recurring shape are template, but the largest: adverts
+recur in shape however their texts vary. Around the content, blocks that come first or
+last go if they recur word for word on half of the host's contents, one after another; inside an
+article only those of at most `SHORT` words. `PAGES` contents are needed for either.
 
 What no count can show, as on hosts of few pages, goes after that by its element,
 role or class: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
@@ -22,7 +26,8 @@ from __future__ import annotations
 
 import html
 import re
-from functools import lru_cache
+from bisect import bisect_right
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,7 @@ from partmill.llm.common import few, mapped, ship, table, text_bytes, window_has
 PAGES = 5
 SHARE = 0.5
 SHORT = 30
-HASHES = 1_000_000  # hashes of recurring shapes and blocks that are broadcast, at most; more are joined by a shuffle
+HASHES = 1_000_000  # hashes of recurring shapes and blocks (17 bytes each) that are broadcast, at most; more are joined by a shuffle
 
 # Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,63 +61,83 @@ ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "shape", "words")
+    __slots__ = ("tag", "attrs", "children", "shape", "key", "words", "varying")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children, self.shape, self.words = tag, attrs, [], 0, 0
+        self.tag, self.attrs, self.children = tag, attrs, []
+        self.shape = self.key = self.words = self.varying = 0
 
     def attributes(self) -> dict[str, str]:
         return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(self.attrs)} if self.attrs.strip(" /") else {}
 
 
+class Open:
+    """The open elements, and where those of each name lie, so that closing looks at no element twice."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at = [root], {}
+
+    def push(self, node: Node) -> None:
+        for name in (node.tag, "#block") if node.tag in BLOCK else (node.tag,):
+            self.at.setdefault(name, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, names) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+    def first(self, names, above: int) -> int:
+        """The lowest one above a place; 0 if there is none."""
+        lists = [own for n in names if (own := self.at.get(n)) and own[-1] > above]
+        return min((own[bisect_right(own, above)] for own in lists), default=0)
+
+    def close(self, k: int) -> None:
+        while len(self.nodes) > k:
+            tag = self.nodes.pop().tag
+            self.at[tag].pop()
+            if tag in BLOCK:
+                self.at["#block"].pop()
+
+
+# Elements that an end tag of another name inside them doesn't close, and those that it may.
+FENCES = ("td", "th", "table", "article", "main", "body")
+THROUGH = frozenset("table tr tbody article main body html section div".split())
+
+
 def tree(page: str) -> Node:
     """The elements and texts of a page; broken markup closes what HTML says it closes."""
     root = Node("#root")
-    stack, at = [root], 0
+    stack, at = Open(root), 0
     while at < len(page):
         m = TOKEN.search(page, at)
         if m is None:
-            stack[-1].children.append(page[at:])
+            stack.nodes[-1].children.append(page[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
+            stack.nodes[-1].children.append(page[at : m.start()])
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("td", "th", "table", "article", "main", "body") and tag not in ("table", "tr", "tbody", "article", "main", "body", "html", "section", "div"):
-                    break
+            k = stack.last((tag,))
+            if k and (tag in THROUGH or stack.last(FENCES) <= k):
+                stack.close(k)
             continue
         tag, attrs, ended = (m[2], m[3], m[4]) if m[2] else (m[5], m[6], m[7])
         if not tag or not ended:  # a comment, a declaration, or a tag that the page's end cuts
             continue
         tag = tag.lower()
-        if tag in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK:
-                    break
-        if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in FENCE[tag]:
-                    break
-                if stack[k].tag in CLOSES[tag]:
-                    del stack[k:]
-                    break
+        if tag in BLOCK and (k := stack.last(("p",))) and stack.last(("#block",)) <= k:
+            stack.close(k)
+        if tag in CLOSES and (k := stack.first(CLOSES[tag], stack.last(FENCE[tag]))):
+            stack.close(k)
         node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        stack.nodes[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             if tag == "xmp":
                 node.children.append(page[at : end.start() if end else len(page)])
             at = end.end() if end else len(page)
         elif tag not in VOID and not attrs.endswith("/"):
-            stack.append(node)
+            stack.push(node)
     return root
 
 
@@ -144,7 +169,7 @@ def walk(node: Node):
 
 
 def main_nodes(root: Node) -> list[Node]:
-    """The page's articles, else its main element, else its named contents, else its body."""
+    """The page's articles, unless its main element holds more than twice their words, else that, else its named contents, else its body."""
 
     def top(wanted) -> list[Node]:
         found, todo = [], [root]
@@ -161,9 +186,14 @@ def main_nodes(root: Node) -> list[Node]:
     def role(n: Node) -> str:
         return n.attributes().get("role", "").lower() if n.attrs else ""
 
-    for wanted in (lambda n: n.tag == "article" or role(n) == "article", lambda n: n.tag == "main" or role(n) == "main"):
-        if found := top(wanted):
-            return found
+    def held(nodes: list[Node]) -> int:
+        return sum(len(rendered(n, True).split()) for n in nodes)
+
+    articles, mains = (top(lambda n, t=t: n.tag == t or role(n) == t) for t in ("article", "main"))
+    if articles and not (mains and 2 * held(articles) < held(mains)):  # a main element may hold a teaser
+        return articles
+    if mains:
+        return mains
     if found := top(lambda n: n.tag in ("div", "section", "td") and bool(n.attrs) and bool(tokens_of(n)[0] & BODIES)):
         return found
     return top(lambda n: n.tag == "body") or [root]
@@ -182,57 +212,93 @@ def named(tag: str, attrs: str) -> str:
     return _DIGITS.sub("", f"{tag}.{given.get('class', '')}#{given.get('id', '')}".lower())
 
 
-def hashed(root: Node) -> None:
-    """Sets words of every element, and shape of every block."""
-    order: list[tuple[Node, str]] = []
-    todo = [(root, "")]
+def hashed(root: Node, host: str = "") -> tuple[list[Node], list[int], list[int]]:
+    """Sets key and shape of every block, hashes that hold the host, and words, those of its own lines.
+
+    Returns the blocks in page order, the number of each one's parent among them (-1
+    for the root's), and the smallest hash of a five-word shingle of its own words.
+    """
+    seed = xxhash.xxh64_intdigest(host.encode())
+    blocks_of, parents, texts = [root], [-1], {}
+    nodes: list[tuple[Node, int]] = []
+    todo: list[tuple] = [(root, 0, seed)]
     while todo:
-        n, path = todo.pop()
-        path = f"{path}/{named(n.tag, n.attrs)}"
-        order.append((n, path))
-        n.words = 0
+        n, block, path = todo.pop()
+        if isinstance(n, str):
+            texts.setdefault(block, []).append(n)
+            continue
+        if n.tag in BLOCK and n is not root:
+            parents.append(block)
+            block = len(blocks_of)
+            blocks_of.append(n)
+        path = xxhash.xxh64_intdigest(named(n.tag, n.attrs).encode(), path)
+        nodes.append((n, path))
         if n.tag not in SILENT:
-            for c in n.children:
-                if isinstance(c, str):
-                    n.words += len(c.split())
-                elif c.children:
-                    todo.append((c, path))
-    for n, path in reversed(order):
-        below = set()
-        for c in n.children:
-            if isinstance(c, Node) and c.children:
-                n.words += c.words
+            todo += [(c, block, path) for c in reversed(n.children)]
+    for n, path in reversed(nodes):
+        below, parts = set(), [f"<{n.tag} {n.attrs.strip() if n.tag != 'a' else ''}>"]  # but for where links lead
+        for c in n.children if n.tag not in SILENT else ():
+            if isinstance(c, str):
+                parts += c.split()
+            else:
+                parts.append(f"{c.key:x}>")
                 if c.tag in BLOCK:
                     below.add(c.shape)
-        if n.tag in BLOCK:
-            n.shape = xxhash.xxh64_intdigest(",".join(map(str, sorted(below))) + path) >> 1
+        n.key = xxhash.xxh64_intdigest(" ".join(parts).encode(), seed) >> 1
+        if n.tag in BLOCK or n is root:
+            n.shape = xxhash.xxh64_intdigest(",".join(map(str, sorted(below))).encode(), path) >> 1
+    lows = [0] * len(blocks_of)
+    for k, own in texts.items():
+        words = " ".join(own).lower().encode().split()
+        blocks_of[k].words = len(words)
+        if words:
+            lows[k] = int(window_hashes(word_hashes(words), min(5, len(words))).min() >> np.uint64(1))
+    return blocks_of, parents, lows
+
+
+def varying(keys, parents, words, recurring) -> list[int]:
+    """Words of each block and of those below it that lie in no recurring subtree; blocks in page order."""
+    dead, out = [], []
+    for key, parent, n in zip(keys, parents, words):
+        gone = key in recurring or (parent >= 0 and dead[parent])
+        dead.append(gone)
+        out.append(0 if gone else n)
+    for k in range(len(out) - 1, 0, -1):
+        out[parents[k]] += out[k]
+    return out
 
 
-def exact(node: Node) -> int:
-    """Hash of elements, attributes and texts, but for where links lead."""
-    parts: list[str] = []
-    todo: list = [node]
+def blocks(node: Node) -> list[Node]:
+    """The nearest blocks below."""
+    out, todo = [], [c for c in reversed(node.children) if isinstance(c, Node)]
     while todo:
-        n = todo.pop()
-        if isinstance(n, str):
-            parts += n.split()
-        else:
-            parts.append(f"<{n.tag} {n.attrs.strip() if n.tag != 'a' else ''}")
-            todo += ["</", *reversed(n.children)]
-    return xxhash.xxh64_intdigest(" ".join(parts)) >> 1
+        c = todo.pop()
+        if c.tag in BLOCK:
+            out.append(c)
+        elif c.tag not in SILENT:
+            todo += [x for x in reversed(c.children) if isinstance(x, Node)]
+    return out
 
 
-def blocks(node: Node) -> list[Node]:
-    return [c for c in node.children if isinstance(c, Node) and c.tag in BLOCK]
+def heavy(node: Node) -> int:
+    """Words below."""
+    return node.words + sum(n.words for n in walk(node) if n.tag in BLOCK)
 
 
-def edges(node: Node) -> list[Node]:
-    """Short blocks below that come first or last in their parent, headings apart."""
-    out, todo = [], [node]
+def edges(node: Node, common, inside: bool) -> list[Node]:
+    """Blocks below of common key that come first or last in their parent, one after another; headings stay."""
+    out, todo = [], [(node, inside)]
     while todo:
-        own = [c for c in blocks(todo.pop()) if c.words and c.tag not in HEADINGS]
-        out += [c for c in (own[:1] + own[1:][-1:]) if c.words <= SHORT]
-        todo += own
+        n, inside = todo.pop()
+        own = [c for c in blocks(n) if c.tag not in HEADINGS and (c.words or blocks(c))]
+
+        def goes(c: Node, inside=inside) -> bool:
+            return c.key in common and not (inside and heavy(c) > SHORT) and not holds_article(c)
+
+        first = next((k for k, c in enumerate(own) if not goes(c)), len(own))
+        last = next((k for k in range(len(own) - 1, first - 1, -1) if not goes(own[k])), first - 1)
+        out += own[:first] + own[last + 1 :]
+        todo += [(c, inside or c.tag in ("article", "main")) for c in own[first : last + 1]]
     return out
 
 
@@ -240,21 +306,34 @@ def holds_article(node: Node) -> bool:
     return node.tag in ("article", "main") or any(c.tag in ("article", "main") for c in walk(node))
 
 
-def template_nodes(root: Node, shapes: dict[int, float], recurring: frozenset | set, share: float = SHARE) -> list[Node]:
-    """Subtrees of a hashed page that are its site's template. shapes: the mean share of the page's words of each shape that recurs."""
+class Recurring(dict):
+    """key -> (mean share, common) of the subtrees of a host that recur; exact ones have no share."""
+
+    def shares(self) -> dict[int, float]:
+        return {k: share for k, (share, _) in self.items() if share is not None}
+
+
+def template_nodes(root: Node, lookup, host: str = "", share: float = SHARE) -> list[Node]:
+    """Subtrees of a page that are its site's template; lookup: keys -> those that recur."""
+    found, parents, _ = hashed(root, host)
+    known = lookup([x for n in found for x in (n.key, n.shape)])
+    shapes, exact = known.shares(), {k for k, (x, _) in known.items() if x is None}
+    for n, words in zip(found, varying([n.key for n in found], parents, [n.words for n in found], exact)):
+        n.varying = words
     out: list[Node] = []
-    top = root
-    while True:
+    top, inside = root, False
+    while root.varying:
         own = blocks(top)
-        of = {id(c): shapes.get(c.shape, c.words / max(1, root.words)) for c in own}  # a shape that doesn't recur: its share of this page
-        down = [c for c in own if of[id(c)] >= share and blocks(c)]
+        of = {id(c): shapes.get(c.shape, c.varying / root.varying) for c in own}  # a shape that doesn't recur: its share of this page
+        down = [c for c in own if of[id(c)] >= share and c.varying and blocks(c)]
         if len(down) != 1:  # the content
             break
         most = max(of.values())
-        out += [c for c in own if c.shape in shapes and c is not down[0] and of[id(c)] < min(share, most) and not holds_article(c)]
+        out += [c for c in own if (c.shape in shapes or c.key in exact) and c is not down[0] and of[id(c)] < min(share, most) and not holds_article(c)]
         top = down[0]
+        inside = inside or top.tag in ("article", "main")
     gone = set(map(id, out))
-    return out + [n for n in edges(top) if id(n) not in gone and exact(n) in recurring] if recurring else out
+    return out + [n for n in edges(top, {k for k, (x, c) in known.items() if x is None and c}, inside) if id(n) not in gone]
 
 
 def rendered(node: Node, inside: bool, lists: bool = True) -> str:
@@ -293,13 +372,12 @@ def rendered(node: Node, inside: bool, lists: bool = True) -> str:
     return "\n".join(lines)
 
 
-def main_text(page: str, shapes: dict[int, float] | None = None, recurring: frozenset | set = frozenset(), lists: bool = True) -> tuple[str, int]:
+def main_text(page: str, lookup=None, host: str = "", lists: bool = True) -> tuple[str, int]:
     """The text of a page, and how many template subtrees it lost; without `lists` by the counts alone."""
     root = tree(page)
     lost = 0
-    if shapes or recurring:
-        hashed(root)
-        gone = set(map(id, template_nodes(root, shapes or {}, recurring)))
+    if lookup:
+        gone = set(map(id, template_nodes(root, lookup, host)))
         lost = len(gone)
         for n in [root, *walk(root)] if gone else ():
             n.children = [c for c in n.children if id(c) not in gone]
@@ -312,48 +390,105 @@ def host(url: str = "url"):
     return F.lower(F.coalesce(F.try_parse_url(F.col(url), F.lit("HOST")), F.lit("")))
 
 
-def content_of(root: Node) -> int:
-    """The smallest hash of a five-word shingle of the page's text, alike for copies and most near copies."""
-    texts: list[str] = []
-    todo: list = [root]
-    while todo:
-        n = todo.pop()
-        if isinstance(n, str):
-            texts.append(n)
-        elif n.tag not in SILENT:
-            todo += reversed(n.children)
-    words = " ".join(texts).lower().encode().split()
-    h = window_hashes(word_hashes(words), min(5, max(1, len(words))))
-    return int(h.min() >> np.uint64(1)) if len(h) else 0
+PROFILE = "host string, page binary, exact array<long>, shape array<long>, parent array<int>, words array<int>, low array<long>"
 
 
-def subtrees(pages: DataFrame) -> DataFrame:
-    """host, content, kind (shape, exact, page), hash, share: of each page, its shapes with their mean share of the words, its short blocks at edges, and itself."""
+def profiles(pages: DataFrame) -> DataFrame:
+    """A row for each page: host, page (a digest of the html), and of its blocks in page order the hashes, the parents, the words of their own and their smallest shingles."""
+
+    def run(b: pa.RecordBatch) -> dict:
+        cols: dict[str, list] = {"exact": [], "shape": [], "parent": [], "words": [], "low": []}
+        for h, page in zip(b.column(0).to_pylist(), b.column(2)):
+            found, parents, lows = hashed(tree(page.as_py().decode("utf-8", "replace")), h)
+            for name, values in (("exact", [n.key for n in found]), ("shape", [n.shape for n in found]), ("parent", parents), ("words", [n.words for n in found]), ("low", lows)):
+                cols[name].append(values)
+        return {"host": b.column(0), "page": b.column(1), **cols}
+
+    own = pages.select(host().alias("host"), text_bytes("html").alias("html"))
+    return mapped(own.select("host", F.unhex(F.md5("html")).alias("page"), "html"), run, PROFILE)
+
+
+class Known:
+    """A table of recurring keys (key, share, common) at hand in every task: as sorted arrays that are broadcast, or, if it has more than HASHES rows, joined to each page."""
+
+    def __init__(self, found: DataFrame, profiled: DataFrame):
+        self.found, self.profiled = found, profiled
+        self.shared = None
+        if found.limit(HASHES + 1).count() <= HASHES:
+            rows = found.toArrow().sort_by("key")  # at most HASHES rows of 17 bytes
+            share = rows["share"].to_numpy()
+            self.shared = found.sparkSession.sparkContext.broadcast((rows["key"].to_numpy(), share, rows["common"].to_numpy()))
+
+    def joined(self, pages: DataFrame) -> DataFrame:
+        """`pages`, with host and page, and a column `known` of the recurring subtrees of each."""
+        if self.shared is not None:
+            return pages.withColumn("known", F.lit(None).cast("array<struct<key:long,share:double,common:boolean>>"))
+        keys = self.profiled.select("host", "page", F.explode(F.array_distinct(F.concat("exact", "shape"))).alias("key")).distinct()
+        of = keys.join(self.found, "key").groupBy("host", "page").agg(F.collect_list(F.struct("key", "share", "common")).alias("known"))
+        return pages.join(of, ["host", "page"], "left")
+
+    def reader(self):
+        """A function of a page's keys and its column `known`, for tasks."""
+        shared = self.shared
+
+        def read(keys: list[int], column) -> Recurring:
+            if shared is None:
+                return Recurring({x["key"]: (x["share"], x["common"]) for x in column or ()})
+            at, share, common = shared.value
+            own = np.unique(np.array(keys, np.int64))
+            where = np.searchsorted(at, own)
+            hit = where < len(at)
+            hit[hit] = at[where[hit]] == own[hit]
+            return Recurring({int(k): (None if share[w] != share[w] else float(share[w]), bool(common[w])) for k, w in zip(own[hit], where[hit])})
+
+        return read
+
+
+def subtrees(profiled: DataFrame, repeated: Known) -> DataFrame:
+    """host, content, kind (shape, exact, page), key, share: of each page, its shapes with their mean share of the varying words, its subtrees that recur on pages, and itself."""
+    read = repeated.reader()
 
     def run(b: pa.RecordBatch) -> dict:
         rows: list[tuple] = []
-        for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            root = tree(page.decode())
-            hashed(root)
-            content, whole = content_of(root), max(1, root.words)
-            shapes: dict[int, list[float]] = {}
-            for n in walk(root):
-                if n.shape:
-                    shapes.setdefault(n.shape, []).append(n.words / whole)
-            rows += [(h, content, "shape", k, sum(x) / len(x)) for k, x in shapes.items()]
-            rows += [(h, content, "exact", k, 0.0) for k in set(map(exact, edges(root)))]
-            rows.append((h, content, "page", 0, 0.0))
-        return dict(zip(("host", "content", "kind", "hash", "share"), zip(*rows) if rows else [[]] * 5))
-
-    return mapped(pages.select(host().alias("host"), text_bytes("html")), run, "host string, content long, kind string, hash long, share double")
-
-
-def site_templates(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
-    """host, kind, hash, n (contents), share: shapes on `least` contents or more, and blocks on as many and on `share` of the host's."""
-    once = subtrees(pages).groupBy("host", "kind", "hash", "content").agg(F.max("share").alias("share"))
-    seen = written(once.groupBy("host", "kind", "hash").agg(F.count("*").alias("n"), F.round(F.avg("share"), 6).alias("share")).filter((F.col("n") >= least) | (F.col("kind") == "page")))
+        names = b.schema.names
+        for r in zip(*(c.to_pylist() for c in b.columns)):
+            r = dict(zip(names, r))
+            known = read(r["exact"], r["known"])
+            live = varying(r["exact"], r["parent"], r["words"], known)
+            own = varying_own(r["exact"], r["parent"], known)
+            content = min((low for low, n, alive in zip(r["low"], r["words"], own) if n and alive), default=0)
+            shapes: dict[int, list[int]] = {}
+            for key, n in zip(r["shape"], live):
+                shapes.setdefault(key, []).append(n)
+            rows += [(r["host"], content, "shape", k, sum(x) / len(x) / live[0] if live[0] else None) for k, x in shapes.items()]
+            rows += [(r["host"], content, "exact", k, None) for k in set(r["exact"]) if k in known]
+            rows.append((r["host"], content, "page", 0, None))
+        return dict(zip(("host", "content", "kind", "key", "share"), zip(*rows) if rows else [[]] * 5))
+
+    return mapped(repeated.joined(profiled), run, "host string, content long, kind string, key long, share double")
+
+
+def varying_own(keys, parents, recurring) -> list[bool]:
+    """Whether each block lies in no recurring subtree."""
+    out: list[bool] = []
+    for key, parent in zip(keys, parents):
+        out.append(key not in recurring and (parent < 0 or out[parent]))
+    return out
+
+
+def repeats(profiled: DataFrame, least: int = PAGES) -> DataFrame:
+    """key, share (null), common: exact subtrees of `least` pages or more of a host."""
+    each = profiled.select("page", "host", F.explode(F.array_distinct("exact")).alias("key")).dropDuplicates(["host", "page", "key"])
+    return each.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("key", F.lit(None).cast("double").alias("share"), F.lit(True).alias("common"))
+
+
+def site_templates(profiled: DataFrame, repeated: Known, least: int = PAGES, share: float = SHARE) -> DataFrame:
+    """host, kind, key, n (contents), share, common (on `share` of the host's contents): shapes and subtrees on `least` contents or more."""
+    once = subtrees(profiled, repeated).groupBy("host", "kind", "key", "content").agg(F.max("share").alias("share"))
+    seen = written(once.groupBy("host", "kind", "key").agg(F.count("*").alias("n"), F.round(F.avg("share"), 6).alias("share")).filter((F.col("n") >= least) | (F.col("kind") == "page")))
     whole = seen.filter("kind = 'page'").select("host", F.col("n").alias("of"))
-    return seen.filter("kind <> 'page'").join(few(whole), "host").filter((F.col("kind") == "shape") | (F.col("n") >= share * F.col("of"))).drop("of")
+    own = seen.filter("kind <> 'page'").join(few(whole), "host").withColumn("common", F.col("n") >= share * F.col("of")).drop("of")
+    return own.withColumn("share", F.when(F.col("kind") == "shape", F.coalesce("share", F.lit(0.0))))
 
 
 def extracted(pages: DataFrame, least: int = PAGES, share: float = SHARE, lists: bool = True) -> DataFrame:
@@ -361,19 +496,19 @@ def extracted(pages: DataFrame, least: int = PAGES, share: float = SHARE, lists:
 
     A null html is an empty page, a null or broken url the host ''. Other
     columns are not read; repeated rows repeat and count once as content. Pages of
-    any length are read whole. An empty table gives an empty result.
+    any length are read whole, in memory that grows with the page. An empty table
+    gives an empty result.
     """
     ship(pages.sparkSession)
-    found = written(site_templates(pages, least, share))
-    both = F.collect_list(F.when(F.col("kind") == "shape", F.struct("hash", "share"))).alias("shapes"), F.collect_set(F.when(F.col("kind") == "exact", F.col("hash"))).alias("exact")
-    of = found.groupBy("host").agg(*both)
-    own = pages.select("page_id", "url", "html").withColumn("__host", host())
-    own = own.join(F.broadcast(of) if found.limit(HASHES + 1).count() <= HASHES else of, own["__host"] == of["host"], "left").select("page_id", "url", text_bytes("html"), "shapes", "exact")
+    profiled = written(profiles(pages))
+    repeated = Known(written(repeats(profiled, least)), profiled)
+    known = Known(written(site_templates(profiled, repeated, least, share).select("key", "share", "common")), profiled)
+    own = pages.select("page_id", "url", host().alias("host"), text_bytes("html").alias("html")).withColumn("page", F.unhex(F.md5("html")))
+    own = known.joined(own).select("page_id", "url", "host", "html", "known")
+    read = known.reader()
 
     def run(b: pa.RecordBatch) -> dict:
-        out = []
-        for page, shapes, exact in zip(*(b.column(k).to_pylist() for k in (2, 3, 4))):
-            out.append(main_text(page.decode(), {x["hash"]: x["share"] for x in shapes or ()}, frozenset(exact or ()), lists))
+        out = [main_text(page.as_py().decode("utf-8", "replace"), partial(read, column=column), h, lists) for h, page, column in zip(b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist())]
         return {"page_id": b.column(0), "url": b.column(1), "text": [t for t, _ in out], "n_chars": [len(t) for t, _ in out], "n_templates": [n for _, n in out]}
 
     return mapped(own, run, "page_id long, url string, text string, n_chars long, n_templates long")

@@ -1,6 +1,9 @@
 import re
+import time
+import tracemalloc
 
 import numpy as np
+import pytest
 
 from partmill.llm import templates
 
@@ -52,27 +55,82 @@ def test_copies_count_once(spark):
 
 
 def test_counts_equal_plain_ones(spark):
-    """n of each hash against a count in Python, over all pages of a table."""
+    """Pages of each recurring subtree, then contents of each hash, against counts in Python over all pages of a table."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    got = {(r.host, r.kind, r.hash): r.n for r in templates.site_templates(pages).collect()}
-    seen: dict = {}
-    whole: dict = {}
+    profiled = templates.profiles(pages).cache()
+    repeated = templates.Known(templates.repeats(profiled), profiled)
+    got = {(r.kind, r.key): (r.n, r.common) for r in templates.site_templates(profiled, repeated).collect()}
+    read, on_pages = {}, {}
     for r in pages.collect():
         host = re.match(r"^[a-z]+://([^/?#:]*)", r.url or "")
         host = host[1].lower() if host else ""
-        root = templates.tree(r.html or "")
-        templates.hashed(root)
-        content = templates.content_of(root)
+        read[host, r.html or ""] = templates.hashed(templates.tree(r.html or ""), host)
+        for n in read[host, r.html or ""][0]:
+            on_pages.setdefault(n.key, set()).add((host, r.html or ""))
+    often = {k for k, v in on_pages.items() if len(v) >= templates.PAGES}
+    assert {r.key for r in repeated.found.collect()} == often
+    seen, whole = {}, {}
+    for (host, _), (found, parents, lows) in read.items():
+        def dead(k, found=found, parents=parents):
+            return k >= 0 and (found[k].key in often or dead(parents[k]))
+
+        content = min((low for k, (n, low) in enumerate(zip(found, lows)) if n.words and not dead(k)), default=0)
         whole.setdefault(host, set()).add(content)
-        for n in templates.walk(root):
-            if n.shape:
-                seen.setdefault((host, "shape", n.shape), set()).add(content)
-        for n in templates.edges(root):
-            seen.setdefault((host, "exact", templates.exact(n)), set()).add(content)
-    want = {k: len(v) for k, v in seen.items() if len(v) >= templates.PAGES and (k[1] == "shape" or len(v) >= templates.SHARE * len(whole[k[0]]))}
+        for n in found:
+            seen.setdefault(("shape", n.shape), (host, set()))[1].add(content)
+            if n.key in often:
+                seen.setdefault(("exact", n.key), (host, set()))[1].add(content)
+    want = {k: (len(v), len(v) >= templates.SHARE * len(whole[h])) for k, (h, v) in seen.items() if len(v) >= templates.PAGES}
     assert got == want and len(want) > 50
 
 
+@pytest.mark.parametrize("words", [10, 20, 40, 100, 300])
+@pytest.mark.parametrize("hashes", [templates.HASHES, 0])
+def test_large_menus_go_and_short_articles_stay(spark, monkeypatch, words, hashes):
+    """By the counts alone, whatever part of the page is template; also where recurring hashes are joined to pages."""
+    monkeypatch.setattr(templates, "HASHES", hashes)
+    menu = "".join(f"<a href=/{k}>{prose(k + 500, 3)}</a> " for k in range(60))
+    page = lambda k: f"<body><div>{menu}</div><div><p>{prose(k, words // 2)}</p><p>{prose(k + 100, words - words // 2)}</p></div><div>{prose(7, 80)}</div></body>"
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(50)]
+    got = texts(spark, rows, lists=False)
+    assert got == {k: f"{prose(k, words // 2)}\n{prose(k + 100, words - words // 2)}" for k in range(50)}
+
+
+def test_copies_beside_other_articles_stay(spark):
+    """An article that twenty pages copy is one content, and no template, whatever the menu weighs."""
+    page = lambda k: f"<body><div>{prose(900, 200)}</div><div><p>{prose(k)}</p><p>{prose(k + 100)}</p></div><div>{prose(901, 90)}</div></body>"
+    rows = [(k, f"http://a.example/{k}", page(max(0, k - 20)).replace("</div></body>", f"</div><!-- {k} --></body>")) for k in range(30)]
+    got = texts(spark, rows, lists=False)
+    assert got == {k: f"{prose(max(0, k - 20))}\n{prose(max(0, k - 20) + 100)}" for k in range(30)}
+
+
+def test_flat_pages(spark):
+    """Menus and footers beside the article's paragraphs, several of them."""
+    page = lambda k: f"<body><ul><li>{prose(900, 200)}</li></ul><div>{prose(903, 50)}</div><p>{prose(k)}</p><p>{prose(k + 100)}</p><div>{prose(902, 40)}</div><div>{prose(901, 90)}</div></body>"
+    got = texts(spark, [(k, f"http://a.example/{k}", page(k)) for k in range(12)], lists=False)
+    assert got == {k: f"{prose(k)}\n{prose(k + 100)}" for k in range(12)}
+
+
+def test_a_teaser_is_not_the_main_text():
+    page = f"<body><main><p>{prose(1)}</p><article><a href=x>{prose(2, 8)}</a></article><p>{prose(3)}</p></main></body>"
+    assert templates.main_text(page)[0].split("\n") == [prose(1), prose(2, 8), prose(3)]
+
+
+def test_deep_and_broken_markup_in_little_memory_and_time():
+    """Memory by the page's size, whatever its depth; stray end tags and unclosed items take no scan each."""
+    tracemalloc.start()
+    page = "<div>" * 200_000
+    templates.hashed(templates.tree(page))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6, most
+    began = time.process_time()
+    for page in ("<b>" * 20_000 + "</i>" * 2_000, "<ul><li>" + "<b>" * 20_000 + "<li></li>" * 2_000, "<table>" + "<tr><td>x" * 20_000):
+        templates.hashed(templates.tree(page))
+    assert time.process_time() - began < 5
+    assert templates.rendered(templates.tree("<table><tr><td>a<td>b<tr><td>c</table>d<ul><li>e<li>f<ul><li>g</ul></ul>"), False) == "a\nb\nc\nd\ne\nf\ng"
+
+
 def test_counts_alone_give_the_main_text(spark):
     """On hosts of 20 pages or more menus, adverts and footers go without any list of elements or classes."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
