@@ -86,6 +86,13 @@ def pieces(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatc
         yield batch.slice(k, n)
 
 
+def free_key(taken: set[str], name: str) -> str:
+    """A column name that is not taken."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(col: str = "text"):
     """A text column as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")

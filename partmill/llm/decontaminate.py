@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partmill.llm.common import few, mapped, ship, table, text_bytes, window_hashes, written
+from partmill.llm.common import few, free_key, mapped, ship, table, text_bytes, window_hashes, written
 
 N = 5
 LEAST = 0.8
@@ -178,12 +178,6 @@ def contained_items(docs: DataFrame, items: DataFrame, least: float = LEAST) ->
     return own.select("doc_id", "key").join(few(named), "key").drop("key")
 
 
-def free_key(taken: set[str], name: str) -> str:
-    while name in taken:
-        name += "_"
-    return name
-
-
 def decontaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """`docs`, all columns, without the rows that hold an item.
 

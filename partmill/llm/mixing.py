@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partmill.llm.common import ship, table, written
+from partmill.llm.common import free_key, ship, table, written
 
 ALPHA = 0.5
 SEED = 1
@@ -77,17 +77,20 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     A null source is the source ''. A null doc_id draws like the text 'null';
     repeated rows share one draw and so come equally often. Null and empty
     texts have size 0. An empty table gives an empty result. Columns of `docs`
-    named __copy or __order are replaced.
+    named __copy or __order are replaced; no other name is reserved.
     """
     ship(docs.sparkSession)
     docs = docs.drop("__copy", "__order")
+    taken = {c.lower() for c in docs.columns}
+    source, sums, times = (free_key(taken, c) for c in ("__source", "__table", "__times"))
     rates = written(source_rates(docs, weights, alpha, budget).withColumn("__table", F.when(F.col("__rate") > 0, poisson_table(F.col("__rate")))))  # a row for each source
     few = (rates.agg(F.sum(F.size("__table.sums") + 1)).first()[0] or 0) <= ENTRIES
+    rates = rates.select(F.col("__source").alias(source), F.col("__table").alias(sums))
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))
-    own = docs.withColumn("__source", F.coalesce("source", F.lit("")))
-    own = own.join(F.broadcast(rates) if few else rates, "__source")
-    own = own.withColumn("__times", draw(uniform(key), F.col("__table"))).filter("__times > 0")
-    own = own.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy"))
+    own = docs.withColumn(source, F.coalesce("source", F.lit("")))
+    own = own.join(F.broadcast(rates) if few else rates, source)
+    own = own.withColumn(times, draw(uniform(key), F.col(sums))).filter(F.col(times) > 0)
+    own = own.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias("__copy"))
     order = F.conv(F.substring(F.md5(F.concat(key, F.lit(":"), F.col("__copy").cast("string"))), 1, 15), 16, 10).cast("long")
     return own.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order")
 

@@ -88,9 +88,10 @@ def candidates(prints: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
-    """doc_id, component_id for every row of `docs`: classes of links of Jaccard similarity 0.8 or more.
+    """doc_id, digest (MD5 of the text, null as empty), component_id for every row of `docs`: classes of links of Jaccard similarity 0.8 or more.
 
-    Wordless and null texts are alike. Repeated rows stay. Other columns are not
+    Wordless and null texts are alike. Repeated rows stay; rows that share a doc_id may
+    be of different classes. Other columns are not
     read. An empty table gives an empty result. Rows without doc_id are not
     compared on behalf of a class, so leave them out.
     """
@@ -100,10 +101,10 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
         texts = b.column(1).to_pylist()
         own = [shingles(t, n) for t in texts]
         as_long = lambda x: np.array(x, np.uint64).view(np.int64)
-        return {"doc_id": b.column(0), "fp": as_long([fingerprint(t, n) for t in texts]), "set": as_long([set_id(s) for s in own]), "size": [len(s) for s in own], "keys": [band_keys(s).view(np.int64) for s in own]}
+        return {"doc_id": b.column(0), "digest": b.column(2), "fp": as_long([fingerprint(t, n) for t in texts]), "set": as_long([set_id(s) for s in own]), "size": [len(s) for s in own], "keys": [band_keys(s).view(np.int64) for s in own]}
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
-    prints = written(mapped(text, measure, "doc_id long, fp long, set long, size long, keys array<long>"))
+    prints = written(mapped(text.withColumn("digest", F.md5(text.columns[1])), measure, "doc_id long, digest string, fp long, set long, size long, keys array<long>"))
     sets = written(prints.groupBy("set").agg(F.min("doc_id").alias("first"), F.min("size").alias("size"), F.any_value("keys").alias("keys")))
     own = candidates(prints, sets)
 
@@ -126,4 +127,4 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
 
     found = dealt.groupBy("band", "key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
     roots = written(components(found))
-    return prints.join(few(class_ids(sets, roots, "set")), "set").select("doc_id", "component_id")
+    return prints.join(few(class_ids(sets, roots, "set")), "set").select("doc_id", "digest", "component_id")

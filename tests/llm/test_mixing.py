@@ -39,3 +39,20 @@ def test_sql_gives_the_rows(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
     want = sorted(tuple(map(str, r)) for r in con.sql(mixing.OP10_SQL).fetchall())
     assert got == want and len(got) > 1000
+
+
+@pytest.mark.parametrize("entries", [mixing.ENTRIES, 0])
+def test_clashing_columns_stay(spark, monkeypatch, entries):
+    """Also where tables are joined by a shuffle."""
+    monkeypatch.setattr(mixing, "ENTRIES", entries)
+    names = ["__source", "__rate", "__table", "__times", "__weight", "__Sizes", "rate"]
+    rows = [(k, "x" * (k + 1), "en", "ab"[k % 2], 1, *[f"{n}{k}" for n in names]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    got = mixing.mixed(docs)
+    assert got.columns == [*docs.columns, "__copy", "__order"]
+    plain = mixing.mixed(docs.drop(*names))
+    own = sorted((r.doc_id, r["__copy"], r["__order"]) for r in plain.collect())
+    rows = got.collect()
+    assert sorted((r.doc_id, r["__copy"], r["__order"]) for r in rows) == own and len(own) > 20
+    assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    assert mixing.mixed(docs.limit(0)).collect() == []
