@@ -2,9 +2,9 @@
 
 `parts` has at least doc_id, row_seq, page, fig_no, fig_name, ref_no, part_no,
 description, remarks and qty (map of model to quantity). Order is row_seq within
-doc_id. Windows over a document share one partitioning and one sort; the columns
-of `with_runs` are computed once where several operators follow each other on its
-result.
+doc_id. The columns of `with_runs` are computed once where several operators follow
+each other on its result. Runs and blocks are scanned in chunks of rows, so that a document isn't one
+task; a window covers at most the rows of one reference or figure.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partmill.functions.scalars import SECTIONS, catalogue_code, is_valid_quantity, letter_suffix, strip
-
+from partmill.operators.scan import by_rows, carried
 
 
 def rows_of():
@@ -49,16 +49,14 @@ def with_runs(parts: DataFrame) -> DataFrame:
 
     Custom rows start a run only where they are parents and don't change the key that others are compared with.
     """
-    custom = custom_flag(parts)
-    own = parts.withColumn("fig_key", fig_key(parts)).withColumn("__custom", custom)
-    before = rows_of().rowsBetween(Window.unboundedPreceding, -1)
+    own = parts.withColumn("fig_key", fig_key(parts)).withColumn("__custom", custom_flag(parts))
     parent = F.coalesce("is_parent", F.lit(False)) if "is_parent" in parts.columns else F.lit(False)
-    last = F.last(F.when(~F.col("__custom") | parent, F.col("fig_key")), ignorenulls=True).over(before)
-    own = own.withColumn("__last", last)
+    own = carried(own, ["doc_id"], ["row_seq"], by_rows(), before={"__last": F.when(~F.col("__custom") | parent, F.col("fig_key"))})
     start = F.when(F.col("__custom"), parent).otherwise(F.col("__last").isNull() | (F.col("__last") != F.col("fig_key")))
-    own = own.withColumn("first_in_run", start).withColumn("run", F.sum(F.col("first_in_run").cast("int")).over(rows_of()))
-    offset = F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("row_seq")) - 1
-    return own.withColumn("run_offset", offset).drop("__last", "__custom")
+    own = own.withColumn("first_in_run", start)
+    own = carried(own, ["doc_id"], ["row_seq"], by_rows(), sums={"run": F.col("first_in_run").cast("int")})
+    own = carried(own, ["doc_id", "run"], ["row_seq"], by_rows(), sums={"run_offset": F.lit(1)})
+    return own.withColumn("run_offset", (F.col("run_offset") - 1).cast("int")).drop("__last", "__custom")
 
 
 def suffix_repeated_refs(parts: DataFrame) -> DataFrame:
@@ -67,7 +65,7 @@ def suffix_repeated_refs(parts: DataFrame) -> DataFrame:
     block = own
     if "is_parent" in parts.columns:
         starts = F.col("first_in_run") | F.coalesce("is_parent", F.lit(False))
-        block = own.withColumn("__block", F.sum(starts.cast("int")).over(rows_of()))
+        block = carried(own, ["doc_id"], ["row_seq"], by_rows(), sums={"__block": starts.cast("int")})
     else:
         block = own.withColumn("__block", F.col("run"))
     ref = strip("ref_no")

@@ -57,7 +57,33 @@ SELECT image_id, n, n_colors, spread, mean_hue, colored >= 0.025 AS is_colored,
  CASE WHEN n240 = 0 OR v240 / n240 < 0.02 THEN '' WHEN mean_hue < 15 OR mean_hue >= 345 THEN 'RED' WHEN mean_hue < 45 THEN 'ORANGE' WHEN mean_hue < 75 THEN 'YELLOW' WHEN mean_hue < 165 THEN 'GREEN' WHEN mean_hue < 205 THEN 'CYAN' WHEN mean_hue < 265 THEN 'BLUE' ELSE 'PURPLE' END AS hue,
  n_colors >= 70 AND spread >= 18 AND white <= 0.88 AND NOT (black > 0.5 AND white > 0.25) AS is_photo FROM s"""
 
+# Pages of both formats: figures, runs, carried references, names, suffixes and flags, from the rows that the pages show.
+LIFECYCLE = rf"""WITH {CAT}, pg AS (SELECT DISTINCT doc_id, page, fig_no AS no, fig_name AS name, page % 10 AS k FROM cat_rows WHERE page % 10 <> 5),
+s AS (SELECT *, k IN (2, 7) AS b, k NOT IN (2, 4, 7) AS a, min(CASE WHEN k <> 4 THEN page END) OVER (PARTITION BY doc_id) AS start FROM pg),
+l AS (SELECT *, last_value(said IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page) AS fig_name, last_value(said IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior
+  FROM (SELECT *, CASE WHEN a OR k = 2 THEN name WHEN b AND page = start THEN 'FIG 1' END AS said FROM s WHERE page >= start)),
+g AS (SELECT *, b AND (page = start OR (k = 2 AND name <> coalesce(prior, ''))) AS grows FROM l),
+n AS (SELECT *, CASE WHEN a THEN no WHEN grows THEN (sum(grows::INT) OVER (PARTITION BY doc_id ORDER BY page))::VARCHAR END AS number FROM g),
+f AS (SELECT *, last_value(number IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page) AS fig_no, last_value(number IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM n),
+r AS (SELECT *, sum(CASE WHEN b THEN grows WHEN a THEN number <> coalesce(before, '') ELSE false END::INT) OVER (PARTITION BY doc_id ORDER BY page) AS run FROM f),
+e AS (SELECT c.doc_id, c.page, r.fig_no, r.fig_name, run, b, c.row_seq AS nr, CASE WHEN c.row_seq % 4 <> 0 THEN ref_no END AS ref, {X2} AS part_no, {X3} AS description, {X4} AS remarks, qty1, CASE WHEN b THEN '' ELSE qty2 END AS qty2,
+  CASE c.doc_id % 3 WHEN 0 THEN 'BGP1' WHEN 1 THEN 'PGB1' ELSE CASE WHEN b THEN 'MODEL' ELSE 'BGP1' END END AS model, CASE c.doc_id % 3 WHEN 0 THEN 'R15 V4' WHEN 1 THEN 'PGB1' ELSE '' END AS title FROM cat_rows c JOIN r USING (doc_id, page) WHERE k <> 9),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY nr) AS row_seq, coalesce(last_value(ref IGNORE NULLS) OVER (PARTITION BY doc_id, run ORDER BY nr), '') AS ref_no, row_number() OVER (PARTITION BY doc_id, fig_no, fig_name ORDER BY nr) = 1 AS is_parent,
+  coalesce(lag((fig_no, fig_name)) OVER (PARTITION BY doc_id ORDER BY nr) <> (fig_no, fig_name), true) AS starts, max((remarks <> '')::INT) OVER (PARTITION BY doc_id, fig_no, fig_name) = 1 AS has FROM e),
+o AS (SELECT *, sum((starts OR is_parent)::INT) OVER (PARTITION BY doc_id ORDER BY nr) AS block FROM p),
+q AS (SELECT *, count(*) OVER (PARTITION BY doc_id, block, ref_no) AS same, row_number() OVER (PARTITION BY doc_id, block, ref_no ORDER BY nr) AS nth FROM o),
+v AS (SELECT *, 'YAM_' || model || '_' || upper({squeeze("regexp_replace(fig_name, '[^A-Za-z0-9&]+', ' ', 'g')")}) AS code, 'YAMAHA ' || model || CASE WHEN title = '' THEN ' ' ELSE ' ' || title || ' ' END || 'Series ' || upper({squeeze('fig_name')}) AS named FROM q),
+m AS (SELECT doc_id, min(CASE WHEN k NOT IN (2, 7, 9) THEN page END) AS a, min(CASE WHEN b THEN page END) AS b FROM r GROUP BY 1),
+d AS (SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN CASE WHEN a IS NULL THEN c ELSE c || ',BGP2' END WHEN a IS NULL THEN 'MODEL' WHEN b IS NULL THEN 'BGP1,BGP2' WHEN a < b THEN 'BGP1,BGP2,MODEL' ELSE 'MODEL,BGP1,BGP2' END AS models FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'BGP1' ELSE 'PGB1' END AS c FROM m)),
+x AS (SELECT doc_id, max(row_seq) AS last, any_value(models) AS models, split_part(any_value(models), ',', 1) AS model, any_value(title) AS title FROM v JOIN d USING (doc_id) GROUP BY 1),
+y AS (SELECT *, CASE WHEN k < 10 THEN 'PART KITS & SETS' ELSE 'REGULAR SERVICE PARTS' END AS section, k IN (0, 10) AS is_parent FROM x CROSS JOIN (SELECT unnest(range(0, 25)) AS k))
+SELECT doc_id, row_seq, page, fig_no, fig_name, CASE WHEN ref_no <> '' AND same > 1 THEN ref_no || chr((64 + nth)::INT) ELSE ref_no END AS ref_no, part_no, description, remarks, CASE WHEN starts AND has THEN 'X' ELSE '' END AS remark_flag, is_parent, false AS is_custom_section, model AS model_code,
+ CASE WHEN is_parent THEN model ELSE '' END AS item_group, CASE WHEN is_parent THEN code ELSE '' END AS catalogue_code, CASE WHEN is_parent THEN named ELSE '' END AS model_name, CASE WHEN is_parent THEN code || '.jpeg' ELSE '' END AS pic_path, models, qty1 AS q1, qty2 AS q2 FROM v JOIN d USING (doc_id)
+UNION ALL SELECT doc_id, last + 1 + k, NULL, '', CASE WHEN is_parent THEN section ELSE '' END, '', '', '', '', '', is_parent, true, model, CASE WHEN is_parent THEN model ELSE '' END, CASE WHEN is_parent THEN 'YAM_' || model || '_' || section ELSE '' END,
+ CASE WHEN is_parent THEN 'YAMAHA ' || model || CASE WHEN title = '' THEN ' ' ELSE ' ' || title || ' ' END || 'Series ' || section ELSE '' END, CASE WHEN is_parent THEN 'YAM_' || model || '_' || section || '.jpeg' ELSE '' END, models, '', '' FROM y"""
+
 ORACLE_SQL = {
+    "x18_w5_lifecycle": LIFECYCLE,
     "flagship_part_counts": f"{RUNS}, f AS (SELECT *, {SUFFIXED} AS ref2, CASE WHEN starts AND has = 1 THEN 'X' ELSE '' END AS flag FROM o), m AS (SELECT *, 'BGP1' AS model, qty1 AS q FROM f UNION ALL SELECT *, 'BGP2', qty2 FROM f) SELECT doc_id, model, count(*) AS parts, count_if(regexp_matches(ref2, '[A-Z]$'))::BIGINT AS suffixed, count_if(flag = 'X')::BIGINT AS flagged, count_if(is_parent)::BIGINT AS parents FROM m WHERE {valid('q')} GROUP BY 1, 2",
     "x1_x4_texts": f"WITH {CAT} SELECT doc_id, row_seq, {X1} AS x1, {X2} AS x2, {X3} AS x3, {X4} AS x4 FROM cat_rows",
     "x5_x6_x7_x10_x27_codes": rf"WITH {CAT}, c AS (SELECT *, (row_seq % 800)::INT AS i, upper(trim(regexp_replace(fig_name, '[^A-Za-z0-9&]+', ' ', 'g'))) AS n FROM cat_rows) SELECT doc_id, row_seq, CASE WHEN i < 26 THEN chr(65 + i) WHEN i < 702 THEN chr(64 + i // 26) || chr(65 + i % 26) ELSE chr(65 + (i - 702) // 676) || chr(65 + (i - 702) // 26 % 26) || chr(65 + i % 26) END AS x5, 'YAM_BGP1_' || n AS x6, 'YAM_BGP1_' || n || '.jpeg' AS x7, 'YAM_B$1_' || n AS x10, trim(replace(fig_name, ' ', '_'), '_') AS x27 FROM c",

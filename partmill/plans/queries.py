@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partmill.functions import scalars as X
-from partmill.operators import edits, export, geometry, images, jobs, model_info, orders, parts, quality
+from partmill.operators import edits, export, geometry, images, jobs, lifecycle, model_info, orders, parts, quality
 from partmill.plans import tables as T
 from partmill.sources import readers
 from partmill.sources.scratch import cut, scratch_path
@@ -388,6 +388,14 @@ def extracted(spark, d):
     return flat(geometry.extract_parts(w, T.page_sizes(w)), "page", "fig_no", "fig_name", "ref_no", "part_no", "description", "remarks")
 
 
+def lifecycle_parts(spark, d):
+    """Catalogues with pages of both formats, from words to finished parts."""
+    words, pages, lines, info = T.cat_mixed(spark, d)
+    own, _ = lifecycle.finished(cut(words), cut(pages), info, cut(lines))
+    shown = ("page", "fig_no", "fig_name", "ref_no", "part_no", "description", "remarks", "remark_flag", "is_parent", "is_custom_section", "model_code", "item_group", "catalogue_code", "model_name", "pic_path")
+    return own.select(*ROW, *shown, F.array_join("models", ",").alias("models"), F.coalesce(F.try_element_at("qty", "model_code"), F.lit("")).alias("q1"), export.quantity("BGP2").alias("q2"))
+
+
 def page_lines(spark, d):
     """Every line of every page."""
     return geometry.line_text(geometry.with_lines(cut(T.cat_words(spark, d)))).select("doc_id", "page", "line_no", "text")
@@ -395,7 +403,7 @@ def page_lines(spark, d):
 
 def page_columns(spark, d):
     w = cut(T.cat_words(spark, d))
-    _, _, columns = geometry.page_tables(w, T.page_sizes(w))
+    _, _, columns, _ = geometry.page_tables(w, T.page_sizes(w))
     return columns.select("doc_id", "page", F.array_join("cols.name", ",").alias("models"))
 
 
@@ -492,5 +500,5 @@ QUERIES = {
     "a13_cart_lines": carts, "a14_cart_totals": cart_sums, "s9_quotation": quotation, "t1_progress_changes": changes, "t2_latest_status": latest, "t3_expired": expired, "a15_batch_totals": batch,
     "t1_streamed_changes": changes_streamed, "t2_streamed_latest": latest_streamed, "t3_streamed_expired": expired_streamed,
     "j7_w13_w14_x18_format_b": format_b, "x23_x24_color_table": color_table, "t4_ingested": ingested,
-    "w1_a8_x13_lines": page_lines, "a9_a10_page_columns": page_columns, "w3_j1_j2_x16_x17_extracted": extracted, "s2_ocr_words": ocr_words, "s3_manifest": manifest, "s4_json_rows": json_rows,
+    "w1_a8_x13_lines": page_lines, "a9_a10_page_columns": page_columns, "x18_w5_lifecycle": lifecycle_parts, "w3_j1_j2_x16_x17_extracted": extracted, "s2_ocr_words": ocr_words, "s3_manifest": manifest, "s4_json_rows": json_rows,
 }

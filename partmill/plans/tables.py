@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from partmill.functions.scalars import clean_description, clean_part_number, clean_remarks
 
-CAT_ROWS = """SELECT cast(l.l_orderkey % 64 AS INT) AS doc_id,
- row_number() OVER (PARTITION BY l.l_orderkey % 64 ORDER BY l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice) AS row_seq,
- cast(floor(l.l_orderkey / 64.0) AS INT) + 1 AS page,
- cast(cast(floor(l.l_orderkey / 64.0) AS INT) + 1 AS STRING) AS fig_no,
+CAT_ROWS = """SELECT cast(floor(l.l_orderkey / 512.0) AS INT) AS doc_id,
+ row_number() OVER (PARTITION BY cast(floor(l.l_orderkey / 512.0) AS INT) ORDER BY l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice) AS row_seq,
+ cast(l.l_orderkey % 512 AS INT) + 1 AS page,
+ cast(cast(l.l_orderkey % 512 AS INT) + 1 AS STRING) AS fig_no,
  o.o_orderpriority AS fig_name,
  cast(l.l_linenumber AS STRING) AS ref_no,
  concat(lpad(cast(l.l_suppkey % 1000 AS STRING), 3, '0'), '-', lpad(cast(l.l_partkey AS STRING), 5, '0'), CASE WHEN l.l_partkey % 3 = 0 THEN '' WHEN l.l_partkey % 3 = 1 THEN '-00' ELSE '-00-P0' END) AS part_no,
@@ -39,6 +39,15 @@ h AS (SELECT p.doc_id, p.page, 'head' AS kind, v.top, v.x0, CASE v.text WHEN '$N
  (50.0,520.0,'1'),(58.0,520.0,'P'),(66.0,520.0,'G'),(74.0,520.0,'B'),(50.0,560.0,'2'),(58.0,560.0,'P'),(66.0,560.0,'G'),(74.0,560.0,'B'),(565.0,420.0,'7')) AS v(top,x0,text))
 SELECT doc_id, page, kind, cast(top AS DOUBLE) AS top, cast(top AS DOUBLE) + 7 AS bottom, cast(x0 AS DOUBLE) AS x0, cast(x0 AS DOUBLE) + 6*length(text) AS x1, text FROM (SELECT * FROM d UNION ALL SELECT * FROM h) u WHERE text <> ''"""
 
+# Words of ruled pages; $NAME stands for the page's title.
+RULED_WORDS = """t AS (SELECT DISTINCT doc_id, page, fig_name FROM b),
+u AS (SELECT doc_id, page, 20.0 AS top, v.x0, CASE v.text WHEN '$NAME' THEN fig_name ELSE v.text END AS text FROM t CROSS JOIN (VALUES (50.0,'TABLE'),(90.0,'7'),(110.0,'$NAME')) AS v(x0,text) WHERE page % 10 = 2
+ UNION ALL SELECT doc_id, page, 60.0, v.x0, v.text FROM t CROSS JOIN (VALUES (600.0,'REF.'),(640.0,'NAME'),(910.0,'PART'),(945.0,'NO.'),(1015.0,'QTY'),(1060.0,'REMARKS')) AS v(x0,text)
+ UNION ALL SELECT doc_id, page, y, 600.0, ref_no FROM b UNION ALL SELECT doc_id, page, y, 640.0, description FROM b
+ UNION ALL SELECT doc_id, page, y, 910.0, substr(part_no, 1, 4) FROM b UNION ALL SELECT doc_id, page, y, 940.0, substr(part_no, 5) FROM b
+ UNION ALL SELECT doc_id, page, y, 1015.0, qty1 FROM b UNION ALL SELECT doc_id, page, y, 1060.0, remarks FROM b)
+SELECT doc_id, page, cast(top AS DOUBLE) AS top, cast(top AS DOUBLE) + 7 AS bottom, cast(x0 AS DOUBLE) AS x0, cast(x0 AS DOUBLE) + CASE WHEN x0 = 600.0 THEN 3 ELSE 6 END * length(text) AS x1, text FROM u WHERE text <> ''"""
+
 # Format B: a ruled band of 20 points for each row; every fourth ref is left out.
 CAT_WORDS_B = """r AS (SELECT c.*, 90.0 + 20 * row_number() OVER (PARTITION BY doc_id, page ORDER BY row_seq) AS top FROM cat_rows c),
 u AS (SELECT doc_id, page, top, 600.0 AS x0, ref_no AS text FROM r WHERE row_seq % 4 <> 0
@@ -95,6 +104,29 @@ def cat_words_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, "WITH " + CAT_WORDS_B, cat_rows=cat_rows(spark, sf_dir))
 
 
+def cat_mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """words, pages, rulings and info of catalogues with pages of every kind, by the last digit of the page's number.
+
+    2 and 7 are ruled (7 without a title), 4 has no heading, 5 is an index page, 9 has no
+    table header. Every fourth reference is left out. Two documents of three have a
+    code, one of these an anagram of a column's name.
+    """
+    rows = cat_rows(spark, sf_dir).withColumn("ref_no", F.when(F.col("row_seq") % 4 == 0, "").otherwise(F.col("ref_no")))
+    kind, ruled = F.col("page") % 10, (F.col("page") % 10).isin(2, 7)
+    own = _sql(spark, "WITH " + CAT_WORDS, cat_rows=rows.filter(~ruled)).drop("kind")
+    own = own.filter(~((kind == 4) & (F.col("top") == 20)) & ~((kind == 9) & (F.col("text") == "DESCRIPTION")))
+    number = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("row_seq"))
+    b = rows.filter(ruled).withColumn("y", 70 + 20 * number)
+    index = own.filter(kind == 5).select("doc_id", "page").distinct().select("doc_id", "page", *[F.lit(v).alias(c) for c, v in (("top", 10.0), ("bottom", 17.0), ("x0", 300.0), ("x1", 390.0))], F.lit("NUMERICAL INDEX").alias("text"))
+    words = own.unionByName(_sql(spark, "WITH " + RULED_WORDS, b=b)).unionByName(index)
+    pages = words.select("doc_id", "page").distinct().select("doc_id", "page", F.when(ruled, 1190.0).otherwise(842.0).alias("page_w"), F.when(ruled, 842.0).otherwise(595.0).alias("page_h"))
+    tops = F.explode(F.concat(F.array(F.lit(50.0)), F.transform(F.sequence(F.lit(0), F.col("n")), lambda k: (80 + 20 * k).cast("double"))))
+    lines = b.groupBy("doc_id", "page").agg(F.count("*").cast("int").alias("n")).select("doc_id", "page", F.lit(590.0).alias("x0"), tops.alias("top"))
+    k = F.col("doc_id") % 3
+    info = rows.select("doc_id").distinct().select("doc_id", F.when(k == 0, "R15 V4").otherwise("").alias("name"), F.when(k == 0, "BGP1").when(k == 1, "PGB1").otherwise("").alias("code"))
+    return words, pages, lines.withColumn("bottom", F.col("top")), info
+
+
 def rulings(words: DataFrame) -> DataFrame:
     """Horizontal lines ten points above and below each row of format B."""
     return words.select("doc_id", "page", F.explode(F.array(F.col("top") - 10, F.col("top") + 10)).alias("top")).distinct()
