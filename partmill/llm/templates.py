@@ -83,7 +83,12 @@ class Open:
         self.nodes.append(node)
 
     def last(self, names) -> int:
-        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+        best = 0
+        for n in names:
+            own = self.at.get(n)
+            if own and own[-1] > best:
+                best = own[-1]
+        return best
 
     def first(self, names, above: int) -> int:
         """The lowest one above a place; 0 if there is none."""
@@ -212,11 +217,11 @@ def named(tag: str, attrs: str) -> str:
     return _DIGITS.sub("", f"{tag}.{given.get('class', '')}#{given.get('id', '')}".lower())
 
 
-def hashed(root: Node, host: str = "") -> tuple[list[Node], list[int], list[int]]:
+def hashed(root: Node, host: str = "") -> tuple[list[Node], list[int], dict[int, list[str]]]:
     """Sets key and shape of every block, hashes that hold the host, and words, those of its own lines.
 
     Returns the blocks in page order, the number of each one's parent among them (-1
-    for the root's), and the smallest hash of a five-word shingle of its own words.
+    for the root's), and the texts of their own, by number.
     """
     seed = xxhash.xxh64_intdigest(host.encode())
     blocks_of, parents, texts = [root], [-1], {}
@@ -247,13 +252,29 @@ def hashed(root: Node, host: str = "") -> tuple[list[Node], list[int], list[int]
         n.key = xxhash.xxh64_intdigest(" ".join(parts).encode(), seed) >> 1
         if n.tag in BLOCK or n is root:
             n.shape = xxhash.xxh64_intdigest(",".join(map(str, sorted(below))).encode(), path) >> 1
-    lows = [0] * len(blocks_of)
     for k, own in texts.items():
-        words = " ".join(own).lower().encode().split()
-        blocks_of[k].words = len(words)
-        if words:
-            lows[k] = int(window_hashes(word_hashes(words), min(5, len(words))).min() >> np.uint64(1))
-    return blocks_of, parents, lows
+        blocks_of[k].words = len(" ".join(own).split())
+    return blocks_of, parents, texts
+
+
+def lows(texts: dict[int, list[str]], n: int) -> list[int]:
+    """The smallest hash of a five-word shingle of the words of each of n blocks; of fewer words, the hash of all; 0 without any."""
+    out, words, starts, at = [0] * n, [], [], []
+    for k, own in texts.items():
+        own = " ".join(own).lower().encode().split()
+        if len(own) >= 5:
+            starts.append(len(words))
+            at.append(k)
+            words += own
+        elif own:
+            out[k] = xxhash.xxh64_intdigest(b" ".join(own)) >> 1
+    if at:
+        h = window_hashes(word_hashes(words), 5)
+        for end in starts[1:]:
+            h[end - 4 : end] = np.uint64(0xFFFFFFFFFFFFFFFF)  # shingles of two blocks
+        for k, low in zip(at, np.minimum.reduceat(h, starts).tolist()):
+            out[k] = low >> 1
+    return out
 
 
 def varying(keys, parents, words, recurring) -> list[int]:
@@ -399,8 +420,8 @@ def profiles(pages: DataFrame) -> DataFrame:
     def run(b: pa.RecordBatch) -> dict:
         cols: dict[str, list] = {"exact": [], "shape": [], "parent": [], "words": [], "low": []}
         for h, page in zip(b.column(0).to_pylist(), b.column(2)):
-            found, parents, lows = hashed(tree(page.as_py().decode("utf-8", "replace")), h)
-            for name, values in (("exact", [n.key for n in found]), ("shape", [n.shape for n in found]), ("parent", parents), ("words", [n.words for n in found]), ("low", lows)):
+            found, parents, texts = hashed(tree(page.as_py().decode("utf-8", "replace")), h)
+            for name, values in (("exact", [n.key for n in found]), ("shape", [n.shape for n in found]), ("parent", parents), ("words", [n.words for n in found]), ("low", lows(texts, len(found)))):
                 cols[name].append(values)
         return {"host": b.column(0), "page": b.column(1), **cols}
 

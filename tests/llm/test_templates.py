@@ -70,7 +70,9 @@ def test_counts_equal_plain_ones(spark):
     often = {k for k, v in on_pages.items() if len(v) >= templates.PAGES}
     assert {r.key for r in repeated.found.collect()} == often
     seen, whole = {}, {}
-    for (host, _), (found, parents, lows) in read.items():
+    for (host, _), (found, parents, own) in read.items():
+        lows = templates.lows(own, len(found))
+
         def dead(k, found=found, parents=parents):
             return k >= 0 and (found[k].key in often or dead(parents[k]))
 
