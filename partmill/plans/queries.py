@@ -408,11 +408,13 @@ def page_columns(spark, d):
 
 
 def streamed(spark, d, fn, mode: str) -> DataFrame:
-    """What `fn` makes of the job events as a stream: all batches of an append, the last one of a complete output."""
+    """All that `fn` makes of the job events as a stream."""
     path = scratch_path(spark)
-    put = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/{f'batch={n}' if mode == 'append' else 'all'}")
+    put = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")
     out = fn(T.job_event_stream(spark, d))
-    out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", scratch_path(spark)).trigger(availableNow=True).start().awaitTermination()
+    with stream.rocksdb(spark):
+        running = out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", scratch_path(spark)).trigger(availableNow=True).start()
+    running.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/*")
 
 
@@ -421,7 +423,10 @@ def changes_streamed(spark, d):
 
 
 def latest_streamed(spark, d):
-    return streamed(spark, d, stream.latest_status_stream, "complete").select("job_id", "status", "page", "events")
+    """The last of each job's updates."""
+    own = streamed(spark, d, stream.latest_status_stream, "update")
+    last = F.max_by(F.struct("status", "page", "events"), F.col("events"))
+    return own.groupBy("job_id").agg(last.alias("l")).select("job_id", "l.*")
 
 
 def expired_streamed(spark, d):
@@ -441,13 +446,14 @@ def color_table(spark, d):
 
 
 def ingested(spark, d):
-    """The catalogue's words as files of whole documents, taken in by the stream."""
+    """The catalogue's words, each document cut over several files and batches, taken in by the stream."""
     words, out = scratch_path(spark), scratch_path(spark)
-    w = T.cat_words(spark, d)
-    w.repartition(8, "doc_id").write.parquet(words)
+    w = cut(T.cat_words(spark, d))
+    w = w.join(w.groupBy("doc_id").agg(F.count_distinct("page").cast("int").alias("n_pages")), "doc_id")
+    w.repartition(6, F.col("page") % 3).write.parquet(words)
     extract = lambda batch: flat(geometry.extract_parts(batch, T.page_sizes(batch)), "page", "fig_no", "ref_no", "part_no")
-    stream.ingest_stream(spark, words, out, w.schema, extract, scratch_path(spark)).awaitTermination()
-    return spark.read.parquet(f"{out}/*")
+    stream.ingest_parts(spark, words, out, w.schema, extract, scratch_path(spark), files=2).awaitTermination()
+    return spark.read.parquet(f"{out}/parts/*")
 
 
 def ocr_words(spark, d):
