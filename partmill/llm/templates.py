@@ -146,10 +146,16 @@ def tree(page: str) -> Node:
     return root
 
 
-def tokens_of(node: Node) -> tuple[set[str], dict[str, str]]:
-    attrs = node.attributes()
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
-    return set(re.split(r"[\s_-]+", names)) | set(names.split()), attrs
+@lru_cache(50_000)
+def _read(attrs: str) -> tuple[frozenset[str], dict[str, str]]:
+    given = Node("", attrs).attributes()
+    names = f"{given.get('class', '')} {given.get('id', '')}".lower()
+    return frozenset(re.split(r"[\s_-]+", names)) | frozenset(names.split()), given
+
+
+def tokens_of(node: Node) -> tuple[frozenset[str], dict[str, str]]:
+    """Words in classes and ids, and the attributes; long ones are read anew each time."""
+    return _read(node.attrs) if len(node.attrs) < 500 else _read.__wrapped__(node.attrs)
 
 
 def boilerplate(node: Node, inside: bool) -> bool:
@@ -189,7 +195,7 @@ def main_nodes(root: Node) -> list[Node]:
         return found
 
     def role(n: Node) -> str:
-        return n.attributes().get("role", "").lower() if n.attrs else ""
+        return tokens_of(n)[1].get("role", "").lower() if n.attrs else ""
 
     def held(nodes: list[Node]) -> int:
         return sum(len(rendered(n, True).split()) for n in nodes)
@@ -229,7 +235,7 @@ def hashed(root: Node, host: str = "") -> tuple[list[Node], list[int], dict[int,
     todo: list[tuple] = [(root, 0, seed)]
     while todo:
         n, block, path = todo.pop()
-        if isinstance(n, str):
+        if n.__class__ is str:
             texts.setdefault(block, []).append(n)
             continue
         if n.tag in BLOCK and n is not root:
@@ -243,11 +249,11 @@ def hashed(root: Node, host: str = "") -> tuple[list[Node], list[int], dict[int,
     for n, path in reversed(nodes):
         below, parts = set(), [f"<{n.tag} {n.attrs.strip() if n.tag != 'a' else ''}>"]  # but for where links lead
         for c in n.children if n.tag not in SILENT else ():
-            if isinstance(c, str):
+            if c.__class__ is str:
                 parts += c.split()
             else:
-                parts.append(f"{c.key:x}>")
-                if c.tag in BLOCK:
+                parts.append(f"{c.key}>")
+                if c.shape:
                     below.add(c.shape)
         n.key = xxhash.xxh64_intdigest(" ".join(parts).encode(), seed) >> 1
         if n.tag in BLOCK or n is root:
@@ -471,25 +477,23 @@ def subtrees(profiled: DataFrame, repeated: Known) -> DataFrame:
 
     def run(b: pa.RecordBatch) -> dict:
         rows: list[tuple] = []
-        names = b.schema.names
-        for r in zip(*(c.to_pylist() for c in b.columns)):
-            r = dict(zip(names, r))
-            known = read(r["exact"], r["known"])
-            live = varying(r["exact"], r["parent"], r["words"], known)
-            own = varying_own(r["exact"], r["parent"], known)
-            content = min((low for low, n, alive in zip(r["low"], r["words"], own) if n and alive), default=0)
+        wanted = ("host", "exact", "shape", "parent", "words", "low", "known")
+        for h, exact, shape, parents, words, low, column in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in wanted)):
+            known = read(exact, column)
+            live = varying(exact, parents, words, known)
+            content = min((x for x, n, alive in zip(low, words, alive_of(exact, parents, known)) if n and alive), default=0)
             shapes: dict[int, list[int]] = {}
-            for key, n in zip(r["shape"], live):
+            for key, n in zip(shape, live):
                 shapes.setdefault(key, []).append(n)
-            rows += [(r["host"], content, "shape", k, sum(x) / len(x) / live[0] if live[0] else None) for k, x in shapes.items()]
-            rows += [(r["host"], content, "exact", k, None) for k in set(r["exact"]) if k in known]
-            rows.append((r["host"], content, "page", 0, None))
+            rows += [(h, content, "shape", k, sum(x) / len(x) / live[0] if live[0] else None) for k, x in shapes.items()]
+            rows += [(h, content, "exact", k, None) for k in known.keys() & set(exact)]
+            rows.append((h, content, "page", 0, None))
         return dict(zip(("host", "content", "kind", "key", "share"), zip(*rows) if rows else [[]] * 5))
 
     return mapped(repeated.joined(profiled), run, "host string, content long, kind string, key long, share double")
 
 
-def varying_own(keys, parents, recurring) -> list[bool]:
+def alive_of(keys, parents, recurring) -> list[bool]:
     """Whether each block lies in no recurring subtree."""
     out: list[bool] = []
     for key, parent in zip(keys, parents):
