@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partmill.functions.scalars import SECTIONS, catalogue_code, is_valid_quantity, letter_suffix, strip
+from partmill.functions.scalars import SECTIONS, build_model_name_record, catalogue_code, detect_brand, extract_raw_model_name, is_valid_quantity, letter_suffix, strip
 from partmill.operators.scan import by_rows, carried
 
 
@@ -102,19 +102,37 @@ def blank_children(parts: DataFrame) -> DataFrame:
     return own.select(*[F.col(f"__{c}").alias(c) if c in PARENT_CELLS else F.col(c) for c in parts.columns])
 
 
-def append_custom_sections(parts: DataFrame, model: str = "MODEL") -> DataFrame:
-    """25 rows of the two custom sections after every document, coded with its model, where it has none."""
+def append_custom_sections(parts: DataFrame, model: str | None = None) -> DataFrame:
+    """25 rows of the two custom sections after every document, where it has none.
+
+    Their code is `model`, else the document's only model, else the first model_code that
+    a row has, else all models joined, else MODEL. Brand and vehicle's name come from the first row
+    with a model_name, the folder of pictures from the first whose pic_path ends with its pic.
+    """
     spark = parts.sparkSession
     own = parts.withColumn("is_custom_section", custom_flag(parts) | F.upper(strip("fig_name")).isin(SECTIONS))
-    docs = own.groupBy("doc_id").agg(F.max("row_seq").alias("__last"), F.max("is_custom_section").alias("__has"), F.min_by(F.map_keys("qty"), "row_seq").alias("__models")).filter("not __has")
+    cell = lambda c: strip(c) if c in parts.columns else F.lit("")
+    pic = F.when(cell("pic") != "", cell("pic")).otherwise(cell("image"))
+    folder = F.when((pic != "") & F.endswith(cell("pic_path"), pic) & (F.length(cell("pic_path")) > F.length(pic)), F.substr(cell("pic_path"), F.lit(1), F.length(cell("pic_path")) - F.length(pic)))
+    first = lambda value, where: F.min_by(value, F.when(where, F.col("row_seq")))
+    docs = own.groupBy("doc_id").agg(
+        F.max("row_seq").alias("__last"), F.max("is_custom_section").alias("__has"), F.min_by(F.map_keys("qty"), "row_seq").alias("__models"),
+        first(F.upper(cell("model_code")), cell("model_code") != "").alias("__code"), first(F.struct(cell("model_name").alias("name"), cell("model_code").alias("code")), cell("model_name") != "").alias("__named"), first(folder, folder.isNotNull()).alias("__folder"),
+    ).filter("not __has")
+    joined = F.array_join(F.filter(F.transform("__models", lambda m: F.upper(strip(m))), lambda m: m != ""), "_")
+    active = F.upper(strip(F.lit(model))) if model else F.when(F.size("__models") == 1, F.upper(strip(F.col("__models")[0]))).otherwise(F.coalesce("__code", F.nullif(joined, F.lit("")), F.lit("MODEL")))
+    docs = docs.withColumn("__active", active).withColumn("__vehicle", F.when(F.col("__named").isNull(), "").otherwise(extract_raw_model_name("__named.name", F.col("__active"), F.col("__named.code"))))
     places = [(k, name, i == 0) for k, (name, i) in enumerate((n, i) for n, size in SECTION_ROWS.items() for i in range(size))]
-    rows = docs.crossJoin(F.broadcast(spark.createDataFrame(places, "__k int, fig_name string, is_parent boolean")))  # 25 rows
-    first = F.coalesce(F.try_element_at("__models", F.lit(1)), F.lit(model))
+    rows = docs.crossJoin(F.broadcast(spark.createDataFrame(places, "__k int, __section string, is_parent boolean")))  # 25 rows
+    at = catalogue_code("__active", "__section")
+    brand = F.when(F.col("__named").isNull(), "YAMAHA").otherwise(detect_brand("__named.name"))
+    shown = {
+        "item_group": F.col("__active"), "fig_name": F.col("__section"), "catalogue_code": at, "model_name": build_model_name_record("__active", "__vehicle", "__section", brand),
+        "pic": F.concat(at, F.lit(".jpeg")), "image": F.concat(at, F.lit(".jpeg")), "pic_path": F.concat(F.coalesce("__folder", F.lit("")), at, F.lit(".jpeg")),
+    }
     added = rows.select(
-        "doc_id", (F.col("__last") + 1 + F.col("__k")).alias("row_seq"), F.lit(None).cast("int").alias("page"), F.lit("").alias("fig_no"),
-        F.when(F.col("is_parent"), F.col("fig_name")).otherwise("").alias("fig_name"), "is_parent", F.lit(True).alias("is_custom_section"),
-        F.when(F.col("is_parent"), catalogue_code(first, "fig_name")).otherwise("").alias("catalogue_code"), F.col("fig_name").alias("parent_fig_name"),
-        *[F.lit("").alias(c) for c in ("ref_no", "part_no", "description", "remarks")],
+        "doc_id", (F.col("__last") + 1 + F.col("__k")).alias("row_seq"), F.lit(None).cast("int").alias("page"), *[F.lit("").alias(c) for c in ("fig_no", "parent_fig_no", "ref_no", "part_no", "description", "remarks")],
+        "is_parent", F.lit(True).alias("is_custom_section"), F.col("__section").alias("parent_fig_name"), F.col("__active").alias("model_code"), *[F.when(F.col("is_parent"), v).otherwise("").alias(c) for c, v in shown.items()],
         F.transform_values(F.map_from_arrays("__models", "__models"), lambda k, v: F.lit("")).alias("qty"),
     )
     return own.unionByName(added, allowMissingColumns=True)

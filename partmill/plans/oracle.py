@@ -45,8 +45,8 @@ JOBS = f"WITH job_events AS ({T.JOB_EVENTS})"
 CART = f"""WITH e AS ({T.CART_EVENTS}), a AS (SELECT *, sum(delta) OVER w AS s FROM e WINDOW w AS (PARTITION BY cart_id, part_no ORDER BY seq)),
  b AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY cart_id, part_no ORDER BY seq)) AS n FROM a),
  c AS (SELECT cart_id, part_no, arg_max(n, seq) AS qty, coalesce(max(CASE WHEN n <= 0 THEN seq END), -1) AS z FROM b GROUP BY 1, 2),
- lines AS (SELECT b.cart_id, b.part_no, arg_min(description, seq) AS description, any_value(qty) AS qty, arg_min(CASE WHEN mrp > 0 THEN mrp ELSE 120.0 END, seq)::DOUBLE AS price, arg_min(CASE WHEN gst_rate > 0 THEN gst_rate ELSE 28 END, seq)::DOUBLE AS gst
-  FROM b JOIN c ON b.cart_id = c.cart_id AND b.part_no = c.part_no AND seq > z WHERE qty > 0 GROUP BY 1, 2)"""
+ firsts AS (SELECT b.cart_id, b.part_no, any_value(qty) AS qty, arg_min({{'d': description, 'm': mrp, 'p': dealer_price, 'g': gst_rate, 'r': ref_no, 'n': fig_no, 'f': fig_name}}, seq) AS x FROM b JOIN c ON b.cart_id = c.cart_id AND b.part_no = c.part_no AND seq > z WHERE qty > 0 GROUP BY 1, 2),
+ lines AS (SELECT cart_id, part_no, qty, CASE WHEN x.d = '' THEN 'GENUINE SPARE PART' ELSE x.d END AS description, x.r AS ref_no, x.n AS fig_no, x.f AS fig_name, coalesce(nullif(x.m, 0), nullif(x.p, 0), 120)::DOUBLE AS price, coalesce(nullif(x.g, 0), 28)::DOUBLE AS gst FROM firsts)"""
 
 PIXELS = f"""WITH a AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM ({T.PIXELS})),
  b AS (SELECT *, hi / 255::DOUBLE AS v, CASE WHEN hi = 0 THEN 0 ELSE (hi - lo) / hi::DOUBLE END AS s, (hi - lo)::DOUBLE AS d, lo < 242 AS s242, lo < 240 AS s240 FROM a),
@@ -117,7 +117,12 @@ ORACLE_SQL = {
     "s6_sheet": f"{RUNS} SELECT doc_id, row_seq, CASE WHEN starts THEN page::VARCHAR ELSE '' END AS page, CASE WHEN starts THEN fig_no ELSE '' END AS fig_no, '' AS item_group, CASE WHEN starts THEN fig_name ELSE '' END AS fig_name, '' AS show_in_website, '' AS ranking, '' AS catalogue_code, '' AS model_name, '' AS pic, '' AS pic_path, ref_no, part_no, description, qty1 AS \"BGP1\", qty2 AS \"BGP2\", remarks, CASE WHEN starts AND has = 1 THEN 'X' ELSE '' END AS remark_flag FROM o",
     "s7_model_sheets": f"{PM} SELECT doc_id, row_seq, 'Parts_' || model AS sheet, trim(q) AS quantity, 'YAM_' || model || '_' || upper(trim(regexp_replace(fig_name, '[^A-Za-z0-9&]+', ' ', 'g'))) || '.jpeg' AS pic FROM m WHERE {valid('q')}",
     "u3_s8_consolidated": f"{RUNS} SELECT doc_id, row_seq, {SUFFIXED} AS ref_no, 'BGP1' AS model_code FROM o",
-    "u1_custom_sections": f"{P}, l AS (SELECT doc_id, max(row_seq) AS last FROM p GROUP BY 1), k AS (SELECT unnest(range(0, 25)) AS k) SELECT doc_id, row_seq, fig_name, false AS is_custom_section, NULL::VARCHAR AS catalogue_code, qty1 AS q1 FROM p UNION ALL SELECT doc_id, last + 1 + k, CASE k WHEN 0 THEN 'PART KITS & SETS' WHEN 10 THEN 'REGULAR SERVICE PARTS' ELSE '' END, true, CASE k WHEN 0 THEN 'YAM_BGP1_PART KITS & SETS' WHEN 10 THEN 'YAM_BGP1_REGULAR SERVICE PARTS' ELSE '' END, '' FROM l CROSS JOIN k",
+    "u1_custom_sections": f"""{P}, l AS (SELECT doc_id, max(row_seq) AS last, arg_min(page, row_seq) FILTER (row_seq % 5 = 2) AS v, arg_min(page, row_seq) FILTER (row_seq % 7 = 3 AND row_seq % 14 <> 3) AS f FROM p GROUP BY 1), k AS (SELECT unnest(range(0, 25)) AS k),
+ c AS (SELECT *, CASE k WHEN 0 THEN 'PART KITS & SETS' WHEN 10 THEN 'REGULAR SERVICE PARTS' END AS s FROM l CROSS JOIN k)
+ SELECT doc_id, row_seq, fig_name, false AS is_custom_section, NULL::VARCHAR AS catalogue_code, NULL::VARCHAR AS item_group, CASE WHEN row_seq % 5 = 2 THEN 'YAHAMA BGP1 "R15 ' || page || '" Series HEAD' ELSE '' END AS model_name, CASE WHEN row_seq % 7 = 3 THEN 'x.jpeg' ELSE '' END AS pic,
+  CASE WHEN row_seq % 14 = 3 THEN 'x.jpeg' WHEN row_seq % 7 = 3 THEN 'img/' || page || '/x.jpeg' ELSE '' END AS pic_path, qty1 AS q1 FROM p
+ UNION ALL SELECT doc_id, last + 1 + k, coalesce(s, ''), true, coalesce('YAM_' || m || '_' || s, ''), CASE WHEN s IS NULL THEN '' ELSE m END, CASE WHEN s IS NULL THEN '' ELSE CASE WHEN v IS NULL THEN 'YAMAHA ' || m || ' ' ELSE 'YAHAMA ' || m || ' R15 ' || v || ' ' END || 'Series ' || s END,
+  coalesce('YAM_' || m || '_' || s || '.jpeg', ''), CASE WHEN s IS NULL THEN '' ELSE CASE WHEN f IS NULL THEN '' ELSE 'img/' || f || '/' END || 'YAM_' || m || '_' || s || '.jpeg' END, '' FROM (SELECT *, CASE WHEN last >= 3 THEN 'BGP1' ELSE 'BGP1_BGP2' END AS m FROM c)""",
     "u2_backfill": f"{P} SELECT doc_id, row_seq, qty1 AS q1, CASE WHEN qty2 = '0' THEN '' ELSE qty2 END AS q2 FROM p",
     "u4_reconcile": f"{P} SELECT doc_id, row_seq, CASE WHEN {valid('qty1')} THEN qty1 ELSE '0' END AS q1, qty2 AS q3, 2::INT AS n FROM p",
     "u5_distinct_models": f"{PM} SELECT DISTINCT doc_id, model FROM m",
@@ -130,12 +135,17 @@ ORACLE_SQL = {
     "j3_image_figures": f"{IMAGES} SELECT image_id, fig_no FROM i WHERE (doc_id <> 3 AND fig_no IS NOT NULL) OR (doc_id = 3 AND page % 2 = 1)",
     "j13_images_of_models": f"{PM}, doc_images AS ({T.DOC_IMAGES}) SELECT image_id, model, regexp_replace(filename, '^YAM_[A-Za-z0-9]+?_', 'YAM_' || model || '_') AS filename FROM doc_images i JOIN (SELECT DISTINCT doc_id, model FROM m) x ON i.doc_id = x.doc_id",
     "w11_unique_images": f"{IMAGES} SELECT image_id, h AS sha256 FROM (SELECT *, sha256(payload) AS h, row_number() OVER (PARTITION BY doc_id, sha256(payload) ORDER BY page, image_id) AS n FROM doc_images) WHERE n = 1",
+    "w12_s8_s10_probed_names": f"""WITH f AS (SELECT *, CASE WHEN regexp_matches(filename, '(?i)[.](jpeg|png)$') THEN filename ELSE filename || '.jpeg' END AS name, substr(title, 1, 31) AS sheet FROM ({T.NAMED_FILES})),
+ g AS (SELECT bundle, list(file_id ORDER BY file_id) AS ids, list([name] ORDER BY file_id) AS names, list([sheet] ORDER BY file_id) AS sheets FROM f GROUP BY 1),
+ h AS (SELECT ids, list_reduce(names, lambda a, x: list_concat(a, [CASE WHEN NOT list_contains(list_transform(a, lambda y: lower(y)), lower(x[1])) THEN x[1] ELSE list_filter(list_transform(range(1, len(a) + 2), lambda k: regexp_extract(x[1], '^(.*)[.]', 1) || '_' || k || regexp_extract(x[1], '[.][^.]*$')), lambda c: NOT list_contains(list_transform(a, lambda y: lower(y)), lower(c)))[1] END])) AS names,
+  list_reduce(sheets, lambda a, x: list_concat(a, [CASE WHEN NOT list_contains(a, x[1]) THEN x[1] ELSE list_filter(list_transform(range(1, len(a) + 2), lambda k: substr(substr(x[1], 1, 28) || '_' || k, 1, 31)), lambda c: NOT list_contains(a, c))[1] END])) AS sheets FROM g)
+ SELECT unnest(ids) AS file_id, unnest(names) AS filename, unnest(sheets) AS title FROM h""",
     "w12_names": f"{IMAGES} SELECT image_id, CASE WHEN n = 1 THEN filename ELSE filename || '_' || n END AS filename FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, filename ORDER BY image_id) AS n FROM doc_images)",
     "a19_image_counts": f"{IMAGES} SELECT doc_id, count(*) AS images, count_if({BIKE})::BIGINT AS bikes, count_if(NOT {BIKE})::BIGINT AS parts FROM doc_images GROUP BY 1",
     "a20_image_pages": f"{IMAGES} SELECT DISTINCT doc_id, page FROM doc_images",
-    "a13_cart_lines": f"{CART} SELECT cart_id, part_no, description, qty::BIGINT AS qty, price, gst FROM lines",
+    "a13_cart_lines": f"{CART} SELECT cart_id, part_no, description, ref_no, fig_no, fig_name, qty::BIGINT AS qty, price, gst FROM lines",
     "a14_cart_totals": f"{CART} SELECT cart_id, sum(qty)::BIGINT AS qty, round(sum(qty * price), 4) AS subtotal, round(sum(qty * price * gst / 100), 4) AS gst_total, round(sum(qty * price + qty * price * gst / 100), 4) AS grand_total FROM lines GROUP BY 1",
-    "s9_quotation": f"{CART} SELECT cart_id, '' AS ref_no, part_no::VARCHAR AS part_no, description, '' AS figure, qty::BIGINT::VARCHAR AS qty, printf('%.2f', price) AS unit_mrp, gst::INT || '%' AS gst, printf('%.2f', qty * price * (1 + gst / 100)) AS total FROM lines",
+    "s9_quotation": f"{CART} SELECT cart_id, ref_no, part_no::VARCHAR AS part_no, description, 'FIG. ' || fig_no || ' - ' || fig_name AS figure, qty::BIGINT::VARCHAR AS qty, printf('%.2f', price) AS unit_mrp, CASE WHEN gst = floor(gst) THEN gst::INT::VARCHAR ELSE gst::VARCHAR END || '%' AS gst, printf('%.2f', qty * price * (1 + gst / 100)) AS total FROM lines",
     "t1_progress_changes": f"{JOBS}, a AS (SELECT *, lag(page) OVER w AS pp, lag(status) OVER w AS ps, coalesce(max((status IN ('completed', 'error'))::INT) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM job_events WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)) SELECT job_id, event_id, status, page FROM a WHERE ended = 0 AND (ps IS NULL OR pp <> page OR ps <> status)",
     "t2_latest_status": f"{JOBS} SELECT job_id, arg_max(status, (ts, event_id)) AS status, arg_max(page, (ts, event_id)) AS page, count(*) AS events FROM job_events GROUP BY 1",
     "t3_expired": f"{JOBS} SELECT job_id, CASE WHEN arg_max(status, (ts, event_id)) = 'processing' THEN 'error' ELSE 'expired' END AS outcome FROM job_events GROUP BY 1 HAVING floor(epoch((SELECT max(ts) FROM job_events))) - floor(epoch(min(ts))) > 1728000",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partmill.functions import scalars as X
-from partmill.operators import edits, export, geometry, images, jobs, lifecycle, model_info, orders, parts, quality
+from partmill.operators import edits, export, geometry, images, jobs, lifecycle, model_info, names, orders, parts, quality
 from partmill.plans import tables as T
 from partmill.sources import readers
 from partmill.sources.scratch import cut, scratch_path
@@ -188,8 +188,13 @@ def consolidated(spark, d):
 
 
 def custom_sections(spark, d):
-    own = parts.append_custom_sections(T.parts(spark, d))
-    return own.select(*ROW, "fig_name", "is_custom_section", "catalogue_code", export.quantity("BGP1").alias("q1"))
+    k = F.col("row_seq")
+    p = T.parts(spark, d).withColumns({
+        "model_code": F.when(k % 3 == 0, "BGP1").otherwise(""), "model_name": F.when(k % 5 == 2, F.concat(F.lit('YAHAMA BGP1 "R15 '), "page", F.lit('" Series HEAD'))).otherwise(""),
+        "pic": F.when(k % 7 == 3, "x.jpeg").otherwise(""), "pic_path": F.when(k % 14 == 3, "x.jpeg").when(k % 7 == 3, F.concat(F.lit("img/"), "page", F.lit("/x.jpeg"))).otherwise(""),
+    })
+    own = parts.append_custom_sections(p)
+    return own.select(*ROW, "fig_name", "is_custom_section", "catalogue_code", "item_group", "model_name", "pic", "pic_path", export.quantity("BGP1").alias("q1"))
 
 
 def backfilled(spark, d):
@@ -266,6 +271,12 @@ def named_images(spark, d):
     return images.unique_names(T.doc_images(spark, d), ["doc_id"], "filename", ["image_id"]).select("image_id", "filename")
 
 
+def probed_names(spark, d):
+    """Names of files in archives and titles of sheets in workbooks, where many clash."""
+    files = names.probed(T.named_files(spark, d), ["bundle"], "filename", ["file_id"], "archive")
+    return names.probed(files, ["bundle"], "title", ["file_id"], "sheet").select("file_id", "filename", "title")
+
+
 def image_facts(spark, d):
     """Images with figure, model and what would be seen in them."""
     k = F.col("image_id")
@@ -502,7 +513,7 @@ QUERIES = {
     "o1_sort_rank": sorted_rows, "o2_page": second_page, "o3_heads": heads, "f20_row_edits": row_edits, "j8_model_name_edits": figure_edits, "j9_flag_edits": flag_edits, "j11_figure_rows": figure_rows, "j14_completed": completed,
     "a3_a4_models_in_order": models_in_order, "a2_figures": figure_list, "a16_a18_summary": kpis, "s6_sheet": sheet, "s7_model_sheets": sheets, "u3_s8_consolidated": consolidated, "u1_custom_sections": custom_sections, "u2_backfill": backfilled, "u4_reconcile": reconciled, "u5_distinct_models": documents_models, "s5_union": union_of_documents,
     "s10_bundle": bundle, "s11_processing_summary": processing, "f16_image_search": image_search, "f17_f19_admitted_images": admitted_images, "f18_unmasked": unmasked, "j3_image_figures": image_figures, "j4_placements": placements, "j10_chosen_images": chosen_images, "j13_images_of_models": images_of_models,
-    "w11_unique_images": unique_images, "w12_names": named_images, "x25_x26_image_names": figure_image_names, "x25_bikes": bikes, "x21_row_models": model_of_rows, "a11_rotations": rotations, "x14_spare_headings": spare_headings, "a19_image_counts": images_counted, "a20_image_pages": pages_of_images, "a12_pixel_colors": pixel_colors, "x22_color_info": colors_of_parts, "j6_matched_colors": matched_colors, "j5_text_below": words_below,
+    "w11_unique_images": unique_images, "w12_names": named_images, "w12_s8_s10_probed_names": probed_names, "x25_x26_image_names": figure_image_names, "x25_bikes": bikes, "x21_row_models": model_of_rows, "a11_rotations": rotations, "x14_spare_headings": spare_headings, "a19_image_counts": images_counted, "a20_image_pages": pages_of_images, "a12_pixel_colors": pixel_colors, "x22_color_info": colors_of_parts, "j6_matched_colors": matched_colors, "j5_text_below": words_below,
     "a13_cart_lines": carts, "a14_cart_totals": cart_sums, "s9_quotation": quotation, "t1_progress_changes": changes, "t2_latest_status": latest, "t3_expired": expired, "a15_batch_totals": batch,
     "t1_streamed_changes": changes_streamed, "t2_streamed_latest": latest_streamed, "t3_streamed_expired": expired_streamed,
     "j7_w13_w14_x18_format_b": format_b, "x23_x24_color_table": color_table, "t4_ingested": ingested,

@@ -62,12 +62,16 @@ COLOR_PAGES = """SELECT c_custkey AS doc_id, cast(c_custkey % 9 AS INT) AS page,
 DOC_IMAGES = """SELECT doc_id AS image_id, cast(doc_id % 8 AS INT) AS doc_id, cast(floor(doc_id / 8.0) AS INT) % 40 + 1 AS page, concat(CASE WHEN doc_id % 9 = 0 THEN 'YAM_OLD_bike' WHEN doc_id % 5 = 0 THEN 'YAM_OLD_img' ELSE 'img' END, cast(doc_id % 50 AS STRING)) AS filename,
  cast(40 + (doc_id * 37) % 900 AS INT) AS width, cast(40 + (doc_id * 53) % 700 AS INT) AS height, lang, text AS payload, n_chars AS size_bytes FROM documents"""
 
+NAMED_FILES = """SELECT doc_id AS file_id, doc_id % 60 AS bundle, concat(CASE doc_id % 7 WHEN 0 THEN 'a' WHEN 1 THEN 'A' WHEN 2 THEN 'a_1' WHEN 3 THEN 'img' WHEN 4 THEN 'a_1_1' WHEN 5 THEN lang ELSE source END,
+ CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 3 = 0 THEN '.PNG' ELSE '.jpeg' END) AS filename, concat('Parts_', CASE WHEN doc_id % 4 = 0 THEN source WHEN doc_id % 4 = 1 THEN concat(source, '_1') ELSE 'LONG NAME OF A MODEL OF MANY WORDS' END) AS title FROM documents"""
+
 PAGE_FIGURES = "SELECT DISTINCT doc_id, page, cast(cast(page / 2 AS INT) AS STRING) AS fig_no, concat('FIGURE ', cast(cast(page / 2 AS INT) AS STRING)) AS fig_name FROM doc_images WHERE page % 2 = 0"
 
 JOB_EVENTS = """SELECT event_id, user_id AS job_id, ts, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'error' ELSE 'processing' END AS status, cast(floor(value / 25.0) AS INT) AS page FROM events"""
 
 CART_EVENTS = """SELECT l_orderkey AS cart_id, l_partkey % 7 AS part_no, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq,
- CASE WHEN l_linenumber % 5 = 4 THEN -1 ELSE 1 END AS delta, p_name AS description, p_retailprice AS mrp, CASE WHEN l_partkey % 4 = 0 THEN 0 ELSE 18 END AS gst_rate FROM lineitem JOIN part ON l_partkey = p_partkey"""
+ CASE WHEN l_linenumber % 5 = 4 THEN -1 ELSE 1 END AS delta, CASE WHEN l_partkey % 6 = 0 THEN '' ELSE p_name END AS description, CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE p_retailprice END AS mrp, CASE WHEN l_partkey % 9 = 0 THEN 0 ELSE p_size * 5 END AS dealer_price,
+ CASE WHEN l_partkey % 4 = 0 THEN 0 WHEN l_partkey % 5 = 0 THEN 12.4 ELSE 18 END AS gst_rate, cast(l_linenumber AS STRING) AS ref_no, cast(l_orderkey % 50 AS STRING) AS fig_no, p_brand AS fig_name FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
 PIXELS = "SELECT cast(l_orderkey % 64 AS INT) AS image_id, cast(l_partkey % 256 AS INT) AS r, cast((l_partkey * 3 + l_orderkey % 64 * 5) % 256 AS INT) AS g, cast((l_suppkey * 7 + l_linenumber) % 256 AS INT) AS b FROM lineitem"
 
@@ -144,6 +148,10 @@ def doc_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, DOC_IMAGES, **_read(spark, sf_dir, "documents"))
 
 
+def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, NAMED_FILES, **_read(spark, sf_dir, "documents"))
+
+
 def page_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, PAGE_FIGURES, doc_images=doc_images(spark, sf_dir))
 
