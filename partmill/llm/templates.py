@@ -27,6 +27,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
+from collections import defaultdict
 from functools import lru_cache, partial
 
 import numpy as np
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partmill.llm.common import few, mapped, ship, table, text_bytes, window_hashes, word_hashes, written
+from partmill.llm.common import few, mapped, scrambled, ship, table, text_bytes, word_hashes, written
 
 PAGES = 5
 SHARE = 0.5
@@ -75,11 +76,13 @@ class Open:
     """The open elements, and where those of each name lie, so that closing looks at no element twice."""
 
     def __init__(self, root: Node):
-        self.nodes, self.at = [root], {}
+        self.nodes, self.at = [root], defaultdict(list)
 
     def push(self, node: Node) -> None:
-        for name in (node.tag, "#block") if node.tag in BLOCK else (node.tag,):
-            self.at.setdefault(name, []).append(len(self.nodes))
+        n = len(self.nodes)
+        self.at[node.tag].append(n)
+        if node.tag in BLOCK:
+            self.at["#block"].append(n)
         self.nodes.append(node)
 
     def last(self, names) -> int:
@@ -130,8 +133,8 @@ def tree(page: str) -> Node:
         if not tag or not ended:  # a comment, a declaration, or a tag that the page's end cuts
             continue
         tag = tag.lower()
-        if tag in BLOCK and (k := stack.last(("p",))) and stack.last(("#block",)) <= k:
-            stack.close(k)
+        if tag in BLOCK and (p := stack.at.get("p")) and stack.at["#block"][-1] <= p[-1]:
+            stack.close(p[-1])
         if tag in CLOSES and (k := stack.first(CLOSES[tag], stack.last(FENCE[tag]))):
             stack.close(k)
         node = Node(tag, attrs)
@@ -231,38 +234,46 @@ def hashed(root: Node, host: str = "") -> tuple[list[Node], list[int], dict[int,
     """
     seed = xxhash.xxh64_intdigest(host.encode())
     blocks_of, parents, texts = [root], [-1], {}
-    nodes: list[tuple[Node, int]] = []
-    todo: list[tuple] = [(root, 0, seed)]
+    root.words = 0
+    nodes: list[tuple[Node, int, list]] = []
+    todo: list[tuple[Node, int, int]] = [(root, 0, seed)]
     while todo:
         n, block, path = todo.pop()
-        if n.__class__ is str:
-            texts.setdefault(block, []).append(n)
-            continue
-        if n.tag in BLOCK and n is not root:
+        tag = n.tag
+        if tag in BLOCK and n is not root:
             parents.append(block)
             block = len(blocks_of)
             blocks_of.append(n)
-        path = xxhash.xxh64_intdigest(named(n.tag, n.attrs).encode(), path)
-        nodes.append((n, path))
-        if n.tag not in SILENT:
-            todo += [(c, block, path) for c in reversed(n.children)]
-    for n, path in reversed(nodes):
-        below, parts = set(), [f"<{n.tag} {n.attrs.strip() if n.tag != 'a' else ''}>"]  # but for where links lead
-        for c in n.children if n.tag not in SILENT else ():
-            if c.__class__ is str:
-                parts += c.split()
-            else:
-                parts.append(f"{c.key}>")
-                if c.shape:
-                    below.add(c.shape)
-        n.key = xxhash.xxh64_intdigest(" ".join(parts).encode(), seed) >> 1
+            n.words = 0
+        path = xxhash.xxh64_intdigest(named(tag, n.attrs).encode(), path)
+        parts: list = []
+        if tag not in SILENT:
+            below = []
+            for c in n.children:
+                if c.__class__ is str:
+                    if words := c.split():
+                        parts.append(" ".join(words))
+                        blocks_of[block].words += len(words)
+                        texts.setdefault(block, []).append(parts[-1])
+                else:
+                    parts.append(c)
+                    below.append((c, block, path))
+            below.reverse()
+            todo += below
+        nodes.append((n, path, parts))
+    for n, path, parts in reversed(nodes):
+        shapes = sorted({c.shape for c in parts if c.__class__ is Node and c.shape})
+        line = [c if c.__class__ is str else f"{c.key}>" for c in parts]
+        lead = f"<{n.tag} {n.attrs.strip() if n.tag != 'a' else ''}>"  # but for where links lead
+        n.key = xxhash.xxh64_intdigest((lead + " " + " ".join(line)).encode(), seed) >> 1
         if n.tag in BLOCK or n is root:
-            n.shape = xxhash.xxh64_intdigest(",".join(map(str, sorted(below))).encode(), path) >> 1
-    for k, own in texts.items():
-        blocks_of[k].words = len(" ".join(own).split())
+            n.shape = xxhash.xxh64_intdigest(",".join(map(str, shapes)).encode(), path) >> 1
     return blocks_of, parents, texts
 
 
+_ODD = np.random.default_rng(3).integers(0, 1 << 63, 5, np.uint64) * np.uint64(2) + np.uint64(1)  # a factor for each place in a shingle
+
+
 def lows(texts: dict[int, list[str]], n: int) -> list[int]:
     """The smallest hash of a five-word shingle of the words of each of n blocks; of fewer words, the hash of all; 0 without any."""
     out, words, starts, at = [0] * n, [], [], []
@@ -275,7 +286,8 @@ def lows(texts: dict[int, list[str]], n: int) -> list[int]:
         elif own:
             out[k] = xxhash.xxh64_intdigest(b" ".join(own)) >> 1
     if at:
-        h = window_hashes(word_hashes(words), 5)
+        h = word_hashes(words)
+        h = scrambled(sum((h[k : len(h) - 4 + k] * c for k, c in enumerate(_ODD)), np.uint64(0)))
         for end in starts[1:]:
             h[end - 4 : end] = np.uint64(0xFFFFFFFFFFFFFFFF)  # shingles of two blocks
         for k, low in zip(at, np.minimum.reduceat(h, starts).tolist()):
