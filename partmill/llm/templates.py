@@ -246,20 +246,17 @@ def hashed(root: Node, host: str = "") -> tuple[list[Node], list[int], dict[int,
             blocks_of.append(n)
             n.words = 0
         path = xxhash.xxh64_intdigest(named(tag, n.attrs).encode(), path)
-        parts: list = []
-        if tag not in SILENT:
-            below = []
+        parts: list = [] if tag in SILENT else n.children
+        if any(c.__class__ is str for c in parts):
+            parts = []
             for c in n.children:
-                if c.__class__ is str:
-                    if words := c.split():
-                        parts.append(" ".join(words))
-                        blocks_of[block].words += len(words)
-                        texts.setdefault(block, []).append(parts[-1])
-                else:
+                if c.__class__ is not str:
                     parts.append(c)
-                    below.append((c, block, path))
-            below.reverse()
-            todo += below
+                elif words := c.split():
+                    parts.append(" ".join(words))
+                    blocks_of[block].words += len(words)
+                    texts.setdefault(block, []).append(parts[-1])
+        todo += [(c, block, path) for c in reversed(parts) if c.__class__ is Node]
         nodes.append((n, path, parts))
     for n, path, parts in reversed(nodes):
         shapes = sorted({c.shape for c in parts if c.__class__ is Node and c.shape})
