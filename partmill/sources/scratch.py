@@ -14,7 +14,7 @@ def scratch_path(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir; on one machine, where the session names none, below a temporary folder that goes with the process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_partmill_tables", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="partmill-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
