@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partmill.sources.scratch import scratch_path
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -36,16 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor can reach.
-
-    Where the session names none (tests on one machine), a temporary folder is
-    taken and kept for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_partmill_scratch", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="partmill-")
-        spark._partmill_scratch = base
-    return f"{base.rstrip('/')}/partmill-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which every executor can reach; on one machine, where the session names none, below a temporary one that goes with the process."""
+    return scratch_path(spark)
 
 
 def written(df: DataFrame) -> DataFrame:
