@@ -151,6 +151,23 @@ def code_from_filename(c, stop: list[str] = NO_FILE_CODE) -> Column:
     return F.when(found.isin(stop), "").otherwise(found)
 
 
+# Words of file names that are no codes.
+GENERIC = ["PARTS", "CATALOGUE", "CATALOG", "YAMAHA", "INDIA", "MODEL"]
+_SHORT_CODE = r"(?U)\b([A-Z0-9]{3,6})\b"
+
+
+def codes_from_filename(c) -> Column:
+    """The tokens of three to six letters or digits of a file name, each once in order, without generic words."""
+    found = F.regexp_extract_all(F.upper(text(c)), F.lit(_SHORT_CODE), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda w: ~w.isin(GENERIC)))
+
+
+def short_code_from_filename(c, default: str = "MODEL") -> Column:
+    """The first token of three to six letters or digits, whatever it says."""
+    found = F.regexp_extract(F.upper(text(c)), _SHORT_CODE, 1)
+    return F.when(found == "", default).otherwise(found)
+
+
 def is_bike_file(c) -> Column:
     return text(c).rlike(r"(?iU)\bbike\b|_bike")
 

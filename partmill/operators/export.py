@@ -72,16 +72,17 @@ def processing_summary(parts: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def bundle_manifest(parts: DataFrame, images: DataFrame) -> DataFrame:
-    """bundle (document), path, kind: root file, sheets per model, images per model and at the root, summary."""
+    """bundle (document), path, kind, size: root file, sheets per model, images per model and at the root, summary; size is that of images, null for what is made later."""
     models = parts.select("doc_id", F.explode(F.map_keys("qty")).alias("model")).distinct()
-    row = lambda kind, path: (F.col("doc_id").alias("bundle"), path.alias("path"), F.lit(kind).alias("kind"))
-    docs, own = models.select("doc_id").distinct(), images.select("doc_id", "filename")
+    row = lambda kind, path, size=None: (F.col("doc_id").alias("bundle"), path.alias("path"), F.lit(kind).alias("kind"), (F.lit(None) if size is None else size).cast("long").alias("size"))
+    size = F.col("size_bytes") if "size_bytes" in images.columns else F.octet_length("payload")
+    docs, own = models.select("doc_id").distinct(), images.select("doc_id", "filename", size.alias("size"))
     return (
         docs.select(*row("source", F.lit("source.pdf")))
         .unionByName(docs.select(*row("summary", F.lit("summary.txt"))))
         .unionByName(models.select(*row("sheet", F.concat("model", F.lit("/xlsx/Parts_"), "model", F.lit(".xlsx")))))
-        .unionByName(own.select(*row("image", F.concat(F.lit("images/"), "filename"))))
-        .unionByName(own.join(models, "doc_id").select(*row("model_image", F.concat("model", F.lit("/images/"), recode("filename", "model")))))
+        .unionByName(own.select(*row("image", F.concat(F.lit("images/"), "filename"), F.col("size"))))
+        .unionByName(own.join(models, "doc_id").select(*row("model_image", F.concat("model", F.lit("/images/"), recode("filename", "model")), F.col("size"))))
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partmill.functions.scalars import clean_part_number, is_custom_section, is_valid_quantity, strip, text
+from partmill.functions.scalars import clean_part_number, clean_remarks, is_custom_section, is_valid_quantity, strip, text
 from partmill.operators.parts import custom_flag, fig_key
 
 LOOSE = ["", "0", "-"]
@@ -62,12 +62,25 @@ def search_table(parts: DataFrame, term: str) -> DataFrame:
 NUMBERED = ("page", "ref_no", "fig_no")
 
 
+def with_resolved_flag(parts: DataFrame) -> DataFrame:
+    """resolved_flag: X on rows flagged X and on all rows of a figure that has remarks anywhere in its document."""
+
+    def own(name: str) -> Column:
+        parent = strip(f"parent_{name}") if f"parent_{name}" in parts.columns else F.lit("")
+        return F.when(parent == "", strip(name)).otherwise(parent)
+
+    said = F.max((clean_remarks("remarks") != "").cast("int")).over(Window.partitionBy("doc_id", own("fig_no"), own("fig_name"))) == 1
+    return parts.withColumn("resolved_flag", F.when(said | (F.coalesce("remark_flag", F.lit("")) == "X"), "X").otherwise(""))
+
+
 def sort_keys(parts: DataFrame, field: str, desc: bool = False, clean: bool = True) -> list[Column]:
-    """Custom rows last; numbers by their first number, then text; ties in row order."""
+    """Custom rows last; numbers by their first number, flags as resolved (see `with_resolved_flag`), then text; ties in row order."""
     value = clean_part_number(field) if field == "part_no" and clean else text(F.col(field).cast("string"))
     keys = []
     if field in NUMBERED:
         keys.append(F.regexp_extract(F.regexp_replace(value, "[^0-9.\\-]", ""), r"^-?\d*\.?\d+", 0).try_cast("double"))
+    if field == "remark_flag" and "resolved_flag" in parts.columns:
+        keys.append(F.col("resolved_flag"))
     keys.append(F.lower(value))
     custom = custom_flag(parts)
     ordered = [F.when(~custom, k) for k in keys]
@@ -75,7 +88,8 @@ def sort_keys(parts: DataFrame, field: str, desc: bool = False, clean: bool = Tr
 
 
 def sort_parts(parts: DataFrame, field: str, desc: bool = False, clean: bool = True) -> DataFrame:
-    return parts.orderBy(*sort_keys(parts, field, desc, clean))
+    own = with_resolved_flag(parts) if field == "remark_flag" else parts
+    return own.orderBy(*sort_keys(own, field, desc, clean)).select(*parts.columns)
 
 
 def page_of(ordered: DataFrame, page: int, size: int) -> DataFrame:

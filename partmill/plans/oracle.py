@@ -103,6 +103,7 @@ ORACLE_SQL = {
     "a5_a6_validation": f"{VALID_ROWS} SELECT *, duplicate_ref OR no_part_no OR short_part_no OR no_description OR no_quantity AS has_issue, concat_ws(',', CASE WHEN duplicate_ref THEN 'duplicate_ref' END, CASE WHEN no_part_no THEN 'no_part_no' END, CASE WHEN short_part_no THEN 'short_part_no' END, CASE WHEN no_description THEN 'no_description' END, CASE WHEN no_quantity THEN 'no_quantity' END) AS issues FROM v",
     "f15_issue_rows": f"{VALID_ROWS} SELECT doc_id, row_seq FROM v WHERE duplicate_ref",
     "a7_quality_summary": f"{VALID_ROWS}, b AS (SELECT *, duplicate_ref OR no_part_no OR short_part_no OR no_description OR no_quantity AS bad FROM v) SELECT count(*) AS n_rows, count_if(bad)::BIGINT AS n_issues, count_if(duplicate_ref)::BIGINT AS n_duplicate_ref, count_if(no_part_no OR short_part_no)::BIGINT AS n_part_no, count_if(no_description)::BIGINT AS n_description, count_if(no_quantity)::BIGINT AS n_quantity, floor((count(*) - count_if(bad)) / count(*) * 100 + 0.5)::INT AS clean_rate FROM b",
+    "o1_flag_rank": f"{P}, f AS (SELECT *, CASE WHEN row_seq % 13 = 0 THEN 'x' WHEN row_seq % 17 = 0 THEN 'note' ELSE '' END AS flag, max((remarks <> '')::INT) OVER (PARTITION BY {KEY}) = 1 OR row_seq % 13 = 0 AS x FROM p) SELECT doc_id, row_seq, row_number() OVER (PARTITION BY doc_id ORDER BY x DESC, flag DESC, row_seq) AS rank FROM f",
     "o1_sort_rank": f"{P} SELECT doc_id, row_seq, row_number() OVER (PARTITION BY doc_id ORDER BY fig_no::DOUBLE DESC, row_seq)::INT AS rank FROM p",
     "o2_page": f"{P} SELECT doc_id, row_seq, part_no FROM p ORDER BY lower(part_no), doc_id, row_seq LIMIT 50 OFFSET 50",
     "o3_heads": f"{P} SELECT doc_id, row_seq FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY row_seq) AS k FROM p) WHERE k <= 2",
@@ -127,7 +128,7 @@ ORACLE_SQL = {
     "u4_reconcile": f"{P} SELECT doc_id, row_seq, CASE WHEN {valid('qty1')} THEN qty1 ELSE '0' END AS q1, qty2 AS q3, 2::INT AS n FROM p",
     "u5_distinct_models": f"{PM} SELECT DISTINCT doc_id, model FROM m",
     "s5_union": f"{P} SELECT doc_id, row_seq, CASE WHEN doc_id < 32 THEN '' ELSE remarks END AS remarks FROM p",
-    "s10_bundle": f"{PM}, doc_images AS ({T.DOC_IMAGES}), dm AS (SELECT DISTINCT doc_id, model FROM m) SELECT DISTINCT doc_id AS bundle, 'source.pdf' AS path, 'source' AS kind FROM dm UNION ALL SELECT DISTINCT doc_id, 'summary.txt', 'summary' FROM dm UNION ALL SELECT doc_id, model || '/xlsx/Parts_' || model || '.xlsx', 'sheet' FROM dm UNION ALL SELECT doc_id, 'images/' || filename, 'image' FROM doc_images UNION ALL SELECT i.doc_id, model || '/images/' || regexp_replace(filename, '^YAM_[A-Za-z0-9]+?_', 'YAM_' || model || '_'), 'model_image' FROM doc_images i JOIN dm ON i.doc_id = dm.doc_id",
+    "s10_bundle": f"{PM}, doc_images AS ({T.DOC_IMAGES}), dm AS (SELECT DISTINCT doc_id, model FROM m) SELECT DISTINCT doc_id AS bundle, 'source.pdf' AS path, 'source' AS kind, NULL::BIGINT AS size FROM dm UNION ALL SELECT DISTINCT doc_id, 'summary.txt', 'summary', NULL FROM dm UNION ALL SELECT doc_id, model || '/xlsx/Parts_' || model || '.xlsx', 'sheet', NULL FROM dm UNION ALL SELECT doc_id, 'images/' || filename, 'image', size_bytes FROM doc_images UNION ALL SELECT i.doc_id, model || '/images/' || regexp_replace(filename, '^YAM_[A-Za-z0-9]+?_', 'YAM_' || model || '_'), 'model_image', size_bytes FROM doc_images i JOIN dm ON i.doc_id = dm.doc_id",
     "s11_processing_summary": f"{PM}, doc_images AS ({T.DOC_IMAGES}), c AS (SELECT doc_id, count(*) AS images FROM doc_images GROUP BY 1) SELECT m.doc_id, model, count_if({valid('q')})::BIGINT AS parts, coalesce(any_value(images), 0)::BIGINT AS images FROM m LEFT JOIN c ON m.doc_id = c.doc_id GROUP BY 1, 2",
     "f16_image_search": f"{IMAGES} SELECT image_id FROM doc_images WHERE lower(filename) LIKE '%img1%' AND NOT {BIKE}",
     "f17_f19_admitted_images": f"{IMAGES} SELECT image_id, fig_no FROM i WHERE CASE WHEN fig_no IS NOT NULL THEN greatest(width, height) >= 100 AND least(width, height) >= 40 ELSE least(width, height) >= 150 END AND (fig_no IS NOT NULL OR {BIKE})",
@@ -155,7 +156,7 @@ ORACLE_SQL = {
     "w3_j1_j2_x16_x17_extracted": f"WITH {CAT} SELECT doc_id, row_seq, page, fig_no, fig_name, ref_no, {X2} AS part_no, {X3} AS description, {X4} AS remarks, qty1 AS q1, qty2 AS q2 FROM cat_rows",
     "j10_chosen_images": f"{IMAGES}, k AS (SELECT doc_id, CASE WHEN image_id % 2 = 0 THEN image_id::VARCHAR ELSE filename END AS pick FROM doc_images WHERE image_id % 13 = 0 AND doc_id <> 2), h AS (SELECT DISTINCT d.image_id, d.doc_id FROM doc_images d JOIN k ON k.doc_id = d.doc_id AND (k.pick = d.image_id::VARCHAR OR k.pick = d.filename)) SELECT image_id FROM doc_images WHERE image_id IN (SELECT image_id FROM h) OR doc_id NOT IN (SELECT doc_id FROM h)",
     "s2_ocr_words": f"WITH {CAT}, w AS (WITH {T.CAT_WORDS}) SELECT doc_id || '-' || page AS file, trim(text) AS text, trunc(x0) / 2 AS x0, trunc(top) / 2 AS top, (trunc(x0) + 20) / 2 AS x1, (trunc(top) + 7) / 2 AS bottom FROM w WHERE x0 <= 500 AND x0 <> 150",
-    "x20_x30_file_codes": rf"WITH {CAT}, n AS (SELECT doc_id, row_seq, description, regexp_extract(upper(fig_name || ' ' || ['book', 'Edit', 'temp', 'catalogue', 'a_list'][row_seq % 5 + 1] || ' x' || page || 'y bgp1.pdf'), '\b([A-Z0-9]{{4}})\b', 1) AS c FROM cat_rows) SELECT doc_id, row_seq, CASE WHEN c IN ('PART', 'PAGE', 'BOOK', 'EDIT', 'FILE', 'LIST', 'TEMP') THEN '' ELSE c END AS code, regexp_matches(description, '(?i)\bbike\b|_bike') AS bike FROM n",
+    "x20_x30_file_codes": rf"WITH {CAT}, n AS (SELECT doc_id, row_seq, description, regexp_extract(upper(fig_name || ' ' || ['book', 'Edit', 'temp', 'catalogue', 'a_list'][row_seq % 5 + 1] || ' x' || page || 'y bgp1.pdf'), '\b([A-Z0-9]{{4}})\b', 1) AS c, regexp_extract_all(upper(fig_name || ' ' || ['book', 'Edit', 'temp', 'catalogue', 'a_list'][row_seq % 5 + 1] || ' x' || page || 'y bgp1.pdf'), '\b([A-Z0-9]{{3,6}})\b', 1) AS l FROM cat_rows) SELECT doc_id, row_seq, array_to_string(list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda x: x[1] NOT IN ('PARTS', 'CATALOGUE', 'CATALOG', 'YAMAHA', 'INDIA', 'MODEL') AND list_position(l, x[1]) = x[2]), lambda x: x[1]), ',') AS codes, coalesce(l[1], 'MODEL') AS short_code, CASE WHEN c IN ('PART', 'PAGE', 'BOOK', 'EDIT', 'FILE', 'LIST', 'TEMP') THEN '' ELSE c END AS code, regexp_matches(description, '(?i)\bbike\b|_bike') AS bike FROM n",
     "a12_pixel_colors": PIXELS,
     "x22_color_info": "SELECT p_partkey, p_partkey % 2 = 0 AS is_bike_color, CASE WHEN p_partkey % 2 = 1 THEN '' WHEN p_partkey % 3 = 0 THEN 'MAT BLACK' ELSE 'RACING BLUE' END AS color_name, CASE WHEN p_partkey % 2 = 0 THEN 'C' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') ELSE '' END AS color_code FROM part",
     "j6_matched_colors": f"{IMAGES}, c AS (SELECT n_nationkey % 8 AS doc_id, n_nationkey AS k, CASE n_nationkey % 3 WHEN 0 THEN 'MAT BLACK' WHEN 1 THEN 'RACING BLUE' ELSE 'VIVID RED' END AS name FROM nation) SELECT image_id, arg_min(name, k) AS color_name, lpad(min(k)::VARCHAR, 4, '0') AS color_code FROM doc_images d LEFT JOIN c ON d.doc_id = c.doc_id AND name LIKE '%' || CASE WHEN image_id % 3 = 0 THEN 'BLACK' WHEN image_id % 2 = 0 THEN 'RED' ELSE 'BLUE' END || '%' GROUP BY 1",
