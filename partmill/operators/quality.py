@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partmill.functions.scalars import clean_part_number, clean_remarks, is_custom_section, is_valid_quantity, strip, text
 from partmill.operators.parts import custom_flag, fig_key
+from partmill.sources.scratch import scratch_path
 
 LOOSE = ["", "0", "-"]
 
@@ -97,5 +98,25 @@ def page_of(ordered: DataFrame, page: int, size: int) -> DataFrame:
     return ordered if size < 0 else ordered.offset((page - 1) * size).limit(size)
 
 
+def deep_page(parts: DataFrame, field: str, page: int, size: int, desc: bool = False, clean: bool = True) -> DataFrame:
+    """Page 1, 2, ... of a sort: rows are dealt into ranges once, and only the ranges that hold the page are read and sorted.
+
+    The driver sees one count a range. No task holds the rows before the page.
+    """
+    own = with_resolved_flag(parts) if field == "remark_flag" else parts
+    path = scratch_path(parts.sparkSession)
+    keys = sort_keys(own, field, desc, clean)
+    own.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()).write.partitionBy("__range").parquet(path)
+    dealt = parts.sparkSession.read.schema(own.withColumn("__range", F.lit(0)).schema).parquet(path)
+    first, wanted, skip, seen = (page - 1) * size, [], 0, 0
+    for number, n in sorted((r["__range"], r["count"]) for r in dealt.groupBy("__range").count().collect()):
+        if seen + n > first and seen < first + size:
+            skip = skip if wanted else first - seen
+            wanted.append(number)
+        seen += n
+    held = dealt.filter(F.col("__range").isin(wanted))
+    return held.orderBy(*sort_keys(held, field, desc, clean)).offset(skip).limit(size).select(*parts.columns)
+
+
 def head_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__n") <= n).drop("__n")

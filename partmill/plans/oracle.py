@@ -105,6 +105,7 @@ ORACLE_SQL = {
     "a7_quality_summary": f"{VALID_ROWS}, b AS (SELECT *, duplicate_ref OR no_part_no OR short_part_no OR no_description OR no_quantity AS bad FROM v) SELECT count(*) AS n_rows, count_if(bad)::BIGINT AS n_issues, count_if(duplicate_ref)::BIGINT AS n_duplicate_ref, count_if(no_part_no OR short_part_no)::BIGINT AS n_part_no, count_if(no_description)::BIGINT AS n_description, count_if(no_quantity)::BIGINT AS n_quantity, floor((count(*) - count_if(bad)) / count(*) * 100 + 0.5)::INT AS clean_rate FROM b",
     "o1_flag_rank": f"{P}, f AS (SELECT *, CASE WHEN row_seq % 13 = 0 THEN 'x' WHEN row_seq % 17 = 0 THEN 'note' ELSE '' END AS flag, max((remarks <> '')::INT) OVER (PARTITION BY {KEY}) = 1 OR row_seq % 13 = 0 AS x FROM p) SELECT doc_id, row_seq, row_number() OVER (PARTITION BY doc_id ORDER BY x DESC, flag DESC, row_seq) AS rank FROM f",
     "o1_sort_rank": f"{P} SELECT doc_id, row_seq, row_number() OVER (PARTITION BY doc_id ORDER BY fig_no::DOUBLE DESC, row_seq)::INT AS rank FROM p",
+    "o2_deep_page": f"{P} SELECT doc_id, row_seq, description FROM p ORDER BY lower(description) DESC, doc_id, row_seq LIMIT 50 OFFSET 4950",
     "o2_page": f"{P} SELECT doc_id, row_seq, part_no FROM p ORDER BY lower(part_no), doc_id, row_seq LIMIT 50 OFFSET 50",
     "o3_heads": f"{P} SELECT doc_id, row_seq FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY row_seq) AS k FROM p) WHERE k <= 2",
     "f20_row_edits": f"{P}, l AS (SELECT doc_id, max(row_seq) AS last, arg_max(fig_no, row_seq) AS fig_no, arg_max(page, row_seq) AS page FROM p GROUP BY 1) SELECT doc_id, row_seq, CASE WHEN row_seq % 11 = 0 THEN '1AB2C345' ELSE part_no END AS part_no, fig_no, page, qty1 AS q1, qty2 AS q2 FROM p WHERE row_seq % 7 <> 0 UNION ALL SELECT doc_id, last + 1, 'NEW-PART-00', fig_no, page, '1', '1' FROM l",

@@ -126,6 +126,11 @@ def second_page(spark, d):
     return quality.page_of(quality.sort_parts(T.parts(spark, d), "part_no"), 2, 50).select(*ROW, "part_no")
 
 
+def page_hundred(spark, d):
+    """Page 100 by description, largest first."""
+    return quality.deep_page(T.parts(spark, d), "description", 100, 50, True).select(*ROW, "description")
+
+
 def heads(spark, d):
     return quality.head_per_group(T.parts(spark, d), ["doc_id", "page"], ["row_seq"], 2).select(*ROW)
 
@@ -517,7 +522,7 @@ QUERIES = {
     "flagship_part_counts": flagship, "x1_x4_texts": scalar_texts, "x5_x6_x7_x10_x27_codes": scalar_codes, "x8_x9_x11_x12_model_names": model_names, "x28_money": money, "x29_fit": fit, "x20_x30_file_codes": file_codes, "x19_w15_cover_models": cover_models,
     "w6_first_of_figure": first_of_figure, "w7_suffix_refs": suffix_refs, "w8_figure_offset": figure_offset, "w9_j15_remark_flags": remark_flags, "w10_blank_children": blanked,
     "f9_f10_f11_for_model": for_model, "f12_any_model": for_any_model, "a1_part_counts": part_counts, "f13_dashboard_search": dashboard, "f14_table_search": table_search, "a5_a6_validation": validated, "f15_issue_rows": issue_rows, "a7_quality_summary": summary,
-    "o1_sort_rank": sorted_rows, "o1_flag_rank": flag_rank, "o2_page": second_page, "o3_heads": heads, "f20_row_edits": row_edits, "j8_model_name_edits": figure_edits, "j9_flag_edits": flag_edits, "j11_figure_rows": figure_rows, "j14_completed": completed,
+    "o1_sort_rank": sorted_rows, "o1_flag_rank": flag_rank, "o2_page": second_page, "o2_deep_page": page_hundred, "o3_heads": heads, "f20_row_edits": row_edits, "j8_model_name_edits": figure_edits, "j9_flag_edits": flag_edits, "j11_figure_rows": figure_rows, "j14_completed": completed,
     "a3_a4_models_in_order": models_in_order, "a2_figures": figure_list, "a16_a18_summary": kpis, "s6_sheet": sheet, "s7_model_sheets": sheets, "u3_s8_consolidated": consolidated, "u1_custom_sections": custom_sections, "u2_backfill": backfilled, "u4_reconcile": reconciled, "u5_distinct_models": documents_models, "s5_union": union_of_documents,
     "s10_bundle": bundle, "s11_processing_summary": processing, "f16_image_search": image_search, "f17_f19_admitted_images": admitted_images, "f18_unmasked": unmasked, "j3_image_figures": image_figures, "j4_placements": placements, "j10_chosen_images": chosen_images, "j13_images_of_models": images_of_models,
     "w11_unique_images": unique_images, "w12_names": named_images, "w12_s8_s10_probed_names": probed_names, "x25_x26_image_names": figure_image_names, "x25_bikes": bikes, "x21_row_models": model_of_rows, "a11_rotations": rotations, "x14_spare_headings": spare_headings, "a19_image_counts": images_counted, "a20_image_pages": pages_of_images, "a12_pixel_colors": pixel_colors, "x22_color_info": colors_of_parts, "j6_matched_colors": matched_colors, "j5_text_below": words_below,

@@ -100,3 +100,16 @@ def test_cart_prices_and_descriptions(spark):
     assert got == {1: ("GENUINE SPARE PART", "7", 3, 55.0, 28.0), 2: ("bolt", "", 1, 120.0, 12.5), 3: ("GENUINE SPARE PART", "1", 1, -5.0, 28.0)}
     row = {r["Part No"]: r for r in orders.quotation_lines(lines).collect()}
     assert (row["1"]["Ref No"], row["1"]["Figure"], row["1"]["Total Amount"], row["2"]["GST %"]) == ("7", "FIG. 3 - HEAD", "211.20", "12.5%")
+
+
+def test_deep_pages_are_those_of_the_whole_sort(spark):
+    from partmill.operators import quality
+
+    rng = random.Random(2)
+    rows = [(k % 3, k, str(rng.choice([1, 2, 30, "x", ""])), rng.choice(["", "X", "note"]), str(k % 7), rng.choice(["", "remark"]), k % 50 == 0) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id int, row_seq int, ref_no string, remark_flag string, fig_no string, remarks string, is_custom_section boolean").withColumn("fig_name", F.lit("A"))
+    for field, desc in (("ref_no", False), ("ref_no", True), ("remark_flag", True)):
+        whole = [(r.doc_id, r.row_seq) for r in quality.sort_parts(df, field, desc).collect()]
+        for page, size in ((1, 10), (4, 70), (30, 10), (31, 10)):
+            got = [(r.doc_id, r.row_seq) for r in quality.deep_page(df, field, page, size, desc).collect()]
+            assert got == whole[(page - 1) * size : page * size]
