@@ -57,6 +57,38 @@ SELECT image_id, n, n_colors, spread, mean_hue, colored >= 0.025 AS is_colored,
  CASE WHEN n240 = 0 OR v240 / n240 < 0.02 THEN '' WHEN mean_hue < 15 OR mean_hue >= 345 THEN 'RED' WHEN mean_hue < 45 THEN 'ORANGE' WHEN mean_hue < 75 THEN 'YELLOW' WHEN mean_hue < 165 THEN 'GREEN' WHEN mean_hue < 205 THEN 'CYAN' WHEN mean_hue < 265 THEN 'BLUE' ELSE 'PURPLE' END AS hue,
  n_colors >= 70 AND spread >= 18 AND white <= 0.88 AND NOT (black > 0.5 AND white > 0.25) AS is_photo FROM s"""
 
+# Thumbnails in SQL: variants 0 (laid over white) and 1 (alpha dropped) of 120 pixels, 2 of 150; box means, then weights per axis, columns before rows.
+_TONES = {n: v.format(x="x", y="y") for n, v in T.TONES.items()}
+_AXIS = """SELECT image_id, v, o, i, (CASE WHEN w < 0 THEN -1 ELSE 1 END * floor(abs(w) * 4194304 + 0.5))::BIGINT AS w FROM (SELECT image_id, v, o, i, u / sum(u) OVER (PARTITION BY image_id, v, o) AS w FROM (
+ SELECT image_id, v, o, i, CASE WHEN t < 1 THEN (1.5::DOUBLE * t - 2.5) * t * t + 1 WHEN t < 2 THEN (((t - 5) * t + 8) * t - 4) * -0.5::DOUBLE ELSE 0 END AS u FROM (
+ SELECT image_id, v, o, i, n, c, z, abs((i - c + 0.5::DOUBLE) / z) AS t FROM (SELECT image_id, v, o, unnest(range(n)) AS i, n, (o + 0.5::DOUBLE) * e / q AS c, greatest(e / q, 1::DOUBLE) AS z FROM (SELECT image_id, v, {out} AS q, {full} / {box}::DOUBLE AS e, ({full} + {box} - 1) // {box} AS n, unnest(range({out})) AS o FROM fit)))
+ WHERE i >= trunc(greatest(c - 2 * z + 0.5::DOUBLE, 0)) AND i < trunc(least(c + 2 * z + 0.5::DOUBLE, n))))"""
+_PASS = "least(greatest((sum({c}::BIGINT * w) + 2097152) >> 22, 0), 255) AS {c}"
+RASTERS = f"""WITH im AS ({T.RASTER_SIZES}),
+px AS (SELECT * REPLACE (CASE WHEN mode = '1' THEN CASE WHEN r > 127 THEN 255 ELSE 0 END ELSE r END AS r) FROM (SELECT *, {_TONES['r']} AS r, {_TONES['g']} AS g, {_TONES['b']} AS b, CASE WHEN mode IN ('LA', 'RGBA') THEN {_TONES['a']} ELSE 255 END AS a
+  FROM (SELECT *, p % width AS x, p // width AS y FROM (SELECT *, unnest(range((width * height)::BIGINT)) AS p FROM im)))),
+rgb AS (SELECT image_id, x, y, a, r, CASE WHEN mode LIKE 'RGB%' THEN g ELSE r END AS g, CASE WHEN mode LIKE 'RGB%' THEN b ELSE r END AS b FROM px),
+vs AS (SELECT image_id, 0 AS v, x, y, round_even((r * a + 255 * (255 - a)) / 255::DOUBLE, 0)::INT AS r, round_even((g * a + 255 * (255 - a)) / 255::DOUBLE, 0)::INT AS g, round_even((b * a + 255 * (255 - a)) / 255::DOUBLE, 0)::INT AS b FROM rgb
+ UNION ALL SELECT image_id, t.v, x, y, r, g, b FROM rgb CROSS JOIN (VALUES (1), (2)) t(v)),
+side AS (SELECT *, width / height::DOUBLE AS f FROM im CROSS JOIN (VALUES (0, 120), (1, 120), (2, 150)) t(v, q)),
+fit0 AS (SELECT *, CASE WHEN width <= q AND height <= q THEN width WHEN f > 1 THEN q ELSE greatest(CASE WHEN abs(f - floor(q * f) / q) <= abs(f - ceil(q * f) / q) THEN floor(q * f) ELSE ceil(q * f) END, 1) END::BIGINT AS ow,
+ CASE WHEN width <= q AND height <= q THEN height WHEN f <= 1 THEN q ELSE greatest(CASE WHEN floor(q / f) = 0 OR abs(f - q / floor(q / f)) <= abs(f - q / ceil(q / f)) THEN floor(q / f) ELSE ceil(q / f) END, 1) END::BIGINT AS oh FROM side),
+fit AS (SELECT *, greatest(floor(width / ow::DOUBLE / 2), 1)::BIGINT AS fx, greatest(floor(height / oh::DOUBLE / 2), 1)::BIGINT AS fy FROM fit0),
+bx AS (SELECT image_id, v, x // fx AS x, y // fy AS y, (sum(r) + count(*) // 2) // count(*) AS r, (sum(g) + count(*) // 2) // count(*) AS g, (sum(b) + count(*) // 2) // count(*) AS b FROM vs JOIN fit USING (image_id, v) GROUP BY ALL),
+wx AS ({_AXIS.format(out="ow", full="width", box="fx")}), wy AS ({_AXIS.format(out="oh", full="height", box="fy")}),
+across AS (SELECT bx.image_id, bx.v, o AS x, y, {", ".join(_PASS.format(c=c) for c in "rgb")} FROM bx JOIN wx ON bx.image_id = wx.image_id AND bx.v = wx.v AND bx.x = wx.i GROUP BY ALL),
+th AS (SELECT across.image_id, across.v, x, o AS y, {", ".join(_PASS.format(c=c) for c in "rgb")} FROM across JOIN wy ON across.image_id = wy.image_id AND across.v = wy.v AND across.y = wy.i GROUP BY ALL),
+a AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM th),
+b AS (SELECT *, hi / 255::DOUBLE AS val, CASE WHEN hi = 0 THEN 0 ELSE (hi - lo) / hi::DOUBLE END AS s, (hi - lo)::DOUBLE AS d FROM a),
+c AS (SELECT *, s >= 0.18::DOUBLE AND val >= 0.15::DOUBLE AS vivid, 60 * CASE WHEN d = 0 THEN 0 WHEN r = hi THEN (g - b) / d + CASE WHEN g < b THEN 6 ELSE 0 END WHEN g = hi THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END AS h FROM b),
+laid AS (SELECT image_id, count(DISTINCT (r, g, b)) AS n_colors, round((stddev_pop(r) + stddev_pop(g) + stddev_pop(b)) / 3, 6) AS spread, count_if(lo >= 248) / count(*) AS white, count_if(hi <= 15) / count(*) AS black FROM c WHERE v = 0 GROUP BY 1),
+plain AS (SELECT image_id, count(*) AS n, count_if(lo < 242) AS n242, count_if(lo < 240) AS n240, count_if(lo < 242 AND vivid) AS v242, count_if(lo < 240 AND vivid) AS v240, count_if(lo < 242 AND val <= 0.45::DOUBLE) AS nd, round(avg(h) FILTER (lo < 240 AND vivid), 6) AS mean_hue FROM c WHERE v = 1 GROUP BY 1),
+tint AS (SELECT image_id, count_if(hi > 0 AND floor(((hi - lo)::FLOAT / hi::FLOAT)::DOUBLE * 255) >= 18) / count(*) AS colored FROM c WHERE v = 2 GROUP BY 1)
+SELECT image_id, n, n_colors, spread, mean_hue, colored >= 0.025 AS is_colored, mode <> '1' AND CASE WHEN n242 > 0 THEN v242 / n242 < 0.05 AND nd / n242 >= 0.35 ELSE false END AS is_black,
+ CASE WHEN n240 = 0 OR v240 / n240 < 0.02 THEN '' WHEN mean_hue < 15 OR mean_hue >= 345 THEN 'RED' WHEN mean_hue < 45 THEN 'ORANGE' WHEN mean_hue < 75 THEN 'YELLOW' WHEN mean_hue < 165 THEN 'GREEN' WHEN mean_hue < 205 THEN 'CYAN' WHEN mean_hue < 265 THEN 'BLUE' ELSE 'PURPLE' END AS hue,
+ mode <> '1' AND width >= 120 AND height >= 80 AND f BETWEEN 0.65 AND 3.0 AND n_colors >= 70 AND spread >= 18 AND white <= 0.88 AND NOT (black > 0.5 AND white > 0.25) AS is_photo
+FROM laid JOIN plain USING (image_id) JOIN tint USING (image_id) JOIN (SELECT image_id, mode, width, height, f FROM side WHERE v = 0) USING (image_id)"""
+
 # Pages of both formats: figures, runs, carried references, names, suffixes and flags, from the rows that the pages show.
 LIFECYCLE = rf"""WITH {CAT}, pg AS (SELECT DISTINCT doc_id, page, fig_no AS no, fig_name AS name, page % 10 AS k FROM cat_rows WHERE page % 10 <> 5),
 s AS (SELECT *, k IN (2, 7) AS b, k NOT IN (2, 4, 7) AS a, min(CASE WHEN k <> 4 THEN page END) OVER (PARTITION BY doc_id) AS start FROM pg),
@@ -159,6 +191,7 @@ ORACLE_SQL = {
     "s2_ocr_words": f"WITH {CAT}, w AS (WITH {T.CAT_WORDS}) SELECT doc_id || '-' || page AS file, trim(text) AS text, trunc(x0) / 2 AS x0, trunc(top) / 2 AS top, (trunc(x0) + 20) / 2 AS x1, (trunc(top) + 7) / 2 AS bottom FROM w WHERE x0 <= 500 AND x0 <> 150",
     "x20_x30_file_codes": rf"WITH {CAT}, n AS (SELECT doc_id, row_seq, description, regexp_extract(upper(fig_name || ' ' || ['book', 'Edit', 'temp', 'catalogue', 'a_list'][row_seq % 5 + 1] || ' x' || page || 'y bgp1.pdf'), '\b([A-Z0-9]{{4}})\b', 1) AS c, regexp_extract_all(upper(fig_name || ' ' || ['book', 'Edit', 'temp', 'catalogue', 'a_list'][row_seq % 5 + 1] || ' x' || page || 'y bgp1.pdf'), '\b([A-Z0-9]{{3,6}})\b', 1) AS l FROM cat_rows) SELECT doc_id, row_seq, array_to_string(list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda x: x[1] NOT IN ('PARTS', 'CATALOGUE', 'CATALOG', 'YAMAHA', 'INDIA', 'MODEL') AND list_position(l, x[1]) = x[2]), lambda x: x[1]), ',') AS codes, coalesce(l[1], 'MODEL') AS short_code, CASE WHEN c IN ('PART', 'PAGE', 'BOOK', 'EDIT', 'FILE', 'LIST', 'TEMP') THEN '' ELSE c END AS code, regexp_matches(description, '(?i)\bbike\b|_bike') AS bike FROM n",
     "a12_pixel_colors": PIXELS,
+    "a12_raster_colors": RASTERS,
     "x22_color_info": "SELECT p_partkey, p_partkey % 2 = 0 AS is_bike_color, CASE WHEN p_partkey % 2 = 1 THEN '' WHEN p_partkey % 3 = 0 THEN 'MAT BLACK' ELSE 'RACING BLUE' END AS color_name, CASE WHEN p_partkey % 2 = 0 THEN 'C' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') ELSE '' END AS color_code FROM part",
     "j6_matched_colors": f"{IMAGES}, c AS (SELECT n_nationkey % 8 AS doc_id, n_nationkey AS k, CASE n_nationkey % 3 WHEN 0 THEN 'MAT BLACK' WHEN 1 THEN 'RACING BLUE' ELSE 'VIVID RED' END AS name FROM nation) SELECT image_id, arg_min(name, k) AS color_name, lpad(min(k)::VARCHAR, 4, '0') AS color_code FROM doc_images d LEFT JOIN c ON d.doc_id = c.doc_id AND name LIKE '%' || CASE WHEN image_id % 3 = 0 THEN 'BLACK' WHEN image_id % 2 = 0 THEN 'RED' ELSE 'BLUE' END || '%' GROUP BY 1",
     "j5_text_below": f"WITH {CAT}, w AS (WITH {T.CAT_WORDS}), doc_images AS ({T.DOC_IMAGES}), l AS (SELECT image_id, round_even(top / 4, 0) AS y, string_agg(text, ' ' ORDER BY w.x0, text) AS line FROM doc_images JOIN w USING (doc_id, page) WHERE top BETWEEN 102 AND 260 AND w.x1 >= 150 AND w.x0 <= 470 GROUP BY 1, 2) SELECT image_id, string_agg(line, '|' ORDER BY y, line) AS lines FROM l GROUP BY 1",

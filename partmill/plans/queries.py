@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partmill.functions import scalars as X
-from partmill.operators import edits, export, geometry, images, jobs, lifecycle, model_info, names, orders, parts, quality
+from partmill.operators import edits, export, geometry, images, jobs, lifecycle, model_info, names, orders, parts, quality, rasters
 from partmill.plans import tables as T
 from partmill.sources import readers
 from partmill.sources.scratch import cut, scratch_path
@@ -353,6 +353,10 @@ def pixel_colors(spark, d):
     return images.pixel_stats(T.pixels(spark, d))
 
 
+def raster_colors(spark, d):
+    return rasters.raster_stats(T.rasters(spark, d))
+
+
 def colors_of_parts(spark, d):
     """Colours from the lines below an image, made of each part's number."""
     k = F.col("p_partkey")
@@ -525,7 +529,7 @@ QUERIES = {
     "o1_sort_rank": sorted_rows, "o1_flag_rank": flag_rank, "o2_page": second_page, "o2_deep_page": page_hundred, "o3_heads": heads, "f20_row_edits": row_edits, "j8_model_name_edits": figure_edits, "j9_flag_edits": flag_edits, "j11_figure_rows": figure_rows, "j14_completed": completed,
     "a3_a4_models_in_order": models_in_order, "a2_figures": figure_list, "a16_a18_summary": kpis, "s6_sheet": sheet, "s7_model_sheets": sheets, "u3_s8_consolidated": consolidated, "u1_custom_sections": custom_sections, "u2_backfill": backfilled, "u4_reconcile": reconciled, "u5_distinct_models": documents_models, "s5_union": union_of_documents,
     "s10_bundle": bundle, "s11_processing_summary": processing, "f16_image_search": image_search, "f17_f19_admitted_images": admitted_images, "f18_unmasked": unmasked, "j3_image_figures": image_figures, "j4_placements": placements, "j10_chosen_images": chosen_images, "j13_images_of_models": images_of_models,
-    "w11_unique_images": unique_images, "w12_names": named_images, "w12_s8_s10_probed_names": probed_names, "x25_x26_image_names": figure_image_names, "x25_bikes": bikes, "x21_row_models": model_of_rows, "a11_rotations": rotations, "x14_spare_headings": spare_headings, "a19_image_counts": images_counted, "a20_image_pages": pages_of_images, "a12_pixel_colors": pixel_colors, "x22_color_info": colors_of_parts, "j6_matched_colors": matched_colors, "j5_text_below": words_below,
+    "w11_unique_images": unique_images, "w12_names": named_images, "w12_s8_s10_probed_names": probed_names, "x25_x26_image_names": figure_image_names, "x25_bikes": bikes, "x21_row_models": model_of_rows, "a11_rotations": rotations, "x14_spare_headings": spare_headings, "a19_image_counts": images_counted, "a20_image_pages": pages_of_images, "a12_pixel_colors": pixel_colors, "a12_raster_colors": raster_colors, "x22_color_info": colors_of_parts, "j6_matched_colors": matched_colors, "j5_text_below": words_below,
     "a13_cart_lines": carts, "a14_cart_totals": cart_sums, "s9_quotation": quotation, "t1_progress_changes": changes, "t2_latest_status": latest, "t3_expired": expired, "a15_batch_totals": batch,
     "t1_streamed_changes": changes_streamed, "t2_streamed_latest": latest_streamed, "t3_streamed_expired": expired_streamed,
     "j7_w13_w14_x18_format_b": format_b, "x23_x24_color_table": color_table, "t4_ingested": ingested,

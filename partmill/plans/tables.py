@@ -75,6 +75,16 @@ CART_EVENTS = """SELECT l_orderkey AS cart_id, l_partkey % 7 AS part_no, row_num
 
 PIXELS = "SELECT cast(l_orderkey % 64 AS INT) AS image_id, cast(l_partkey % 256 AS INT) AS r, cast((l_partkey * 3 + l_orderkey % 64 * 5) % 256 AS INT) AS g, cast((l_suppkey * 7 + l_linenumber) % 256 AS INT) AS b FROM lineitem"
 
+# Images of every mode as bytes: sizes about the thumbnails', gradients, dark, pale and grey ones; alpha of 0, 128, 255 and between.
+RASTER_SIZES = "SELECT s_suppkey AS image_id, cast(s_suppkey % 1000 AS BIGINT) AS k, CASE s_suppkey % 10 WHEN 7 THEN 500 WHEN 4 THEN 120 WHEN 5 THEN 119 ELSE 30 + s_suppkey * 37 % 300 END AS width, CASE s_suppkey % 10 WHEN 7 THEN 490 WHEN 4 THEN 120 WHEN 5 THEN 80 ELSE 20 + s_suppkey * 53 % 200 END AS height, CASE s_suppkey % 5 WHEN 0 THEN 'RGB' WHEN 1 THEN 'RGBA' WHEN 2 THEN 'RGB' WHEN 3 THEN 'LA' ELSE CASE WHEN s_suppkey % 2 = 0 THEN 'L' ELSE '1' END END AS mode FROM supplier"
+_TONE = "CASE k % 4 WHEN 1 THEN ({v}) % 60 WHEN 2 THEN 235 + ({v}) % 21 ELSE ({v}) % 256 END"
+TONES = {
+    "r": _TONE.format(v="{x} * (1 + k % 3) + {y} * 2 + k * 13"),
+    "g": _TONE.format(v="{x} * (1 + k % 3) + {y} * (2 + k % 5 % 2 * 3) + k * 13 + k % 3 * 40"),
+    "b": _TONE.format(v="{x} * (1 + k % 3) + {y} * (2 + k % 2 * 4) + k * 13"),
+    "a": "CASE ({x} + {y}) % 4 WHEN 0 THEN 0 WHEN 1 THEN 128 WHEN 2 THEN 255 ELSE ({x} * 3 + {y}) % 256 END",
+}
+
 
 def _read(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
@@ -171,3 +181,12 @@ def cart_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, PIXELS, **_read(spark, sf_dir, "lineitem"))
+
+
+def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tone = {n: v.format(x="(i % width)", y="cast(floor(i / width) AS BIGINT)") for n, v in TONES.items()}
+    byte = lambda v: f"lpad(hex({v}), 2, '0')"
+    grey = f"CASE WHEN mode = '1' THEN CASE WHEN {tone['r']} > 127 THEN 'FF' ELSE '00' END ELSE {byte(tone['r'])} END"
+    pixel = f"concat({grey}, CASE WHEN mode IN ('RGB', 'RGBA') THEN concat({byte(tone['g'])}, {byte(tone['b'])}) ELSE '' END, CASE WHEN mode IN ('LA', 'RGBA') THEN {byte(tone['a'])} ELSE '' END)"
+    sizes = _sql(spark, RASTER_SIZES, **_read(spark, sf_dir, "supplier"))
+    return sizes.selectExpr("image_id", "width", "height", "mode", f"unhex(array_join(transform(sequence(0L, width * height - 1), i -> {pixel}), '')) AS raster")
