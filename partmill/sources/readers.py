@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partmill.functions.scalars import strip
+from partmill.sources.files import file_listing
 
 LARGEST = 60 * 1024 * 1024
 OCR_COLUMNS = "level page_num block_num par_num line_num word_num left top width height conf text".split()
@@ -39,9 +40,8 @@ def parse_ocr(lines: DataFrame, scale: float = 1.0) -> DataFrame:
 
 
 def document_manifest(spark: SparkSession, path: str, max_bytes: int = LARGEST) -> DataFrame:
-    """path, length, status of each file, without reading contents. Spark lists no empty files, so these have no row; `admitted` names them where a listing has them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    return admitted(files, max_bytes)
+    """path, length, status of each file below `path`, empty ones too, without reading contents."""
+    return admitted(file_listing(spark, path), max_bytes).select("path", "length", "status")
 
 
 def admitted(files: DataFrame, max_bytes: int = LARGEST) -> DataFrame:

@@ -149,7 +149,7 @@ def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, size in (("a.PDF", 5), ("b.txt", 5), ("c.pdf", 0), ("d.pdf", 99)):
         (tmp_path / "in" / name).write_bytes(b"x" * size)
-    assert sorted((r.path.rsplit("/", 1)[1], r.status) for r in readers.document_manifest(spark, str(tmp_path / "in"), 50).collect()) == [("a.PDF", "accepted"), ("b.txt", "bad_format"), ("d.pdf", "too_large")]
+    assert sorted((r.path.rsplit("/", 1)[1], r.status) for r in readers.document_manifest(spark, str(tmp_path / "in"), 50).collect()) == [("a.PDF", "accepted"), ("b.txt", "bad_format"), ("c.pdf", "empty"), ("d.pdf", "too_large")]
     assert spark.createDataFrame([("c.pdf", 0)], "path string, length long").transform(readers.admitted).first().status == "empty"
     (tmp_path / "rows.json").write_text('{"doc_id": 1, "row_seq": 2, "page": 3, "part_no": "X", "BGP1": "4", "BGP2": null}\n')
     row = readers.read_part_rows_json(spark, str(tmp_path / "rows.json")).first()
