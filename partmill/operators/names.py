@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the folds reach workers that lack the package
 
@@ -36,20 +37,32 @@ def sheet_title(name: str, n: int) -> str:
     return f"{name[:CUT]}_{n}"[:MOST] if n else name
 
 
-def folded(names: list[str], tried: Callable[[str, int], str], fold: bool) -> list[str]:
-    """The first free name of each, in order. Names that once were taken stay so: each base is tried on from where it stood."""
+def folded(names: list[str], tried: Callable[[str, int], str], fold: bool, spent: bool = False) -> list[str | None]:
+    """The first free name of each, in order. Names that once were taken stay so: each base is tried on from where it stood.
+
+    Where none is free there is an error or, with `spent`, None.
+    """
     taken: set[str] = set()
-    at: dict[str, int] = {}
+    at: dict[str, int | None] = {}
     out = []
     for name in names:
         n = at.get(name, 0)
+        if n is None:
+            out.append(None)
+            continue
         own = tried(name, n)
         while (own.lower() if fold else own) in taken:
             n += 1
             own = tried(name, n)
             if n > 9 and own == tried(name, n // 10):  # a title so long that the number is cut: none is free
-                raise ValueError(f"no free name for {name}")
+                if not spent:
+                    raise ValueError(f"no free name for {name}")
+                n = own = None
+                break
         at[name] = n
+        if own is None:
+            out.append(None)
+            continue
         taken.add(own.lower() if fold else own)
         out.append(own)
     return out
@@ -60,7 +73,7 @@ def probed(rows: DataFrame, keys: list[str], name: str, order: list[str], kind:
 
     Archive names get .jpeg where they have no known ending and meet whatever their case;
     sheet titles are cut to MOST characters and meet as they are. `order` must be unique
-    within `keys`. Null names are ''.
+    within `keys`. Null names are ''. A row has null where every number that fits is taken.
     """
     own = F.coalesce(name, F.lit(""))
     if kind == "archive":
@@ -71,14 +84,14 @@ def probed(rows: DataFrame, keys: list[str], name: str, order: list[str], kind:
         own = F.substring(own, 1, MOST)
         kinship = F.substring(F.regexp_replace(own, "[_0-9]+$", ""), 1, CUT)
     given = rows.withColumn(name, own).withColumn("name_class", kinship)
-    schema = given.schema
+    schema = StructType([StructField(f.name, f.dataType, f.nullable or f.name == name) for f in given.schema])
     sizes = given.groupBy(*keys, "name_class").agg(F.count("*").alias("n_of_class"))
     given = given.join(sizes, [*keys, "name_class"]).select(*schema.names, "n_of_class")
     tried, fold = (archive_name, True) if kind == "archive" else (sheet_title, False)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order, ignore_index=True)
-        group[name] = folded(group[name].tolist(), tried, fold)
+        group[name] = folded(group[name].tolist(), tried, fold, spent=True)
         return group
 
     several = given.filter("n_of_class > 1").drop("n_of_class").groupBy(*keys, "name_class").applyInPandas(run, schema)

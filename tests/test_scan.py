@@ -113,3 +113,13 @@ def test_deep_pages_are_those_of_the_whole_sort(spark):
         for page, size in ((1, 10), (4, 70), (30, 10), (31, 10)):
             got = [(r.doc_id, r.row_seq) for r in quality.deep_page(df, field, page, size, desc).collect()]
             assert got == whole[(page - 1) * size : page * size]
+
+
+def test_rows_without_a_free_title_have_null(spark):
+    """A hundred rows get the title and its 99 numbers; the rest stay, without one."""
+    rows = [(1, k, "n" * 30) for k in range(120)] + [(1, 120, "n" * 28), (1, 121, "other"), (2, 0, "n" * 30)]
+    got = names.probed(spark.createDataFrame(rows, "bundle int, k int, name string"), ["bundle"], "name", ["k"], "sheet").collect()
+    titles = {(r.bundle, r.k): r.name for r in got}
+    assert titles[1, 99] == "n" * 28 + "_99" and len({titles[1, k] for k in range(100)}) == 100
+    assert [titles[1, k] for k in range(100, 120)] == [None] * 20
+    assert (titles[1, 120], titles[1, 121], titles[2, 0]) == ("n" * 28, "other", "n" * 30)
