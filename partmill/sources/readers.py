@@ -30,12 +30,18 @@ def read_ocr_tsv(spark: SparkSession, path: str, scale: float = 1.0) -> DataFram
 def parse_ocr(lines: DataFrame, scale: float = 1.0) -> DataFrame:
     """lines(file, f[, names]): fields in the order of `names`, or of OCR_COLUMNS; lines of another number of fields, without text, box or confidence over 20 drop out."""
     s = scale if scale > 0 else 1.0
-    names = F.col("names") if "names" in lines.columns else F.array(*[F.lit(n) for n in OCR_COLUMNS])
-    own = lines.filter((F.size("f") == F.size(names)) & (F.col("f")[0] != "level")).withColumn("__m", F.map_from_arrays(F.array_distinct(names), F.slice("f", 1, F.size(F.array_distinct(names)))))
-    field = lambda n: F.coalesce(F.try_element_at("__m", F.lit(n)), F.lit(""))
-    num = lambda n: F.trim(field(n)).try_cast("double")
-    own = own.select("file", strip(field("text")).alias("text"), F.coalesce(num("conf"), F.lit(-1.0)).alias("conf"), *[num(n).alias(n) for n in ("left", "top", "width", "height")])
-    own = own.filter("text <> '' and conf > 20 and left is not null and top is not null and width is not null and height is not null")
+    if "names" in lines.columns:
+        names = F.array_distinct("names")
+        at = lambda n: F.array_position(names, n).cast("int") - 1
+    else:
+        at = lambda n: F.lit(OCR_COLUMNS.index(n))
+    field = lambda n: F.coalesce(F.get("f", at(n)), F.lit(""))
+    num = lambda n: F.trim(field(n)).try_cast("double").alias(n)
+    count = F.size("names") if "names" in lines.columns else F.lit(len(OCR_COLUMNS))
+    right = ((F.size("f") == count) & (F.col("f")[0] != "level")).alias("__right")
+    # Out of a generator, so that each value is made once: filters on it aren't pushed below, where the line would be split again for each.
+    own = lines.select("file", F.inline(F.array(F.struct(right, strip(field("text")).alias("text"), num("conf"), *[num(n) for n in ("left", "top", "width", "height")]))))
+    own = own.filter("__right and text <> '' and conf > 20 and left is not null and top is not null and width is not null and height is not null")
     return own.select("file", "text", (F.col("left") / s).alias("x0"), (F.col("top") / s).alias("top"), ((F.col("left") + F.col("width")) / s).alias("x1"), ((F.col("top") + F.col("height")) / s).alias("bottom"))
 
 

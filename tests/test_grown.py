@@ -22,3 +22,9 @@ def test_a_catalogue_may_have_the_number_of_a_nation(spark, tmp_path):
     want = con.sql(ORACLE_SQL["a16_a18_summary"])
     assert sorted(tuple(r) for r in got.select(*want.columns).collect()) == sorted(want.fetchall())
     assert got.filter("doc_id = 1000").count() == 2
+
+
+def test_words_come_from_one_scan_and_lines_are_split_once(spark):
+    plan = QUERIES["s2_ocr_words"](spark, D)._jdf.queryExecution()
+    assert plan.executedPlan().toString().count("lineitem.parquet") == 1
+    assert plan.optimizedPlan().toString().count(" split(CASE WHEN") == 1
