@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from partmill.functions.scalars import clean_description, clean_part_number, clean_remarks
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # rasters are made by workers that lack the package
+
 CAT_ROWS = """SELECT cast(floor(l.l_orderkey / 512.0) AS INT) AS doc_id,
  row_number() OVER (PARTITION BY cast(floor(l.l_orderkey / 512.0) AS INT) ORDER BY l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice) AS row_seq,
  cast(l.l_orderkey % 512 AS INT) + 1 AS page,
@@ -85,6 +93,9 @@ TONES = {
     "a": "CASE ({x} + {y}) % 4 WHEN 0 THEN 0 WHEN 1 THEN 128 WHEN 2 THEN 255 ELSE ({x} * 3 + {y}) % 256 END",
 }
 
+RASTER_TASKS = 192  # shares of the images; a number that is given is kept where small shares would be put together
+RASTERS_HELD = 16  # images of an Arrow batch
+
 
 def _read(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
@@ -233,10 +244,37 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, PIXELS, **_read(spark, sf_dir, "lineitem"))
 
 
+def _raster_bytes(k: int | None, width: int | None, height: int | None, mode: str) -> bytes | None:
+    """The bytes of TONES over one image, rows of pixels; null without a size."""
+    if None in (k, width, height) or min(width, height) < 1:
+        return None
+    y, x = np.divmod(np.arange(width * height, dtype=np.int64), width)
+
+    def tone(v: np.ndarray) -> np.ndarray:
+        return v % 60 if k % 4 == 1 else 235 + v % 21 if k % 4 == 2 else v % 256
+
+    across = x * (1 + k % 3)
+    planes = [tone(across + y * 2 + k * 13)]
+    if mode == "1":
+        planes = [np.where(planes[0] > 127, 255, 0)]
+    if mode in ("RGB", "RGBA"):
+        planes += [tone(across + y * (2 + k % 5 % 2 * 3) + k * 13 + k % 3 * 40), tone(across + y * (2 + k % 2 * 4) + k * 13)]
+    if mode in ("LA", "RGBA"):
+        planes.append(np.choose((x + y) % 4, [np.int64(0), np.int64(128), np.int64(255), (x * 3 + y) % 256]))
+    return np.stack(planes, axis=1).astype(np.uint8).tobytes()
+
+
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tone = {n: v.format(x="(i % width)", y="cast(floor(i / width) AS BIGINT)") for n, v in TONES.items()}
-    byte = lambda v: f"lpad(hex({v}), 2, '0')"
-    grey = f"CASE WHEN mode = '1' THEN CASE WHEN {tone['r']} > 127 THEN 'FF' ELSE '00' END ELSE {byte(tone['r'])} END"
-    pixel = f"concat({grey}, CASE WHEN mode IN ('RGB', 'RGBA') THEN concat({byte(tone['g'])}, {byte(tone['b'])}) ELSE '' END, CASE WHEN mode IN ('LA', 'RGBA') THEN {byte(tone['a'])} ELSE '' END)"
+    """RASTER_SIZES with their bytes. One short row a supplier is dealt out by key, for its image is large; images go on a few at a time."""
+    schema = "image_id long, width long, height long, mode string, raster binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, RASTERS_HELD):
+                own = batch.slice(at, RASTERS_HELD)
+                made = [_raster_bytes(*(own.column(c)[i].as_py() for c in ("k", "width", "height", "mode"))) for i in range(own.num_rows)]
+                yield pa.RecordBatch.from_arrays([*[own.column(c) for c in ("image_id", "width", "height", "mode")], pa.array(made, pa.binary())], names=["image_id", "width", "height", "mode", "raster"])
+
     sizes = _sql(spark, RASTER_SIZES, **_read(spark, sf_dir, "supplier"))
-    return sizes.selectExpr("image_id", "width", "height", "mode", f"unhex(array_join(transform(sequence(0L, width * height - 1), i -> {pixel}), '')) AS raster")
+    sizes = sizes.select("k", *[F.col(c).cast("long") for c in ("image_id", "width", "height")], "mode")
+    return sizes.repartition(RASTER_TASKS, "image_id").mapInArrow(run, schema)

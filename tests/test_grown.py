@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from partmill.plans import tables
 from partmill.plans.oracle import ORACLE_SQL
 from partmill.plans.queries import QUERIES
 
@@ -28,3 +29,11 @@ def test_words_come_from_one_scan_and_lines_are_split_once(spark):
     plan = QUERIES["s2_ocr_words"](spark, D)._jdf.queryExecution()
     assert plan.executedPlan().toString().count("lineitem.parquet") == 1
     assert plan.optimizedPlan().toString().count(" split(CASE WHEN") == 1
+
+
+def test_images_are_shared_out(spark):
+    """A small file of suppliers is one partition; its images, each of up to 735 KB, are not."""
+    own = tables.rasters(spark, D)
+    assert own.rdd.getNumPartitions() >= 100
+    assert own.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 5
+    assert own.filter("length(raster) = width * height * case mode when 'RGB' then 3 when 'RGBA' then 4 when 'LA' then 2 else 1 end").count() == own.count()
