@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from partmill.operators import geometry
 from partmill.plans import tables
 from partmill.plans.oracle import ORACLE_SQL
 from partmill.plans.queries import QUERIES
@@ -37,3 +38,12 @@ def test_images_are_shared_out(spark):
     assert own.rdd.getNumPartitions() >= 100
     assert own.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 5
     assert own.filter("length(raster) = width * height * case mode when 'RGB' then 3 when 'RGBA' then 4 when 'LA' then 2 else 1 end").count() == own.count()
+
+
+def test_words_are_exchanged_once_for_their_lines(spark, tmp_path):
+    tables.cat_words(spark, D).write.parquet(f"{tmp_path}/words")
+    lines = geometry.exclude_index_pages(geometry.line_text(geometry.with_lines(spark.read.parquet(f"{tmp_path}/words"))))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") == 1
+    facts = geometry.line_facts(lines.limit(1)).columns
+    assert "words" not in facts and "text" not in facts
