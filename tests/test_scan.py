@@ -123,3 +123,32 @@ def test_rows_without_a_free_title_have_null(spark):
     assert titles[1, 99] == "n" * 28 + "_99" and len({titles[1, k] for k in range(100)}) == 100
     assert [titles[1, k] for k in range(100, 120)] == [None] * 20
     assert (titles[1, 120], titles[1, 121], titles[2, 0]) == ("n" * 28, "other", "n" * 30)
+
+
+def test_rows_of_a_document_are_exchanged_once_for_their_runs(spark):
+    """Rows that lie by document stay there: runs, blocks, suffixes and flags add no exchange of rows, only the narrow ones of the table of chunks."""
+    rows = [(k % 3, k, 1 + k // 40, str(k // 15 % 5), "HEAD", str(k % 4), "x" if k % 30 == 0 else "") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id int, row_seq int, page int, fig_no string, fig_name string, ref_no string, remarks string").repartition("doc_id")
+    own = parts.with_remark_flag(parts.suffix_repeated_refs(parts.with_runs(parts.with_first_of_figure(df))))
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4
+    assert plan.split("BroadcastExchange")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_blocks_of_runs_are_those_counted_later(spark, monkeypatch):
+    """block made with the runs gives the references that blocks counted after them give, in chunks of 7 rows too, with custom rows and parents inside a run."""
+    rows = [(1, k, 1, str(k // 15 % 5), "HEAD", str(k % 4), "", k % 6 == 0, k % 11 == 0) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id int, row_seq int, page int, fig_no string, fig_name string, ref_no string, remarks string, is_parent boolean, is_custom_section boolean")
+    refs = lambda own: sorted((r.row_seq, r.ref_no, r.run, r.run_offset) for r in own.collect())
+    whole = refs(parts.suffix_repeated_refs(parts.with_runs(df)))
+    monkeypatch.setattr(scan, "CHUNK_ROWS", 7)
+    assert refs(parts.suffix_repeated_refs(parts.with_runs(df))) == whole
+    assert refs(parts.suffix_repeated_refs(parts.with_runs(df).drop("block"))) == whole
+    last, run, start, want = None, 0, 0, []
+    for _, k, _, no, _, _, _, parent, custom in rows:
+        begins = parent if custom else last is None or last != no
+        if parent or not custom:
+            last = no
+        run, start = (run + 1, k) if begins else (run, start)
+        want.append((k, run, k - start))
+    assert [(k, run, offset) for k, _, run, offset in whole] == want
