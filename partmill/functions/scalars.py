@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Dashes U+2010 to U+2015, quantities that mean none, names of the custom sections, words in file names that are no codes.
 DASHES = "\\x{2010}-\\x{2015}"
+WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))  # (?U)\s
 NO_QUANTITY = ["", "-", "none", "null", "0", "*"]
 SECTIONS = ["PART KITS & SETS", "REGULAR SERVICE PARTS"]
 NO_FILE_CODE = ["PART", "PAGE", "BOOK", "EDIT", "FILE", "LIST", "TEMP"]
@@ -23,7 +24,12 @@ def text(c) -> Column:
 
 def strip(c) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(text(c), F.lit(WHITE))
+
+
+def _or(c: Column, spare) -> Column:
+    """A text that isn't null, `spare` where it is empty; `c` is computed once, which it isn't where it stands in a condition and a branch."""
+    return F.concat(c, F.when(c == "", spare).otherwise(""))
 
 
 def squeeze(c) -> Column:
@@ -70,8 +76,7 @@ def letter_suffix(i) -> Column:
 
 
 def _upper_or(c, default: str) -> Column:
-    own = F.upper(strip(c))
-    return F.when(own == "", default).otherwise(own)
+    return _or(F.upper(strip(c)), default)
 
 
 def padded(number) -> Column:
@@ -86,7 +91,7 @@ def catalogue_code(model, fig_name, fig_no="") -> Column:
     code = F.upper(F.regexp_replace(F.regexp_replace(text(model), "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""))
     name = F.upper(squeeze(F.regexp_replace(text(fig_name), "[^A-Za-z0-9&]+", " ")))
     spare = F.when(strip(fig_no) == "", "PARTS").otherwise(F.concat(F.lit("FIG "), padded(fig_no)))
-    return F.concat(F.lit("YAM_"), F.when(code == "", "MODEL").otherwise(code), F.lit("_"), F.when(name == "", spare).otherwise(name))
+    return F.concat(F.lit("YAM_"), _or(code, "MODEL"), F.lit("_"), _or(name, spare))
 
 
 def image_record(model, fig_name, fig_no="") -> Column:
@@ -102,8 +107,8 @@ def build_model_name_record(model, name, fig_name, brand="YAMAHA", omit_equal: b
     brand = F.lit(brand) if isinstance(brand, str) else brand
     code, figure = _upper_or(model, "MODEL"), _upper_or(squeeze(fig_name), "PARTS")
     own = unquoted(name)
-    gone = (strip(name) == "") | ((F.upper(own) == code) if omit_equal else F.lit(False))
-    middle = F.when(gone, F.lit(" ")).otherwise(F.concat(F.lit(" "), own, F.lit(" ")))
+    middle = F.concat(F.lit(" "), own, F.when(strip(name) == "", "").otherwise(" "))
+    middle = F.when(F.upper(own) == code, " ").otherwise(middle) if omit_equal else middle
     return F.concat(F.upper(strip(brand)), F.lit(" "), code, middle, F.lit("Series "), figure)
 
 
@@ -119,10 +124,9 @@ def extract_raw_model_name(c, model=None, old_model=None) -> Column:
     for code in (old_model, model):
         if code is not None:
             key = F.regexp_replace(strip(code), r"\\E", "")
-            cut = F.regexp_replace(own, F.concat(F.lit(r"(?iU)^\Q"), key, F.lit(r"\E(?:\s+|$)")), F.lit(""))
-            own = strip(F.when(key == "", own).otherwise(cut))
+            own = strip(F.regexp_replace(own, F.concat(F.lit(r"(?iU)^\Q"), key, F.lit(r"\E(?:\s+|$)")), F.lit("")))  # an empty code cuts nothing from a stripped name
     own = strip(F.regexp_replace(own, r"(?U)^[A-Z0-9]{3,6}\s+(?=[\"A-Za-z0-9])", ""))
-    return F.when(own.rlike("^[A-Z0-9]{3,6}$"), "").otherwise(unquoted(own))
+    return unquoted(F.regexp_replace(own, "^[A-Z0-9]{3,6}$", ""))
 
 
 def format_parent_model_name(c, model, fig_name, brand="YAMAHA", old_model=None) -> Column:
