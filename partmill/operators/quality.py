@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partmill.functions.scalars import clean_part_number, clean_remarks, is_custom_section, is_valid_quantity, strip, text
+from partmill.functions.scalars import clean_part_number, clean_remarks, is_custom_section, is_valid_quantity, let, strip, text
 from partmill.operators.parts import custom_flag, fig_key
 from partmill.sources.scratch import scratch_path
 
@@ -42,10 +42,7 @@ def quality_summary(validated: DataFrame) -> DataFrame:
 
 
 def _holds(term: str, *cols) -> Column:
-    found = F.lit(False)
-    for c in cols:
-        found = found | F.lower(text(c)).contains(term.lower())
-    return found
+    return F.exists(F.array(*[text(c) for c in cols]), lambda c: F.lower(c).contains(term.lower()))
 
 
 def search_dashboard(parts: DataFrame, term: str = "", figure: str = "", model: str = "") -> DataFrame:
@@ -57,7 +54,8 @@ def search_dashboard(parts: DataFrame, term: str = "", figure: str = "", model:
 
 
 def search_table(parts: DataFrame, term: str) -> DataFrame:
-    return parts.filter(_holds(term.strip(), "part_no", clean_part_number("part_no"), "description", "ref_no", "fig_no", "fig_name", "remarks"))
+    part = let(text("part_no"), lambda c: _holds(term.strip(), c, clean_part_number(c)))
+    return parts.filter(part | _holds(term.strip(), "description", "ref_no", "fig_no", "fig_name", "remarks"))
 
 
 NUMBERED = ("page", "ref_no", "fig_no")
