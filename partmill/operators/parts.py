@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partmill.functions.scalars import SECTIONS, build_model_name_record, catalogue_code, detect_brand, extract_raw_model_name, is_valid_quantity, letter_suffix, strip
+from partmill.functions.scalars import SECTIONS, build_model_name_record, catalogue_code, detect_brand, extract_raw_model_name, is_valid_quantity, let, letter_suffix, strip
 from partmill.operators.scan import by_rows, carried
 
 
@@ -173,11 +173,15 @@ def reconcile_model_codes(parts: DataFrame, authoritative: DataFrame) -> DataFra
         whole = (F.length(n) == 4) & (letters(n) == letters(code))
         return F.when(F.length(code) == 4, F.when((n == "MODEL") | short | whole, code).otherwise(name)).otherwise(name)
 
-    entry = F.explode(F.map_entries("qty"))
-    long = own.select("doc_id", "row_seq", "__code", entry.alias("e")).select("doc_id", "row_seq", renamed(F.col("e.key")).alias("model"), F.col("e.key").alias("__old"), F.col("e.value").alias("q"))
-    value = F.coalesce(F.min_by("q", F.when(is_valid_quantity("q"), F.col("__old"))), F.min_by("q", "__old"))
-    folded = long.groupBy("doc_id", "row_seq", "model").agg(value.alias("q")).groupBy("doc_id", "row_seq").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("model", "q")))).alias("__qty"))
-    own = own.join(folded, ["doc_id", "row_seq"], "left").withColumn("qty", F.coalesce("__qty", "qty"))
+    def folded(entries: Column) -> Column:
+        def value(name: Column) -> Column:
+            return let(F.filter(entries, lambda e: e["model"] == name), lambda own: F.coalesce(F.try_element_at(F.filter(own, lambda e: is_valid_quantity(e["q"])), F.lit(1))["q"], own[0]["q"]))
+
+        return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["model"]))), lambda name: F.struct(name, value(name))))
+
+    # In the row: a quantity meets only those of its own row, so that nothing is exchanged.
+    entries = F.array_sort(F.transform(F.map_entries("qty"), lambda e: F.struct(e["key"].alias("old"), renamed(e["key"]).alias("model"), e["value"].alias("q"))))
+    own = own.withColumn("qty", let(entries, folded))
     if "model_code" in parts.columns:
         own = own.withColumn("model_code", renamed(F.col("model_code")))
     return own.select(*parts.columns)
