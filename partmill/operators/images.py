@@ -69,10 +69,16 @@ def match_placement(images: DataFrame, boxes: DataFrame) -> DataFrame:
     ordinal = F.row_number().over(Window.partitionBy(*keys).orderBy("image_id"))
     own = images.withColumn("__n", ordinal).withColumn("__bare", bare("filename"))
     box = boxes.select(*keys, bare("name").alias("__name"), F.col("width").alias("__w"), F.col("height").alias("__h"), F.col("ordinal").alias("__o"), F.struct("x0", "top", "x1", "bottom").alias("__box"))
-    joined = own.join(box, keys)
-    rank = F.when((F.col("__name") != "") & (F.col("__name") == F.col("__bare")), 1).when((F.col("__w") == F.col("width")) & (F.col("__h") == F.col("height")), 2).when(F.col("__o") == F.col("__n"), 3)
-    best = joined.filter(rank.isNotNull()).groupBy("doc_id", "image_id").agg(F.min_by(F.struct(F.col("__box").alias("box"), rank.alias("rule")), F.struct(rank, F.col("__o"))).alias("m"))
-    return images.join(best.select("doc_id", "image_id", "m.box", "m.rule"), ["doc_id", "image_id"], "left")
+    # Each rule keeps the first box of a value: an image meets one box a rule, not all boxes of its page.
+    rules = ({"__name": "__bare"}, {"__w": "width", "__h": "height"}, {"__o": "__n"})
+    for k, at in enumerate(rules, 1):
+        found = box.filter("__name <> ''") if k == 1 else box
+        found = found.groupBy(*keys, *at).agg(F.min_by("__box", F.struct("__o")).alias(f"__box{k}")).alias("b")
+        same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys] + [F.col(f"a.{v}") == F.col(f"b.{c}") for c, v in at.items()]
+        own = own.alias("a").join(found, same, "left").select("a.*", f"b.__box{k}")
+    got = [F.when(F.col(f"__box{k}").isNotNull(), F.struct(F.col(f"__box{k}").alias("box"), F.lit(k).alias("rule"))) for k in (1, 2, 3)]
+    own = own.withColumn("__m", F.when(F.col("image_id").isNotNull(), F.coalesce(*got)))
+    return own.select("doc_id", "image_id", *[c for c in images.columns if c not in ("doc_id", "image_id")], "__m.box", "__m.rule")
 
 
 def text_below(images: DataFrame, words: DataFrame, margin: float = 150, tol: float = 50) -> DataFrame:

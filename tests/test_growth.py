@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from partmill.operators import parts, quality
+from partmill.operators import images, parts, quality
 from partmill.plans.queries import QUERIES
 
 D = "/root/testdata/sf0.001"
@@ -37,3 +37,14 @@ def test_codes_are_reconciled_in_the_row(spark):
     got = parts.reconcile_model_codes(df, spark.createDataFrame([(1, "bgp1")], "doc_id int, code string"))
     assert {(r.doc_id, r.row_seq): r.qty for r in got.collect()} == {(1, 1): {"BGP1": "4", "XYZ": "5"}, (1, 2): {"BGP1": ""}, (1, 3): {}, (1, 4): None, (2, 1): {"BG": "3"}}
     assert executed(QUERIES["u4_reconcile"](spark, D)).count("lineitem.parquet") == 2  # rows and the documents of their codes
+
+
+def test_images_meet_one_box_a_rule(spark):
+    """No join is on the page alone, where images times boxes of a page grow with the square; the first box by ordinal counts."""
+    of = "doc_id int, page int, image_id long, filename string, width int, height int"
+    pics = spark.createDataFrame([(1, 1, 1, "a.png", 5, 5), (1, 1, 2, "b", 7, 8), (1, 1, 3, "", None, 8), (1, 1, 4, "z", 0, 0), (None, 1, 5, "a", 5, 5)], of)
+    boxes = spark.createDataFrame([(1, 1, "A", 7, 8, 3, 3.0), (1, 1, "a.jp2", 9, 9, 2, 2.0), (1, 1, "a", 9, 9, 1, 1.0), (1, 1, "", 7, 8, 9, 9.0)], "doc_id int, page int, name string, width int, height int, ordinal int, x1 double").selectExpr("*", "0d x0", "0d top", "0d bottom")
+    own = images.match_placement(pics, boxes)
+    joins = [line for line in optimized(own).split("\n") if "Join " in line]
+    assert joins and all(line.count(" = ") >= 3 for line in joins)
+    assert {r.image_id: (r.box and r.box.x1, r.rule) for r in own.collect()} == {1: (1.0, 1), 2: (3.0, 2), 3: (3.0, 3), 4: (None, None), 5: (None, None)}
