@@ -48,3 +48,9 @@ def test_images_meet_one_box_a_rule(spark):
     joins = [line for line in optimized(own).split("\n") if "Join " in line]
     assert joins and all(line.count(" = ") >= 3 for line in joins)
     assert {r.image_id: (r.box and r.box.x1, r.rule) for r in own.collect()} == {1: (1.0, 1), 2: (3.0, 2), 3: (3.0, 3), 4: (None, None), 5: (None, None)}
+
+
+def test_row_edits_and_bands_read_the_rows_from_a_file(spark):
+    """Orders and lines are joined once, not for each of the tables that are made of them."""
+    for name in ("f20_row_edits", "j7_w13_w14_x18_format_b"):
+        assert "lineitem.parquet" not in executed(QUERIES[name](spark, D))
