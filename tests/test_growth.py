@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from partmill.operators import images, parts, quality
+from partmill.operators import geometry, images, parts, quality
+from partmill.plans import tables
 from partmill.plans.queries import QUERIES
 
 D = "/root/testdata/sf0.001"
@@ -54,3 +55,14 @@ def test_row_edits_and_bands_read_the_rows_from_a_file(spark):
     """Orders and lines are joined once, not for each of the tables that are made of them."""
     for name in ("f20_row_edits", "j7_w13_w14_x18_format_b"):
         assert "lineitem.parquet" not in executed(QUERIES[name](spark, D))
+
+
+def test_words_are_gathered_once_and_neither_written_nor_exchanged_again(spark, monkeypatch):
+    """Pages are read in one pass over the words; what is written is a row a page or a row of parts, without the words' boxes."""
+    seen, cut = [], geometry.cut
+    monkeypatch.setattr(geometry, "cut", lambda df: seen.append(df) or cut(df))
+    rows = tables.cat_rows(spark, D).repartition(4, "doc_id", "page")
+    geometry.extract_parts(tables.page_words(rows), tables.page_sizes(rows))
+    assert ["lineitem.parquet" in executed(df) for df in seen] == [True] + [False] * (len(seen) - 1)
+    assert not any({"words", "top", "x0"} & set(df.columns) for df in seen) and "bottom" not in seen[0].schema.simpleString().replace("header_bottom", "")
+    assert "Exchange" not in executed(seen[0]).split("ObjectHashAggregate")[0].split("SortMergeJoin")[-1]
