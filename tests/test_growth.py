@@ -66,3 +66,9 @@ def test_words_are_gathered_once_and_neither_written_nor_exchanged_again(spark,
     assert ["lineitem.parquet" in executed(df) for df in seen] == [True] + [False] * (len(seen) - 1)
     assert not any({"words", "top", "x0"} & set(df.columns) for df in seen) and "bottom" not in seen[0].schema.simpleString().replace("header_bottom", "")
     assert "Exchange" not in executed(seen[0]).split("ObjectHashAggregate")[0].split("SortMergeJoin")[-1]
+
+
+def test_mixed_catalogues_read_the_rows_from_a_file(spark):
+    """Words, pages, rulings and covers join lines, orders and parts once; pages are found without making words."""
+    own = tables.cat_mixed(spark, D)
+    assert not any("lineitem.parquet" in executed(df) for df in own) and "explode" not in executed(own[1])
